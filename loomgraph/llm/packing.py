@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import materialize, whole_text
 
-CAPACITY, WIDTH = 2048, 8
+CAPACITY, WIDTH = 2048, 4
 CACHE_WORDS = 400_000
 #: Pieces that one ranking task should hold.
 RANK_ROWS = 50_000
@@ -99,6 +99,25 @@ def knapsack(values: np.ndarray, units: int, limit: np.ndarray) -> np.ndarray:
     return np.minimum(pattern, limit)
 
 
+def fullest(left: np.ndarray) -> np.ndarray:
+    """The largest item that is left, and the items that fill the rest of its knapsack most: sums as bits of an integer."""
+    units, pattern = len(left), np.zeros(len(left), np.int64)
+    sizes = (np.flatnonzero(left) + 1)[::-1].tolist()
+    pattern[sizes[0] - 1] = 1
+    room = units - sizes[0]
+    mask, sums, taken = (1 << (room + 1)) - 1, 1, []
+    for size in sizes:
+        for _ in range(min(int(left[size - 1] - pattern[size - 1]), room // size)):
+            taken.append((size, sums))
+            sums |= (sums << size) & mask
+    target = sums.bit_length() - 1
+    for size, before in reversed(taken):
+        if not before >> target & 1:
+            pattern[size - 1] += 1
+            target -= size
+    return pattern
+
+
 def cutting_stock(demand: np.ndarray, rounds: int = 2000, patience: int = 100) -> list[tuple[np.ndarray, int]]:
     """Patterns and copies that cover ``demand[i]`` items of size i+1 exactly in knapsacks of ``len(demand)``.
 
@@ -144,13 +163,8 @@ def cutting_stock(demand: np.ndarray, rounds: int = 2000, patience: int = 100) -
         if copies > 0:
             out.append((pattern, copies))
             left -= copies * pattern
-    while left.any():  # what rounding left, about a sequence per pattern: each time the fullest fit of what remains
-        pattern = np.zeros(units, np.int64)
-        room = units
-        for i in np.flatnonzero(left)[::-1]:
-            n = min(int(left[i]), room // (i + 1))
-            pattern[i] += n
-            room -= n * (i + 1)
+    while left.any():  # what rounding left, about a sequence per pattern
+        pattern = fullest(left)
         copies = int((left[pattern > 0] // pattern[pattern > 0]).min())
         out.append((pattern, copies))
         left -= copies * pattern
