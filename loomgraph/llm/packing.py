@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import materialize, whole_text
 
-CAPACITY, WIDTH = 2048, 4
+CAPACITY, WIDTH = 2048, 8
 CACHE_WORDS = 400_000
 #: Pieces that one ranking task should hold.
 RANK_ROWS = 50_000
@@ -118,12 +118,12 @@ def fullest(left: np.ndarray) -> np.ndarray:
     return pattern
 
 
-def cutting_stock(demand: np.ndarray, rounds: int = 2000, patience: int = 100) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, rounds: int = 40_000, patience: int = 200, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """Patterns and copies that cover ``demand[i]`` items of size i+1 exactly in knapsacks of ``len(demand)``.
 
     Revised simplex with column generation. The basis starts with one pattern per
     size, each full of that size; a column enters while the knapsack finds one worth more
-    than 1, unless ``patience`` steps have gained nothing.
+    than 1, the program is more than ``gap`` above its bound, and ``patience`` steps have not all gained nothing.
     """
     units = len(demand)
     rows = np.flatnonzero(demand)
@@ -133,7 +133,7 @@ def cutting_stock(demand: np.ndarray, rounds: int = 2000, patience: int = 100) -
     basis = np.diag((units // (rows + 1)).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ need
-    least, since = np.inf, 0
+    least, since, bound = np.inf, 0, 0.0
     for _ in range(rounds):
         since = 0 if x.sum() < least - 1e-6 else since + 1
         least = min(least, float(x.sum()))
@@ -143,7 +143,8 @@ def cutting_stock(demand: np.ndarray, rounds: int = 2000, patience: int = 100) -
         values = np.zeros(units)
         values[rows] = np.maximum(dual, 0)
         pattern = knapsack(values, units, np.where(demand > 0, units, 0))[rows].astype(float)
-        if pattern @ dual <= 1 + 1e-7:
+        bound = max(bound, float(x.sum() / max(1.0, pattern @ dual)))  # no packing does with fewer
+        if pattern @ dual <= 1 + 1e-7 or x.sum() <= bound * (1 + gap):
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
