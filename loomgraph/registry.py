@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomgraph.plans import registered_graph, registered_rank, registered_scalars, registered_sources  # noqa: F401
+from loomgraph.plans.catalog import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "res_ladder"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
