@@ -13,12 +13,12 @@ from tests.llm.test_near_dup import shingles  # noqa: E402
 def folder(spark, frame, tmp_path):
     rnd = random.Random(9)
     rows, labels = corpus(300, seed=8)
-    rows = [(i, t.replace("### ", " ")) for i, t in rows]
+    rows = [(i, t.replace("### ", " ") + f" token = abcdefgh{i:04} here" * (i % 10 == 0)) for i, t in rows]
     for k in range(60):
         i, t = rows[rnd.randrange(300)]
         words = t.split()
         rows.append((len(rows), t.replace(" ", "  ") if k % 2 else " ".join([*words[:-1], "changed"])))
-    rows += [(len(rows), None), (len(rows) + 1, ""), *((len(rows) + 2 + k, f"{rows[k][1]} token = abcdefgh{k:04} here {k}") for k in range(20))]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "few words")]
     frame(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return str(tmp_path)
