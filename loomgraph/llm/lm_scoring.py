@@ -7,17 +7,21 @@ own estimate against the product of its one-byte-longer contexts, so the
 prediction mixes all depths. A context that training has not seen hands its share to the longest seen one.
 
 Distribution. Documents are dealt into chunks of bounded bytes by a hash. A chunk
-emits its distinct (DEPTH+1)-grams and words with their training counts; summed
-over chunks these are the whole of the corpus statistics, and grow with it. Trees
-are weighted apart for each pair of last bytes, the levels above from at most
-65,536 sums; then each chunk gets back just the values of its own grams and words.
-No table of the corpus is broadcast or collected.
+emits its distinct (DEPTH+1)-grams and words with their training counts, packed by
+bucket: a bucket of grams has whole contexts by their last two bytes, one of words
+a share of a hash. Buckets merge, first within groups of chunks; their sums are the
+whole of the corpus statistics, and grow with it. A bucket weights its trees from
+depth two on; what stands above needs at most 65,280 sums. Each chunk then gets
+back just the values of its own grams and words, in its own order. No table of the
+corpus is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fold_column, materialize, whole_text
 
 DEPTH = 5
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 12_000_000
+#: Chunks that merge together first, and bytes that a step handles at a time.
+GROUP_CHUNKS, STEP_BYTES = 64, 3_000_000
 HELD_FOLDS, HELD_FOLD = 7, 2
 _LN2 = math.log(2)
 
@@ -153,6 +159,103 @@ def gram_log10(keys: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
     return total
 
 
+def steps_of(parts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of parts of about STEP_BYTES."""
+    begin, size = 0, 0
+    for k, part in enumerate(parts):
+        size += len(part)
+        if size >= STEP_BYTES:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(parts):
+        yield begin, len(parts)
+
+
+def distinct_grams(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct gram keys, sorted, and their counts."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in steps_of(parts):
+        more, n = np.unique(gram_keys(parts[a:b], depth), return_counts=True)
+        keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, n]))
+    return keys, counts
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, back = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(back, counts, len(unique)).astype(np.int64)
+
+
+def gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two context bytes alone."""
+    last = ((keys >> 8) & 65535).astype(np.uint64)
+    return ((last * np.uint64(0x9E3779B185EBCA87)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def pack_numbers(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts."""
+    return zlib.compress(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_numbers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    both = [np.ascontiguousarray(x.reshape(8, -1).T).view("<i8").ravel() for x in np.split(raw, 2)]
+    return np.cumsum(both[0]), both[1]
+
+
+def pack_words(words: list[bytes], counts: list[int]) -> bytes:
+    """Words (none has white space) and counts."""
+    return zlib.compress(np.array(counts, "<i8").tobytes() + b" ".join(words), 1)
+
+
+def unpack_words(data: bytes, size: int) -> tuple[list[bytes], list[int]]:
+    raw = zlib.decompress(data)
+    return raw[8 * size :].split(b" "), np.frombuffer(raw[: 8 * size], "<i8").tolist()
+
+
+def merged(kind: int, part: pd.DataFrame) -> tuple[int, bytes]:
+    """Size and data of the rows' sum."""
+    if kind == 0:
+        both = [unpack_numbers(d) for d in part["data"]]
+        keys, counts = summed(np.concatenate([k for k, _ in both]), np.concatenate([c for _, c in both]))
+        return len(keys), pack_numbers(keys, counts)
+    total: Counter[bytes] = Counter()
+    for data, size in zip(part["data"], part["size"], strict=True):
+        for w, c in zip(*unpack_words(data, int(size)), strict=True):
+            total[w] += c
+    return len(total), pack_words(list(total), list(total.values()))
+
+
+class Chunk:
+    """A chunk's tokens and distinct grams and words, by bucket, in an order that its texts alone fix."""
+
+    def __init__(self, texts, depth: int, buckets: int):
+        self.depth = depth
+        self.words = [tokens_of(t) for t in texts]
+        self.parts = [b" ".join(w) + b"\n" for w in self.words]
+        self.grams, _ = distinct_grams(self.parts, depth)
+        at = gram_bucket(self.grams, buckets)
+        order = np.argsort(at, kind="stable")
+        self.gram_order = {int(at[o[0]]): o for o in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(o)}
+        self.word_order: dict[int, list[bytes]] = {}
+        for w in sorted({b""}.union(*self.words)):
+            self.word_order.setdefault(zlib.crc32(w) % buckets, []).append(w)
+
+    def counts(self, held: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        """(kind, bucket, size, data) with the counts of the texts that aren't held out."""
+        known = np.zeros(len(self.grams), np.int64)
+        kept = [p for p, h in zip(self.parts, held, strict=True) if not h]
+        keys, n = distinct_grams(kept, self.depth)
+        known[np.searchsorted(self.grams, keys)] = n
+        for bucket, order in self.gram_order.items():
+            yield 0, bucket, len(order), pack_numbers(self.grams[order], known[order])
+        total = Counter({b"": len(kept)})
+        for w, h in zip(self.words, held, strict=True):
+            if not h:
+                total.update(w)
+        for bucket, words in self.word_order.items():
+            yield 1, bucket, len(words), pack_words(words, [total[w] for w in words])
+
+
 def score_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes per row.
 
@@ -161,85 +264,106 @@ def score_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", de
     rows count and are scored each. An empty table gives no rows; with nothing to
     train on every byte costs 8 bits. Further columns are ignored.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole_text(docs, text).alias("raw"))
     source = source.withColumn("held_out", fold_column(F.col("doc_id"), HELD_FOLDS) == HELD_FOLD)
     size = source.agg(F.sum(F.octet_length("raw") + 64).alias("n")).first()["n"] or 0
     chunks = max(1, -(-size // chunk_bytes))
+    buckets = max(1, -(-chunks // 4))
     dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(chunks)).cast("int"))
 
     def count(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        split = [tokens_of(t) for t in part["raw"]]
-        held = part["held_out"].to_numpy(bool)
-        frames = []
-        for kept, sign in ((~held, 1), (held, 0)):
-            own = [w for w, k in zip(split, kept, strict=True) if k]
-            if not own:
-                continue
-            keys = gram_keys([b" ".join(w) + b"\n" for w in own], depth)
-            grams, n = np.unique(keys, return_counts=True)
-            frames.append(pd.DataFrame({"gram": grams, "word": None, "n": n * sign}))
-            words = Counter({b"": len(own)})
-            for w in own:
-                words.update(w)
-            frames.append(pd.DataFrame({"gram": np.int64(-1), "word": list(words), "n": np.fromiter(words.values(), np.int64, len(words)) * sign}))
-        out = pd.concat(frames)
+        part = part.sort_values("raw")
+        rows = list(Chunk(part["raw"], depth, buckets).counts(part["held_out"].to_numpy(bool)))
+        out = pd.DataFrame(rows, columns=["kind", "bucket", "size", "data"])
         out.insert(0, "chunk", int(key[0]))
         return out
 
-    found = materialize(dealt.groupBy("chunk").applyInPandas(count, "chunk int, gram long, word binary, n long"), "lm-counts")
-    grams, words = found.where("word is null").select("chunk", "gram", "n"), found.where("word is not null").select("chunk", "word", "n")
-    gram_counts = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    gram_counts = materialize(gram_counts.withColumn("last", F.shiftright("gram", 8).bitwiseAND(65535).cast("int")), "lm-grams")
-    word_counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    totals = word_counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    train_tokens, known_words = int(totals["n"] or 0), int(totals["v"] or 0)
-
-    def top_of_group(batches: pd.DataFrame) -> pd.DataFrame:
-        level = deep_levels(batches["gram"].to_numpy(np.int64), batches["n"].to_numpy(np.int64), depth)[2]
-        node = ((level.node >> 8) & 255) * 256 + (level.node & 255)
-        return pd.DataFrame({"node": node, "zeros": level.zeros, "ones": level.ones, "below": level.weighted})
-
-    sums = gram_counts.groupBy("last").applyInPandas(top_of_group, "node long, zeros double, ones double, below double")
-    # at most 256 * 255 rows, whatever the corpus
-    zero, one = upper_levels(sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas())
-
-    def value(part: pd.DataFrame) -> pd.DataFrame:
-        keys = part["gram"].to_numpy(np.int64)
-        levels = deep_levels(keys, part["n"].to_numpy(np.int64), depth) | {0: zero, 1: one}
-        return pd.DataFrame({"gram": keys, "log10": gram_log10(keys, levels)})
-
-    gram_values = gram_counts.groupBy("last").applyInPandas(value, "gram long, log10 double")
+    packed = "kind int, bucket int, size long, data binary"
+    found = materialize(dealt.groupBy("chunk").applyInPandas(count, f"chunk int, {packed}").withColumn("grp", F.floor(F.col("chunk") / GROUP_CHUNKS).cast("int")), "lm-counts")
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n, data = merged(int(key[0]), part)
+        return pd.DataFrame({"kind": [int(key[0])], "bucket": [int(key[1])], "size": [n], "data": [data]})
+
+    corpus = found.groupBy("kind", "bucket", "grp").applyInPandas(merge, packed)
+    corpus = materialize(corpus.groupBy("kind", "bucket").applyInPandas(merge, packed), "lm-corpus")
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for kind, n, data in zip(batch["kind"], batch["size"], batch["data"], strict=True):
+                if kind == 0:
+                    level = deep_levels(*unpack_numbers(data), depth)[2]
+                    yield pd.DataFrame({"node": ((level.node >> 8) & 255) * 256 + (level.node & 255), "zeros": level.zeros, "ones": level.ones, "below": level.weighted})
+                else:
+                    counts = unpack_words(data, int(n))[1]
+                    yield pd.DataFrame({"node": [-1], "zeros": [float(sum(counts))], "ones": [float(sum(c > 0 for c in counts))], "below": [0.0]})
+
+    sums = corpus.mapInPandas(tops, "node long, zeros double, ones double, below double")
+    # at most 256 * 255 rows and one for the words, whatever the corpus
+    upper = sums.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toPandas()
+    totals = upper[upper["node"] < 0]
+    train_tokens, known_words = int(totals["zeros"].sum()), int(totals["ones"].sum())
+    zero, one = upper_levels(upper[upper["node"] >= 0])
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Grams with the value of each instead of its count."""
+        for batch in batches:
+            for kind, bucket, n, data in zip(batch["kind"], batch["bucket"], batch["size"], batch["data"], strict=True):
+                if kind == 0:
+                    keys, counts = unpack_numbers(data)
+                    values = gram_log10(keys, deep_levels(keys, counts, depth) | {0: zero, 1: one})
+                    data = pack_numbers(keys, values.view(np.int64))
+                yield pd.DataFrame({"v_kind": [kind], "v_bucket": [bucket], "v_size": [n], "v_data": [data]})
+
+    values = corpus.mapInPandas(evaluate, "v_kind int, v_bucket int, v_size long, v_data binary")
+    asked = found.select(F.col("kind").alias("a_kind"), F.col("bucket").alias("a_bucket"), "grp").distinct()
+    values = asked.join(values, (F.col("a_kind") == F.col("v_kind")) & (F.col("a_bucket") == F.col("v_bucket"))).select("v_kind", "v_bucket", F.col("grp").alias("v_grp"), "v_size", "v_data")
+
+    def reply(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        kind, rows = int(key[0]), []
+        if not len(part):
+            return pd.DataFrame(columns=["to", "kind", "bucket", "values"])
+        if kind == 0:
+            keys, bits = unpack_numbers(known["v_data"].iloc[0])
+            floats = bits.view(np.float64).astype("<f4")
+            for chunk, data in zip(part["chunk"], part["data"], strict=True):
+                rows.append((chunk, kind, int(key[1]), floats[np.searchsorted(keys, unpack_numbers(data)[0])].tobytes()))
+        else:
+            own = dict(zip(*unpack_words(known["v_data"].iloc[0], int(known["v_size"].iloc[0])), strict=True))
+            for chunk, n, data in zip(part["chunk"], part["size"], part["data"], strict=True):
+                rows.append((chunk, kind, int(key[1]), zlib.compress(np.array([own[w] for w in unpack_words(data, int(n))[0]], "<i8").tobytes(), 1)))
+        return pd.DataFrame(rows, columns=["to", "kind", "bucket", "values"])
+
+    replies = found.groupBy("kind", "bucket", "grp").cogroup(values.groupBy("v_kind", "v_bucket", "v_grp")).applyInPandas(reply, "to int, kind int, bucket int, values binary")
     floor = math.log10(train_tokens + known_words + 1)
-    word_values = word_counts.select("word", "c")
-    lookup = (
-        grams.select("chunk", "gram").distinct().join(gram_values, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "log10", F.lit(None).cast("long").alias("c"))
-    ).unionByName(words.select("chunk", "word").distinct().join(word_values, "word").select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.lit(None).cast("double").alias("log10"), "c"))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
 
     def score(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
-            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
-        is_gram = known["word"].isna().to_numpy()
-        index = pd.Index(known["gram"].to_numpy()[is_gram].astype(np.int64))
-        log10 = known["log10"].to_numpy()[is_gram].astype(float)
-        own = dict(zip(known["word"][~is_gram], known["c"][~is_gram].astype(np.int64), strict=True))
-        end = own[b""]
-        rows, parts = [], []
-        for doc, held, raw in zip(part["doc_id"], part["held_out"], part["raw"], strict=True):
-            split = tokens_of(raw)
-            c = np.array([own[w] for w in split] + [end], np.float64)
+            return pd.DataFrame(columns=names)
+        part = part.sort_values("raw")
+        chunk = Chunk(part["raw"], depth, buckets)
+        log10, own = np.zeros(len(chunk.grams), np.float32), {}
+        for kind, bucket, raw in zip(known["kind"], known["bucket"], known["values"], strict=True):
+            if kind == 0:
+                log10[chunk.gram_order[bucket]] = np.frombuffer(raw, "<f4")
+            else:
+                own.update(zip(chunk.word_order[bucket], np.frombuffer(zlib.decompress(raw), "<i8").tolist(), strict=True))
+        index, totals = pd.Index(chunk.grams), []
+        for a, b in steps_of(chunk.parts):
+            values = log10[index.get_indexer(gram_keys(chunk.parts[a:b], depth))].astype(np.float64)
+            totals.append(np.add.reduceat(values, np.concatenate([[0], np.cumsum([len(p) for p in chunk.parts[a : b - 1]])]).astype(np.int64)))
+        rows = []
+        for doc, held, words in zip(part["doc_id"], part["held_out"], chunk.words, strict=True):
+            c = np.array([own[w] for w in words] + [own[b""]], np.float64)
             rows.append((doc, held, len(c), int((c > 0).sum()), train_tokens, float(np.log10(c + 1).sum() - len(c) * floor)))
-            parts.append(b" ".join(split) + b"\n")
-        values = log10[index.get_indexer(gram_keys(parts, depth))]
-        lengths = np.array([len(p) for p in parts])
-        out = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
+        out = pd.DataFrame(rows, columns=names[:6])
         out["doc_id"] = out["doc_id"].astype("Int64")
-        out["score"] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        out["n_bytes"] = lengths
+        out["score"], out["n_bytes"] = np.concatenate(totals), [len(p) for p in chunk.parts]
         return out
 
     return (
         dealt.groupBy("chunk")
-        .cogroup(lookup.groupBy("chunk"))
+        .cogroup(replies.groupBy("to"))
         .applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
     )
