@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import CALLABLE_KINDS
+from loomgraph.operators.cut import cut
 
 
 def innermost(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def path_lineage(steps: DataFrame, origins: DataFrame, rounds: int = 32) -> Data
         s = steps.select(F.col("seq").alias("s_seq"), "old_path", "new_path")
         moved = now.join(s, (now.current == s.old_path) & (s.s_seq > now.at), "left")
         after = moved.groupBy("path", "seq", "current", "at").agg(F.min(F.when(F.col("s_seq").isNotNull(), F.struct("s_seq", "new_path"))).alias("step"))
-        after = after.select("path", "seq", F.when(F.col("step").isNull(), F.col("current")).otherwise(F.col("step.new_path")).alias("current"), F.coalesce("step.s_seq", "at").alias("at"), F.col("step").isNotNull().alias("moved")).checkpoint()
+        after = after.select("path", "seq", F.when(F.col("step").isNull(), F.col("current")).otherwise(F.col("step.new_path")).alias("current"), F.coalesce("step.s_seq", "at").alias("at"), F.col("step").isNotNull().alias("moved"))
+        after = cut(after)
         if not after.where("moved").limit(1).count():
             return after.select("path", "seq", "current")
         now = after.drop("moved")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.cut import cut
+
 
 def file_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """(status, old_path, new_path): added, deleted, modified, and renames of equal content that is unique on both sides.
@@ -32,7 +34,7 @@ def changed_symbols(base: DataFrame, head: DataFrame, renames: DataFrame) -> Dat
     Symbols of one selector that are several on a side are uncertain.
     """
     side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("selector", "path", "name", "kind", "parent", "signature", "body", "hash")))
-    a, b = side(base, "a"), side(head, "b")
+    a, b = cut(side(base, "a")), cut(side(head, "b"))  # every rung reads both
     count_a, count_b = a.groupBy("a_selector").agg(F.count(F.lit(1)).alias("n_a")), b.groupBy("b_selector").agg(F.count(F.lit(1)).alias("n_b"))
     several = count_a.join(count_b, F.col("a_selector") == F.col("b_selector")).where("n_a > 1 or n_b > 1").select(F.col("a_selector").alias("selector"))
     uncertain_same = several.select(F.lit("uncertain").alias("status"), F.col("selector").alias("old_selector"), F.col("selector").alias("new_selector"))
@@ -57,13 +59,14 @@ def changed_symbols(base: DataFrame, head: DataFrame, renames: DataFrame) -> Dat
         return x.join(pairs, F.col("a_selector") == F.col("old_selector"), "left_anti"), y.join(pairs, F.col("b_selector") == F.col("new_selector"), "left_anti")
 
     ren = renames.select("old_path", "new_path")
+    left_a, left_b = cut(left_a), cut(left_b)
     at = lambda x: x.join(ren, F.col("a_path") == F.col("old_path"))
     moved = pair(at(left_a), left_b, [("new_path", "b_path"), ("a_name", "b_name"), ("a_kind", "b_kind")], "moved")
-    left_a, left_b = without(left_a, left_b, moved)
+    left_a, left_b = map(cut, without(left_a, left_b, moved))
     renamed_file = pair(at(left_a), left_b, [("new_path", "b_path"), ("a_kind", "b_kind")], "renamed")
-    left_a, left_b = without(left_a, left_b, renamed_file)
+    left_a, left_b = map(cut, without(left_a, left_b, renamed_file))
     renamed = pair(left_a, left_b, [("a_path", "b_path"), ("a_kind", "b_kind"), ("a_parent", "b_parent"), ("a_body", "b_body")], "renamed")
-    left_a, left_b = without(left_a, left_b, renamed)
+    left_a, left_b = map(cut, without(left_a, left_b, renamed))
     names_a, names_b = left_a.select("a_name", "a_kind").distinct(), left_b.select("b_name", "b_kind").distinct()
     crossing = names_a.join(names_b, (F.col("a_name") == F.col("b_name")) & (F.col("a_kind") == F.col("b_kind"))).select(F.col("a_name").alias("x_name"), F.col("a_kind").alias("x_kind"))
     nothing = F.lit(None).cast("string")

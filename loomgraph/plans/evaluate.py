@@ -73,7 +73,7 @@ def paired(cases: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def folds(cases: DataFrame, n: int = 5) -> DataFrame:
-    """Rolling-origin folds: cases by (cutoff, id) in n consecutive parts of like size."""
+    """Rolling-origin folds: cases by (cutoff, id) in n consecutive parts of like size. Evaluation cases are few; one task orders them."""
     from pyspark.sql import Window
 
     return cases.withColumn("fold", (F.ntile(n).over(Window.orderBy("cutoff", "case_id")) - 1).cast("long"))
