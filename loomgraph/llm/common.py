@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def byte_slices(texts: Iterable[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``texts`` of about ``limit`` characters each, one text at least."""
+    begin, size, k = 0, 0, -1
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= limit:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin <= k:
+        yield begin, k + 1
+
+
 def fold_column(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id modulo ``folds``; a null id falls in fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

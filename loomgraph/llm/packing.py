@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import materialize, whole_text
+from loomgraph.llm.common import byte_slices, materialize, whole_text
 
 CAPACITY, WIDTH = 2048, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PARTS = 300_000, 150_000
+#: Text that is tokenized at a time.
+SLICE_BYTES = 6_000_000
+#: New stems that are encoded together.
+STEMS = 2000
+#: Lower-case Latin letters in UTF-8, and marks that may follow a word.
+_PLAIN, _MARKS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch, b".,;:!?"
 #: Pieces that one ranking task should hold.
-RANK_ROWS = 50_000
+RANK_ROWS = 8_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -41,32 +48,83 @@ def load_tokenizer(path: str):
 class WordTokenizer:
     """Whole-text ids through a cache of the ids of white-space-separated words.
 
-    Sound for tokenizers that drop white space before splitting and never join
-    across it. ``end_id`` follows each document.
+    Sound for tokenizers that lower-case, drop white space before splitting, never
+    join across it and mark the ends of words. ``end_id`` follows each document.
+    Words of Latin letters with closing marks are looked up by stem and marks;
+    new stems are encoded many at a time and cut at their end marks.
     """
 
     def __init__(self, path: str, end_id: int = 1):
-        self.tokenizer, self.cache, self.end = load_tokenizer(path), {}, np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end = load_tokenizer(path), np.array([end_id], "<u4").tobytes()
+        self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+
+    def encode_alone(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_stems(self, stems: list[bytes]) -> None:
+        for k in range(0, len(stems), STEMS):
+            group = stems[k : k + STEMS]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw, a = ids.tobytes(), 0
+                for stem, b in zip(group, (4 * ends).tolist(), strict=True):
+                    self.parts[stem] = raw[a:b]
+                    a = b
+            else:
+                self.parts.update(zip(group, self.encode_alone(group), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        parts, cache = self.parts, self.cache
+        plain, stems, odd, marked = [], [], [], []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha() or _PLAIN(stem):
+                if len(stem) < len(w):
+                    marked.append(w)
+                else:
+                    plain.append(w)
+                stems.append(stem)
+            else:
+                odd.append(w)
+        self.encode_stems(list(set(stems).difference(parts)))
+        new = list({w[len(w.rstrip(_MARKS)) :] for w in marked}.difference(parts))
+        parts.update(zip(new, self.encode_alone(new), strict=True))
+        get = parts.__getitem__
+        cache.update(zip(plain, map(get, plain), strict=True))
+        for w in marked:
+            stem = w.rstrip(_MARKS)
+            cache[w] = get(stem) + get(w[len(stem) :])
+        for k in range(0, len(odd), STEMS):
+            cache.update(zip(odd[k : k + STEMS], self.encode_alone(odd[k : k + STEMS]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        # bytes lower and split at ASCII alone; the special tokens are lower-case, so no text becomes one by this
+        split = [t.encode("utf-8", "surrogatepass").lower().split() if "|>" not in t else t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # bytes split at the white space of ASCII alone
-        new = list({w for ws in split for w in ws} - self.cache.keys())
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        cache = self.cache
-        return [b"".join([cache[w] for w in ws]) + self.end for ws in split]
+        self.learn(list(set().union(*split).difference(self.cache)))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, ws)) + self.end for ws in split]
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One for all tasks of a worker process: what it has learned stays."""
+    return WordTokenizer(path, end_id)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text: str, doc_id: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(tokenizer_path, end_id)
+        words = word_tokenizer(tokenizer_path, end_id)
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
+            for a, b in byte_slices(batch["raw"], SLICE_BYTES):
+                part = batch.iloc[a:b]
                 rows = []
                 for doc, ids in zip(part["doc_id"], words.encode_batch(part["raw"].tolist()), strict=True):
                     n = len(ids) // 4
