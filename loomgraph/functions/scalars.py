@@ -242,3 +242,19 @@ def flatten_json_keys(text: Column, depth: int = 4) -> Column:
         )
         found = F.concat(found, level)
     return F.sort_array(found)
+
+
+def path_source(categories: Column) -> Column:
+    """What a path of edges of these categories shows: no edge, calls alone, an import somewhere, or other references."""
+    return (
+        F.when(F.size(categories) == 0, "changed_symbol")
+        .when(F.forall(categories, lambda c: c == "resolved_call"), "call_path")
+        .when(F.exists(categories, lambda c: c == "import_relationship"), "import_relationship")
+        .otherwise("reference_path")
+    )
+
+
+def base_weight(mode: Column, lines: Column, symbol_lines: Column, diff_lines: Column) -> Column:
+    """Weight of a changed context: presence alone, the share of the symbol that changed (one line at least), or its share of the whole diff."""
+    one = F.greatest(lines, F.lit(1))
+    return F.when(mode == "presence", F.lit(1.0)).when(mode == "symbol_fraction", F.try_divide(one, symbol_lines)).otherwise(F.try_divide(lines, diff_lines))
