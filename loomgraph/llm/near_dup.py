@@ -8,10 +8,9 @@ the size of a partner, so from the first posting beyond that bound all the rest
 
 Answer level. Equal sets are one node. In each list a node is first compared with
 one leader only; links join nodes into components. Then only pairs from different
-components remain, and such a pair's overlap is bounded from the leader's own
-answers: with |L ∩ y| known and |x ∩ L| known,
-|L ∩ y| - |L \\ x| <= |x ∩ y| <= |L ∩ y| + |x \\ L|.
-What the bounds don't decide is computed from the texts.
+components remain. A list's sets are compared once with one hub; the overlap of
+any two of them follows from their differences to it, and pairs that links found
+meanwhile connect are skipped.
 """
 
 from __future__ import annotations
@@ -25,14 +24,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, whole_text
+from loomgraph.llm.common import byte_slices, materialize, whole_text
 from loomgraph.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: The sketch of frequencies has 2**SKETCH_BITS counters however large the input.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
 BUCKET_POSTINGS = 400_000
+#: Postings whose nodes' sets a task compares at a time.
+CROSS_POSTINGS = 20_000
 CACHE_WORDS = 500_000
+#: Text that is described at a time.
+SLICE_BYTES = 4_000_000
 #: Postings of one element that a task should meet at most; longer lists are split.
 HOT_LIST = 20_000
 #: Marks, in a posting's position, that its list is split.
@@ -109,8 +112,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         shingle = Shingler(words)
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
+            for a, b in byte_slices(batch["raw"], SLICE_BYTES):
+                part = batch.iloc[a:b]
                 sets = [shingle(t) for t in part["raw"]]
                 flat = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
                 where, n = np.unique(flat, return_counts=True)
@@ -267,41 +270,121 @@ def linked(percent: int) -> Column:
     return 100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))
 
 
-def cross_pairs(listed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of one list and different components that sizes and positions allow.
+class Lists:
+    """Lists of postings by size, and the pairs of different components that sizes and positions allow."""
 
-    A list in several ``parts`` meets part by part: each task sees two parts of it.
-    """
-    part_of, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = listed.withColumns({"own": part_of, "other": other})
-    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    buckets = max(1, -(-(listed.agg(F.sum("parts").alias("n")).first()["n"] or 0) // BUCKET_POSTINGS))
+    def __init__(self, part: pd.DataFrame, percent: int):
+        self.part = part.sort_values(["code", "low", "high", "size", "node"], ignore_index=True)
+        self.node, self.component, self.size = (self.part[c].to_numpy(np.int64) for c in ("node", "component", "size"))
+        keys = [np.diff(self.part[c]) != 0 for c in ("code", "low", "high")]
+        self.list = np.cumsum(np.concatenate([[True], keys[0] | keys[1] | keys[2]]))
+        self.left = self.size - self.part["pos"].to_numpy(np.int64)
+        self.reach = self.left * (100 + percent) // percent - self.size
+        self.percent = percent
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["code", "low", "high", "size", "node"])
-        code, node, component = (part[c].to_numpy(np.int64) for c in ("code", "node", "component"))
-        code = np.cumsum(np.concatenate([[0], np.diff(code) | np.diff(part["low"]) | np.diff(part["high"])]) != 0)
-        size = part["size"].to_numpy(np.int64)
-        left = size - part["pos"].to_numpy(np.int64)
-        reach = left * (100 + percent) // percent - size
-        found, held = [np.zeros((0, 2), np.int64)], 0
-        todo, d = np.arange(len(part) - 1), 1
+    def hubs(self) -> np.ndarray:
+        """One node of each posting's list, the same for all of it."""
+        starts = np.flatnonzero(np.concatenate([[True], self.list[1:] != self.list[:-1]]))
+        return np.repeat(np.minimum.reduceat(self.node, starts), np.diff(np.append(starts, len(self.node))))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        todo, d = np.arange(len(self.node) - 1), 1
         while len(todo):
-            todo = todo[todo + d < len(part)]
+            todo = todo[todo + d < len(self.node)]
             other = todo + d
-            on = (code[todo] == code[other]) & (size[other] <= reach[todo])
+            on = (self.list[todo] == self.list[other]) & (self.size[other] <= self.reach[todo])  # beyond reach the rest of the list is skipped
             todo, other = todo[on], other[on]
-            ok = (component[todo] != component[other]) & fits(size[todo], left[todo], size[other], left[other], percent)
-            x, y = node[todo[ok]], node[other[ok]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            held += len(x)
-            if held > 1_000_000:
-                found, held = [np.unique(np.concatenate(found), axis=0)], 0
+            ok = (self.component[todo] != self.component[other]) & fits(self.size[todo], self.left[todo], self.size[other], self.left[other], self.percent)
+            if ok.any():
+                yield todo[ok], other[ok]
             d += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return met.withColumn("bucket", F.pmod(F.xxhash64("code", "low", "high"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+
+class Answers:
+    """Overlaps of sets, derived from their differences to one set that many are like.
+
+    With d(x) the symmetric difference of x and a hub, x and y differ in exactly
+    d(x) ^ d(y); for sets like the hub these are a few elements.
+    """
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.sets, self.differences = sets, {}
+
+    def difference(self, x: int, hub: int) -> frozenset:
+        found = self.differences.get((x, hub))
+        if found is None:
+            found = self.differences[x, hub] = frozenset(np.setxor1d(self.sets[x], self.sets[hub], assume_unique=True).tolist())
+        return found
+
+    def overlap(self, x: int, y: int, hub: int) -> int:
+        apart = self.difference(x, hub) ^ self.difference(y, hub)
+        return (len(self.sets[x]) + len(self.sets[y]) - len(apart)) // 2
+
+
+def cross_links(listed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that ``listed`` postings (code, label, node, size, pos, component, parts) allow.
+
+    Pairs that the links found so far in a task join are skipped, so links that
+    only repeat a connection may be left out, none that makes one. A list in
+    several ``parts`` meets part by part: each task sees two parts of it.
+    """
+    part_of, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = listed.withColumns({"own": part_of, "other": other})
+    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    buckets = max(1, -(-(listed.agg(F.sum("parts").alias("n")).first()["n"] or 0) // CROSS_POSTINGS))
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("code", "low", "high"), F.lit(buckets)))
+    columns = ["code", "label", "low", "high", "node", "size", "pos", "component"]
+
+    def crossing(part: pd.DataFrame) -> pd.DataFrame:
+        """The postings that some pair of different components needs."""
+        lists = Lists(part, percent)
+        wanted = np.zeros(len(part), bool)
+        for x, y in lists.pairs():
+            wanted[x] = wanted[y] = True
+        return lists.part[columns][wanted]
+
+    asked = materialize(met.groupBy("bucket").applyInPandas(crossing, "code long, label long, low int, high int, node long, size long, pos long, component long"), "nd-cross")
+    buckets = max(1, -(-asked.count() // CROSS_POSTINGS))
+    # lists that share their least component have much the same nodes: together, each node's set goes there once
+    met = asked.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high"), F.lit(buckets)))
+    needed = met.select(F.col("bucket").alias("to"), F.col("node").alias("n_node")).distinct()
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(words)
+        for batch in batches:
+            yield pd.DataFrame({"s_node": batch["node"], "codes": [shingle(t).tobytes() for t in batch["raw"]]})
+
+    sets = texts.join(asked.select("node").distinct(), "node", "left_semi").mapInPandas(codes, "s_node long, codes binary")
+    sets = needed.join(sets, F.col("n_node") == F.col("s_node")).select("to", "s_node", "codes")
+
+    def run(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame(columns=["a", "b"])
+        lists = Lists(part, percent)
+        node, component, hubs = lists.node, lists.component, lists.hubs()
+        answers = Answers({n: np.frombuffer(c, np.uint64) for n, c in zip(known["s_node"].tolist(), known["codes"], strict=True)})
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        links, asked = [], set()
+        for x, y in lists.pairs():
+            for a, b, p, q, h in zip(node[x].tolist(), node[y].tolist(), component[x].tolist(), component[y].tolist(), hubs[x].tolist(), strict=True):
+                p, q = find(p), find(q)
+                if p == q or (pair := (a, b) if a < b else (b, a)) in asked:
+                    continue
+                asked.add(pair)
+                shared = answers.overlap(a, b, h)
+                if 100 * shared >= percent * (len(answers.sets[a]) + len(answers.sets[b]) - shared):
+                    links.append(pair)
+                    root[p] = q
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return met.groupBy("bucket").cogroup(sets.groupBy("to")).applyInPandas(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -342,28 +425,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # pairs that are still apart
     placed = live.select("code", "node", "size", "pos").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    several = several.where("low <> high").select("code", F.ceil(F.col("n") / HOT_LIST).cast("int").alias("parts"))
-    apart = cross_pairs(materialize(placed.join(several, "code"), "nd-apart"), percent)
-    known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    apart = apart.join(known, ["a", "b"], "left_anti")
-    # bounds from the leader's answers
-    best = star.where(linked(percent)).groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("leader"), F.col("size_b").alias("leader_size"), F.col("size_a").alias("size_x"))).alias("best"))
-    answers = star.select(F.col("b").alias("leader"), F.col("a").alias("y"), F.col("size_a").alias("size_y"), F.col("shared").alias("with_y"))
-    turned = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "y")
-    bounded = (
-        turned.join(best, "a")
-        .select("a", "y", F.col("best.shared").alias("with_x"), F.col("best.leader").alias("leader"), F.col("best.leader_size").alias("leader_size"), F.col("best.size_x").alias("size_x"))
-        .join(answers, ["leader", "y"])
-    )
-    alpha = least_overlap_column(F.col("size_x"), F.col("size_y"), percent)
-    decided = bounded.select(
-        F.least("a", "y").alias("a"),
-        F.greatest("a", "y").alias("b"),
-        F.when(F.col("with_y") + F.col("size_x") - F.col("with_x") < alpha, 0).when(F.col("with_y") - F.col("leader_size") + F.col("with_x") >= alpha, 1).alias("links"),
-    ).where("links is not null")
-    decided = materialize(decided.groupBy("a", "b").agg(F.max("links").alias("links")), "nd-derived")
-    computed = overlaps(apart.join(decided, ["a", "b"], "left_anti"), texts, words).where(linked(percent)).select("a", "b")
-    more = decided.where("links = 1").select("a", "b").unionByName(computed)
+    several = several.where("low <> high").select("code", F.col("low").alias("label"), F.ceil(F.col("n") / HOT_LIST).cast("int").alias("parts"))
+    apart = materialize(placed.join(several, "code"), "nd-apart")
+    more = cross_links(apart, texts, words, percent)
     all_links = links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     components = connected_components(all_links)
 
