@@ -18,11 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import whole_text
+from loomgraph.llm.common import byte_slices, whole_text
 
 SPACE = "▁"
 #: Words kept per worker; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
+#: Text that is encoded at a time.
+SLICE_BYTES = 3_000_000
 
 
 class PieceModel:
@@ -187,6 +189,12 @@ class Codec:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def codec_for(path: str) -> Codec:
+    """One for all tasks of a worker process: what it has learned stays."""
+    return Codec(path)
+
+
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids), begin and end ids included.
 
@@ -195,11 +203,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", doc_i
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_path)
+        codec = codec_for(model_path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (codec.model.bos, codec.model.eos))
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
+            for a, b in byte_slices(batch["raw"], SLICE_BYTES):
+                part = batch.iloc[a:b]
                 rows = []
                 for doc, ids in zip(part["doc_id"], codec.encode_batch(part["raw"].tolist()), strict=True):
                     whole = begin + ids + end
