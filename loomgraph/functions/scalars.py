@@ -258,3 +258,9 @@ def base_weight(mode: Column, lines: Column, symbol_lines: Column, diff_lines: C
     """Weight of a changed context: presence alone, the share of the symbol that changed (one line at least), or its share of the whole diff."""
     one = F.greatest(lines, F.lit(1))
     return F.when(mode == "presence", F.lit(1.0)).when(mode == "symbol_fraction", F.try_divide(one, symbol_lines)).otherwise(F.try_divide(lines, diff_lines))
+
+
+def whitespace_only(removed: Column, added: Column) -> Column:
+    """Whether two lines differ in white space alone."""
+    bare = lambda x: F.regexp_replace(x, r"[ \t\r\n\f\x0B]+", "")
+    return (removed != added) & (bare(removed) == bare(added))

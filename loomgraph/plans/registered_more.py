@@ -298,3 +298,65 @@ def fn_base_weight(spark, d):
     mode = F.when(F.col("l_linenumber") % 3 == 0, "presence").when(F.col("l_linenumber") % 3 == 1, "symbol_fraction").otherwise("diff_share")
     weight = S.base_weight(mode, F.col("l_quantity"), F.lit(50.0), F.col("l_quantity") + F.col("l_extendedprice"))
     return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(weight, 6).alias("weight"))
+
+
+def new_store(spark):
+    import uuid
+
+    from loomgraph.operators.cut import shared_folder
+    from loomgraph.sources.store import Store
+
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("sink_store", "WITH " + X.SYMBOLS_SQL + " SELECT path, lang, byte_len FROM files")
+def sink_store(spark, d):
+    """The files table through a store: written as a version, made current, read back."""
+    store = new_store(spark)
+    store.commit({"files": X.files(G.docs(spark, d)).select("path", "lang", "byte_len")})
+    return store.read("files")
+
+
+@query("stream_incremental_sync", K.SESSIONS)
+def stream_incremental_sync(spark, d):
+    """Bursts committed under a batch's id, twice as a replay would: the second commit changes nothing."""
+    store = new_store(spark)
+    for _ in range(2):
+        store.commit({"bursts": K.stream_debounce(spark, d)}, "batch-0")
+    return store.read("bursts")
+
+
+@query("fn_whitespace_only", "SELECT conv_id, turn, contains(text, ' ') AS spaces_only FROM conversations")
+def fn_whitespace_only(spark, d):
+    c = X.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", S.whitespace_only(F.col("text"), F.replace("text", F.lit(" "), F.lit("  "))).alias("spaces_only"))
+
+
+MENTIONS = G.SYM_SQL + """, w AS (SELECT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS name FROM benchmark),
+n AS (SELECT name, count(*) AS n FROM symbols WHERE kind = 'function' GROUP BY name)
+SELECT w.query, s.id AS symbol_id FROM w JOIN n USING (name) JOIN symbols s USING (name) WHERE n <= 5 AND s.kind = 'function'"""
+
+
+@query("fn_explicit_mentions", MENTIONS)
+def fn_explicit_mentions(spark, d):
+    """Symbols that an item names, of names that at most five symbols have."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    asked = K.items(spark, d).select("query", F.explode(words).alias("name"))
+    s = G.symbols(spark, d).where("kind = 'function'").select("name", F.col("id").alias("symbol_id"))
+    few = s.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n <= 5").select("name")
+    return asked.join(few, "name").join(s, "name").select("query", "symbol_id")
+
+
+@query("eval_mentions", MENTIONS.replace("SELECT w.query, s.id AS symbol_id", "SELECT w.query, s.id AS symbol_id, row_number() OVER (PARTITION BY w.query ORDER BY s.id) AS rank"))
+def eval_mentions(spark, d):
+    from pyspark.sql import Window
+
+    return fn_explicit_mentions(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("symbol_id")).cast("long"))
+
+
+@query("hist_pair_symbols")
+def hist_pair_symbols(spark, d):
+    """Line functions of each document before and after the edits."""
+    side = lambda docs: X.symbols(docs).where("kind = 'function'").select(F.col("doc_id").alias("delivery_id"), "id", "qualified", "kind", (F.col("span_end") - F.col("span_start")).cast("string").alias("signature"))
+    base = G.docs(spark, d)
+    return H.pair_symbols(side(base), side(X.head_documents(base)))
