@@ -24,6 +24,8 @@ from loomgraph.llm.common import WHITE, materialize, whole_text
 #: Rows whose fingerprints one merged block should hold.
 BLOCK_ROWS = 200_000
 SALTS = 16
+#: Repeated fingerprints, eight bytes each, that may be sent to all rows.
+BROADCAST_ROWS = 200_000
 
 
 class CountingQuotientFilter:
@@ -112,7 +114,7 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp", block_row
     return blocks.groupBy("block").applyInPandas(merge, f"{column} long, rows long")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after white space ``[\\x20\\x09-\\x0D]`` is
@@ -129,12 +131,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     repeated = materialize(repeated_fingerprints(narrow), "exact-rep").select("fp")
 
-    # Verification: candidates meet by (fp, salt), so no fingerprint needs one task; the
-    # grouping then collapses copies before its own exchange.
-    salted = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    candidates = normal.withColumns({"fp": F.xxhash64("norm"), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).join(
-        salted, ["fp", "salt"], "left_semi"
-    )
+    # Verification: up to a counted bound the repeated fingerprints go to the rows; beyond it
+    # both meet by (fp, salt), so no fingerprint needs one task. The grouping then collapses
+    # copies before its own exchange.
+    keyed = normal.withColumn("fp", F.xxhash64("norm"))
+    if repeated.count() <= broadcast_rows:
+        candidates = keyed.join(F.broadcast(repeated), "fp", "left_semi")
+    else:
+        salted = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        candidates = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["fp", "salt"], "left_semi")
     best = F.struct(F.col("points"), -F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").alias("keep"))
     groups = (
         candidates.groupBy("fp", "norm")
