@@ -10,6 +10,7 @@ window and gradient steps (Adagrad) on table and layer.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,10 +83,14 @@ class SubwordSoftmax:
             return cls(table * 0, layer, bias)
         vocabulary: dict[str, int] = {}
         docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-        grams = [subwords(w) for w in vocabulary]
-        sizes = np.array([len(g) for g in grams], np.int64)
+        packed, lengths = array("i"), array("i")
+        for w in vocabulary:
+            grams = subwords(w)
+            packed.extend(grams)
+            lengths.append(len(grams))
+        _GRAMS.clear()
+        sizes, flat = np.array(lengths, np.int64), np.frombuffer(packed, np.int32)
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        flat = np.array([b for g in grams for b in g], np.int64)
         share = 1 / np.maximum(sizes, 1)
         spans = [[(k, a, b) for a, b in windows(len(d))] for k, d in enumerate(docs) if len(d)]
         y = np.array(labels)
@@ -194,6 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = T
         wrong = [((logits >= c) & (truth == 0)).sum() * 4 / max(1, (truth == 0).sum()) + ((logits < c) & (truth == 1)).sum() / max(1, (truth == 1).sum()) for c in cuts]
         least = np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-9)
         scorer.shift = float(cuts[least[len(least) // 2]])
+    scorer.cache.clear()  # the driver keeps the model alone
+    _GRAMS.clear()
     return scorer
 
 
