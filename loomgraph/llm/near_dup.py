@@ -345,24 +345,20 @@ def cross_links(listed: DataFrame, texts: DataFrame, words: int, percent: int) -
 
     asked = materialize(met.groupBy("bucket").applyInPandas(crossing, "code long, label long, low int, high int, node long, size long, pos long, component long"), "nd-cross")
     buckets = max(1, -(-asked.count() // CROSS_POSTINGS))
-    # lists that share their least component have much the same nodes: together, each node's set goes there once
-    met = asked.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high"), F.lit(buckets)))
+    # lists that share their least component have much the same nodes: together, each node's text goes there once; lists of a label that is too frequent part
+    weights = asked.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CROSS_POSTINGS).cast("int").alias("shares"))
+    met = asked.join(weights, "label").withColumn("share", F.pmod(F.xxhash64("code"), F.col("shares")))
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high", "share"), F.lit(buckets))).select("bucket", *columns)
     needed = met.select(F.col("bucket").alias("to"), F.col("node").alias("n_node")).distinct()
-
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(words)
-        for batch in batches:
-            yield pd.DataFrame({"s_node": batch["node"], "codes": [shingle(t).tobytes() for t in batch["raw"]]})
-
-    sets = texts.join(asked.select("node").distinct(), "node", "left_semi").mapInPandas(codes, "s_node long, codes binary")
-    sets = needed.join(sets, F.col("n_node") == F.col("s_node")).select("to", "s_node", "codes")
+    sets = needed.join(texts.select(F.col("node").alias("s_node"), "raw"), F.col("n_node") == F.col("s_node")).select("to", "s_node", "raw")
 
     def run(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame(columns=["a", "b"])
         lists = Lists(part, percent)
         node, component, hubs = lists.node, lists.component, lists.hubs()
-        answers = Answers({n: np.frombuffer(c, np.uint64) for n, c in zip(known["s_node"].tolist(), known["codes"], strict=True)})
+        shingle = Shingler(words)
+        answers = Answers({n: shingle(t) for n, t in zip(known["s_node"].tolist(), known["raw"], strict=True)})
         root = {c: c for c in component.tolist()}
 
         def find(c: int) -> int:
@@ -407,7 +403,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # one text for each node that has a list
     wanted = live.select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = source.join(wanted, "doc_id").dropDuplicates(["node"]).select("node", "raw")
+    texts = source.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("node", "raw")  # rows that repeat an id meet where the join put them
     texts = materialize(texts, "nd-texts")
 
     # leaders
