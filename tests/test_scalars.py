@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def test_terms(spark):
     assert one(spark, W.term_sequence, "Fix the parseConfig in src/config_reader.rs, see https://x.y and ABC-12 or deadbeef1 42") == ["fix", "parse", "config", "parseconfig", "src", "config", "reader", "config_reader", "see"]
     assert one(spark, W.commit_message_text, "Fix it\n\nbody: kept here\nmore\n\nTask-Id: A-1\nSigned-off-by: me") == "Fix it\n\nbody: kept here\nmore"
     assert W.cut_utf8("aé".encode(), 2) == b"a" and W.cut_utf8("aé".encode(), 3) == "aé".encode()
+
+
+def test_body_normalize_query_keeps_all_documents(spark, tmp_path):
+    from loomgraph.plans.registered_scalars import fn_body_normalize
+
+    texts = ["the end", "ä the äthe the_x", "日the本 the", "é", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {k: None if t is None else re.sub(r"[ \t\r\n\f\v]+", "", re.sub(r"\bthe\b", "<identifier>", t, flags=re.A)) for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["body"] for r in fn_body_normalize(spark, str(tmp_path)).collect()} == want
