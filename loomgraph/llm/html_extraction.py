@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W_]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -34,6 +34,9 @@ HINTS = {
     "disqus", "reply", "replies", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "related", "recommended", "popup", "modal",
     "overlay", "toolbar", "pagination", "pager", "widget", "alert", "search", "complementary", "contentinfo", "form",
 }
+#: Parts of a class name that may stand beside a hint without changing what it names.
+BESIDE = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "bar", "box", "list", "links", "buttons", "wrapper", "container"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Frequent function words of the languages that stop-word density is asked for.
 STOP_WORDS = {
     "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about than into them can only other time new some could these two may first then do any like my now over such our",
@@ -54,9 +57,31 @@ class Block:
         self.link_chars, self.boiler, self.inside = 0, boiler, inside
 
 
-def hinted(attributes: str) -> bool:
-    """Whether class, id or role names a part that is not the article."""
-    return any(not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", "".join(m).lower())) for m in _HINT.findall(attributes))
+def attributes_of(text: str) -> dict[str, str]:
+    """Attribute values by lower-cased name; the first of a repeated name holds."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def hinted(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a whole name in class, id or role says that the element is not the article's; a heading's id only repeats its words."""
+    for key in ("class", "role") if tag in HEADINGS else ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
+            parts = {x for x in re.split(r"[-_]+", name) if x}
+            if not parts.isdisjoint(HINTS) and parts <= HINTS | BESIDE:
+                return True
+    return False
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    """Whether the element isn't shown: by an attribute of that name or by its style, not by what other values say."""
+    return (
+        attributes.get("hidden", "until-found").lower() != "until-found"
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+    )
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
@@ -117,7 +142,11 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
             if stack:
                 stack.pop()
             boiler, inside, link = stack[-1][1:] if stack else (False, False, False)
-        bad = tag in BOILER and not (tag == "header" and inside and not boiler) or bool(m[3]) and (hinted(m[3]) or bool(_HIDDEN.search(m[3])))
+        own_header = tag == "header" and inside and not boiler
+        bad = tag in BOILER and not own_header
+        if m[3] and not bad:
+            attributes = attributes_of(m[3])
+            bad = hidden(attributes) or tag != "article" and not own_header and hinted(tag, attributes)
         if tag in ("html", "body", "main"):
             bad = False
         if tag in ("article", "main") and not bad and not boiler:

@@ -17,6 +17,13 @@ def test_page_without_an_article():
     assert extract(page).split("\n") == ["A title", LONG, "Short one.", LONG]
 
 
+def test_names_in_values_drop_nothing():
+    page = f"""<body><article class="post has-sidebar"><header class="entry-header"><h1>Title</h1></header><h2 id="social-structure">Structure</h2><h2 id="search">Search</h2>
+<div class="content with-sidebar overflow-hidden"><p>{LONG} <a href="/hidden-valley" title="not hidden" data-id="ad">valley</a> {LONG}</p></div>
+<p hidden>{LONG}</p><p style="color:red; display: none">{LONG}</p><p aria-hidden="true">{LONG}</p><p hidden="until-found">Found.</p><div class="x cookie-notice">{LONG}</div><div class="share_buttons">{LONG}</div></article>"""
+    assert extract(page).split("\n") == ["Title", "Structure", "Search", f"{LONG} valley {LONG}", "Found."]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain &lt;text&#33;"), (None, "u", "<p>un<b>closed"), (5, "u", "<script>x"), (6, "u", "<p>" + "word " * 20_000 + "</p>"), (6, "u", "<<>> <p <p>a</p>"), (7, "u", "<" * 500)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
