@@ -97,16 +97,34 @@ def symbol_liveness(historical: DataFrame, live: DataFrame) -> DataFrame:
 def path_lineage(steps: DataFrame, origins: DataFrame, rounds: int = 32) -> DataFrame:
     """Where each (path, seq) is now, following the renames of later steps (seq, old_path, new_path; a null new_path ends it).
 
-    Each round advances every path that some later step touches to the first such step.
+    A step is followed by the first later step of its new path. Each round doubles how far
+    every step is followed, so ``rounds`` are enough for 2**rounds renames; beyond that it raises.
     """
-    now = origins.select("path", "seq", F.col("path").alias("current"), F.col("seq").alias("at"))
+    from pyspark.sql import Window
+
+    known = steps.where("old_path is not null and seq is not null").groupBy(F.col("old_path").alias("s_path"), F.col("seq").alias("s_seq")).agg(F.min(F.struct("new_path")).alias("to"))
+    known = known.select("s_path", "s_seq", F.col("to.new_path").alias("new_path"))
+    # rows that ask for the first later step of their path, and the steps themselves; of one seq, those that ask come first
+    asked = origins.select("path", "seq").distinct().select(F.col("path").alias("on_path"), F.col("seq").alias("at"), F.lit(0).alias("row"), "path", F.lit(None).cast("string").alias("new_path"))
+    chained = known.select(F.col("new_path").alias("on_path"), F.col("s_seq").alias("at"), F.lit(0).alias("row"), F.col("s_path").alias("path"), "new_path").where("new_path is not null")
+    chained = chained.withColumn("kind", F.lit("step")).unionByName(asked.withColumn("kind", F.lit("origin")))
+    there = known.select(F.col("s_path").alias("on_path"), F.col("s_seq").alias("at"), F.lit(1).alias("row"), F.col("s_path").alias("path"), "new_path", F.lit("there").alias("kind"))
+    later = Window.partitionBy("on_path").orderBy(F.desc_nulls_last("at"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.last(F.when(F.col("row") == 1, F.col("at")), ignorenulls=True).over(later)
+    placed = cut(chained.unionByName(there).withColumn("next", first).where("kind <> 'there'").withColumn("next", F.when(F.col("on_path").isNotNull() & F.col("at").isNotNull(), F.col("next"))))
+
+    follows = placed.where("kind = 'step'").select(F.col("path").alias("s_path"), F.col("at").alias("s_seq"), "next")
+    now = cut(known.join(follows, ["s_path", "s_seq"], "left").select("s_path", "s_seq", F.col("new_path").alias("current"), F.col("new_path").alias("next_path"), "next"))
     for _ in range(rounds):
-        s = steps.select(F.col("seq").alias("s_seq"), "old_path", "new_path")
-        moved = now.join(s, (now.current == s.old_path) & (s.s_seq > now.at), "left")
-        after = moved.groupBy("path", "seq", "current", "at").agg(F.min(F.when(F.col("s_seq").isNotNull(), F.struct("s_seq", "new_path"))).alias("step"))
-        after = after.select("path", "seq", F.when(F.col("step").isNull(), F.col("current")).otherwise(F.col("step.new_path")).alias("current"), F.coalesce("step.s_seq", "at").alias("at"), F.col("step").isNotNull().alias("moved"))
-        after = cut(after)
-        if not after.where("moved").limit(1).count():
-            return after.select("path", "seq", "current")
-        now = after.drop("moved")
-    return now.select("path", "seq", "current")
+        if now.where("next is not null").isEmpty():
+            break
+        hop = now.select(F.col("s_path").alias("h_path"), F.col("s_seq").alias("h_seq"), F.col("current").alias("h_current"), F.col("next_path").alias("h_next_path"), F.col("next").alias("h_next"))
+        met = now.join(hop, (now.next_path == hop.h_path) & (now.next == hop.h_seq), "left")
+        moved = lambda name: F.when(F.col("h_seq").isNotNull(), F.col(f"h_{name}")).otherwise(F.col(name)).alias(name)
+        now = cut(met.select("s_path", "s_seq", moved("current"), moved("next_path"), F.col("h_next").alias("next")))
+    else:
+        if not now.where("next is not null").isEmpty():
+            raise RuntimeError(f"lineage still moves after {rounds} rounds")
+    starts = placed.where("kind = 'origin'").select("path", F.col("at").alias("seq"), "next")
+    ends = starts.join(now.select("s_path", "s_seq", F.col("current").alias("end")), (starts.path == F.col("s_path")) & (starts.next == F.col("s_seq")), "left")
+    return ends.select("path", "seq", F.when(F.col("s_seq").isNotNull(), F.col("end")).otherwise(F.col("path")).alias("current"))

@@ -1,3 +1,8 @@
+import random
+
+import pytest
+
+from loomgraph.operators import graph_joins as J
 from loomgraph.operators import history as H
 from loomgraph.operators import reexports as P
 from loomgraph.plans import evidence as E
@@ -49,3 +54,27 @@ def test_entry_points_and_tests(spark):
     assert {tuple(r) for r in E.candidate_tests(paths, symbols, imports).collect()} == {(1, 2, "call_path"), (1, 2, "import_relationship"), (1, 2, "naming_heuristic")}
     origins = spark.createDataFrame([(1,), (9,)], "origin long")
     assert [tuple(r) for r in E.no_path_reasons(origins, paths).collect()] == [(9, "no_inbound_edge")]
+
+
+STEPS = "seq long, old_path string, new_path string"
+
+
+def test_lineage_is_followed_to_its_end(spark):
+    chain = [(k, f"c{k}", f"c{k + 1}") for k in range(100)]
+    rnd = random.Random(4)
+    tangled = [(rnd.randrange(60), f"p{rnd.randrange(6)}", rnd.choice([f"p{rnd.randrange(6)}", f"p{rnd.randrange(6)}", f"p{rnd.randrange(6)}", None])) for _ in range(90)]
+    steps = chain + tangled
+    asked = [("c0", -1), ("c0", 0), ("c90", 5), ("x", 1), (None, 1)] + [(f"p{k}", s) for k in range(6) for s in range(-1, 60, 7)]
+
+    def end(path, at):
+        while path is not None:
+            later = [(s, n is not None, n) for s, o, n in steps if o == path and s > at]
+            if not later:
+                break
+            at, _, path = min(later)
+        return path
+
+    got = J.path_lineage(spark.createDataFrame(steps, STEPS), spark.createDataFrame(asked, "path string, seq long"), rounds=8)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((p, s, end(p, s)) for p, s in asked), key=repr)
+    with pytest.raises(RuntimeError):
+        J.path_lineage(spark.createDataFrame(chain, STEPS), spark.createDataFrame(asked, "path string, seq long"), rounds=3).count()
