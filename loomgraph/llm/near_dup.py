@@ -137,6 +137,18 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, node long, block int, counts binary")
 
 
+def named(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, raw, node): each row's text with the node of its own set."""
+
+    @F.pandas_udf("long")
+    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingle = Shingler(words)
+        for batch in batches:
+            yield pd.Series([node_of(s) if len(s := shingle(t)) else None for t in batch], dtype="Int64")
+
+    return docs.withColumn("node", node("raw"))
+
+
 def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int, buckets: int, hot_list: int = HOT_LIST) -> DataFrame:
     """Prefix postings packed by bucket of the element: (bucket, data); lists beyond ``hot_list`` are split by node."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -401,9 +413,12 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     buckets = max(1, -(-need // BUCKET_POSTINGS))
     live = materialize(live_postings(postings(source.where("doc_id is not null"), sketch_levels(found), words, percent, buckets), percent), "nd-lists")
 
-    # one text for each node that has a list
+    # one text for each node that has a list; under an id that repeats, the text that has the node's set
     wanted = live.select("node").distinct().join(nodes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = source.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("node", "raw")  # rows that repeat an id meet where the join put them
+    if sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        texts = source.join(wanted, "doc_id").select("node", "raw")
+    else:
+        texts = named(source, words).join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "raw")
     texts = materialize(texts, "nd-texts")
 
     # leaders
@@ -427,7 +442,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     all_links = links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     components = connected_components(all_links)
 
-    named = nodes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
-    of_node = nodes.join(components, "node", "left").join(named, "component", "left").select("node", F.coalesce("name", "least").alias("component_id"))
+    names = nodes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
+    of_node = nodes.join(components, "node", "left").join(names, "component", "left").select("node", F.coalesce("name", "least").alias("component_id"))
     out = sets.join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

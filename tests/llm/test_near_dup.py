@@ -75,6 +75,17 @@ def test_odd_rows(frame, odd):
     assert near_dup.link_components(frame([])).count() == 0
 
 
+def test_one_id_with_several_texts(frame, monkeypatch):
+    rnd = random.Random(3)
+    near = lambda words: [*words[:-1], "other"]
+    bases = [[f"{b}{rnd.randrange(10**6)}" for _ in range(60)] for b in "abcdef"]
+    rows = [(1, " ".join(b)) for b in bases] + [(1, None), (1, "")] + [(k, " ".join(near(b))) for k, b in enumerate(bases, 2)]
+    assert rows_of(near_dup.link_components(frame(rows), words=4, percent=85)) == brute(rows, 4, 85)
+    monkeypatch.setattr(near_dup, "HOT_LIST", 8)
+    rows = [(i % 7, t) for i, t in corpus(9, 3, 40, 7, length=90)]
+    assert rows_of(near_dup.link_components(frame(rows), words=4, percent=85)) == brute(rows, 4, 85)
+
+
 def test_derived_overlaps_are_exact():
     rnd = np.random.default_rng(1)
     sets = {k: np.unique(rnd.integers(0, 60, 40).astype(np.uint64)) for k in range(12)}
