@@ -62,11 +62,11 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
-def byte_slices(texts: Iterable[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``limit`` characters each, one text at least."""
+def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items that sum to about ``limit``, one item at least."""
     begin, size, k = 0, 0, -1
-    for k, text in enumerate(texts):
-        size += len(text)
+    for k, own in enumerate(sizes):
+        size += own
         if size >= limit:
             yield begin, k + 1
             begin, size = k + 1, 0
@@ -74,6 +74,11 @@ def byte_slices(texts: Iterable[str], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, k + 1
 
 
+def byte_slices(texts: Iterable[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of ``texts`` of about ``limit`` characters each, one text at least."""
+    return ranges(map(len, texts), limit)
+
+
 def fold_column(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id modulo ``folds``; a null id falls in fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

@@ -13,26 +13,35 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import byte_slices, materialize, whole_text
+from loomgraph.llm.common import materialize, ranges, whole_text
 
 CAPACITY, WIDTH = 2048, 8
-CACHE_WORDS, CACHE_PARTS = 300_000, 150_000
+#: Words after which a cache becomes the old one, of which only words that occur again stay.
+CACHE_WORDS = 350_000
 #: Text that is tokenized at a time.
 SLICE_BYTES = 6_000_000
-#: New stems that are encoded together.
-STEMS = 2000
-#: Lower-case Latin letters in UTF-8, and marks that may follow a word.
-_PLAIN, _MARKS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch, b".,;:!?"
+#: New words that are encoded together.
+TOGETHER = 2000
+#: A token that ends a document while it is split: no UTF-8 text has this byte. Its id stands for it until it becomes the end id.
+_END, _END_ID = b"\xff", np.uint32(0xFFFFFFFF)
+_LOWER = bytes(range(ord("a"), ord("z") + 1))
+#: U+00DF to U+00FF, but for one sign, follow this lead byte in UTF-8.
+_LEAD, _LATIN = 0xC3, bytes(sorted(set(range(0x9F, 0xC0)) - {0xB7}))
+_LETTER, _FOLLOWS, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[list(_LOWER + _LOWER.upper())] = True
+_FOLLOWS[list(_LATIN)] = True
+#: All ASCII signs but the apostrophe, which may start an English ending.
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 #: Pieces that one ranking task should hold.
 RANK_ROWS = 8_000
 
@@ -45,72 +54,81 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def apart(raw: bytes) -> bytes:
+    """A space between each Latin letter and a mark right after it: both tokens start and end there anyway."""
+    buf = np.frombuffer(raw, np.uint8)
+    letter = _LETTER[buf]
+    letter[1:] |= _FOLLOWS[buf[1:]] & (buf[:-1] == _LEAD)
+    at = np.flatnonzero(letter[:-1] & _MARK[buf[1:]]) + 1
+    out = np.full(len(buf) + len(at), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at + np.arange(len(at))] = False
+    out[own] = buf
+    return out.tobytes()
+
+
 class WordTokenizer:
-    """Whole-text ids through a cache of the ids of white-space-separated words.
+    """Whole-text ids through a cache of the ids of words and marks.
 
     Sound for tokenizers that lower-case, drop white space before splitting, never
-    join across it and mark the ends of words. ``end_id`` follows each document.
-    Words of Latin letters with closing marks are looked up by stem and marks;
-    new stems are encoded many at a time and cut at their end marks.
+    join across it, part letters from signs and mark the ends of words. ``end_id``
+    follows each document. New words of small Latin letters, on which
+    normalization does nothing, are encoded many at a time without it and cut at their end marks.
     """
 
     def __init__(self, path: str, end_id: int = 1):
-        self.tokenizer, self.end = load_tokenizer(path), np.array([end_id], "<u4").tobytes()
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.end = load_tokenizer(path), end_id
+        self.plain = load_tokenizer.__wrapped__(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        self.old: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {_END: _END_ID.tobytes()}
 
     def encode_alone(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        texts = [w.decode("utf-8", "replace") for w in words]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_stems(self, stems: list[bytes]) -> None:
-        for k in range(0, len(stems), STEMS):
-            group = stems[k : k + STEMS]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                raw, a = ids.tobytes(), 0
-                for stem, b in zip(group, (4 * ends).tolist(), strict=True):
-                    self.parts[stem] = raw[a:b]
-                    a = b
-            else:
-                self.parts.update(zip(group, self.encode_alone(group), strict=True))
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        parts, cache = self.parts, self.cache
-        plain, stems, odd, marked = [], [], [], []
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if stem.isalpha() or _PLAIN(stem):
-                if len(stem) < len(w):
-                    marked.append(w)
-                else:
-                    plain.append(w)
-                stems.append(stem)
-            else:
-                odd.append(w)
-        self.encode_stems(list(set(stems).difference(parts)))
-        new = list({w[len(w.rstrip(_MARKS)) :] for w in marked}.difference(parts))
-        parts.update(zip(new, self.encode_alone(new), strict=True))
-        get = parts.__getitem__
-        cache.update(zip(plain, map(get, plain), strict=True))
-        for w in marked:
-            stem = w.rstrip(_MARKS)
-            cache[w] = get(stem) + get(w[len(stem) :])
-        for k in range(0, len(odd), STEMS):
-            cache.update(zip(odd[k : k + STEMS], self.encode_alone(odd[k : k + STEMS]), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        # bytes lower and split at ASCII alone; the special tokens are lower-case, so no text becomes one by this
-        split = [t.encode("utf-8", "surrogatepass").lower().split() if "|>" not in t else t.encode("utf-8", "surrogatepass").split() for t in texts]
+    def encode_plain(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self.encode_alone(words)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.learn(list(set().union(*split).difference(self.cache)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+            self.old, self.cache = self.cache, {_END: self.cache[_END]}
+        new = list(words.difference(self.cache))
+        if self.old:
+            again = [w for w in new if w in self.old]
+            self.cache.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new = list(set(new).difference(again))
+        other = b" ".join(new).translate(None, _LOWER + bytes([_LEAD]) + _LATIN).split(b" ")
+        plain, odd = [w for w, x in zip(new, other, strict=True) if not x] if new else [], [w for w, x in zip(new, other, strict=False) if x]
+        for group, encode in ((plain, self.encode_plain), (odd, self.encode_alone)):
+            for k in range(0, len(group), TOGETHER):
+                self.cache.update(zip(group[k : k + TOGETHER], encode(group[k : k + TOGETHER]), strict=True))
+
+    def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in UTF-8, one after the other, and where each text's end."""
+        if any(_END in t for t in texts):  # no valid UTF-8
+            texts = [t.decode("utf-8", "replace").encode() for t in texts]
+        # bytes lower and split at ASCII alone; a text that may hold a special token stays as it is, word by word
+        special = {k for k, t in enumerate(texts) if b"|>" in t}
+        ends = b" " + _END + b" "
+        if not special:
+            tokens = apart(ends.join(texts).lower() + ends).split()
+        else:
+            tokens = [w for k, t in enumerate(texts) for w in ((t + ends).split() if k in special else apart(t.lower() + ends).split())]
+        self.learn(set(tokens))
+        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, tokens)), "<u4").copy()
+        stops = np.flatnonzero(ids == _END_ID)
+        ids[stops] = self.end
+        return ids, stops + 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -120,23 +138,28 @@ def word_tokenizer(path: str, end_id: int) -> WordTokenizer:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, text: str, doc_id: str, with_ids: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of ids; bytes that are no UTF-8 count as U+FFFD."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * with_ids)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokenizer(tokenizer_path, end_id)
         for batch in batches:
-            for a, b in byte_slices(batch["raw"], SLICE_BYTES):
-                part = batch.iloc[a:b]
-                rows = []
-                for doc, ids in zip(part["doc_id"], words.encode_batch(part["raw"].tolist()), strict=True):
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] * with_ids)))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] * with_ids)])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole_text(docs, text).alias("raw"))
-    return source.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+            raw = batch.column(1)
+            for a, b in ranges(pc.binary_length(raw).to_numpy(zero_copy_only=False), SLICE_BYTES):
+                ids, stops = words.encode_batch(raw.slice(a, b - a).to_pylist())
+                sizes = np.diff(stops, prepend=0)
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                begin = 4 * (stops[owner] - sizes[owner] + start)
+                whole = memoryview(ids.tobytes())
+                cuts = [whole[x:y] for x, y in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(start), pa.array(length), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(sizes[owner])]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(map(bytes, cuts), pa.binary())] * with_ids)], names=names)
+
+    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole_text(docs, text).cast("binary").alias("raw"))
+    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def knapsack(values: np.ndarray, units: int, limit: np.ndarray) -> np.ndarray:

@@ -55,10 +55,25 @@ def test_every_id_lies_in_one_piece(frame, odd):
 def test_word_cache_equals_the_library():
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("abcÀéß÷×'.,!? \n\t́é日1_-Σİ|<>AB") for _ in range(rnd.randint(0, 80))) for _ in range(1500)]
-    texts += ["<|ENDOFTEXT|> Ab <|endoftext|>x", "a b c\x1cd\x85e"]
+    texts += ["<|ENDOFTEXT|> Ab <|endoftext|>x", "a b c\x1cd\x85e", "it's 'sa. foo's! a|b", "é….', ÄÖÜ ß..", "e\u0338= ≠. İ. ª. naïve·dot", "中.a 中。."]
     words = packing.WordTokenizer(PATH)
-    for text, ids in zip(texts, words.encode_batch(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    for some in (texts, texts[:700], [t for t in texts if "|>" not in t], [""]):
+        ids, stops = words.encode_batch([t.encode("utf-8", "replace") for t in some])
+        assert len(stops) == len(some)
+        for text, own in zip(some, np.split(ids, stops[:-1]), strict=True):
+            assert own.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    ids, stops = words.encode_batch([b"a \xff b", b"c"])
+    assert ids[: stops[0] - 1].tolist() == words.tokenizer.encode("a \ufffd b", add_special_tokens=False).ids
+
+
+def test_small_caches_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    rnd = random.Random(6)
+    words = packing.WordTokenizer(PATH)
+    for _ in range(30):
+        text = " ".join("".join(rnd.choice("abcé.,") for _ in range(rnd.randint(1, 4))) for _ in range(40))
+        ids, _ = words.encode_batch([text.encode()])
+        assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_cutting_stock_covers_demand_near_its_bound():
