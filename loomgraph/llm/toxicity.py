@@ -10,15 +10,15 @@ window and gradient steps (Adagrad) on table and layer.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold_column, whole_text
+from loomgraph.llm.common import byte_slices, fold_column, whole_text
 
 BUCKETS, DIM = 1 << 17, 12
 #: Documents of each label that training reads at most: the stated bound of the sample.
@@ -27,37 +27,47 @@ WINDOW, STRIDE = 8, 4
 #: Windows of most score of each clean document that a training round reads.
 HARD = 3
 CACHE_WORDS = 500_000
-_MASK = (1 << 32) - 1
+#: Text that is scored at a time.
+SLICE_BYTES = 4_000_000
+#: Windows, spread over the whole text, of each toxic document before anything is known.
+FIRST = 8
+SIZES = (3, 4, 5, 6)
+BLOCK_WORDS = 20_000
+_EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(".,;:!?\"'()[]{}*#$%&|<>-_") for x in text.lower().split()) if w]
+    return [w for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the character 3- to 5-grams of the marked word and of its beginnings; of a long word, all alike."""
-    marked = f"<{word}>".encode("utf-8", "surrogatepass").decode("latin-1")
-    out, n = [], len(marked)
-    for size in (3, 4, 5, 6):
-        for k in range(max(1, n - size + 1)):
-            out.append(fnv(marked[k : k + size]) % BUCKETS)
-    return out
+def word_buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By BLOCK_WORDS words: the buckets of each word's subwords, word after word, and how many each has.
 
-
-_GRAMS: dict[str, int] = {}
-
-
-def fnv(gram: str) -> int:
-    h = _GRAMS.get(gram)
-    if h is None:
-        h = 2166136261
-        for c in gram:
-            h = ((h ^ ord(c)) * 16777619) & _MASK
-        h ^= h >> 15
-        if len(_GRAMS) > 300_000:
-            _GRAMS.clear()
-        _GRAMS[gram] = h
-    return h
+    Subwords are the character n-grams of SIZES of the marked word, by bytes; a word
+    shorter than a size is one gram of it. Grams are named by a 32-bit FNV hash.
+    """
+    for k in range(0, len(words), BLOCK_WORDS):
+        marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words[k : k + BLOCK_WORDS]]
+        length = np.array([len(m) for m in marked], np.int64)
+        raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+        owner = np.repeat(np.arange(len(marked)), length)
+        starts = np.cumsum(length) - length
+        left = np.repeat(starts + length, length) - np.arange(len(raw))  # bytes from here to the word's end
+        h = np.full(len(raw), 2166136261, np.uint32)
+        word, bucket = [], []
+        for size in range(1, max(SIZES) + 1):
+            ahead = np.zeros(len(raw), np.uint32)
+            ahead[: len(raw) - size + 1] = raw[size - 1 :]
+            h = (h ^ ahead) * np.uint32(16777619)
+            if size not in SIZES:
+                continue
+            named = ((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1)).astype(np.int32)
+            fit = np.flatnonzero(left >= size)
+            whole = np.repeat(np.flatnonzero(length == size), sum(s > size for s in SIZES))
+            word += [owner[fit], whole]
+            bucket += [named[fit], named[starts[whole]]]
+        at = np.concatenate(word)
+        yield np.concatenate(bucket)[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(marked))
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -79,17 +89,11 @@ class SubwordSoftmax:
         table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         layer = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
-        if not texts:
+        if not any(map(words_of, texts)):
             return cls(table * 0, layer, bias)
         vocabulary: dict[str, int] = {}
         docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-        packed, lengths = array("i"), array("i")
-        for w in vocabulary:
-            grams = subwords(w)
-            packed.extend(grams)
-            lengths.append(len(grams))
-        _GRAMS.clear()
-        sizes, flat = np.array(lengths, np.int64), np.frombuffer(packed, np.int32)
+        flat, sizes = (np.concatenate(x) for x in zip(*word_buckets(list(vocabulary)), strict=True))
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         share = 1 / np.maximum(sizes, 1)
         spans = [[(k, a, b) for a, b in windows(len(d))] for k, d in enumerate(docs) if len(d)]
@@ -107,8 +111,8 @@ class SubwordSoftmax:
                 score = [(sums[b] - sums[a]) / (b - a) for _, a, b in windows_of_doc]
                 top = int(np.argmax(score)) if turn else int(rng.integers(len(score)))
                 picks = {top} if y[k] else {*np.argsort(score)[-HARD:].tolist(), int(rng.integers(len(score)))} if turn else {top}
-                if turn == 0 and y[k]:  # before anything is known, all of a toxic document
-                    picks = set(range(min(len(score), 8)))
+                if turn == 0 and y[k]:
+                    picks = {round(x) for x in np.linspace(0, len(score) - 1, FIRST).tolist()}
                 chosen += [windows_of_doc[p] for p in picks]
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), 128):
@@ -149,50 +153,71 @@ class Scorer:
     def __init__(self, bucket_logit: np.ndarray, bias: float, shift: float = 0.0):
         self.bucket_logit, self.bias, self.shift, self.cache = bucket_logit, bias, shift, {}
 
-    def logit(self, text: str) -> float:
-        cache, found = self.cache, words_of(text)
-        if not found:
-            return -8.0 if self.bias > -8 else self.bias
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        values = []
-        for w in found:
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = float(self.bucket_logit[subwords(w)].mean())
-            values.append(v)
-        sums = np.zeros(len(values) + 1)
-        np.cumsum(values, out=sums[1:])
-        a = np.arange(0, max(1, len(values) - (WINDOW - STRIDE)), STRIDE)
-        b = np.minimum(len(values), a + WINDOW)
-        return float(((sums[b] - sums[a]) / (b - a)).max()) + self.bias - self.shift
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -30, 30))))
+    def learn(self, words: list[str]) -> None:
+        """The logits of words as they stand in a text; NaN for one that has nothing but marks."""
+        bare = [w.strip(_EDGES) for w in words]
+        own = sorted(set(bare) - {""})
+        value = dict.fromkeys(["", *own], np.nan)
+        for k, (flat, sizes) in enumerate(word_buckets(own)):
+            sums = np.add.reduceat(self.bucket_logit[flat].astype(np.float64), np.cumsum(sizes) - sizes)
+            value.update(zip(own[k * BLOCK_WORDS : (k + 1) * BLOCK_WORDS], (sums / sizes).tolist(), strict=True))
+        self.cache.update(zip(words, map(value.__getitem__, bare), strict=True))
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """The most of each text's windows; a low constant for texts without words."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        split = [t.lower().split() for t in texts]
+        self.learn(list(set().union(*split).difference(self.cache)))
+        sizes = np.array([len(x) for x in split], np.int64)
+        values = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.float64, int(sizes.sum()))
+        own = ~np.isnan(values)
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[own], minlength=len(texts))
+        sums = np.concatenate([[0.0], np.cumsum(values[own])])
+        out = np.full(len(texts), -8.0 if self.bias > -8 else self.bias)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            ends, n = np.cumsum(sizes)[full], sizes[full]
+            count = -(-np.maximum(1, n - (WINDOW - STRIDE)) // STRIDE)
+            first = np.cumsum(count) - count
+            a = np.repeat(ends - n, count) + STRIDE * (np.arange(count.sum()) - np.repeat(first, count))
+            b = np.minimum(np.repeat(ends, count), a + WINDOW)
+            out[full] = np.maximum.reduceat((sums[b] - sums[a]) / (b - a), first) + self.bias - self.shift
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, per_label: int, text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], list[int]]:
-    """At most ``per_label`` training documents of each label, the first by a hash of the id, fold 0 left out."""
-    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isNotNull() & (fold_column(F.col("doc_id"), folds) != 0))
+    """At most ``per_label`` training documents of each label, the first by a hash of the id, fold 0 left out.
+
+    Repeated labels count once; an id with both labels has none. Of an id's several texts the least is read.
+    """
+    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_column(F.col("doc_id"), folds) != 0))
+    marks = marks.where("doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     chosen = None
     for y in (0, 1):  # orderBy + limit keeps per_label rows a partition: no shuffle of the rest
-        part = marks.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        part = marks.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole_text(docs, text).alias("raw"))
     # the sample's size is bounded by 2 * per_label ids
-    rows = source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("raw").alias("raw")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["raw"] for r in rows], [r["y"] for r in rows]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = TRAIN_DOCS, text: str = "text", doc_id: str = "doc_id") -> Scorer:
+    """A scorer of the labels; where no label says toxic, or none says clean, nothing is found toxic."""
     texts, y = labelled_sample(docs, labels, "toxic", folds, per_label, text, doc_id)
-    keep = [i for i in range(len(y)) if i % 5] if len(set(y)) == 2 and min(y.count(0), y.count(1)) >= 20 else list(range(len(y)))
+    if len(set(y)) < 2:
+        return Scorer(np.zeros(BUCKETS, np.float32), -8.0)
+    keep = [i for i in range(len(y)) if i % 5] if min(y.count(0), y.count(1)) >= 20 else list(range(len(y)))
     model = SubwordSoftmax.fit([texts[i] for i in keep], [y[i] for i in keep])
     scorer = Scorer(*model.bucket_logits())
     aside = sorted(set(range(len(y))) - set(keep))
-    if aside:  # the cut of least error, classes weighted alike, on training documents kept aside
-        logits = np.array([scorer.logit(texts[i]) for i in aside])
+    if aside:  # the cut of least error on training documents kept aside, a clean one found toxic weighing four times a toxic one missed
+        logits = scorer.logits([texts[i] for i in aside])
         truth = np.array([y[i] for i in aside])
         order = np.sort(logits)
         cuts = (order[1:] + order[:-1]) / 2
@@ -200,7 +225,6 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = T
         least = np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-9)
         scorer.shift = float(cuts[least[len(least) // 2]])
     scorer.cache.clear()  # the driver keeps the model alone
-    _GRAMS.clear()
     return scorer
 
 
@@ -212,7 +236,8 @@ def score_column(spark: SparkSession, scorer: Scorer):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(*shared.value)
         for batch in batches:
-            yield pd.Series([own.score(t) for t in batch], dtype="float64")
+            slices = [own.scores(batch.iloc[a:b].tolist()) for a, b in byte_slices(batch, SLICE_BYTES)]
+            yield pd.Series(np.concatenate([np.zeros(0), *slices]), dtype="float64")
 
     return score
 
