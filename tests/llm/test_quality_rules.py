@@ -44,5 +44,22 @@ def test_order_changes_no_verdict(frame):
     rows = [(k, "word " * k + "# " * (k % 7)) for k in range(60)]
     docs = frame(rows)
     assert rows_of(quality_rules.apply_rules(docs)) == rows_of(quality_rules.apply_rules(docs, list(reversed(quality_rules.RULES))))
-    ordered = quality_rules.cascade_order(quality_rules.measure(docs), quality_rules.RULES)
+    ordered = quality_rules.cascade_order(docs, quality_rules.RULES)
     assert sorted(r.name for r in ordered) == sorted(r.name for r in quality_rules.RULES)
+
+
+def test_order_is_by_rejection_per_cost(frame):
+    docs = frame([(k, "word " * 20 + "# " * (30 * (k % 2)) + "ABCDEF " * (40 * (k % 4 == 0))) for k in range(80)])
+    rules = [r for r in quality_rules.RULES if r.name in ("symbols", "shouting", "word_length")]
+
+    def clock(costs):
+        now = 0.0
+        for cost in (1, *(1 + c for c in costs)):  # an idle pass, then the rules
+            for _ in range(2):
+                yield now
+                now += cost
+                yield now
+
+    names = lambda *costs: [r.name for r in quality_rules.cascade_order(docs, rules, clock=clock(costs).__next__)]
+    assert [r.name for r in rules] == ["word_length", "symbols", "shouting"]
+    assert names(1, 9, 1)[0] == "shouting" and names(1, 1, 9)[0] == "symbols" and names(1, 1, 1)[-1] == "word_length"
