@@ -1,33 +1,38 @@
 """HTML extraction by two-pass block rules.
 
-The page is cut into text blocks. The first pass decides a block by where it
-stands (navigation, forms, adverts and the like; an article) and else by link
-density, length and stop-word density; short blocks stay open. The second pass
-gives an open block the label of its nearest decided neighbours.
+The page is cut into text blocks. What a page says of itself (navigation, forms,
+hidden elements) goes at once. The first pass decides the other blocks by link
+density, length and stop-word density; short and middling blocks stay open. Class
+names are hints: they hold as long as good text is left without the elements
+that they name, and an article's good text makes all outside it boilerplate. The
+second pass gives an open block the label of its nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W_]+")
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BOILER = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "head", "svg", "dialog", "object", "canvas", "audio", "video", "math", "fieldset", "label"}
+BOILER = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "head", "svg", "dialog", "object", "canvas", "audio", "video", "fieldset", "label"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section",
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "head",
 }
+#: Elements whose end tag may be left out before the next of their kind; elements whose names never speak of a part of the page.
+SIBLINGS, WHOLE = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}, {"html", "body", "main"}
 HINTS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice",
     "banner", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "comment", "comments", "commentlist",
@@ -36,6 +41,12 @@ HINTS = {
 }
 #: Parts of a class name that may stand beside a hint without changing what it names.
 BESIDE = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "bar", "box", "list", "links", "buttons", "wrapper", "container"}
+#: Names that say the same of a paragraph, an item or a heading itself; the others speak of boxes that hold several.
+STRONG = {
+    "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
+    "promo", "promotion", "comment", "comments", "reply", "replies", "share", "sharing", "subscribe", "newsletter", "related",
+}
+TEXTUAL = {"p", "li", "td", "th", "dd", "dt", "blockquote", "pre", "figure", "figcaption", "caption", "address", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Frequent function words of the languages that stop-word density is asked for.
 STOP_WORDS = {
@@ -45,16 +56,19 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy",
 }
 _STOP = {w for words in STOP_WORDS.values() for w in words.split()}
-#: First pass: link density above which a block is boilerplate, characters under which it stays open, stop-word densities of bad and good text.
+#: First pass: link density above which a block is boilerplate, characters under which it stays open, stop-word densities under which it is bad and from which on it is good.
 MAX_LINKS, SHORT, STOP_LOW, STOP_HIGH = 0.5, 80, 0.08, 0.2
 
 
 class Block:
-    __slots__ = ("boiler", "inside", "link_chars", "parts")
+    """A run of text: boilerplate by its tags, inside an article, in an element with a hint, a heading; its link density."""
+
+    __slots__ = ("boiler", "heading", "hint", "inside", "link_chars", "links", "parts", "text")
 
-    def __init__(self, boiler: bool, inside: bool):
+    def __init__(self, boiler: bool, inside: bool, hint: bool, heading: bool):
         self.parts: list[str] = []
-        self.link_chars, self.boiler, self.inside = 0, boiler, inside
+        self.link_chars, self.boiler, self.inside, self.hint, self.heading = 0, boiler, inside, hint, heading
+        self.text, self.links = "", 0.0
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -67,10 +81,11 @@ def attributes_of(text: str) -> dict[str, str]:
 
 def hinted(tag: str, attributes: dict[str, str]) -> bool:
     """Whether a whole name in class, id or role says that the element is not the article's; a heading's id only repeats its words."""
+    names = STRONG if tag in TEXTUAL else HINTS
     for key in ("class", "role") if tag in HEADINGS else ("class", "id", "role"):
         for name in attributes.get(key, "").lower().split():
             parts = {x for x in re.split(r"[-_]+", name) if x}
-            if not parts.isdisjoint(HINTS) and parts <= HINTS | BESIDE:
+            if not parts.isdisjoint(names) and parts <= HINTS | BESIDE:
                 return True
     return False
 
@@ -84,12 +99,15 @@ def hidden(attributes: dict[str, str]) -> bool:
     )
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
-    """Blocks as (text, link density, boilerplate by place, inside an article), and whether the page has an article."""
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks of text, in order; the work grows with the page alone."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, article, link: of all that is open
-    boiler = inside = link = has_article = False
-    block = Block(False, False)
+    plain = ("", False, False, False, False)
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, boilerplate, article, link, hint: of all that is open
+    closable: list[str] = []  # the block elements of the stack
+    opened: Counter[str] = Counter()
+    boiler = inside = link = hint = False
+    block = Block(False, False, False, False)
     at, end = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -104,7 +122,19 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
         nonlocal block
         if block.parts:
             out.append(block)
-        block = Block(boiler, inside)
+        block = Block(boiler, inside, hint, bool(closable) and closable[-1] in HEADINGS)
+
+    def close(tag: str) -> None:
+        """Everything up to the last open ``tag``."""
+        nonlocal boiler, inside, link, hint
+        while True:
+            top = stack.pop()[0]
+            opened[top] -= 1
+            if top in BLOCK:
+                closable.pop()
+            if top == tag:
+                break
+        _, boiler, inside, link, hint = stack[-1] if stack else plain
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -117,17 +147,14 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    boiler, inside, link = stack[-1][1:] if stack else (False, False, False)
-                    break
-            if tag in BLOCK or boiler != block.boiler:
+            if opened[tag]:
+                close(tag)
+            if tag in BLOCK or boiler != block.boiler or hint != block.hint:
                 cut()
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            ends = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = ends.end() if ends else end
             continue
         if tag == "br":
             block.parts.append(" ")
@@ -136,63 +163,84 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
             if tag == "hr":
                 cut()
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and any(t[0] == tag for t in stack[-6:]) and tag == next((t[0] for t in reversed(stack) if t[0] in BLOCK), ""):
-            while stack and stack[-1][0] != tag:  # an element that its next sibling closes
-                stack.pop()
-            if stack:
-                stack.pop()
-            boiler, inside, link = stack[-1][1:] if stack else (False, False, False)
+        if tag in SIBLINGS and closable and closable[-1] == tag:  # an element that its next sibling closes
+            close(tag)
         own_header = tag == "header" and inside and not boiler
-        bad = tag in BOILER and not own_header
-        if m[3] and not bad:
+        bad, named = tag in BOILER and not own_header, False
+        if m[3] and not bad and tag not in WHOLE:
             attributes = attributes_of(m[3])
-            bad = hidden(attributes) or tag != "article" and not own_header and hinted(tag, attributes)
-        if tag in ("html", "body", "main"):
-            bad = False
-        if tag in ("article", "main") and not bad and not boiler:
-            has_article = inside = True
-        boiler, link = boiler or bad, link or tag == "a"
-        if not m[3].endswith("/"):
-            stack.append((tag, boiler, inside, link))
-        if tag in BLOCK or boiler != block.boiler:
+            bad = hidden(attributes)
+            named = not bad and tag != "article" and not own_header and hinted(tag, attributes)
+        boiler, link, hint = boiler or bad, link or tag == "a", hint or named
+        inside = inside or tag in ("article", "main") and not boiler and not hint
+        if m[3].endswith("/"):
+            _, boiler, inside, link, hint = stack[-1] if stack else plain
+        else:
+            stack.append((tag, boiler, inside, link, hint))
+            opened[tag] += 1
+            if tag in BLOCK:
+                closable.append(tag)
+        if tag in BLOCK or boiler != block.boiler or hint != block.hint:
             cut()
     cut()
-    rows = []
     for b in out:
-        joined = " ".join("".join(b.parts).split())
-        if joined:
-            rows.append((joined, b.link_chars / max(1, len(joined.replace(" ", ""))), b.boiler, b.inside))
-    return rows, has_article
+        b.text = " ".join("".join(b.parts).split())
+        b.links = b.link_chars / max(1, len(b.text.replace(" ", "")))
+        b.parts.clear()
+    return [b for b in out if b.text]
 
 
-def classify(rows: list[tuple[str, float, bool, bool]], has_article: bool) -> list[bool]:
-    """Whether each block is main text."""
+def first_pass(blocks: list[Block]) -> list[bool | None]:
+    """Good, bad or open by link density, length and stop words, wherever a block stands.
+
+    If the long blocks together have hardly any stop words, the page's language
+    is none of those in STOP_WORDS, and length alone decides.
+    """
+    words = [_WORD.findall(b.text.lower()) if not b.boiler and len(b.text) >= SHORT and b.links <= MAX_LINKS else [] for b in blocks]
+    stops = [sum(w in _STOP for w in own) for own in words]
+    told = sum(stops) >= STOP_LOW * sum(map(len, words))
     labels: list[bool | None] = []
-    for joined, links, boiler, inside in rows:
-        if boiler or has_article and not inside:
+    for b, own, n in zip(blocks, words, stops, strict=True):
+        density = n / max(1, len(own))
+        if b.boiler or b.links > MAX_LINKS:
             labels.append(False)
-        elif links > MAX_LINKS:
-            labels.append(False)
-        elif has_article:
-            labels.append(True if len(joined) >= SHORT or not links else None)
-        elif len(joined) < SHORT:
+        elif len(b.text) < SHORT:
+            labels.append(None)
+        elif not told or density >= STOP_HIGH or density >= STOP_LOW and len(b.text) >= 2 * SHORT:
+            labels.append(True)
+        elif density >= STOP_LOW or b.inside:  # a table or a list of names in an article goes with what is around it
             labels.append(None)
         else:
-            words = _WORD.findall(joined.lower())
-            density = sum(w in _STOP for w in words) / max(1, len(words))
-            labels.append(True if density >= STOP_HIGH or len(joined) >= 2 * SHORT and density >= STOP_LOW else False if density < STOP_LOW and len(joined) < 2 * SHORT else None)
-    decided = [k for k, x in enumerate(labels) if x is not None]
-    if not decided:
-        return [True] * len(labels)
-    out, right = [], 0
-    for k, x in enumerate(labels):
-        if x is None:
-            while right < len(decided) and decided[right] < k:
+            labels.append(False)
+    return labels
+
+
+def classify(blocks: list[Block]) -> list[bool]:
+    """Whether each block is main text."""
+    labels = first_pass(blocks)
+    good = [k for k, x in enumerate(labels) if x]
+    article = any(b.inside and not b.hint and x is not False for b, x in zip(blocks, labels, strict=True))
+    # a hint that would leave nothing good is no hint: its element holds the text itself
+    hold = article or any(not blocks[k].hint for k in good) or not good
+    region = [k for k, b in enumerate(blocks) if not b.boiler and not (b.hint and hold)]
+    if any(blocks[k].inside and labels[k] is not False for k in region):
+        region = [k for k in region if blocks[k].inside]
+    out = [False] * len(blocks)
+    decided = [j for j, k in enumerate(region) if labels[k] is not None]
+    if not any(labels[region[j]] for j in decided) and (not decided or blocks[region[0]].inside):
+        decided = []  # nothing to inherit: what is open is all the text there is
+    right = 0
+    for j, k in enumerate(region):
+        own = labels[k]
+        if own is None:
+            while right < len(decided) and decided[right] < j:
                 right += 1
-            near = [decided[j] for j in (right - 1, right) if 0 <= j < len(decided)]
-            least = min(abs(j - k) for j in near)
-            x = any(labels[j] for j in near if abs(j - k) == least)
-        out.append(x)
+            near = [decided[i] for i in (right - 1, right) if 0 <= i < len(decided)]
+            if blocks[k].heading and right < len(decided):
+                near = [decided[right]]  # a heading goes with what follows it
+            least = len(region) if blocks[k].inside else min((abs(i - j) for i in near), default=0)
+            own = not near or any(labels[region[i]] for i in near if abs(i - j) <= least)  # in an article the farther neighbour counts too
+        out[k] = own
     return out
 
 
@@ -200,8 +248,8 @@ def extract(page: str | None) -> str:
     """Main text of a page, blocks joined by one line feed; empty if none."""
     if not page:
         return ""
-    rows, has_article = blocks_of(page)
-    return "\n".join(row[0] for row, keep in zip(rows, classify(rows, has_article), strict=True) if keep)
+    blocks = blocks_of(page)
+    return "\n".join(b.text for b, keep in zip(blocks, classify(blocks), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:

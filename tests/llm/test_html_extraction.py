@@ -1,3 +1,6 @@
+import random
+import time
+
 from loomgraph.llm.html_extraction import extract, extract_pages
 
 LONG = "This is the sentence of the article that was written for all of the readers and it is long enough to be decided on its own."
@@ -32,3 +35,69 @@ def test_odd_pages(spark):
     by_id = {r["page_id"]: r["text"] for r in out}
     assert by_id[1] == by_id[2] == by_id[5] == "" and by_id[3] == "plain <text!" and by_id[None] == "unclosed"
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+#: Sentences of languages with and without a list of stop words.
+SENTENCES = {
+    "en": "The river was high in the spring and all of the people who live by it had to go to the hills for a time",
+    "de": "Der Fluss war im Frühling hoch und die Leute mussten für eine Zeit in die Berge gehen weil es nicht anders ging",
+    "fr": "La rivière était haute au printemps et les gens qui vivent sur la rive sont partis dans les collines pour un temps",
+    "es": "El río estaba alto en la primavera y la gente que vive en la orilla se fue a las colinas por un tiempo",
+    "it": "Il fiume era alto in primavera e tutti gli abitanti delle rive dovettero salire sulle colline per qualche settimana",
+    "pl": "Rzeka była wysoka wiosną i wszyscy mieszkańcy brzegów musieli przenieść się na wzgórza przez kilka długich tygodni",
+    "fi": "Joki oli korkealla keväällä ja kaikki rannan asukkaat joutuivat muuttamaan kukkuloille muutamaksi pitkäksi viikoksi",
+    "el": "Το ποτάμι ήταν ψηλά την άνοιξη και όλοι οι κάτοικοι της όχθης έπρεπε να ανέβουν στους λόφους για μερικές εβδομάδες",
+    "ja": "春になると川の水位が高くなり、岸辺に住む人々はみな数週間のあいだ丘の上に移らなければならなかった。" * 3,
+}
+
+
+def made_page(rnd, sentence):
+    """A page without an article, and the main text that it was made of."""
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{k}">{rnd.choice(["Home", "News", "Über uns", "次へ"])} {k}</a></li>' for k in range(n)) + "</ul>"
+    main, html = [], []
+    for k in range(rnd.randint(1, 3)):
+        title = f"{k} {sentence[:20].strip()}"
+        main.append(title)
+        html.append(f"<h2>{title}</h2>")
+        for _ in range(rnd.randint(1, 4)):
+            p = " ".join([sentence + "."] * rnd.randint(1, 3))
+            main.append(p)
+            html.append(rnd.choice([f"<p>{p}</p>", f"<p>{p}", f"<div><span>{p}</span></div>", f"<blockquote><p>{p}</p></blockquote>", f'<p class="lead form overflow-hidden">{p}</p>']))
+            if rnd.random() < 0.4:
+                main.append("Short.")
+                html.append("<p>Short.</p>")
+    wrapper = rnd.choice(["<div>", '<div class="content with-sidebar">', '<div id="widget">', "<section>", "<table><tr><td>"])
+    close = {"<d": "</div>", "<s": "</section>", "<t": "</td></tr></table>"}[wrapper[:2]]
+    around = [
+        f"<nav>{links(4)}</nav>", f"<div>{links(5)}</div>", f"<header><p>{sentence}.</p></header>", f'<p class="advert">{sentence}.</p>' if wrapper != '<div id="widget">' else "",
+        "<form><label>Name</label><input></form>", f'<div style="display:none">{sentence}.</div>',
+    ]
+    return "<body>" + "".join(rnd.sample(around, 4)) + wrapper + "".join(html) + close + f"<footer>© {sentence}.</footer></body>", "\n".join(main)
+
+
+def test_pages_without_an_article_in_several_languages():
+    rnd = random.Random(4)
+    for sentence in SENTENCES.values():
+        for _ in range(12):
+            page, main = made_page(rnd, sentence)
+            assert extract(page) == main, page
+
+
+def test_the_first_pass_decides_in_an_article_too():
+    crowd = "".join(f'<a href="/t{k}">some other story of the day</a> ' for k in range(4))
+    page = f"<article><h1>Title</h1><p>{LONG}</p><p>{crowd}</p><p>x1 y2 z3</p><pre>{'a1 = b2; ' * 20}</pre><p>{LONG}</p></article><div><p>{LONG}</p></div>"
+    assert extract(page).split("\n") == ["Title", LONG, "x1 y2 z3", ("a1 = b2; " * 20).strip(), LONG]
+    assert extract("<article><p>One.</p><p>Two.</p></article>") == "One.\nTwo."
+    assert extract(f'<article><p>One.</p></article><div class="comments"><p>{LONG}</p></div>') == "One."
+    assert extract(f"<p>{LONG} <math><mi>x</mi></math></p>") == f"{LONG} x"
+
+
+def test_work_grows_with_the_page():
+    def seconds(page):
+        began = time.process_time()
+        extract(page)
+        return time.process_time() - began
+
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<a<" * n + '"', lambda n: "<p><b>x" * n, lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>&amp;</q>" * n):
+        seconds(make(1000))
+        assert seconds(make(40_000)) < 40 * max(seconds(make(4_000)), 0.02)
