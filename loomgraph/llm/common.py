@@ -62,6 +62,14 @@ def whole_text(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items that sum to about ``limit``, one item at least."""
     begin, size, k = 0, 0, -1

@@ -16,96 +16,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WHITE, materialize, whole_text
+from loomgraph.llm.common import WHITE, fresh_name, materialize, whole_text
 
-#: Rows whose fingerprints one merged block should hold.
-BLOCK_ROWS = 200_000
-SALTS = 16
+#: Rows whose fingerprints one merged block should hold, and fingerprints that a partition gathers before it counts them.
+BLOCK_ROWS, GATHER_ROWS = 200_000, 1_000_000
+#: Bits of the quotient within a block.
+QUOTIENT_BITS = 10
 #: Repeated fingerprints, eight bytes each, that may be sent to all rows.
 BROADCAST_ROWS = 200_000
+#: Rows from which on a fingerprint is hot: its rows are never brought together. There are at most rows / HOT_ROWS of them.
+HOT_ROWS = 1_000_000
 
 
 class CountingQuotientFilter:
-    """A lossless counting quotient filter over 64-bit fingerprints.
+    """A lossless counting quotient filter over the 64-bit fingerprints of one block.
 
-    A fingerprint splits into a quotient (its high ``q`` bits) and a remainder.
-    ``occupied`` has a bit per quotient, ``run_end`` marks the last slot of each
-    quotient's run, ``remainders`` are sorted within a run, and ``counters`` holds
-    the multiplicity of each slot.
+    The highest ``bits`` bits of a fingerprint name its block, the next QUOTIENT_BITS
+    are its quotient, the others its remainder. ``occupied`` has a bit per quotient,
+    ``run_end`` marks the last slot of each quotient's run, ``remainders`` are sorted
+    within a run, and ``counters`` holds the multiplicity of each slot.
     """
 
-    def __init__(self, q: int, occupied: np.ndarray, run_end: np.ndarray, remainders: np.ndarray, counters: np.ndarray):
-        self.q, self.occupied, self.run_end, self.remainders, self.counters = q, occupied, run_end, remainders, counters
+    def __init__(self, block: int, bits: int, occupied: np.ndarray, run_end: np.ndarray, remainders: np.ndarray, counters: np.ndarray):
+        self.block, self.bits = block, bits
+        self.occupied, self.run_end, self.remainders, self.counters = occupied, run_end, remainders, counters
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, q: int, counts: np.ndarray | None = None) -> CountingQuotientFilter:
-        order = np.argsort(fingerprints, kind="stable")
-        keys = fingerprints[order].astype(np.uint64)
-        weight = np.ones(len(keys), np.int64) if counts is None else counts[order].astype(np.int64)
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        starts = np.flatnonzero(first)
-        counters = np.add.reduceat(weight, starts) if len(starts) else np.zeros(0, np.int64)
-        keys = keys[starts]
-        quotient = (keys >> np.uint64(64 - q)).astype(np.int64)
-        occupied = np.zeros(1 << q, bool)
+    def build(cls, block: int, bits: int, keys: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+        """Of the block's distinct fingerprints, sorted, and their counts."""
+        rest = 64 - bits - QUOTIENT_BITS
+        quotient = ((keys >> np.uint64(rest)) & np.uint64((1 << QUOTIENT_BITS) - 1)).astype(np.int64)
+        occupied = np.zeros(1 << QUOTIENT_BITS, bool)
         occupied[quotient] = True
         run_end = np.ones(len(keys), bool)
         run_end[:-1] = quotient[1:] != quotient[:-1]
-        return cls(q, occupied, run_end, keys & np.uint64((1 << (64 - q)) - 1), counters)
+        return cls(block, bits, occupied, run_end, keys & np.uint64((1 << rest) - 1), counts)
 
     def fingerprints(self) -> np.ndarray:
         """The whole fingerprints again, sorted."""
+        rest = 64 - self.bits - QUOTIENT_BITS
         run = np.concatenate([[0], np.cumsum(self.run_end)[:-1]]).astype(np.int64) if len(self.run_end) else np.zeros(0, np.int64)
         quotient = np.flatnonzero(self.occupied)[run] if len(run) else run
-        return (quotient.astype(np.uint64) << np.uint64(64 - self.q)) | self.remainders
+        high = (self.block << QUOTIENT_BITS) | quotient
+        return (high.astype(np.uint64) << np.uint64(rest)) | self.remainders
 
     def merge(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
         parts = [self, *others]
-        return self.build(np.concatenate([p.fingerprints() for p in parts]), self.q, np.concatenate([p.counters for p in parts]))
-
-    def block(self, index: int, bits: int) -> tuple[bytes, bytes, bytes, bytes]:
-        """The part whose quotients start with ``index`` in their highest ``bits`` bits, as packed fields."""
-        width = 1 << (self.q - bits)
-        runs = np.concatenate([[0], np.cumsum(self.occupied)])
-        ends = np.concatenate([[0], np.flatnonzero(self.run_end) + 1])
-        a, b = ends[runs[index * width]], ends[runs[(index + 1) * width]]
-        return (
-            np.packbits(self.occupied[index * width : (index + 1) * width]).tobytes(),
-            np.packbits(self.run_end[a:b]).tobytes(),
-            self.remainders[a:b].tobytes(),
-            self.counters[a:b].tobytes(),
-        )
+        return self.build(self.block, self.bits, *summed(np.concatenate([p.fingerprints() for p in parts]), np.concatenate([p.counters for p in parts])))
+
+    def fields(self) -> tuple[bytes, bytes, bytes, bytes]:
+        return np.packbits(self.occupied).tobytes(), np.packbits(self.run_end).tobytes(), self.remainders.tobytes(), self.counters.tobytes()
 
     @classmethod
-    def from_block(cls, q: int, index: int, bits: int, fields: tuple[bytes, bytes, bytes, bytes]) -> CountingQuotientFilter:
-        width = 1 << (q - bits)
+    def of_fields(cls, block: int, bits: int, fields: tuple[bytes, bytes, bytes, bytes]) -> CountingQuotientFilter:
         remainders = np.frombuffer(fields[2], np.uint64)
-        occupied = np.zeros(1 << q, bool)
-        occupied[index * width : (index + 1) * width] = np.unpackbits(np.frombuffer(fields[0], np.uint8), count=width).astype(bool)
+        occupied = np.unpackbits(np.frombuffer(fields[0], np.uint8)).astype(bool)
         run_end = np.unpackbits(np.frombuffer(fields[1], np.uint8), count=len(remainders)).astype(bool)
-        return cls(q, occupied, run_end, remainders, np.frombuffer(fields[3], np.int64))
+        return cls(block, bits, occupied, run_end, remainders, np.frombuffer(fields[3], np.int64))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    unique, back = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(unique), np.int64)
+    np.add.at(out, back, counts)
+    return unique, out
+
+
+def blocks_of(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[CountingQuotientFilter]:
+    """A filter for each block that sorted distinct fingerprints fall in."""
+    block = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(keys) else []
+    for a, b in zip(starts, np.append(starts[1:], len(keys)) if len(keys) else [], strict=True):
+        yield CountingQuotientFilter.build(int(block[a]), bits, keys[a:b], counts[a:b])
 
 
 def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The fingerprints that more than one row has, as (``column``, rows)."""
-    bits = min(14, max(0, int(np.ceil(np.log2(max(1, fingerprints.count()) / block_rows)))))
-    q = bits + 10
+    bits = max(0, int(np.ceil(np.log2(max(1, fingerprints.count()) / block_rows))))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = None
+        keys, counts, more = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def gathered() -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate([keys, *more]), np.concatenate([counts, np.ones(sum(map(len, more)), np.int64)]))
+
         for batch in batches:
-            part = CountingQuotientFilter.build(batch[column].to_numpy(np.int64).view(np.uint64), q)
-            whole = part if whole is None else whole.merge(part)
-        if whole is not None:
-            rows = [(i, *fields) for i in range(1 << bits) if (fields := whole.block(i, bits))[2]]
-            yield pd.DataFrame(rows, columns=["block", "occupied", "run_end", "remainders", "counters"])
+            more.append(batch[column].to_numpy(np.int64).view(np.uint64))
+            if sum(map(len, more)) > max(GATHER_ROWS, len(keys)):
+                (keys, counts), more = gathered(), []
+        keys, counts = gathered()
+        rows = [(f.block, *f.fields()) for f in blocks_of(keys, counts, bits)]
+        for k in range(0, len(rows), 1000):
+            yield pd.DataFrame(rows[k : k + 1000], columns=["block", "occupied", "run_end", "remainders", "counters"])
 
     def merge(key: tuple, segments: pd.DataFrame) -> pd.DataFrame:
-        parts = [CountingQuotientFilter.from_block(q, int(key[0]), bits, tuple(row)) for row in segments[["occupied", "run_end", "remainders", "counters"]].itertuples(index=False)]
+        parts = [CountingQuotientFilter.of_fields(int(key[0]), bits, tuple(row)) for row in segments[["occupied", "run_end", "remainders", "counters"]].itertuples(index=False)]
         whole = parts[0].merge(*parts[1:])
         many = whole.counters > 1
         return pd.DataFrame({column: whole.fingerprints()[many].view(np.int64), "rows": whole.counters[many]})
@@ -114,7 +123,11 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp", block_row
     return blocks.groupBy("block").applyInPandas(merge, f"{column} long, rows long")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def normalised(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"[{WHITE}]+", "")
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after white space ``[\\x20\\x09-\\x0D]`` is
@@ -125,28 +138,35 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
     rows; further columns are ignored.
     """
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole_text(docs, text).alias("raw"))
-    normal = source.select("doc_id", F.regexp_replace("raw", f"[{WHITE}]+", "").alias("norm"), F.length("raw").alias("points"))
+    normal = source.select("doc_id", normalised(F.col("raw")).alias("norm"), F.length("raw").alias("points"))
     narrow = materialize(
         normal.select("doc_id", "points", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-fp"
     )
-    repeated = materialize(repeated_fingerprints(narrow), "exact-rep").select("fp")
+    repeated = materialize(repeated_fingerprints(narrow), "exact-rep")
 
-    # Verification: up to a counted bound the repeated fingerprints go to the rows; beyond it
-    # both meet by (fp, salt), so no fingerprint needs one task. The grouping then collapses
-    # copies before its own exchange.
+    # Verification: up to a counted bound the repeated fingerprints, and then their groups, go to the rows; beyond it
+    # only hot ones do, and the others meet their rows by key. The grouping collapses copies before its own exchange.
     keyed = normal.withColumn("fp", F.xxhash64("norm"))
-    if repeated.count() <= broadcast_rows:
-        candidates = keyed.join(F.broadcast(repeated), "fp", "left_semi")
+    small = repeated.count() <= broadcast_rows
+    if small:
+        candidates = keyed.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
     else:
-        salted = repeated.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        candidates = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["fp", "salt"], "left_semi")
-    best = F.struct(F.col("points"), -F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").alias("keep"))
+        hot, cold = F.broadcast(repeated.where(F.col("rows") > hot_rows).select("fp")), repeated.where(F.col("rows") <= hot_rows).select("fp").hint("merge")
+        candidates = keyed.join(hot, "fp", "left_semi").unionByName(keyed.join(hot, "fp", "left_anti").join(cold, "fp", "left_semi"))
+    first = F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("keep"))
     groups = (
         candidates.groupBy("fp", "norm")
-        .agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.col("fp").alias("g_fp"), F.unhex(F.sha2("norm", 256)).alias("g_sha"), F.col("best.keep").alias("keep"), "group_size")
+        .agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        .select(F.col("fp").alias("g_fp"), F.unhex(F.sha2("norm", 256)).alias("g_sha"), F.col("first.keep").alias("keep"), "group_size")
     )
-    joined = narrow.join(groups, (narrow.fp == groups.g_fp) & (narrow.sha == groups.g_sha), "left")
+    same = lambda g: (narrow.fp == g.g_fp) & (narrow.sha == g.g_sha)
+    if small:
+        groups = F.broadcast(groups)
+        joined = narrow.join(groups, same(groups), "left")
+    else:
+        groups = materialize(groups, "exact-groups")
+        hot, cold = F.broadcast(groups.where(F.col("group_size") > hot_rows)), groups.where(F.col("group_size") <= hot_rows).hint("merge")
+        joined = narrow.join(hot, same(hot)).unionByName(narrow.join(hot, same(hot), "left_anti").join(cold, same(cold), "left"))
     grouped = F.col("group_size").isNotNull()
     keep = F.when(grouped, F.col("keep")).otherwise(F.col("doc_id"))
     return joined.select(
@@ -156,3 +176,21 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
         keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, unchanged, that stay: one of each group of equal texts, by the rule of ``exact_dedup``.
+
+    Of rows that share the id and the normalised text, null ids too, the one of the
+    most code points, then of the least text, stays.
+    """
+    found = exact_dedup(docs, text, doc_id)
+    sha = F.sha2(normalised(whole_text(docs, text)), 256)
+    own = docs[doc_id].cast("long")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    out = docs.join(gone, own.eqNullSafe(gone.gone_id) & (sha == gone.gone_sha), "left_anti")
+    if found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return out
+    order = Window.partitionBy(own, sha).orderBy(F.length(whole_text(docs, text)).desc(), docs[text])
+    place = fresh_name(docs, "place")
+    return out.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
