@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_slices, materialize, whole_text
+from loomgraph.llm.common import byte_slices, fresh_name, materialize, whole_text
 from loomgraph.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -137,8 +137,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, node long, block int, counts binary")
 
 
-def named(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, raw, node): each row's text with the node of its own set."""
+def set_names(words: int):
+    """A vectorised function from text to its set's node, null without words."""
 
     @F.pandas_udf("long")
     def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -146,7 +146,7 @@ def named(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([node_of(s) if len(s := shingle(t)) else None for t in batch], dtype="Int64")
 
-    return docs.withColumn("node", node("raw"))
+    return node
 
 
 def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int, buckets: int, hot_list: int = HOT_LIST) -> DataFrame:
@@ -396,11 +396,12 @@ def cross_links(listed: DataFrame, texts: DataFrame, words: int, percent: int) -
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id per row: documents link at a Jaccard similarity of ``percent`` / 100 or more.
+    """doc_id, n_shingles, component_id, set_id, group_id per row: documents link at a Jaccard similarity of ``percent`` / 100 or more.
 
     A set is the distinct shingles of ``words`` words; with fewer words, all of them
     as one; without words (null texts too) it is empty and links with nothing.
-    component_id is the least doc_id that links reach. Rows that repeat an id are
+    component_id is the least doc_id that links reach; set_id names the set
+    and group_id, a set's name, all the sets that links join; both are null if the set is empty. Rows that repeat an id are
     one document each time; a null id stays alone with a null component; an empty
     table gives no rows; further columns are ignored. Sets and shingles are known by
     64-bit hashes: of n different sets, n*n/2**65 pairs are expected to be confused.
@@ -418,7 +419,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if sets.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         texts = source.join(wanted, "doc_id").select("node", "raw")
     else:
-        texts = named(source, words).join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "raw")
+        texts = source.withColumn("node", set_names(words)("raw")).join(wanted, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "raw")
     texts = materialize(texts, "nd-texts")
 
     # leaders
@@ -443,6 +444,26 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     components = connected_components(all_links)
 
     names = nodes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
-    of_node = nodes.join(components, "node", "left").join(names, "component", "left").select("node", F.coalesce("name", "least").alias("component_id"))
+    of_node = nodes.join(components, "node", "left").join(names, "component", "left").select("node", F.coalesce("name", "least").alias("component_id"), F.coalesce("component", "node").alias("group_id"))
     out = sets.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.col("node").alias("set_id"), "group_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, unchanged, that stay: of each group that links join, the document of the least id.
+
+    Texts without words (null ones too) and rows without an id stay. Where an id has
+    several texts, each set of it is a document, and the least of them by (id, set) stays;
+    rows that repeat both id and set are one document and stay together.
+    """
+    found = link_components(docs, words, percent, text, doc_id).where("set_id is not null and doc_id is not null").select("doc_id", "set_id", "component_id", "group_id").distinct()
+    own = docs[doc_id].cast("long")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))
+        return docs.join(gone, own == gone.gone_id, "left_anti")
+    stays = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "set_id")).alias("first"))
+    gone = found.join(stays, "group_id").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("set_id") != F.col("first.set_id")))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("set_id").alias("gone_set"))
+    place = fresh_name(docs, "set_of_row")
+    keyed = docs.withColumn(place, set_names(words)(whole_text(docs, text)))
+    return keyed.join(gone, (own == gone.gone_id) & (keyed[place] == gone.gone_set), "left_anti").select(*docs.columns)

@@ -24,6 +24,8 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
+#: Matches whose places are summed together.
+RUN = 64
 #: Bits a character that some window must reach, by class.
 LEAST_BITS = {"hex": 3.0, "mixed": 3.7}
 ALLOW = (
@@ -34,20 +36,33 @@ ALLOW = (
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern``, leftmost and not overlapping, as (start, end, match); code points, end exclusive."""
+    """All matches of ``pattern``, leftmost and not overlapping, as (start, end, match); code points, end exclusive.
+
+    Places are sums of the lengths before: within runs of RUN matches, then over the
+    runs, so that a text of many matches never copies a long array for each.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     start = lambda a, m: a["at"] + F.length(m["piece"])
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(found)).alias("piece"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    walk = lambda run: F.aggregate(
+        run,
+        begin,
         lambda a, m: F.struct(
             (start(a, m) + F.length(m["match"])).alias("at"),
             F.concat(a["spans"], F.array(F.struct(start(a, m).alias("start"), (start(a, m) + F.length(m["match"])).alias("end"), m["match"].alias("match")))).alias("spans"),
         ),
-        lambda a: a["spans"],
     )
-    return F.when(text.rlike(pattern), walk).otherwise(empty)
+    zipped = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("piece"), found.alias("match"))
+    runs = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda k: walk(F.slice(z, k * RUN + 1, RUN)))
+    moved = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match")))
+    joined_runs = lambda rs: F.aggregate(
+        rs,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,match:string>>>").alias("spans")),
+        lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["spans"], F.array(moved(r["spans"], a["at"]))).alias("spans")),
+        lambda a: F.flatten(a["spans"]),
+    )
+    return F.when(text.rlike(pattern), joined_runs(runs(zipped))).otherwise(empty)
 
 
 def most_bits(candidate: Column) -> Column:
@@ -127,11 +142,16 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every span of ``text`` replaced by ``mask``; other columns, and texts without spans, as they were."""
-    found = spans_of(docs, text).withColumn("_spans", F.sort_array(F.concat("_base", "_added")))
-    raw = F.col(text)
+    """The rows of ``docs`` with every span of ``text`` replaced by ``mask``; other columns, and texts without spans (null ones too), as they were.
+
+    Rows are independent: repeats and null ids pass through, and no column's name clashes with what is computed.
+    """
+    row = F.struct(*(docs[c] for c in docs.columns))
+    found = spans_of(docs.select(row.alias("row"), whole_text(docs, text).alias("text")))
+    spans = F.sort_array(F.concat("_base", "_added"))
+    raw = F.col("text")
     walk = F.aggregate(
-        "_spans",
+        F.col("spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
@@ -139,4 +159,6 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["done"].alias("done"))),
         lambda a: F.concat(a["done"], F.substring(raw, a["at"] + 1, F.length(raw))),
     )
-    return found.withColumn(text, F.when(F.size("_spans") > 0, walk).otherwise(raw)).select(*docs.columns)
+    masked = found.select("row", "text", spans.alias("spans"))
+    new = F.when(F.size("spans") > 0, walk).otherwise(F.col("row")[text])
+    return masked.select(*((new if c == text else F.col("row")[c]).alias(c) for c in docs.columns))

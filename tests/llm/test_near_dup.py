@@ -99,3 +99,19 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
+
+
+def test_rows_of_one_id_with_several_texts(frame):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    for rows, stay in (
+        ([(5, a), (5, b), (6, near(a)), (7, near(b)), (8, c)], {(5, a), (5, b), (8, c)}),
+        ([(2, near(a)), (5, a), (5, b)], {(2, near(a)), (5, b)}),
+        ([(5, a), (5, near(a)), (4, None), (4, ""), (None, a)], {(4, None), (4, ""), (None, a)}),
+    ):
+        docs = frame(rows)
+        kept = near_dup.drop_near_copies(docs)
+        got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+        assert kept.columns == docs.columns and got >= stay
+        assert len(got - stay) == (1 if (5, near(a)) in rows else 0)
+    assert near_dup.drop_near_copies(frame([])).count() == 0

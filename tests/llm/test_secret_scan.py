@@ -84,3 +84,20 @@ def test_redaction_masks_all_spans_and_keeps_the_rest(frame):
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(rows)).collect()}
     assert out == {1: "é [SECRET] and [SECRET] end", 2: "clean", 3: None}
     assert secret_scan.redact(frame(rows)).columns == frame(rows).columns
+
+
+def test_redact_keeps_columns_whatever_their_names(spark):
+    names = ["doc_id", "text", "_spans", "_base", "_assign", "_access", "_hex", "_added", "_candidates", "row", "spans"]
+    rows = [(1, "token = abcdefgh1234 x", *range(9)), (2, None, *range(9)), (2, None, *range(9)), (None, "", *range(9)), (3, "nothing", *range(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names[2:]))
+    out = secret_scan.redact(docs)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "[SECRET] x", *range(9)), *rows[1:]], key=repr)
+    assert secret_scan.redact(docs.limit(0)).count() == 0
+
+
+def test_many_matches_keep_their_places(spark):
+    text = "".join(f"ä {'0123456789abcdef' * 2} " for _ in range(4000))
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    places = [f"hex:{2 + 35 * k}:{34 + 35 * k}" for k in range(4000)]
+    assert found["n_hex"] == 4000 and found["spans"] == ",".join(places)
