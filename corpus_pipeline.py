@@ -18,20 +18,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays; rows that repeat id and text are one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts stays; rows that repeat an id too, and rows without one, are no exception."""
+    return exact_dedup.drop_copies(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share five-word shingles at a Jaccard similarity of 0.8 or more, linked in chains, the least id stays."""
-    found = near_dup.link_components(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    """Of documents that share five-word shingles at a Jaccard similarity of 0.8 or more, linked in chains, the least id stays.
+
+    Texts without words and rows without an id stay; where an id repeats, each of its sets is a document.
+    """
+    return near_dup.drop_near_copies(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text. No document goes."""
+    """Secrets are masked; n_chars follows the text, and stays as it was where the text is null. No document goes."""
     out = secret_scan.redact(docs)
     return out.withColumn("n_chars", F.when(out.text.isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
