@@ -184,10 +184,12 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Of rows that share the id and the normalised text, null ids too, the one of the
     most code points, then of the least text, stays.
     """
-    found = exact_dedup(docs, text, doc_id)
-    sha = F.sha2(normalised(whole_text(docs, text)), 256)
+    found = materialize(exact_dedup(docs, text, doc_id).select("doc_id", "text_sha256", "kept"), "exact-found")
     own = docs[doc_id].cast("long")
     gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids alone tell rows apart
+        return docs.join(gone, own.eqNullSafe(gone.gone_id), "left_anti")
+    sha = F.sha2(normalised(whole_text(docs, text)), 256)
     out = docs.join(gone, own.eqNullSafe(gone.gone_id) & (sha == gone.gone_sha), "left_anti")
     if found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
         return out

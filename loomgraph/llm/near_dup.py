@@ -33,9 +33,9 @@ SKETCH_BITS, SKETCH_BLOCKS = 21, 32
 BUCKET_POSTINGS = 400_000
 #: Postings whose nodes' sets a task compares at a time.
 CROSS_POSTINGS = 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Text that is described at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Postings of one element that a task should meet at most; longer lists are split.
 HOT_LIST = 20_000
 #: Marks, in a posting's position, that its list is split.
@@ -456,7 +456,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     several texts, each set of it is a document, and the least of them by (id, set) stays;
     rows that repeat both id and set are one document and stay together.
     """
-    found = link_components(docs, words, percent, text, doc_id).where("set_id is not null and doc_id is not null").select("doc_id", "set_id", "component_id", "group_id").distinct()
+    found = materialize(link_components(docs, words, percent, text, doc_id).where("set_id is not null and doc_id is not null").select("doc_id", "set_id", "component_id", "group_id").distinct(), "nd-found")
     own = docs[doc_id].cast("long")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"))

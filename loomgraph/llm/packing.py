@@ -27,9 +27,9 @@ from loomgraph.llm.common import materialize, ranges, whole_text
 
 CAPACITY, WIDTH = 2048, 8
 #: Words after which a cache becomes the old one, of which only words that occur again stay.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 200_000
 #: Text that is tokenized at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 #: New words that are encoded together.
 TOGETHER = 2000
 #: A token that ends a document while it is split: no UTF-8 text has this byte. Its id stands for it until it becomes the end id.

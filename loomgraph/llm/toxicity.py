@@ -26,9 +26,9 @@ TRAIN_DOCS = 1500
 WINDOW, STRIDE = 8, 4
 #: Windows of most score of each clean document that a training round reads.
 HARD = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Text that is scored at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Windows, spread over the whole text, of each toxic document before anything is known.
 FIRST = 8
 SIZES = (3, 4, 5, 6)
