@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.operators.cut import cut
 
 SEEDS, FACTOR = 256, 0.25
 WINDOW, LABEL_FILES, MIN_SUPPORT, KAPPA, STOP_SHARE = 4000, 20, 2, 1.0, 0.3
@@ -27,33 +28,39 @@ def frequency(deliveries: DataFrame) -> DataFrame:
     return prevalence(deliveries).join(F.broadcast(total)).select("file", (F.col("prevalence") / F.col("total")).alias("score"))
 
 
-def history_contributions(deliveries: DataFrame, tasks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, delivery_id, file, contribution): similarity of query and task text times recency, breadth, ubiquity, evidence and artifact factors.
+def similarities(tasks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query, task, similarity) of query and task texts that share a token, and (delivery_id, task): equal texts are one task."""
+    keyed = tasks.select("delivery_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("task"))
+    told = keyed.groupBy("task").agg(F.first("text").alias("text")).select("task", F.explode(S.tokens(F.col("text"))).alias("token"))
+    asked = queries.select("query", S.tokens(F.col("text")).alias("asked")).select("query", F.size("asked").alias("n"), F.explode("asked").alias("token"))
+    shared = asked.join(told, "token").groupBy("query", "task").agg((F.count(F.lit(1)) / F.max("n")).alias("similarity"))
+    return shared, keyed.select("delivery_id", "task")
 
-    queries: query, text. Only deliveries that share a token with the query are met.
-    """
-    told = tasks.select("delivery_id", S.tokens(F.col("text")).alias("tokens"))
-    asked = queries.select("query", S.tokens(F.col("text")).alias("asked"))
-    shared = (
-        asked.select("query", F.size("asked").alias("n"), F.explode("asked").alias("token"))
-        .join(told.select("delivery_id", F.explode("tokens").alias("token")), "token")
-        .groupBy("query", "delivery_id")
-        .agg((F.count(F.lit(1)) / F.max("n")).alias("similarity"))
-    )
+
+def delivery_weights(deliveries: DataFrame) -> DataFrame:
+    """(delivery_id, file, weight): recency, breadth, ubiquity, evidence and artifact factors of one delivery's change of a file."""
     total = deliveries.agg(F.countDistinct("delivery_id").alias("total"))  # one row
     breadth = deliveries.groupBy("delivery_id").agg(F.count(F.lit(1)).alias("breadth"))
-    met = shared.join(deliveries, "delivery_id").join(breadth, "delivery_id").join(prevalence(deliveries), "file").join(F.broadcast(total))
-    score = (
-        F.col("similarity") * S.recency(F.col("distance")) * S.ambiguity(F.col("breadth")) * S.ubiquity(F.col("prevalence"), F.col("total"))
-        * S.evidence_weight(F.col("verified")) * S.artifact_discount(F.col("file"))
+    met = deliveries.join(breadth, "delivery_id").join(prevalence(deliveries), "file").join(F.broadcast(total))
+    weight = (
+        S.recency(F.col("distance")) * S.ambiguity(F.col("breadth")) * S.ubiquity(F.col("prevalence"), F.col("total")) * S.evidence_weight(F.col("verified"))
+        * S.artifact_discount(F.col("file"))
     )
-    return met.select("query", "delivery_id", "file", score.alias("contribution"))
+    return met.select("delivery_id", "file", weight.alias("weight"))
 
 
-def history_scores(contributions: DataFrame) -> DataFrame:
-    """(query, file, score, deliveries, strongest)."""
-    return contributions.groupBy("query", "file").agg(
-        F.sum("contribution").alias("score"), F.countDistinct("delivery_id").alias("deliveries"), F.max("contribution").alias("strongest")
+def history_scores(deliveries: DataFrame, tasks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, file, score, deliveries, strongest): similarity of query and task text times each delivery's weight, over deliveries (one row per delivery and file).
+
+    queries: query, text. Only tasks that share a token with the query are met. All that depends on deliveries alone
+    is folded into one row per task and file before the queries join, so that what joins has as many rows as results need.
+    """
+    shared, told = similarities(tasks, queries)
+    weighed = delivery_weights(deliveries).join(told, "delivery_id")
+    folded = weighed.groupBy("task", "file").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
+    met = shared.join(folded, "task")
+    return met.groupBy("query", "file").agg(
+        F.sum(F.col("similarity") * F.col("weight")).alias("score"), F.sum("n").alias("deliveries"), F.max(F.col("similarity") * F.col("most")).alias("strongest")
     )
 
 
@@ -96,7 +103,7 @@ def recommend(deliveries: DataFrame, tasks: DataFrame, queries: DataFrame, limit
         return finalize(word_index_scores(word_index(deliveries, tasks), queries), limit)
     if variant not in ("combined", "task_search_only"):
         raise ValueError(f"unknown variant {variant!r}")
-    history = history_scores(history_contributions(deliveries, tasks, queries)).cache()
+    history = cut(history_scores(deliveries, tasks, queries))
     scores = history.select("query", "file", "score")
     if variant == "combined":
         scores = scores.unionByName(cochange_scores(history, cochange_rules(deliveries)).select("query", "file", "score"))

@@ -74,7 +74,7 @@ hist AS (SELECT query, file, sum(c) AS score, count(DISTINCT delivery_id) AS del
 
 
 def history(spark, d):
-    return R.history_scores(R.history_contributions(dv(spark, d), X.tasks(spark, d), items(spark, d)))
+    return R.history_scores(dv(spark, d), X.tasks(spark, d), items(spark, d))
 
 
 @query("rec_score_history", HISTORY + " SELECT query, file, round(score, 6) AS score, deliveries FROM hist")
