@@ -33,6 +33,27 @@ def pair_symbols(before: DataFrame, after: DataFrame) -> DataFrame:
     return exact.unionByName(like)
 
 
+def rebuild(stored: DataFrame, fresh: DataFrame, repository: str, branch: str, discard_verified: bool = False) -> DataFrame:
+    """The history after a scope (repository, branch) is rebuilt from ``fresh``: other scopes stay as they are, and so do the scope's deliveries that are more than Git's own record, unless discarded.
+
+    Both: repository, landing_branch, delivery_id, evidence and alike further columns. Of one id, what stays goes before what is fresh.
+    """
+    scope = (F.col("repository") == repository) & (F.col("landing_branch") == branch)
+    stays = stored.where(~F.coalesce(scope, F.lit(False)) | (F.lit(not discard_verified) & (F.col("evidence") != "git_only")))
+    named = stays.where(scope).select("delivery_id").distinct()
+    return stays.unionByName(fresh.where(scope).join(named, "delivery_id", "left_anti"))
+
+
+def backfill(stored: DataFrame, fresh: DataFrame, column: str, limit: int) -> DataFrame:
+    """``stored`` (delivery_id and a record) with ``column`` filled from ``fresh`` in at most ``limit`` deliveries that lack it, by id, where the records agree in all else."""
+    rest = [c for c in stored.columns if c not in (column, "delivery_id")]
+    chosen = stored.where(F.col(column).isNull()).select("delivery_id").orderBy("delivery_id").limit(limit).withColumn("chosen", F.lit(True))
+    new = fresh.select(F.col("delivery_id").alias("f_id"), F.struct(*rest).alias("f_rest"), F.col(column).alias("f_value"))
+    joined = stored.withColumn("own_rest", F.struct(*rest)).join(F.broadcast(chosen), "delivery_id", "left").join(new, F.col("delivery_id") == F.col("f_id"), "left")
+    agrees = F.col("chosen") & F.col("own_rest").eqNullSafe(F.col("f_rest"))
+    return joined.select(*(F.when(agrees, F.col("f_value")).otherwise(F.col(column)).alias(c) if c == column else F.col(c) for c in stored.columns))
+
+
 def lineage_steps(changes: DataFrame) -> DataFrame:
     """(seq, old_path, new_path) of renames, and of deletions with a null new_path."""
     moved = changes.where(F.col("kind").isin("renamed", "deleted"))

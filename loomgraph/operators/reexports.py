@@ -31,6 +31,26 @@ def reexport_closure(reexports: DataFrame, definitions: DataFrame, depth: int =
     return answers.select("module", "name", F.when(F.col("n") == 1, F.col("symbol_id")).alias("symbol_id"), F.when(F.col("n") == 1, "hit").otherwise("ambiguous").alias("answer"))
 
 
+def trait_defaults(refs: DataFrame, impls: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(ref_id, target_id) of references to ``Type::member`` that a trait's default body answers: the one declaration of the member among the traits that the type implements.
+
+    refs: ref_id, type, member, trait (null: any), scoped (the type is named by a path or an import); impls: type, trait, file;
+    declarations: id, trait, member. Without a scope the type must be implemented in one file only. Silent references have no row.
+    Types and members are asked once each, and traits and files are counts, so a type with many impls makes no list.
+    """
+    asked = refs.select("type", "member", "trait", "scoped").distinct()
+    wanted = asked.select(F.col("type"), "member", F.col("trait").alias("only"), "scoped")
+    of_type = impls.select("type", "trait", "file").distinct()
+    met = wanted.join(of_type, "type").where(F.col("only").isNull() | (F.col("only") == F.col("trait")))
+    files = met.groupBy("type", "member", "only", "scoped").agg(F.countDistinct("file").alias("files"))
+    found = met.select("type", "member", "only", "scoped", "trait").distinct().join(declarations.select("id", "trait", "member"), ["trait", "member"])
+    found = found.groupBy("type", "member", "only", "scoped").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("target_id")).where("n = 1")
+    keys = ["type", "member", "scoped"]
+    same = lambda a, b: (a.type == b.type) & (a.member == b.member) & (a.scoped == b.scoped)
+    sure = found.join(files, same(found, files) & found.only.eqNullSafe(files.only)).where(found.scoped | (F.col("files") == 1)).select(*(found[k] for k in keys), found.only, "target_id")
+    return refs.join(sure, same(refs, sure) & refs.trait.eqNullSafe(sure.only)).select("ref_id", "target_id")
+
+
 def type_members(refs: DataFrame, members: DataFrame) -> DataFrame:
     """(ref_id, target_id, confidence) of references to ``Type::name``: the best tier decides, one candidate in the own file is exact, one of all is import_resolved, else fuzzy.
 

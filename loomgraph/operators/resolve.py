@@ -33,6 +33,11 @@ def module_suffixes(module: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("::", F.slice(parts, k, F.size(parts) - k + 1)))
 
 
+def module_tail(module: Column) -> Column:
+    """The last segment. Prefixes are the module with fewer and fewer leading segments, so two modules share one just where they share this."""
+    return F.element_at(F.split(module, "::|/"), -1)
+
+
 def unique(group: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Per key the number of symbols and, summed, their ids: the id where there is one."""
     return group.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum("id").alias(f"{name}_sum"))
@@ -49,8 +54,8 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = Non
     keys = resolution_keys(refs)
     targets = symbols.where("kind <> 'impl'")
     in_file = unique(targets.select(F.col("file_path").alias("from_file"), "name", "id"), ["from_file", "name"], "file")
-    in_module = unique(targets.select("module", "lang", "name", "id"), ["module", "lang", "name"], "mod")
-    rungs = keys.join(in_file, ["from_file", "name"], "left").join(in_module, ["module", "lang", "name"], "left")
+    in_module = unique(targets.select(module_tail(F.col("module")).alias("tail"), "lang", "name", "id"), ["tail", "lang", "name"], "mod")
+    rungs = keys.withColumn("tail", module_tail(F.col("module"))).join(in_file, ["from_file", "name"], "left").join(in_module, ["tail", "lang", "name"], "left")
     none = F.lit(None).cast("long")
 
     wanted = keys.where("target is not null and not is_use").select("target", "lang").distinct()
@@ -76,13 +81,15 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = Non
     bare = F.col("target").isNull() & ~F.col("receiver_unknown")
     answer = lambda confidence, target: F.struct(F.lit(confidence).alias("confidence"), target.cast("long").alias("target_id"))
     fuzzy = answer("fuzzy_name", none)
+    # self:: and super:: are relative to the caller: its module goes before what others re-export
+    relative = (F.col("lang") == "rust") & F.col("target").rlike("^(?:self|super)::") & ~F.col("receiver_unknown")
     ladder = (
         F.when(F.col("is_runtime"), fuzzy)
         .when(bare & (F.col("file_n") == 1), answer("exact", F.col("file_sum")))
         .when(F.col("imp_n") == 1, answer("import_resolved", F.col("imp_sum")))
         .when(F.col("imp_n") > 1, fuzzy)
         .when(~F.col("is_use") & (F.col("path_n") == 1), answer("exact", F.col("path_sum")))
-        .when(bare & (others == 1), answer("same_module", other_sum))
+        .when((bare | relative) & (others == 1), answer("same_module", other_sum))
         .otherwise(fuzzy)
     )
     answers = rungs.select(*KEY, ladder.alias("answer")).select(*(F.col(k).alias(f"k_{k}") for k in KEY), "answer.confidence", "answer.target_id")
@@ -103,9 +110,9 @@ def dependents(before: DataFrame, after: DataFrame, refs: DataFrame) -> DataFram
 
 RESOLVED_SQL = r""",
 in_file AS (SELECT file_path, name, count(*) AS n, sum(id) AS s FROM symbols GROUP BY ALL),
-in_module AS (SELECT module, lang, name, count(*) AS n, sum(id) AS s FROM symbols GROUP BY ALL),
+in_module AS (SELECT split_part(module, '/', -1) AS tail, lang, name, count(*) AS n, sum(id) AS s FROM symbols GROUP BY ALL),
 refs AS (
   SELECT r.*, CASE WHEN f.n = 1 THEN 'exact' WHEN m.n - coalesce(f.n, 0) = 1 THEN 'same_module' ELSE 'fuzzy_name' END AS confidence,
          (CASE WHEN f.n = 1 THEN f.s WHEN m.n - coalesce(f.n, 0) = 1 THEN m.s - coalesce(f.s, 0) END)::BIGINT AS target_id
   FROM raw_refs r LEFT JOIN in_file f ON f.file_path = r.from_file AND f.name = r.name
-  LEFT JOIN in_module m ON m.module = r.module AND m.lang = r.lang AND m.name = r.name)"""
+  LEFT JOIN in_module m ON m.tail = split_part(r.module, '/', -1) AND m.lang = r.lang AND m.name = r.name)"""

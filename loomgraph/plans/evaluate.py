@@ -89,6 +89,67 @@ def grid(axes: dict[str, list], cap: int = 256) -> list[dict]:
     return [dict(zip(axes, c, strict=True)) for c in cells]
 
 
+def sweep(cases: DataFrame) -> DataFrame:
+    """(cell, mean_recall, mean_symbol_recall) of the best cell: by mean recall over the selection fold's cases, then by symbols, then the first cell.
+
+    cases: cell, hits, relevant, symbol_hits, symbol_relevant.
+    """
+    means = cases.groupBy("cell").agg(
+        F.coalesce(F.avg(F.try_divide(F.col("hits"), F.col("relevant"))), F.lit(0.0)).alias("mean_recall"),
+        F.coalesce(F.avg(F.try_divide(F.col("symbol_hits"), F.col("symbol_relevant"))), F.lit(0.0)).alias("mean_symbol_recall"),
+    )
+    return means.orderBy(F.desc("mean_recall"), F.desc("mean_symbol_recall"), "cell").limit(1)
+
+
+def corpus(cases: DataFrame, runs: DataFrame, truth: DataFrame, n: int = 5, k: int = GATE_K) -> DataFrame:
+    """(fold, variant, cases, recall, mean_recall, mrr) of the valid cases (case_id, cutoff, text): those with a text and something relevant, in rolling-origin folds.
+
+    runs: variant, query, doc, rank; truth: query, doc. ``query`` is the case's id.
+    """
+    valid = cases.where("length(trim(text)) > 0").join(truth.select(F.col("query").alias("case_id")).distinct(), "case_id", "left_semi")
+    placed = folds(valid, n).select(F.col("case_id").alias("query"), "fold")
+    found = per_case(runs, truth, k).join(placed, "query")
+    return found.groupBy("fold", "variant").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.try_divide(F.sum("hits"), F.sum("relevant")).alias("recall"),
+        F.avg(F.try_divide(F.col("hits"), F.col("relevant"))).alias("mean_recall"),
+        F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0))).alias("mrr"),
+    )
+
+
+def live_holdout(deliveries: DataFrame, held: int, k: int = GATE_K) -> DataFrame:
+    """(variant, cohort, cases, recall, mrr) of predicting the newest ``held`` deliveries' files from the deliveries of earlier days alone.
+
+    Variants rank all known files by how many deliveries changed them (frequency) or by the newest that did (recency), ties by name. Cohorts are
+    all held deliveries and the verified ones. A held delivery among those that are learnt from is an error.
+    """
+    from pyspark.sql import Window
+
+    newest = deliveries.select("delivery_id", "day", "distance", "verified").distinct().orderBy("distance", F.desc("delivery_id")).limit(held)  # ``held`` rows
+    first = newest.agg(F.min("day").alias("first_day"))  # one row
+    known = deliveries.join(F.broadcast(first), F.col("day") < F.col("first_day")).drop("first_day")
+    if known.join(F.broadcast(newest.select("delivery_id")), "delivery_id", "left_semi").limit(1).count():
+        raise ValueError("a held delivery is among those that are learnt from")
+    stats = known.groupBy("file").agg(F.countDistinct("delivery_id").alias("n"), F.min("distance").alias("last"))
+    ranked = stats.select(F.lit("frequency").alias("variant"), "file", (-F.col("n")).alias("key")).unionByName(stats.select(F.lit("recency").alias("variant"), "file", F.col("last").alias("key")))
+    # the first k files of each variant, by partial top-k
+    tops = None
+    for name in ("frequency", "recency"):
+        top = ranked.where(F.col("variant") == name).orderBy("key", "file").limit(k).withColumn("rank", F.row_number().over(Window.partitionBy("variant").orderBy("key", "file")))
+        tops = top if tops is None else tops.unionByName(top)
+    truth = deliveries.join(F.broadcast(newest.select("delivery_id")), "delivery_id", "left_semi").select("delivery_id", "verified", "file").distinct()
+    relevant = truth.groupBy("delivery_id", "verified").agg(F.count(F.lit(1)).alias("relevant"))
+    hits = truth.join(F.broadcast(tops.select("variant", "file", "rank")), "file").groupBy("delivery_id", "variant").agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first"))
+    names = F.explode(F.array(F.lit("frequency"), F.lit("recency"))).alias("variant")
+    cases = relevant.select("*", names).join(hits, ["delivery_id", "variant"], "left")
+    cohorts = F.explode(F.when(F.col("verified"), F.array(F.lit("all"), F.lit("verified"))).otherwise(F.array(F.lit("all")))).alias("cohort")
+    return cases.select("*", cohorts).groupBy("variant", "cohort").agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.avg(F.coalesce("hits", F.lit(0)) / F.col("relevant")).alias("recall"),
+        F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("first")), F.lit(0.0))).alias("mrr"),
+    )
+
+
 def gate(comparisons: dict[str, str], coverage: float, needed: tuple[str, ...]) -> str:
     """pass if every needed comparison lies above 0 and coverage suffices; unevaluable if one is missing."""
     if any(comparisons.get(name, "unevaluable") == "unevaluable" for name in needed):

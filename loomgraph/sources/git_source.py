@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -11,6 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from loomgraph.model import MAX_FILE_BYTES
 
 
+_HUNK = re.compile(rb"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.M)
+
+
 def git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, *args], check=True, capture_output=True).stdout
 
@@ -101,8 +105,51 @@ class GitHistory(DataSource):
         return HistoryReader(self.options)
 
 
+def hunks(repo: str, old: str | None, new: str | None, *options: str) -> list[tuple[int, int, int, int]]:
+    """(old first, old lines, new first, new lines) of what differs between two blobs; a missing side has no lines."""
+    if old is None or new is None:
+        n = len(git(repo, "cat-file", "blob", old or new).splitlines())
+        return [] if not n else [(1, n, 0, 0)] if new is None else [(0, 0, 1, n)]
+    found = _HUNK.findall(git(repo, "diff", "--no-color", "-U0", *options, old, new))
+    return [(int(a), int(b or 1), int(c), int(d or 1)) for a, b, c, d in found]
+
+
+class DeliveryReader(HistoryReader):
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        for _, commit, parent in partition.items:
+            base = parent or "4b825dc642cb6eb9a060e54bf8d69288fbee4904"  # the empty tree
+            fields = git(self.repo, "diff-tree", "-r", "-M", "-C", "-z", "--raw", "--no-abbrev", base, commit).split(b"\0")
+            k = 0
+            while k < len(fields) - 1:
+                _, _, old_blob, new_blob, kind = fields[k].decode().lstrip(":").split(" ")
+                moved = kind[0] in "RC"
+                old, new = (fields[k + j].decode("utf-8", "replace") for j in ((1, 2) if moved else (1, 1)))
+                before, after = (None if not b.strip("0") else b for b in (old_blob, new_blob))
+                changed = hunks(self.repo, before, after) if before != after else []
+                spaces = bool(changed) and None not in (before, after) and not hunks(self.repo, before, after, "-w")
+                yield (commit, parent, kind[0], None if before is None else old, None if after is None else new, changed, spaces)
+                k += 3 if moved else 2
+
+
+class GitDeliveries(DataSource):
+    """Changed files of first-parent commits with renames, copies, changed line ranges, and whether only white space changed: options of git_history."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_deliveries"
+
+    def schema(self) -> str:
+        return (
+            "commit string, parent string, change string, old_path string, new_path string, "
+            "hunks array<struct<old_first: long, old_lines: long, new_first: long, new_lines: long>>, whitespace_only boolean"
+        )
+
+    def reader(self, schema) -> DeliveryReader:
+        return DeliveryReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (GitTree, GitHistory):
+    for source in (GitTree, GitHistory, GitDeliveries):
         spark.dataSource.register(source)
 
 
