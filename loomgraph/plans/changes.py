@@ -14,7 +14,7 @@ def file_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     base, head: path, hash.
     """
     a, b = base.select(F.col("path").alias("old_path"), F.col("hash").alias("old_hash")), head.select(F.col("path").alias("new_path"), F.col("hash").alias("new_hash"))
-    joined = a.join(b, a.old_path == b.new_path, "full_outer").cache()
+    joined = cut(a.join(b, a.old_path == b.new_path, "full_outer"))
     modified = joined.where("old_path is not null and new_path is not null and old_hash <> new_hash").select(F.lit("modified").alias("status"), "old_path", "new_path")
     gone, come = joined.where("new_path is null").select("old_path", F.col("old_hash").alias("hash")), joined.where("old_path is null").select("new_path", F.col("new_hash").alias("hash"))
     single = lambda side, path: side.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(path).alias(path)).where("n = 1").drop("n")

@@ -13,6 +13,7 @@ from loomgraph.operators import graph_joins as J
 from loomgraph.operators import resolve as R
 from loomgraph.operators import search as B
 from loomgraph.operators import traverse as T
+from loomgraph.operators.cut import cut
 from loomgraph.sources.extract import extract
 from loomgraph.sources.store import Store
 from loomgraph.sources.worktree import classify, scan
@@ -58,7 +59,7 @@ class Graph:
         found = scan(self.store.spark, root or self.root).where("status = 'found'")
         first = self.store.manifest()["current"] is None
         known = found.select("path", "hash").limit(0) if first else self.store.read("files").select("path", "hash")
-        diff = classify(known, found, full).cache()
+        diff = cut(classify(known, found, full))
         counts = {r["status"]: r["n"] for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not first and not set(counts) - {"unchanged"}:
             return counts

@@ -517,9 +517,32 @@ def snapshot_symbols(documents: DataFrame) -> DataFrame:
     )
 
 
-@query("chg_ladder")
+#: Every rung of the comparison over what earlier rungs left.
+LADDER_SQL = CHANGES_SQL[: CHANGES_SQL.index("cb AS (SELECT selector")].replace("name, l.line FROM symbols", "name, s.kind, l.line FROM symbols").replace("name, l.line FROM h_symbols", "name, s.kind, l.line FROM h_symbols") + r"""
+a0 AS (SELECT selector, path, name, kind, line, split_part(line, '. ', 1) AS signature, regexp_replace(regexp_replace(lower(line), '\b' || name || '\b', '<identifier>', 'g'), '[ \t\r\n\f\x0B]+', '', 'g') AS body FROM b),
+b0 AS (SELECT selector, path, name, kind, line, split_part(line, '. ', 1) AS signature, regexp_replace(regexp_replace(lower(line), '\b' || name || '\b', '<identifier>', 'g'), '[ \t\r\n\f\x0B]+', '', 'g') AS body FROM h),
+ca AS (SELECT selector, count(*) AS n FROM a0 GROUP BY ALL), cb AS (SELECT selector, count(*) AS n FROM b0 GROUP BY ALL),
+ren AS (SELECT concat_ws('/', source, lang, doc_id) AS old_path, 'moved_' || concat_ws('/', source, lang, doc_id) AS new_path FROM documents WHERE doc_id % 13 = 0 AND doc_id % 11 <> 0),
+la0 AS (SELECT * FROM a0 WHERE selector NOT IN (SELECT selector FROM cb)), lb0 AS (SELECT * FROM b0 WHERE selector NOT IN (SELECT selector FROM ca)),
+moved AS (SELECT o, n FROM (SELECT new_path, name, kind, min(selector) AS o FROM la0 JOIN ren ON path = old_path GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT path, name, kind, min(selector) AS n FROM lb0 GROUP BY ALL HAVING count(*) = 1) y ON y.path = new_path AND x.name = y.name AND x.kind = y.kind),
+la1 AS (SELECT * FROM la0 WHERE selector NOT IN (SELECT o FROM moved)), lb1 AS (SELECT * FROM lb0 WHERE selector NOT IN (SELECT n FROM moved)),
+refile AS (SELECT o, n FROM (SELECT new_path, kind, min(selector) AS o FROM la1 JOIN ren ON path = old_path GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT path, kind, min(selector) AS n FROM lb1 GROUP BY ALL HAVING count(*) = 1) y ON y.path = new_path AND x.kind = y.kind),
+la2 AS (SELECT * FROM la1 WHERE selector NOT IN (SELECT o FROM refile)), lb2 AS (SELECT * FROM lb1 WHERE selector NOT IN (SELECT n FROM refile)),
+renamed AS (SELECT o, n FROM (SELECT path, kind, body, min(selector) AS o FROM la2 GROUP BY ALL HAVING count(*) = 1) JOIN (SELECT path, kind, body, min(selector) AS n FROM lb2 GROUP BY ALL HAVING count(*) = 1) USING (path, kind, body)),
+la3 AS (SELECT * FROM la2 WHERE selector NOT IN (SELECT o FROM renamed)), lb3 AS (SELECT * FROM lb2 WHERE selector NOT IN (SELECT n FROM renamed)),
+crossing AS (SELECT DISTINCT name, kind FROM la3 JOIN lb3 USING (name, kind)),
+ladder AS (
+  SELECT CASE WHEN a0.signature <> b0.signature THEN 'signature_changed' ELSE 'modified' END AS status, selector AS old_selector, selector AS new_selector FROM a0 JOIN b0 USING (selector) JOIN ca USING (selector) JOIN cb USING (selector) WHERE ca.n = 1 AND cb.n = 1 AND a0.line <> b0.line
+  UNION SELECT 'uncertain', selector, selector FROM ca JOIN cb USING (selector) WHERE ca.n > 1 OR cb.n > 1
+  UNION SELECT 'moved', o, n FROM moved UNION SELECT 'renamed', o, n FROM refile UNION SELECT 'renamed', o, n FROM renamed
+  UNION SELECT CASE WHEN (name, kind) IN (SELECT (name, kind) FROM crossing) THEN 'uncertain' ELSE 'removed' END, selector, NULL FROM la3
+  UNION SELECT CASE WHEN (name, kind) IN (SELECT (name, kind) FROM crossing) THEN 'uncertain' ELSE 'added' END, NULL, selector FROM lb3)
+SELECT status, old_selector, new_selector FROM ladder"""
+
+
+@query("chg_ladder", LADDER_SQL)
 def chg_ladder(spark, d):
-    """All rungs, with the moved documents as renamed files; the rungs' counts are held against the edits in the tests."""
+    """All rungs, with the moved documents as renamed files; each rung takes what earlier ones left."""
     from loomgraph.plans.changes import changed_symbols
 
     base = docs(spark, d)

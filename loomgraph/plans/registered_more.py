@@ -16,6 +16,7 @@ from loomgraph.plans import evidence as E
 from loomgraph.plans import recommend as R
 from loomgraph.plans import registered_graph as G
 from loomgraph.plans import registered_rank as K
+from loomgraph.plans import registered_scalars as L
 from loomgraph.plans.catalog import query
 from loomgraph.sources import fixtures as X
 from loomgraph.sources import worktree as W
@@ -32,14 +33,31 @@ def ev_no_path_reasons(spark, d):
     return E.no_path_reasons(G.origins(spark, d), T.evidence_paths(G.edges(spark, d), G.origins(spark, d), depth=1))
 
 
-@query("ev_entry_points")
+@query("ev_entry_points", G.PATHS_SQL[: G.PATHS_SQL.rindex("SELECT origin, node, distance, array_to_string")] + """, paths AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+best AS (SELECT origin, node, min(distance) AS distance FROM paths GROUP BY ALL), inn AS (SELECT DISTINCT origin, nodes[-2] AS node FROM paths),
+h AS (SELECT DISTINCT 'd' || length(event_type) % 7 AS handler FROM events)
+SELECT * FROM (SELECT b.origin, b.node, distance, CASE WHEN handler IS NOT NULL THEN 'command' WHEN regexp_matches(name, '^[Tt]est') OR kind = 'test' THEN 'test' WHEN name = 'main' THEN 'main' WHEN inn.node IS NULL THEN 'uncalled' END AS rule
+FROM best b JOIN symbols s ON s.id = b.node LEFT JOIN h ON handler = s.qualified LEFT JOIN inn ON inn.origin = b.origin AND inn.node = b.node) WHERE rule IS NOT NULL""")
 def ev_entry_points(spark, d):
     return E.entry_points(G.ev_inbound(spark, d), G.symbols(spark, d), G.commands(spark, d))
 
 
-@query("ev_candidate_tests")
+TESTS_SQL = G.PATHS_SQL[: G.PATHS_SQL.rindex("SELECT origin, node, distance, array_to_string")] + """, paths AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+tests AS (SELECT id AS test_id, name AS test_name, file_path AS test_file FROM symbols WHERE regexp_matches(name, '^[Tt]est') OR kind = 'test'),
+org AS (SELECT DISTINCT origin, name, file_path, doc_id FROM paths JOIN symbols ON id = origin)
+SELECT origin, test_id, 'call_path' AS source FROM paths JOIN tests ON node = test_id
+UNION SELECT origin, test_id, 'import_relationship' FROM org JOIN (SELECT test_id, split_part(test_file, '/', -1)::BIGINT + 1 AS doc FROM tests) t ON org.doc_id = t.doc
+UNION SELECT origin, test_id, 'naming_heuristic' FROM org JOIN tests ON lower(name) = lower(regexp_replace(regexp_replace(test_name, '^(?:test_|Test|test)', ''), '(?:_test|Tests?|_spec|Spec)$', ''))
+  WHERE regexp_replace(regexp_replace(test_name, '^(?:test_|Test|test)', ''), '(?:_test|Tests?|_spec|Spec)$', '') <> '' AND test_id <> origin"""
+
+
+@query("ev_candidate_tests", TESTS_SQL)
 def ev_candidate_tests(spark, d):
-    return E.candidate_tests(G.ev_inbound(spark, d), G.symbols(spark, d), G.imports(spark, d))
+    """A file with a test imports the module of the document after it, by language and number."""
+    docs, symbols = G.docs(spark, d), G.symbols(spark, d)
+    testing = symbols.where(S.is_test_symbol(F.col("name"), F.col("kind"))).select(F.col("file_path").alias("from_file"), (F.col("doc_id") + 1).alias("next")).distinct()
+    imports = testing.join(docs, F.col("next") == docs.doc_id).select("from_file", F.concat_ws(".", "lang", docs.doc_id.cast("string")).alias("target_path"))
+    return E.candidate_tests(G.ev_inbound(spark, d), symbols, imports)
 
 
 @query("q_runtime_invocations", G.EDGES_SQL + " SELECT ref_id, inner_id FROM inner_of")
@@ -65,7 +83,7 @@ def filter_change_kind(spark, d):
 
 
 def rung(name: str, *statuses: str):
-    @query(name)
+    @query(name, G.LADDER_SQL + " WHERE status IN (" + ", ".join(f"'{s}'" for s in statuses) + ")")
     def run(spark, d):
         return G.chg_ladder(spark, d).where(F.col("status").isin(*statuses))
 
@@ -221,7 +239,18 @@ def eval_prepend(spark, d):
     return B.prepend(both.where("run = 'bm25'"), both.where("run = 'overlap'")).where("rank <= 50")
 
 
-@query("eval_gates")
+PAIRED_SQL = K.TRUTH + """, d AS (SELECT 0 AS g, query, a.hits / a.relevant - b.hits / b.relevant AS v FROM cases a JOIN cases b USING (query) WHERE a.variant = 'bm25' AND b.variant = 'overlap'),
+""" + L.bootstrap_sql("SELECT g, v FROM d").replace("ORDER BY v) - 1 AS k", "ORDER BY query) - 1 AS k").replace("(SELECT g, v FROM d)", "d") + """,
+verdicts AS (SELECT 'recall' AS metric, (SELECT count(*) FROM d) AS n, (SELECT avg(v) FROM d) AS mean_difference, low, high, CASE WHEN low > 0 THEN 'above' WHEN high < 0 THEN 'below' ELSE 'undecided' END AS verdict FROM ci)"""
+
+
+@query("eval_paired", PAIRED_SQL + " SELECT metric, n, round(mean_difference, 6) AS mean_difference, round(low, 6) AS low, round(high, 6) AS high, verdict FROM verdicts")
+def eval_paired(spark, d):
+    found = V.paired(K.cases(spark, d), "bm25", "overlap")
+    return found.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("mean_difference", "low", "high")), "verdict")
+
+
+@query("eval_gates", PAIRED_SQL + """ SELECT 'G1' AS gate, CASE WHEN coverage >= 0.5 AND verdict = 'above' THEN 'pass' ELSE 'fail' END AS state, coverage FROM verdicts, (SELECT avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS coverage FROM cases)""")
 def eval_gates(spark, d):
     cases = K.cases(spark, d)
     verdict = V.paired(cases, "bm25", "overlap").first()
@@ -254,7 +283,9 @@ def join_program_name(spark, d):
     return sites.join(names, sites.base == names.name).select("event_id", "name")
 
 
-@query("read_source_window")
+@query("read_source_window", """WITH l AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 65536),
+c AS (SELECT doc_id, max(256 * k) AS c FROM l, range(257) t(k) WHERE strlen(left(text, 256 * k)) <= 65536 GROUP BY doc_id), f AS (SELECT doc_id, max(c + k) AS chars FROM l JOIN c USING (doc_id), range(256) t(k) WHERE strlen(left(text, c + k)) <= 65536 GROUP BY doc_id)
+SELECT doc_id, coalesce(chars, length(text))::BIGINT AS chars, strlen(text) > 65536 AS truncated FROM documents LEFT JOIN f USING (doc_id)""")
 def read_source_window(spark, d):
     """The first 64 KiB of every document, as ``show`` returns them, cut between characters."""
     docs = G.docs(spark, d)
@@ -354,7 +385,12 @@ def eval_mentions(spark, d):
     return fn_explicit_mentions(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("symbol_id")).cast("long"))
 
 
-@query("hist_pair_symbols")
+@query("hist_pair_symbols", G.HEAD_GRAPH_SQL + """,
+a AS (SELECT doc_id, id, qualified, kind, span_end - span_start AS sig FROM symbols WHERE kind = 'function'), b AS (SELECT doc_id, id, qualified, kind, span_end - span_start AS sig FROM h_symbols WHERE kind = 'function'),
+ex AS (SELECT doc_id, x.i AS before_id, y.i AS after_id FROM (SELECT doc_id, qualified, kind, min(id) AS i FROM a GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT doc_id, qualified, kind, min(id) AS i FROM b GROUP BY ALL HAVING count(*) = 1) y USING (doc_id, qualified, kind)),
+la AS (SELECT * FROM a WHERE (doc_id, id) NOT IN (SELECT (doc_id, before_id) FROM ex)), lb AS (SELECT * FROM b WHERE (doc_id, id) NOT IN (SELECT (doc_id, after_id) FROM ex)),
+si AS (SELECT doc_id, x.i AS before_id, y.i AS after_id FROM (SELECT doc_id, kind, sig, min(id) AS i FROM la GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT doc_id, kind, sig, min(id) AS i FROM lb GROUP BY ALL HAVING count(*) = 1) y USING (doc_id, kind, sig))
+SELECT doc_id AS delivery_id, before_id, after_id, 'exact' AS how FROM ex UNION ALL SELECT doc_id, before_id, after_id, 'signature' FROM si""")
 def hist_pair_symbols(spark, d):
     """Line functions of each document before and after the edits."""
     side = lambda docs: X.symbols(docs).where("kind = 'function'").select(F.col("doc_id").alias("delivery_id"), "id", "qualified", "kind", (F.col("span_end") - F.col("span_start")).cast("string").alias("signature"))

@@ -144,7 +144,7 @@ def win_newest_n(spark, d):
 
 @query("agg_df_term", WORDS + " SELECT term, df FROM df")
 def agg_df_term(spark, d):
-    rows = R.index_window(dv(spark, d)).select("delivery_id").distinct().cache()
+    rows = R.index_window(dv(spark, d)).select("delivery_id").distinct()
     n = rows.count()
     told = X.tasks(spark, d).join(rows, "delivery_id", "left_semi").select(F.explode(S.tokens(F.col("text"))).alias("term"))
     return told.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= R.STOP_SHARE * F.lit(n))
@@ -302,9 +302,6 @@ def agg_live_mrr(spark, d):
     return met.groupBy(F.col("run").alias("variant"), F.col("lang").alias("cohort")).agg(F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
 
 
-@query("eval_paired")
-def eval_paired(spark, d):
-    return E.paired(cases(spark, d), "bm25", "overlap")
 
 
 @query("eval_folds", "SELECT o_orderkey AS case_id, o_orderdate AS cutoff, ntile(5) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS fold FROM orders")

@@ -155,9 +155,9 @@ def fn_signature_line(spark, d):
     return table(spark, d, "documents").select("doc_id", S.signature_line(F.col("text")).alias("signature"))
 
 
-@query("fn_body_normalize", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', '<identifier>', 'g'), '[ \\t\\r\\n\\f\\x0B]+', '', 'g') AS body FROM documents WHERE text !~ '.*[^\\x00-\\x7f].*'".replace(" WHERE text !~ '.*[^\\x00-\\x7f].*'", " WHERE strlen(text) = length(text)"))
+@query("fn_body_normalize", "SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', '<identifier>', 'g'), '[ \\t\\r\\n\\f\\x0B]+', '', 'g') AS body FROM documents")
 def fn_body_normalize(spark, d):
-    """All documents. The boundary is an ASCII one on both sides of a name, in any script; the SQL asks for ASCII documents only, so it lacks the others."""
+    """All documents. The boundary is an ASCII one on both sides of a name, in any script, as the SQL engine's is."""
     return table(spark, d, "documents").select("doc_id", S.body_normalize(F.col("text"), F.lit("the")).alias("body"))
 
 
@@ -218,19 +218,46 @@ def pred_is_test_symbol(spark, d):
     return symbols(spark, d).select("id", S.is_test_symbol(F.col("name"), F.col("kind")).alias("is_test"))
 
 
-@query("fn_terms")
+#: Terms by list functions; case boundaries become spaces, as the SQL engine's expressions have no look-around.
+TERMS_SQL = r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', ' ', 'g'), '\b[A-Z][A-Z0-9]*-\d+\b', ' ', 'g'),
+  '[A-Za-z0-9]+(?:[_./:-]+[A-Za-z0-9]+)*')) AS w, generate_subscripts(regexp_extract_all(regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', ' ', 'g'), '\b[A-Z][A-Z0-9]*-\d+\b', ' ', 'g'),
+  '[A-Za-z0-9]+(?:[_./:-]+[A-Za-z0-9]+)*'), 1) AS i FROM benchmark),
+s AS (SELECT item_id, i, regexp_replace(w, '\.(?:rs|py|js|ts|tsx|jsx|go|java|kt|cs|rb|c|h|md|toml|yaml|yml|json)$', '') AS stem FROM w WHERE NOT regexp_full_match(w, '\d+') AND NOT (regexp_full_match(w, '[0-9a-fA-F]{7,}') AND regexp_matches(w, '\d'))),
+p AS (SELECT item_id, i, stem, regexp_split_to_array(regexp_replace(regexp_replace(stem, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[_./:-]+| ') AS ps FROM s),
+q AS (SELECT item_id, i, CASE WHEN len(ps) > 1 THEN list_append(ps, split_part(stem, '/', -1)) ELSE ps END AS ps FROM p),
+l AS (SELECT item_id, i, generate_subscripts(ps, 1) AS j, lower(unnest(ps)) AS t FROM q),
+f AS (SELECT item_id, i, j, CASE WHEN length(t) >= 4 AND regexp_matches(t, '[^siu]s$') THEN t[:-2] ELSE t END AS t FROM l),
+terms AS (SELECT item_id, list(t ORDER BY i, j) AS ts FROM f WHERE length(t) BETWEEN 2 AND 40 AND NOT regexp_full_match(t, '\d+') AND t NOT IN (""" + ", ".join(f"'{w}'" for w in W.STOP_WORDS) + r""") GROUP BY item_id)
+SELECT item_id, coalesce(array_to_string({0}, ' '), '') AS terms FROM benchmark LEFT JOIN terms USING (item_id)"""
+
+
+@query("fn_terms", TERMS_SQL.replace("{0}", "list_sort(list_distinct(ts))"))
 def fn_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.sort_array(W.terms(F.col("text"))), " ").alias("terms"))
 
 
-@query("fn_term_sequence")
+@query("fn_term_sequence", TERMS_SQL.replace("{0}", "ts"))
 def fn_term_sequence(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(W.term_sequence(F.col("text")), " ").alias("terms"))
 
 
-@query("fn_bootstrap_interval")
+def bootstrap_sql(values: str) -> str:
+    """``values``: a query of (g, v). The CTEs that end in ``ci`` (g, n, mean, low, high): resampled by the splitmix sequence, 2000 times, in blocks of about two million draws."""
+    shift = "(({0})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    mix = lambda z, by: f"xor({z}, {z} >> {by})"
+    return f"""bv AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM ({values})),
+bn AS (SELECT g, n, greatest(1, 2000000 // n) AS block FROM bv GROUP BY ALL HAVING n > 1),
+br AS (SELECT g, n, r, r // block * block AS a FROM bn, range(2000) t(r)), bd AS (SELECT g, n, r, 20260907 + a * n AS seed, (r - a) * n + j + 1 AS i FROM br, range((SELECT max(n) FROM bn)) u(j) WHERE j < n),
+z0 AS (SELECT g, n, r, {shift.format("seed::UHUGEINT + i::UHUGEINT * 11400714819323198485::UHUGEINT")} AS z FROM bd), z1 AS (SELECT g, n, r, {mix("z", 30)} AS z FROM z0),
+z2 AS (SELECT g, n, r, {shift.format("z::UHUGEINT * 13787848793156543929::UHUGEINT")} AS z FROM z1), z3 AS (SELECT g, n, r, {mix("z", 27)} AS z FROM z2),
+z4 AS (SELECT g, n, r, {shift.format("z::UHUGEINT * 10723151780598845931::UHUGEINT")} AS z FROM z3), z5 AS (SELECT g, n, r, {mix("z", 31)} % n AS k FROM z4),
+bm AS (SELECT z5.g, r, avg(v) AS m FROM z5 JOIN bv ON bv.g = z5.g AND bv.k = z5.k GROUP BY ALL),
+ci AS (SELECT g, count(*) AS rs, (list(m ORDER BY m))[50] AS low, (list(m ORDER BY m))[1950] AS high FROM bm GROUP BY g)"""
+
+
+@query("fn_bootstrap_interval", "WITH " + bootstrap_sql("SELECT o_orderpriority AS g, avg(o_totalprice) AS v FROM orders GROUP BY o_orderpriority, date_trunc('month', o_orderdate)") + " SELECT g AS priority, round(low, 2) AS low, round(high, 2) AS high FROM ci")
 def fn_bootstrap_interval(spark, d):
-    """Interval of the mean quantity of each return flag's orders."""
+    """Interval of the mean of each priority's monthly mean prices."""
     import pandas as pd
 
     from loomgraph.plans.evaluate import bootstrap_interval
@@ -239,8 +266,9 @@ def fn_bootstrap_interval(spark, d):
         low, high = bootstrap_interval(part["mean"].sort_values().to_numpy(float)) or (None, None)
         return pd.DataFrame({"priority": [part["priority"].iloc[0]], "low": [low], "high": [high]})
 
-    per_day = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("mean"))
-    return per_day.select("priority", "mean").groupBy("priority").applyInPandas(run, "priority string, low double, high double")
+    per_month = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.trunc("o_orderdate", "month").alias("month")).agg(F.avg("o_totalprice").alias("mean"))
+    found = per_month.select("priority", "mean").groupBy("priority").applyInPandas(run, "priority string, low double, high double")
+    return found.select("priority", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
 @query("fn_trailer_task_ids", "SELECT o_orderkey, 'T-' || o_custkey || ',U-1' AS ids FROM orders")
