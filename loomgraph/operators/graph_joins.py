@@ -2,19 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.model import CALLABLE_KINDS
 from loomgraph.operators.cut import cut
 
+#: Bytes of the blocks in which references meet the symbols around them.
+SPAN_BLOCK = 4096
+
+
+def around(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``refs`` with s_id and s_size of every symbol around them.
+
+    A symbol stands in each block of SPAN_BLOCK bytes that it covers and a reference in the one where it starts, so both
+    meet by file and block: a large file is many keys, and a reference meets only what reaches its block.
+    """
+    block = lambda at: F.floor(at / SPAN_BLOCK).cast("long")
+    covered = F.explode(F.sequence(block(F.col("span_start")), block(F.greatest("span_end", "span_start"))))
+    s = symbols.select(F.col("file_path").alias("s_file"), F.col("id").alias("s_id"), F.col("span_start").alias("s_start"), F.col("span_end").alias("s_end"), covered.alias("s_block"))
+    met = refs.join(s, (refs.from_file == s.s_file) & (block(refs.span_start) == s.s_block) & (s.s_start <= refs.span_start) & (s.s_end >= refs.span_end))
+    return met.select(*(refs[c] for c in refs.columns), "s_id", (F.col("s_end") - F.col("s_start")).alias("s_size"))
+
 
 def innermost(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each reference with the smallest symbol around it (ties: the least id), null at the top of a file."""
-    s = symbols.select(F.col("file_path").alias("s_file"), F.col("id").alias("s_id"), F.col("span_start").alias("s_start"), F.col("span_end").alias("s_end"))
-    joined = refs.join(s, (refs.from_file == s.s_file) & (s.s_start <= refs.span_start) & (s.s_end >= refs.span_end), "left")
-    best = joined.groupBy(refs.id).agg(F.min_by("s_id", F.struct(F.col("s_end") - F.col("s_start"), F.col("s_id"))).alias("inner_id"))
-    return best.select(F.col("id").alias("ref_id"), "inner_id")
+    best = around(refs, symbols).groupBy("id").agg(F.min(F.struct("s_size", "s_id")).alias("best")).select(F.col("id").alias("b_id"), F.col("best.s_id").alias("inner_id"))
+    return refs.join(best, refs.id == best.b_id, "left").select(refs.id.alias("ref_id"), "inner_id")
+
+
+def innermost_ranked(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The same by rank, without the references at the top of a file."""
+    order = Window.partitionBy("id").orderBy("s_size", "s_id")
+    return around(refs, symbols).withColumn("place", F.row_number().over(order)).where("place = 1").select(F.col("id").alias("ref_id"), F.col("s_id").alias("inner_id"))
+
+
+def program_sites(sites: DataFrame, names: DataFrame) -> DataFrame:
+    """Invocation sites (with the base name that they call) of programs that the manifests declare."""
+    return sites.join(names.select(F.col("name").alias("p_name")).distinct(), F.col("base") == F.col("p_name")).select(*sites.columns)
+
+
+def single(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys no other row has."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return rows.withColumn("same", n).where("same = 1").drop("same")
+
+
+def resolve_selectors(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_path, name, kind, id) of selectors (file_path, name, kind): a symbol of that qualified name, else of that name, the first in the file. Two equi-joins, no OR."""
+    s = symbols.select("file_path", "kind", "id", "span_start", F.col("name").alias("s_name"), "qualified")
+    keys = ["file_path", "name", "kind"]
+    exact = wanted.join(s.select("file_path", F.col("qualified").alias("name"), "kind", "span_start", "id"), keys).select(*keys, F.lit(False).alias("by_name"), "span_start", "id")
+    named = wanted.join(s.select("file_path", F.col("s_name").alias("name"), "kind", "span_start", "id"), keys).select(*keys, F.lit(True).alias("by_name"), "span_start", "id")
+    best = exact.unionByName(named).groupBy(*keys).agg(F.min(F.struct("by_name", "span_start", "id")).alias("best"))
+    return best.select(*keys, F.col("best.id").alias("id"))
+
+
+def source_windows(symbols: DataFrame, files: DataFrame, limit: int = 65536) -> DataFrame:
+    """``symbols`` with window: the bytes of their span in files (path, content), ``limit`` at most."""
+    body = files.select(F.col("path").alias("f_path"), "content")
+    span = F.substring("content", F.col("span_start").cast("int") + 1, F.least(F.col("span_end") - F.col("span_start"), F.lit(limit)).cast("int"))
+    return symbols.join(body, symbols.file_path == body.f_path).select(*(symbols[c] for c in symbols.columns), span.alias("window"))
+
+
+def overview(files: DataFrame, symbols: DataFrame, limit: int = 20) -> DataFrame:
+    """(path, lang, n): the files of most symbols, at most ``limit``, ties by path."""
+    n = symbols.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return files.select("path", "lang").join(n, "path", "left").select("path", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy(F.desc("n"), "path").limit(limit)
+
+
+def dependencies(imports: DataFrame, scope: str = "") -> DataFrame:
+    """Distinct imports of the files at or below ``scope``."""
+    within = F.lit(True) if not scope else (F.col("from_file") == scope) | F.col("from_file").startswith(scope.rstrip("/") + "/")
+    return imports.where(within).distinct()
 
 
 def enclosed_calls(symbols: DataFrame, refs: DataFrame) -> DataFrame:

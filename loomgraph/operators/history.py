@@ -54,6 +54,11 @@ def backfill(stored: DataFrame, fresh: DataFrame, column: str, limit: int) -> Da
     return joined.select(*(F.when(agrees, F.col("f_value")).otherwise(F.col(column)).alias(c) if c == column else F.col(c) for c in stored.columns))
 
 
+def status(deliveries: DataFrame) -> DataFrame:
+    """(scope, deliveries, verified, first_at, last_at) of deliveries (scope, verified, at)."""
+    return deliveries.groupBy("scope").agg(F.count(F.lit(1)).alias("deliveries"), F.count(F.when(F.col("verified"), 1)).alias("verified"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
 def lineage_steps(changes: DataFrame) -> DataFrame:
     """(seq, old_path, new_path) of renames, and of deletions with a null new_path."""
     moved = changes.where(F.col("kind").isin("renamed", "deleted"))

@@ -91,6 +91,25 @@ def out_of_scope(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     return bare.select("path", F.when(F.col("status") == "deleted", "deleted").otherwise("no_symbols").alias("reason"))
 
 
+def test_selection(edges: DataFrame) -> DataFrame:
+    """(test_id, strongest, changed): of each source, its strongest category and how many targets it reaches."""
+    return edges.groupBy(F.col("src").alias("test_id")).agg(F.min("category").cast("long").alias("strongest"), F.countDistinct("dst").alias("changed"))
+
+
+def selection(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qualified, n): how many symbols each wanted name selects; names without any are left out."""
+    return symbols.join(wanted.select("qualified").distinct(), "qualified", "left_semi").groupBy("qualified").agg(F.count(F.lit(1)).alias("n"))
+
+
+def callers(edges: DataFrame, limit: int = 10) -> DataFrame:
+    """(symbol_id, caller_id, callers_found): of each target the first ``limit`` sources by category, then id, and how many there are."""
+    from pyspark.sql import Window
+
+    part = Window.partitionBy("dst")
+    placed = edges.withColumns({"place": F.row_number().over(part.orderBy("category", "src")), "callers_found": F.count(F.lit(1)).over(part)})
+    return placed.where(F.col("place") <= limit).select(F.col("dst").alias("symbol_id"), F.col("src").alias("caller_id"), "callers_found")
+
+
 def filter_log(removed: DataFrame, examples: int = 5) -> DataFrame:
     """(reason, removed, examples): the count of what a filter removed, and its first examples by name."""
     from pyspark.sql import Window

@@ -72,11 +72,12 @@ def paired(cases: DataFrame, left: str, right: str) -> DataFrame:
     return joined.groupBy("all").applyInPandas(interval, "metric string, n long, mean_difference double, low double, high double, verdict string")
 
 
-def folds(cases: DataFrame, n: int = 5) -> DataFrame:
-    """Rolling-origin folds: cases by (cutoff, id) in n consecutive parts of like size. Evaluation cases are few; one task orders them."""
+def folds(cases: DataFrame, n: int = 5, *within: str) -> DataFrame:
+    """Rolling-origin folds: cases by (cutoff, id) in n consecutive parts of like size, of each group if ``within`` names one. Evaluation cases are few; one task orders a group."""
     from pyspark.sql import Window
 
-    return cases.withColumn("fold", (F.ntile(n).over(Window.orderBy("cutoff", "case_id")) - 1).cast("long"))
+    order = Window.partitionBy(*within or [F.lit(0)]).orderBy("cutoff", "case_id")
+    return cases.withColumn("fold", (F.ntile(n).over(order) - 1).cast("long"))
 
 
 def grid(axes: dict[str, list], cap: int = 256) -> list[dict]:

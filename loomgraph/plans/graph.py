@@ -97,8 +97,9 @@ class Graph:
             raise ValueError(f"not a symbol selector: {selector}")
         path, rest = body.split("#", 1)
         name, kind = rest.rsplit(":", 1)
-        found = self.table("symbols").where((F.col("file_path") == path) & (F.col("kind") == kind) & ((F.col("qualified") == name) | (F.col("name") == name)))
-        rows = found.orderBy(F.col("qualified") != name, "span_start").limit(1).collect()
+        symbols = self.table("symbols").where((F.col("file_path") == path) & (F.col("kind") == kind))
+        found = J.resolve_selectors(symbols.sparkSession.createDataFrame([(path, name, kind)], "file_path string, name string, kind string"), symbols).select(F.col("id").alias("r_id"))
+        rows = symbols.join(found, F.col("id") == F.col("r_id")).drop("r_id").limit(1).collect()
         return rows[0].asDict() if rows else None
 
     def refs(self, selector: str, floor: str = "same_module", kind: str | None = None) -> dict:
@@ -148,8 +149,7 @@ class Graph:
         return self.table("symbols").where(F.col("file_path").startswith(scope)).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "kind")
 
     def deps(self, scope: str) -> DataFrame:
-        i = self.table("imports")
-        return i.where((F.col("from_file") == scope) | F.col("from_file").startswith(scope.rstrip("/") + "/")).distinct().orderBy("from_file", "target_path", F.asc_nulls_first("target_symbol"))
+        return J.dependencies(self.table("imports"), scope).orderBy("from_file", "target_path", F.asc_nulls_first("target_symbol"))
 
     def implementors(self, name: str) -> DataFrame:
         return self.table("relations").where(F.col("kind").isin(*STRUCTURAL_KINDS) & (S.trailing_segment(F.regexp_replace("target", r"\.", "::")) == name)).orderBy("file_path", "span_start")

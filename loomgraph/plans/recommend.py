@@ -9,6 +9,8 @@ from loomgraph.functions import scalars as S
 from loomgraph.operators.cut import cut
 
 SEEDS, FACTOR = 256, 0.25
+#: Weight of what paths and structure say beside history.
+BASELINE = 0.08
 WINDOW, LABEL_FILES, MIN_SUPPORT, KAPPA, STOP_SHARE = 4000, 20, 2, 1.0, 0.3
 
 
@@ -110,6 +112,37 @@ def recommend(deliveries: DataFrame, tasks: DataFrame, queries: DataFrame, limit
     return finalize(scores.groupBy("query", "file").agg(F.sum("score").alias("score")), limit)
 
 
+def equivalent_boundaries(deliveries: DataFrame) -> DataFrame:
+    """(day, distance, verified_id, first_id, n): the deliveries of one boundary, and the first verified of them."""
+    verified = F.when(F.col("verified"), F.col("delivery_id"))
+    return deliveries.groupBy("day", "distance").agg(F.min(verified).alias("verified_id"), F.min("delivery_id").alias("first_id"), F.countDistinct("delivery_id").alias("n"))
+
+
+def lexical_baseline(files: DataFrame, queries: DataFrame, weight: float = BASELINE) -> DataFrame:
+    """(query, file, score): the share of a query's tokens that a file's path has, times ``weight``."""
+    parts = files.select("file", F.explode(S.tokens(F.col("file"))).alias("token"))
+    asked = queries.select("query", S.tokens(F.col("text")).alias("ts")).select("query", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    return asked.join(parts, "token").groupBy("query", "file").agg((F.count(F.lit(1)) / F.max("n") * weight).alias("score"))
+
+
+def structure_scores(neighbors: DataFrame, weight: float = BASELINE) -> DataFrame:
+    """(neighbor, score): ``weight`` over the seeds' places."""
+    return neighbors.groupBy("neighbor").agg(F.sum(weight / F.col("place")).alias("score"))
+
+
+def label_reasons(deliveries: DataFrame, max_files: int = LABEL_FILES) -> DataFrame:
+    """(reason, deliveries): how many deliveries are used as labels, and how many change too many files for one."""
+    sized = deliveries.groupBy("delivery_id").agg(F.countDistinct("file").alias("n"))
+    return sized.groupBy(F.when(F.col("n") > max_files, "label_over_max_files").otherwise("used").alias("reason")).agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+def freshness(deliveries: DataFrame) -> DataFrame:
+    """(scope, freshness): current if the scope's last delivery (scope, at) is as new as the newest of all."""
+    newest = deliveries.agg(F.max("at").alias("newest"))  # one row
+    last = deliveries.groupBy("scope").agg(F.max("at").alias("last"))
+    return last.join(F.broadcast(newest)).select("scope", F.when(F.col("last") >= F.col("newest"), "current").otherwise("stale").alias("freshness"))
+
+
 def index_window(deliveries: DataFrame, window: int = WINDOW, max_files: int = LABEL_FILES) -> DataFrame:
     """The newest ``window`` deliveries of 1 to ``max_files`` files, by distance, then id; broader ones take no slot."""
     sized = deliveries.groupBy("delivery_id").agg(F.min("distance").alias("distance"), F.countDistinct("file").alias("n")).where(F.col("n") <= max_files)

@@ -145,11 +145,7 @@ def join_innermost(spark, d):
 
 @query("win_innermost", EDGES_SQL + " SELECT ref_id, inner_id FROM inner_of WHERE inner_id IS NOT NULL")
 def win_innermost(spark, d):
-    refs = X.raw_refs(docs(spark, d)).select(F.col("id").alias("ref_id"), "from_file", F.col("span_start").alias("a"), F.col("span_end").alias("b"))
-    s = symbols(spark, d)
-    met = refs.join(s, (refs.from_file == s.file_path) & (s.span_start <= refs.a) & (s.span_end >= refs.b))
-    order = Window.partitionBy("ref_id").orderBy(F.col("span_end") - F.col("span_start"), "id")
-    return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("ref_id", F.col("id").alias("inner_id"))
+    return J.innermost_ranked(X.raw_refs(docs(spark, d)), symbols(spark, d))
 
 
 @query(
@@ -292,9 +288,7 @@ def agg_group_count(spark, d):
 
 @query("q_overview", SYM_SQL + " SELECT f.path, f.lang, count(s.id) AS n FROM files f LEFT JOIN symbols s ON s.file_path = f.path AND s.kind = 'function' GROUP BY ALL ORDER BY n DESC, path LIMIT 20")
 def q_overview(spark, d):
-    f = X.files(docs(spark, d)).select("path", "lang")
-    s = symbols(spark, d).where("kind = 'function'").groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    return f.join(s, "path", "left").select("path", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy(F.desc("n"), "path").limit(20)
+    return J.overview(X.files(docs(spark, d)), symbols(spark, d).where("kind = 'function'"))
 
 
 @query("topk_files", SYM_SQL + " SELECT file_path, count(*) AS n FROM symbols GROUP BY file_path ORDER BY n DESC, file_path LIMIT 20")
@@ -361,7 +355,7 @@ def ev_inbound(spark, d):
 
 @query("q_deps", "SELECT DISTINCT 'page/' || page_id AS from_file, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS target_path FROM pages")
 def q_deps(spark, d):
-    return imports(spark, d).select("from_file", "target_path").distinct()
+    return J.dependencies(imports(spark, d)).select("from_file", "target_path")
 
 
 def imports(spark, d):
@@ -373,18 +367,14 @@ def imports(spark, d):
 @query("q_resolve_selector", SYM_SQL + ", w AS (SELECT DISTINCT file_path, name, kind FROM symbols) SELECT w.file_path, w.name, w.kind, min(s.id) AS id FROM w JOIN symbols s USING (file_path, name, kind) GROUP BY ALL")
 def q_resolve_selector(spark, d):
     s = symbols(spark, d)
-    wanted = s.select(F.col("file_path").alias("w_path"), F.col("name").alias("w_name"), F.col("kind").alias("w_kind")).distinct()
-    met = wanted.join(s, (s.file_path == wanted.w_path) & (s.kind == wanted.w_kind) & ((s.name == wanted.w_name) | (s.qualified == wanted.w_name)))
-    best = met.groupBy("w_path", "w_name", "w_kind").agg(F.min(F.struct((F.col("qualified") != F.col("w_name")).alias("by_name"), "id")).alias("best"))
-    return best.select(F.col("w_path").alias("file_path"), F.col("w_name").alias("name"), F.col("w_kind").alias("kind"), F.col("best.id").alias("id"))
+    return J.resolve_selectors(s.select("file_path", "name", "kind").distinct(), s)
 
 
 @query("q_show", SYM_SQL + " SELECT s.id, s.name, strlen(l.line) AS n_bytes FROM symbols s JOIN lines l ON l.doc_id = s.doc_id AND l.line_no = s.line_no WHERE s.kind = 'function'")
 def q_show(spark, d):
-    body = docs(spark, d).select(F.col("doc_id").alias("d_id"), F.encode("text", "UTF-8").alias("raw"))
-    s = symbols(spark, d).where("kind = 'function'")
-    window = F.substring("raw", F.col("span_start").cast("int") + 1, F.least(F.col("span_end") - F.col("span_start"), F.lit(65536)).cast("int"))
-    return s.join(body, s.doc_id == body.d_id).select("id", "name", F.octet_length(window).cast("long").alias("n_bytes"))
+    files = docs(spark, d).select(X.doc_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    shown = J.source_windows(symbols(spark, d).where("kind = 'function'"), files)
+    return shown.select("id", "name", F.octet_length("window").cast("long").alias("n_bytes"))
 
 
 @query("proj_line_of_offset", "WITH " + X.REFS_SQL + " SELECT id, line_no FROM raw_refs")
@@ -403,8 +393,7 @@ def proj_ref_entry(spark, d):
 
 @query("win_unique", SYM_SQL + " SELECT id, name FROM symbols QUALIFY count(*) OVER (PARTITION BY file_path, name) = 1")
 def win_unique(spark, d):
-    n = F.count(F.lit(1)).over(Window.partitionBy("file_path", "name"))
-    return symbols(spark, d).withColumn("n", n).where("n = 1").select("id", "name")
+    return J.single(symbols(spark, d), "file_path", "name").select("id", "name")
 
 
 @query("win_best_tier", GRAPH_SQL + f" SELECT id, target_id FROM (SELECT *, {RANKS_SQL} AS tier FROM refs) QUALIFY rank() OVER (PARTITION BY from_file, name ORDER BY tier) = 1")

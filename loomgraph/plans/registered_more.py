@@ -105,22 +105,18 @@ def chg_out_of_scope(spark, d):
 
 @query("chg_selection", G.SYM_SQL + " SELECT qualified, count(*) AS n FROM symbols WHERE kind = 'module' GROUP BY qualified")
 def chg_selection(spark, d):
-    wanted = G.docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qualified")).distinct()
-    return G.symbols(spark, d).join(wanted, "qualified", "left_semi").groupBy("qualified").agg(F.count(F.lit(1)).alias("n"))
+    wanted = G.docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("qualified"))
+    return C.selection(G.symbols(spark, d), wanted)
 
 
 @query("agg_test_selection", G.EDGES_SQL + " SELECT src AS test_id, min(category)::BIGINT AS strongest, count(DISTINCT dst) AS changed FROM edges GROUP BY src")
 def agg_test_selection(spark, d):
-    return G.edges(spark, d).groupBy(F.col("src").alias("test_id")).agg(F.min("category").cast("long").alias("strongest"), F.countDistinct("dst").alias("changed"))
+    return C.test_selection(G.edges(spark, d))
 
 
 @query("chg_analyse", G.EDGES_SQL + " SELECT dst AS symbol_id, src AS caller_id, count(*) OVER (PARTITION BY dst) AS callers_found FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY category, src) <= 10")
 def chg_analyse(spark, d):
-    from pyspark.sql import Window
-
-    part = Window.partitionBy("dst")
-    placed = G.edges(spark, d).withColumns({"place": F.row_number().over(part.orderBy("category", "src")), "callers_found": F.count(F.lit(1)).over(part)})
-    return placed.where("place <= 10").select(F.col("dst").alias("symbol_id"), F.col("src").alias("caller_id"), "callers_found")
+    return C.callers(G.edges(spark, d))
 
 
 @query("hist_attribute_side", "SELECT a.l_orderkey * 10 + a.l_linenumber AS change_id, b.l_orderkey * 10 + b.l_linenumber AS symbol_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber <= a.l_linenumber AND b.l_linenumber + 1 >= a.l_linenumber")
@@ -161,7 +157,7 @@ def hist_resolve_current(spark, d):
 @query("hist_status", "SELECT o_orderpriority AS scope, count(*) AS deliveries, count(*) FILTER (WHERE o_orderstatus = 'F') AS verified, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders GROUP BY 1")
 def hist_status(spark, d):
     o = X.table(spark, d, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("scope")).agg(F.count(F.lit(1)).alias("deliveries"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("verified"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
+    return H.status(o.select(F.col("o_orderpriority").alias("scope"), (F.col("o_orderstatus") == "F").alias("verified"), F.col("o_orderdate").alias("at")))
 
 
 def task_rows(spark, d):
@@ -190,29 +186,23 @@ def rec_eligible(spark, d):
 
 @query("rec_lexical_baseline", K.TASK + f", q AS (SELECT item_id AS query, {K.TOKENS.format('text')} AS ts FROM benchmark), f AS (SELECT file, {K.TOKENS.format('file')} AS ts FROM (SELECT DISTINCT file FROM deliveries)), m AS (SELECT query, file, count(*) AS c FROM (SELECT query, unnest(ts) AS t FROM q) JOIN (SELECT file, unnest(ts) AS t FROM f) USING (t) GROUP BY ALL) SELECT query, file, round(c / len(ts) * 0.08::DOUBLE, 6) AS score FROM m JOIN q USING (query)")
 def rec_lexical_baseline(spark, d):
-    files = K.dv(spark, d).select("file").distinct().select("file", F.explode(S.tokens(F.col("file"))).alias("token"))
-    asked = K.items(spark, d).select("query", S.tokens(F.col("text")).alias("ts"))
-    met = asked.select("query", F.size("ts").alias("n"), F.explode("ts").alias("token")).join(files, "token")
-    return met.groupBy("query", "file").agg(F.round(F.count(F.lit(1)) / F.max("n") * 0.08, 6).alias("score"))
+    found = R.lexical_baseline(K.dv(spark, d).select("file").distinct(), K.items(spark, d))
+    return found.select("query", "file", F.round("score", 6).alias("score"))
 
 
 @query("rec_structure", G.REL_SQL + ", e AS (SELECT src AS seed, dst AS neighbor FROM rel UNION SELECT dst, src FROM rel), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY neighbor) AS place FROM e WHERE seed LIKE 'nation::%') SELECT neighbor, round(sum(0.08::DOUBLE / place), 6) AS score FROM r WHERE place <= 6 GROUP BY neighbor")
 def rec_structure(spark, d):
-    return G.join_structure_neighbors(spark, d).groupBy("neighbor").agg(F.round(F.sum(0.08 / F.col("place")), 6).alias("score"))
+    return R.structure_scores(G.join_structure_neighbors(spark, d)).select("neighbor", F.round("score", 6).alias("score"))
 
 
 @query("rec_freshness", "SELECT o_orderpriority AS scope, CASE WHEN max(o_orderdate) >= (SELECT max(o_orderdate) FROM orders) THEN 'current' ELSE 'stale' END AS freshness FROM orders GROUP BY 1")
 def rec_freshness(spark, d):
-    o = X.table(spark, d, "orders")
-    newest = o.agg(F.max("o_orderdate").alias("newest"))  # one row
-    last = o.groupBy(F.col("o_orderpriority").alias("scope")).agg(F.max("o_orderdate").alias("last"))
-    return last.join(F.broadcast(newest)).select("scope", F.when(F.col("last") >= F.col("newest"), "current").otherwise("stale").alias("freshness"))
+    return R.freshness(X.table(spark, d, "orders").select(F.col("o_orderpriority").alias("scope"), F.col("o_orderdate").alias("at")))
 
 
 @query("rec_fallbacks", K.DEL + " SELECT CASE WHEN n > 20 THEN 'label_over_max_files' ELSE 'used' END AS reason, count(*) AS deliveries FROM (SELECT delivery_id, count(DISTINCT file) AS n FROM deliveries GROUP BY ALL) GROUP BY 1")
 def rec_fallbacks(spark, d):
-    sized = K.dv(spark, d).groupBy("delivery_id").agg(F.countDistinct("file").alias("n"))
-    return sized.groupBy(F.when(F.col("n") > R.LABEL_FILES, "label_over_max_files").otherwise("used").alias("reason")).agg(F.count(F.lit(1)).alias("deliveries"))
+    return R.label_reasons(K.dv(spark, d))
 
 
 @query("rec_wi_labels", K.WORDS + " SELECT delivery_id, file, 1 / count(*) OVER (PARTITION BY delivery_id) AS weight FROM rows")
@@ -279,8 +269,7 @@ def q_program_names(spark, d):
 @query("join_program_name", "SELECT e.event_id, p.name FROM (SELECT event_id, 'prog' || (user_id % 60) AS base FROM events) e JOIN (SELECT DISTINCT 'prog' || p_size AS name FROM part) p ON p.name = e.base")
 def join_program_name(spark, d):
     sites = X.table(spark, d, "events").select("event_id", F.concat(F.lit("prog"), (F.col("user_id") % 60).cast("string")).alias("base"))
-    names = q_program_names(spark, d)
-    return sites.join(names, sites.base == names.name).select("event_id", "name")
+    return J.program_sites(sites, q_program_names(spark, d)).select("event_id", F.col("base").alias("name"))
 
 
 @query("read_source_window", """WITH l AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 65536),

@@ -166,7 +166,7 @@ def agg_postings(spark, d):
 
 @query("agg_equivalent_boundary", DEL + " SELECT day, distance, min(delivery_id) FILTER (WHERE verified) AS verified_id, min(delivery_id) AS first_id, count(DISTINCT delivery_id) AS n FROM deliveries GROUP BY day, distance")
 def agg_equivalent_boundary(spark, d):
-    return dv(spark, d).groupBy("day", "distance").agg(F.min(F.when(F.col("verified"), F.col("delivery_id"))).alias("verified_id"), F.min("delivery_id").alias("first_id"), F.countDistinct("delivery_id").alias("n"))
+    return R.equivalent_boundaries(dv(spark, d))
 
 
 @query("win_first_parent_distance", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS steps, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
@@ -306,8 +306,8 @@ def agg_live_mrr(spark, d):
 
 @query("eval_folds", "SELECT o_orderkey AS case_id, o_orderdate AS cutoff, ntile(5) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS fold FROM orders")
 def eval_folds(spark, d):
-    order = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return X.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("cutoff"), (F.ntile(5).over(order) - 1).cast("long").alias("fold"))
+    cases = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderdate").alias("cutoff"), "o_orderpriority")
+    return E.folds(cases, 5, "o_orderpriority").select("case_id", "cutoff", "fold")
 
 
 SESSIONS = """
