@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the least node that links reach.
 
     Each round hangs every node on the least node around it; minima are combined
-    before the shuffle, so a hub costs no task more than its share. The table is
+    before the shuffle. A hub's edges, two numbers each, then meet its minimum by one key, which
+    adaptive execution splits where it is much larger than others. The table is
     written to the shared folder each round.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")

@@ -258,7 +258,10 @@ def least_overlap_column(a: Column, b: Column, percent: int) -> Column:
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Exact (a, b, size_a, size_b, shared) of node pairs (a, b), from their texts; b's side may be hot."""
+    """Exact (a, b, size_a, size_b, shared) of node pairs (a, b), from their texts.
+
+    A leader b meets the followers of its lists' parts, so at most some HOT_LIST each; adaptive execution splits what is still uneven.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)

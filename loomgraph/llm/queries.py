@@ -39,7 +39,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.link_components(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return near_dup.link_components(read_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def located_sql(name: str, pattern: str) -> str:
+    """A CTE (r, doc_id, start, stop, match) of a pattern's matches in ``d`` (r, doc_id, t)."""
+    return f"""{name}_m AS (SELECT r, doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')),
+{name}_i AS (SELECT r, doc_id, unnest(ms) AS match, unnest(ps[1:len(ms)]) AS piece, generate_subscripts(ms, 1) AS i FROM {name}_m),
+{name} AS (SELECT r, doc_id, match, (sum(length(piece) + length(match)) OVER (PARTITION BY r ORDER BY i) - length(match))::BIGINT AS start, (sum(length(piece) + length(match)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS stop FROM {name}_i)"""
+
+
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
+_ALLOWED = " OR ".join(f"regexp_matches({c}, '{p}')" for c, ps in (("value", secret_scan.ALLOW_VALUES), ("match", secret_scan.ALLOW_WHOLE)) for p in ps)
+_WINDOWS = "list_max(list_transform(range(1, length({0}) - 18), lambda k: list_aggregate(string_split(substr({0}, k, 20), ''), 'entropy')))"
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{located_sql("a", _ASSIGN)}, {located_sql("k", secret_scan.ACCESS)}, {located_sql("x", secret_scan.HEX)}, {located_sql("c", secret_scan.CANDIDATE)},
+base AS (SELECT r, start, stop, 0 AS kind FROM a WHERE length(regexp_extract(match, '{_ASSIGN}', 1)) >= 8 UNION ALL SELECT r, start, stop, 1 FROM k UNION ALL SELECT r, start, stop, 2 FROM x),
+v AS (SELECT *, regexp_extract(match, '{secret_scan.VALUE}', 1) AS value FROM c WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = c.r AND base.start < c.stop AND c.start < base.stop)),
+w AS (SELECT *, regexp_matches(value, '^[0-9]{{20,}}$') AS digits, regexp_matches(value, '^[A-Za-z]{{20,}}$') AND length(regexp_replace(value, '[^A-Z]', '', 'g')) >= 4 AND length(regexp_replace(value, '[^a-z]', '', 'g')) >= 4 AS letters,
+  regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]') AS mixed FROM v WHERE NOT ({_ALLOWED})),
+entropy AS (SELECT r, start, stop, 3 AS kind FROM w WHERE CASE WHEN digits THEN {_WINDOWS.format("value")} >= {secret_scan.LEAST_BITS["digits"]} WHEN letters THEN {_WINDOWS.format("value")} >= {secret_scan.LEAST_BITS["letters"]}
+  WHEN NOT mixed THEN false WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') THEN {_WINDOWS.format("match")} >= {secret_scan.LEAST_BITS["hex"]} ELSE {_WINDOWS.format("match")} >= {secret_scan.LEAST_BITS["mixed"]} END),
+names AS (SELECT * FROM (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'entropy')) n(kind, name)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM entropy),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM spans JOIN names USING (kind) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": SECRETS_SQL,
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,

@@ -1,7 +1,8 @@
 """Secret scans: patterns, and sliding-window Shannon entropy over candidate strings.
 
 All of it is DataFrame expressions. A candidate is a maximal run of the base64
-alphabet; its class (hexadecimal, or mixed letters and digits) sets the entropy
+alphabet, its value what follows the last ``=`` or ``/`` in it; the class
+(hexadecimal, digits, letters of both cases, or mixed letters and digits) sets the entropy
 that a window must reach. Entropy moves from window to window by incremental
 counts: the sum of c*log2(c) changes only by the character that enters and the
 one that leaves. Candidates on the allow list, and those that a pattern already
@@ -27,12 +28,15 @@ WINDOW = 20
 #: Matches whose places are summed together.
 RUN = 64
 #: Bits a character that some window must reach, by class.
-LEAST_BITS = {"hex": 3.0, "mixed": 3.7}
-ALLOW = (
+LEAST_BITS = {"hex": 3.0, "digits": 3.0, "letters": 3.95, "mixed": 3.7}
+#: The part of a candidate that a name or path before it doesn't speak for; padding at the end aside.
+VALUE = r"([^=/]*)=*$"
+#: Values that are no secrets, and whole candidates that are none.
+ALLOW_VALUES = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"(?i)example|placeholder|changeme|dummy|redacted|your[_-]|x{8}|0{8}|(?:1234567)",
-    r"^/?(?:[a-z]+[/_-])+[a-z]+[0-9]{0,4}$",  # paths and names of plain words
 )
+ALLOW_WHOLE = (r"^/?(?:[a-z]+[/_-])+[a-z]+[0-9]{0,4}$",)  # paths and names of plain words
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -91,14 +95,24 @@ def most_bits(candidate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), begin, step, lambda a: a["best"])
 
 
+def may_be_secret(candidate: Column) -> Column:
+    """Whether a candidate is of any class: it has letters and digits, or its value is 20 digits or letters of both cases (four of each) and more."""
+    value = F.regexp_extract(candidate, VALUE, 1)
+    return (candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")) | value.rlike("^(?:[0-9]{20,}|[A-Za-z]{20,})$")
+
+
 def suspicious(candidate: Column) -> Column:
-    """Whether class and entropy make a secret of a candidate, the allow list aside."""
-    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
+    """Whether class and entropy make a secret of a candidate that the allow list does not speak for."""
+    value = F.regexp_extract(candidate, VALUE, 1)
     allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | candidate.rlike(pattern)
-    least = F.when(candidate.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), LEAST_BITS["hex"]).otherwise(LEAST_BITS["mixed"])
-    return F.when(mixed & ~allowed, most_bits(candidate) >= least).otherwise(F.lit(False))
+    for column, patterns in ((value, ALLOW_VALUES), (candidate, ALLOW_WHOLE)):
+        for pattern in patterns:
+            allowed = allowed | column.rlike(pattern)
+    digits = value.rlike("^[0-9]{20,}$")
+    letters = value.rlike("^[A-Za-z]{20,}$") & value.rlike("(?:[A-Z][a-z]*){4}") & value.rlike("(?:[a-z][A-Z]*){4}")
+    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
+    least = F.when(digits, LEAST_BITS["digits"]).when(letters, LEAST_BITS["letters"]).when(candidate.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), LEAST_BITS["hex"]).otherwise(LEAST_BITS["mixed"])
+    return F.when((digits | letters | mixed) & ~allowed, most_bits(F.when(digits | letters, value).otherwise(candidate)) >= least).otherwise(F.lit(False))
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,7 +125,7 @@ def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
             "_assign": keyed(F.filter(located(raw, ASSIGN), lambda s: F.length(value(s)) >= 8), "assign"),
             "_access": keyed(located(raw, ACCESS), "access"),
             "_hex": keyed(located(raw, HEX), "hex"),
-            "_candidates": F.filter(located(raw, CANDIDATE), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]")),
+            "_candidates": F.filter(located(raw, CANDIDATE), lambda s: may_be_secret(s["match"])),
         }
     )
     based = found.withColumn("_base", F.sort_array(F.concat("_assign", "_access", "_hex")))

@@ -31,11 +31,18 @@ def added(text, spans):
     out = []
     for m in re.finditer("[A-Za-z0-9+/=_-]{20,}", text):
         s = m[0]
-        if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(b[0] < m.end() and m.start() < b[2] for b in spans):
+        value = re.split("[=/]", s.rstrip("="))[-1]
+        if any(b[0] < m.end() and m.start() < b[2] for b in spans) or any(re.search(p, value) for p in secret_scan.ALLOW_VALUES) or any(re.search(p, s) for p in secret_scan.ALLOW_WHOLE):
             continue
-        if any(re.search(p, s) for p in secret_scan.ALLOW):
-            continue
-        if bits(s) >= secret_scan.LEAST_BITS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "mixed"]:
+        if re.fullmatch("[0-9]{20,}", value):
+            found = bits(value) >= secret_scan.LEAST_BITS["digits"]
+        elif re.fullmatch("[A-Za-z]{20,}", value) and min(len(re.findall(c, value)) for c in ("[A-Z]", "[a-z]")) >= 4:
+            found = bits(value) >= secret_scan.LEAST_BITS["letters"]
+        elif re.search("[0-9]", s) and re.search("[A-Za-z]", s):
+            found = bits(s) >= secret_scan.LEAST_BITS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else "mixed"]
+        else:
+            found = False
+        if found:
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -52,7 +59,7 @@ def expected(i, text):
 
 PIECES = [
     "token = ", "secret: token = ", "Password='", "api_key:", "apikey=", "PASSWD : ", '"secret": "', "AKIA", "AKIAAKIA", "ABCDEF0123456789", "0123456789abcdef" * 2, "deadbeef", " ", "\n", "é🎉", "abcdefgh12", "x.y/z=", "'",
-    "q8ZrT2mVb7XwLk93PdQs", "aaaaaaaaaaaaaaaaaaaaaa1", "123e4567-e89b-12d3-a456-426614174000", "some/plain/path/of/words12", "exampleq8ZrT2mVb7XwLk93PdQs", "EXAMPLE", "a1b2c3d4e5f60718293a",
+    "q8ZrT2mVb7XwLk93PdQs", "aaaaaaaaaaaaaaaaaaaaaa1", "123e4567-e89b-12d3-a456-426614174000", "some/plain/path/of/words12", "exampleq8ZrT2mVb7XwLk93PdQs", "EXAMPLE", "a1b2c3d4e5f60718293a", "dummy_service_key=", "example/reset/", "qZrTWmVbXwLkKPdQsaBcYfGh", "31415926535897932384", "11111111111111111111", "internationalization",
 ]
 
 
