@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 FACTS = "file_path string, fact string, name string, qualified string, kind string, span_start long, span_end long, line long, value string, target string"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 MAX_DEPTH = 1536
+#: Definitions that qualify what is in them; deeper ones, as in a file of unclosed braces, don't.
+MAX_NESTING = 64
 
 #: By language: (kind, pattern whose first group is the name) of definitions that start a line.
 PATTERNS = {
@@ -31,6 +33,7 @@ IMPORTS = {
     "rust": r"\s*(?:pub\s+)?use\s+([\w:]+)", "javascript": r"\s*(?:import|export)\b.*?from\s+['\"]([^'\"]+)", "typescript": r"\s*(?:import|export)\b.*?from\s+['\"]([^'\"]+)", "go": r"\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$",
     "java": r"\s*import\s+(?:static\s+)?([\w.]+)", "csharp": r"\s*using\s+([\w.]+)\s*;", "kotlin": r"\s*import\s+([\w.]+)", "ruby": r"\s*require(?:_relative)?\s+['\"]([^'\"]+)", "c": r"\s*#\s*include\s*[<\"]([^>\"]+)",
 }
+_NEXT_BRACE = re.compile(rb"\r?\n[ \t]*\{")
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*\(")
 _KEYWORDS = {"if", "for", "while", "switch", "return", "match", "catch", "fn", "def", "func", "fun", "function", "class", "sizeof", "elif", "and", "or", "not", "in", "new", "when"}
 
@@ -102,8 +105,13 @@ def markdown_facts(path: str, content: bytes) -> list[tuple]:
             out += [fact(path, "string", value=f"{a} {b}", line=number) for a, b in re.findall(r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)", line)]
         at += len(raw) + 1
     stack: list[tuple[int, str]] = []
-    for k, (depth, title, start, number) in enumerate(heads):
-        end = next((h[2] for h in heads[k + 1 :] if h[0] <= depth), len(content))
+    ends, later = [len(content)] * len(heads), []
+    for k in range(len(heads) - 1, -1, -1):  # later heads of ever smaller depth: what is deeper ends nothing above
+        while later and heads[later[-1]][0] > heads[k][0]:
+            later.pop()
+        ends[k] = heads[later[-1]][2] if later else len(content)
+        later.append(k)
+    for (depth, title, start, number), end in zip(heads, ends, strict=True):
         slug = re.sub(r"[ _-]+", "-", re.sub(r"[^a-z0-9 _-]+", "", title.lower())).strip("-") or "section"
         stack = [s for s in stack if s[0] < depth] + [(depth, slug)]
         out.append(fact(path, "symbol", name=title, qualified="::".join(s for _, s in stack), kind="heading", span_start=start, span_end=end, line=number))
@@ -133,24 +141,63 @@ def config_facts(path: str, content: bytes) -> list[tuple]:
     else:
         keys, kind = re.findall(r"(?m)^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=", text), "env"
     lines = text.split("\n")
-    place = lambda key: next((n for n, x in enumerate(lines, 1) if re.search(rf"(?<![\w-]){re.escape(key.rsplit('.', 1)[-1])}(?![\w-])", x)), 1)
+    first: dict[str, int] = {}
+    for number, line in enumerate(lines, 1):
+        for word in re.findall(r"[\w-]+", line):
+            first.setdefault(word, number)
+
+    def place(key: str) -> int:
+        """The first line that has the key's last part as a word; where that part is no word, as text."""
+        own = key.rsplit(".", 1)[-1]
+        if re.fullmatch(r"[\w-]+", own):
+            return first.get(own, 1)
+        at = text.find(own)
+        return 1 + text.count("\n", 0, at) if own and at >= 0 else 1
+
     return [fact(path, "config", name=k, kind=kind, line=place(k)) for k in keys]
 
 
+def masked(content: bytes, lang: str) -> bytes:
+    """The content with comments and literals blanked, byte for byte, so that braces and names in them count for nothing."""
+    single = rb"'(?:\\.|[^'\\\n])*'" if lang in ("javascript", "typescript", "ruby") else rb"'(?:\\.[^'\n]*|[^'\\\n]{1,4})'"
+    comment = rb"\#[^\n]*" if lang == "ruby" else rb"//[^\n]*|/\*.*?(?:\*/|\Z)"
+    literals = re.compile(rb"%s|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|%s" % (comment, single), re.S)
+    return literals.sub(lambda m: re.sub(rb"[^\n]", b" ", m[0]), content)
+
+
+def closing_braces(code: bytes) -> dict[int, int]:
+    """Where the block of each opening brace ends: behind the brace that closes it, or at the end of the file."""
+    ends, opened = {}, []
+    for m in re.finditer(rb"[{}]", code):
+        if m[0] == b"{":
+            opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends | dict.fromkeys(opened, len(code))
+
+
 def pattern_facts(path: str, content: bytes, lang: str) -> list[tuple]:
-    """Definitions, imports and calls by line patterns; a definition spans to the brace that closes it, or its line."""
+    """Definitions, imports and calls by line patterns; a definition spans to the brace that closes it, or its line, and is qualified by the definitions around it."""
     out, at = [], 0
     patterns = [(k, re.compile(p)) for k, p in PATTERNS[lang]]
     imports = re.compile(IMPORTS[lang])
-    for number, raw in enumerate(content.split(b"\n"), 1):
-        line = raw.decode("utf-8", "replace")
+    code = masked(content, lang)
+    ends, around = closing_braces(code), []
+    for number, (raw, bare) in enumerate(zip(content.split(b"\n"), code.split(b"\n"), strict=True), 1):
+        line = bare.decode("utf-8", "replace")
         defined = None
+        while around and around[-1][0] <= at:
+            around.pop()
         for kind, pattern in patterns:
             if m := pattern.match(line):
                 defined = m[1]
-                out.append(fact(path, "symbol", name=m[1], qualified=m[1], kind=kind, span_start=at, span_end=block_end(content, at, len(raw)), line=number))
+                qualified = "::".join([around[-1][1], defined] if around else [defined])
+                end = ends.get(opening_brace(code, at, len(raw)), at + len(raw))
+                out.append(fact(path, "symbol", name=defined, qualified=qualified, kind=kind, span_start=at, span_end=end, line=number))
+                if end > at + len(raw) and len(around) < MAX_NESTING:
+                    around.append((end, qualified))
                 break
-        if m := imports.match(line):
+        if m := imports.match(raw.decode("utf-8", "replace")):
             out.append(fact(path, "import", target=m[1], line=number))
         else:
             for m in _CALL.finditer(line):
@@ -161,15 +208,12 @@ def pattern_facts(path: str, content: bytes, lang: str) -> list[tuple]:
     return out
 
 
-def block_end(content: bytes, start: int, width: int) -> int:
-    at, depth = content.find(b"{", start, start + width), 0
-    if at < 0:
-        return start + width
-    for k in range(at, len(content)):
-        depth += (content[k] == 123) - (content[k] == 125)
-        if depth == 0:
-            return k + 1
-    return len(content)
+def opening_brace(code: bytes, start: int, width: int) -> int:
+    """The first brace of a line, or one that the next line starts with; -1 without either."""
+    at = code.find(b"{", start, start + width)
+    if at < 0 and (m := _NEXT_BRACE.match(code, start + width)):
+        at = m.end() - 1
+    return at
 
 
 def facts_of(path: str, content: bytes, lang: str) -> list[tuple]:

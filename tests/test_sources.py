@@ -135,3 +135,43 @@ def test_every_query_is_registered_with_a_known_name():
     from loomgraph import registry
 
     assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_braces_in_literals_and_nesting():
+    code = b"""// fn hidden() {
+pub struct S { a: u8 }
+impl S {
+    fn one(&self) -> &'static str { let c = '{'; "}}}" /* } */ }
+    fn two(&self)
+    {
+        call_me("not_me()"); // nor_me()
+    }
+}
+fn last() { one() }
+"""
+    from loomgraph.sources.extract import facts_of
+
+    found = [dict(zip(("path", "fact", "name", "qualified", "kind", "start", "end", "line"), f, strict=False)) for f in facts_of("a.rs", code, "rust")]
+    symbols = {f["name"]: f for f in found if f["fact"] == "symbol"}
+    assert "hidden" not in symbols and code[symbols["one"]["start"] : symbols["one"]["end"]].strip().endswith(b"*/ }")
+    assert code[symbols["two"]["start"] : symbols["two"]["end"]].strip().endswith(b"nor_me()\n    }") and code[symbols["last"]["start"] : symbols["last"]["end"]] == b"fn last() { one() }"
+    assert {f["name"] for f in found if f["fact"] == "ref"} == {"call_me", "one"}
+    if "impl" in {f["kind"] for f in found if f["fact"] == "symbol"}:
+        assert symbols["two"]["qualified"] == "S::two"
+
+
+def test_facts_grow_with_the_file():
+    import time
+
+    from loomgraph.sources.extract import facts_of
+
+    for path, lang, make in (
+        ("a.rs", "rust", lambda n: b"fn f() { g() }\n" * n), ("a.rs", "rust", lambda n: b"fn f() {\n" * n), ("a.toml", "config", lambda n: b"".join(b"k%d = 1\n" % k for k in range(n))),
+        ("a.md", "markdown", lambda n: b"".join(b"#" * (1 + k % 6) + b" h\n" for k in range(n))), ("a.md", "markdown", lambda n: b"# top\n" + b"## h\n" * n),
+    ):
+        spent = []
+        for n in (2_000, 16_000):
+            content, began = make(n), time.process_time()
+            assert facts_of(path, content, lang)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 24 * max(spent[0], 0.01), (path, spent)
