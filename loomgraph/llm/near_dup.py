@@ -24,16 +24,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_slices, fresh_name, materialize, whole_text
+from loomgraph.llm.common import byte_slices, fresh_name, materialize, ranges, whole_text
 from loomgraph.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: The sketch of frequencies has 2**SKETCH_BITS counters however large the input.
 SKETCH_BITS, SKETCH_BLOCKS = 21, 32
-BUCKET_POSTINGS = 400_000
-#: Postings whose nodes' sets a task compares at a time.
-CROSS_POSTINGS = 20_000
-CACHE_WORDS = 300_000
+BUCKET_POSTINGS = 200_000
+#: Postings that a task gathers before it hands them out.
+GATHER_POSTINGS = 500_000
+#: Postings whose nodes' sets a task compares at a time, and elements that these sets should have at most.
+CROSS_POSTINGS, CROSS_ELEMENTS = 20_000, 4_000_000
+#: Postings, in whole lists, whose differences to hubs a task holds together, and elements that it holds of them at most.
+BLOCK_POSTINGS, HELD_ELEMENTS = 2_000, 2_000_000
+#: Nodes in several lists whose pairs a task marks as compared, half a bit for each pair.
+MARKED_NODES = 16_000
+CACHE_WORDS = 100_000
 #: Text that is described at a time.
 SLICE_BYTES = 2_000_000
 #: Postings of one element that a task should meet at most; longer lists are split.
@@ -179,7 +185,7 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int, buck
                 held.append(rows)
                 spread.append(first + (np.uint64(node & 0xFFFFFFFF) % parts) * _P1)
                 count += len(rows)
-                if count > 2_000_000:
+                if count > GATHER_POSTINGS:
                     yield out()
                     held, spread, count = [], [], 0
         if held:
@@ -272,8 +278,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 if b != last:
                     last, codes = b, shingle(text_b)
                 own = shingle(text_a)
-                both = np.sort(np.concatenate([own, codes]), kind="stable")
-                rows.append((a, b, len(own), len(codes), int((both[1:] == both[:-1]).sum())))
+                rows.append((a, b, len(own), len(codes), common(own, codes)))
             yield pd.DataFrame(rows, columns=["a", "b", "size_a", "size_b", "shared"])
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("text_a")), "a")
@@ -297,15 +302,25 @@ class Lists:
         self.reach = self.left * (100 + percent) // percent - self.size
         self.percent = percent
 
+    def starts(self) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], self.list[1:] != self.list[:-1]]))
+
     def hubs(self) -> np.ndarray:
         """One node of each posting's list, the same for all of it."""
-        starts = np.flatnonzero(np.concatenate([[True], self.list[1:] != self.list[:-1]]))
+        starts = self.starts()
         return np.repeat(np.minimum.reduceat(self.node, starts), np.diff(np.append(starts, len(self.node))))
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        todo, d = np.arange(len(self.node) - 1), 1
+    def blocks(self, postings: int) -> Iterator[tuple[int, int]]:
+        """Ranges of whole lists of about ``postings`` postings, one list at least."""
+        edges = np.append(self.starts(), len(self.node)).tolist()
+        for a, b in ranges(np.diff(edges).tolist(), postings):
+            yield edges[a], edges[b]
+
+    def pairs(self, begin: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        end = len(self.node) if end is None else end
+        todo, d = np.arange(begin, end - 1), 1
         while len(todo):
-            todo = todo[todo + d < len(self.node)]
+            todo = todo[todo + d < end]
             other = todo + d
             on = (self.list[todo] == self.list[other]) & (self.size[other] <= self.reach[todo])  # beyond reach the rest of the list is skipped
             todo, other = todo[on], other[on]
@@ -315,25 +330,101 @@ class Lists:
             d += 1
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 class Answers:
     """Overlaps of sets, derived from their differences to one set that many are like.
 
     With d(x) the symmetric difference of x and a hub, x and y differ in exactly
-    d(x) ^ d(y); for sets like the hub these are a few elements.
+    d(x) ^ d(y); for sets like the hub these are a few elements. Differences are
+    held up to ``limit`` elements; sets whose differences find no place are compared themselves.
     """
 
-    def __init__(self, sets: dict[int, np.ndarray]):
-        self.sets, self.differences = sets, {}
+    def __init__(self, sets: dict[int, np.ndarray], limit: int = HELD_ELEMENTS):
+        self.sets, self.limit = sets, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.differences, self.held = {}, 0
 
-    def difference(self, x: int, hub: int) -> frozenset:
+    def difference(self, x: int, hub: int) -> np.ndarray | None:
         found = self.differences.get((x, hub))
-        if found is None:
-            found = self.differences[x, hub] = frozenset(np.setxor1d(self.sets[x], self.sets[hub], assume_unique=True).tolist())
+        if found is None and self.held < self.limit:
+            found = self.differences[x, hub] = np.setxor1d(self.sets[x], self.sets[hub], assume_unique=True)
+            self.held += len(found) + 32  # what an array takes besides its elements
         return found
 
     def overlap(self, x: int, y: int, hub: int) -> int:
-        apart = self.difference(x, hub) ^ self.difference(y, hub)
-        return (len(self.sets[x]) + len(self.sets[y]) - len(apart)) // 2
+        a, b = self.difference(x, hub), self.difference(y, hub)
+        if a is None or b is None:
+            return common(self.sets[x], self.sets[y])
+        return (len(self.sets[x]) + len(self.sets[y]) - len(a) - len(b)) // 2 + common(a, b)
+
+
+class Marks:
+    """Pairs of nodes, known by their places, that have been compared: a bit each, for the first ``limit`` nodes with several postings.
+
+    Other pairs count as new each time: of nodes with one posting they can't come again.
+    """
+
+    def __init__(self, postings: np.ndarray, limit: int = MARKED_NODES):
+        several = postings > 1
+        rank = np.cumsum(several) - 1
+        self.rank = np.where(several & (rank < limit), rank, -1)
+        n = int(self.rank.max(initial=-1)) + 1
+        self.bits = np.zeros(n * (n - 1) // 16 + 1, np.uint8)
+
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each pair's bit, -1 without one."""
+        low, high = np.minimum(self.rank[a], self.rank[b]), np.maximum(self.rank[a], self.rank[b])
+        return np.where(low >= 0, high * (high - 1) // 2 + low, -1)
+
+    def old(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >= 0) & (self.bits[keys >> 3] >> (keys & 7).astype(np.uint8) & 1 > 0)
+
+    def add(self, key: int) -> bool:
+        """Whether the pair is new; it is marked."""
+        if key < 0:
+            return True
+        new = not self.bits[key >> 3] >> (key & 7) & 1
+        self.bits[key >> 3] |= 1 << (key & 7)
+        return new
+
+
+def group_links(part: pd.DataFrame, known: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """Links (a, b) between different components that the postings ``part`` allow; ``known`` has the text of each node (s_node, raw).
+
+    Held at a time: the sets, the differences of one block of lists, and the marks, whose sizes don't follow the number of pairs.
+    """
+    if not len(part):
+        return pd.DataFrame(columns=["a", "b"])
+    lists = Lists(part, percent)
+    names, at = np.unique(lists.node, return_inverse=True)
+    hubs = np.searchsorted(names, lists.hubs())
+    group = np.empty(len(names), np.int64)
+    group[at] = lists.component
+    shingle = Shingler(words)
+    sets = {n: shingle(t) for n, t in zip(np.searchsorted(names, known["s_node"].to_numpy(np.int64)).tolist(), known["raw"], strict=True)}
+    answers, marks = Answers(sets), Marks(np.bincount(at))
+    links = []
+    for begin, end in lists.blocks(BLOCK_POSTINGS):
+        answers.forget()
+        for x, y in lists.pairs(begin, end):
+            a, b = at[x], at[y]
+            keys = marks.keys(a, b)
+            on = (group[a] != group[b]) & ~marks.old(keys)
+            for p, q, key, hub in zip(a[on].tolist(), b[on].tolist(), keys[on].tolist(), hubs[x[on]].tolist(), strict=True):
+                if group[p] == group[q] or not marks.add(key):
+                    continue
+                shared = answers.overlap(p, q, hub)
+                if 100 * shared >= percent * (len(sets[p]) + len(sets[q]) - shared):
+                    links.append((p, q))
+                    group[group == group[q]] = group[p]
+    found = names[np.array(links, np.int64).reshape(-1, 2)]
+    return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
 
 
 def cross_links(listed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -359,41 +450,18 @@ def cross_links(listed: DataFrame, texts: DataFrame, words: int, percent: int) -
         return lists.part[columns][wanted]
 
     asked = materialize(met.groupBy("bucket").applyInPandas(crossing, "code long, label long, low int, high int, node long, size long, pos long, component long"), "nd-cross")
-    buckets = max(1, -(-asked.count() // CROSS_POSTINGS))
-    # lists that share their least component have much the same nodes: together, each node's text goes there once; lists of a label that is too frequent part
-    weights = asked.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CROSS_POSTINGS).cast("int").alias("shares"))
-    met = asked.join(weights, "label").withColumn("share", F.pmod(F.xxhash64("code"), F.col("shares")))
+    # lists that share their least component have much the same nodes: together, each node's text goes there once; lists of a label that is too frequent, or whose nodes' sets are too large, part
+    loads = asked.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    shares = F.greatest(F.sum("n") / CROSS_POSTINGS, F.sum("size") / CROSS_ELEMENTS)
+    weights = materialize(loads.groupBy("label").agg(F.ceil(shares).cast("int").alias("shares"), shares.alias("load")), "nd-shares")
+    buckets = max(1, int(np.ceil(weights.agg(F.sum("load").alias("n")).first()["n"] or 0)))
+    met = asked.join(weights.drop("load"), "label").withColumn("share", F.pmod(F.xxhash64("code"), F.col("shares")))
     met = met.withColumn("bucket", F.pmod(F.xxhash64("label", "low", "high", "share"), F.lit(buckets))).select("bucket", *columns)
     needed = met.select(F.col("bucket").alias("to"), F.col("node").alias("n_node")).distinct()
     sets = needed.join(texts.select(F.col("node").alias("s_node"), "raw"), F.col("n_node") == F.col("s_node")).select("to", "s_node", "raw")
 
     def run(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return pd.DataFrame(columns=["a", "b"])
-        lists = Lists(part, percent)
-        node, component, hubs = lists.node, lists.component, lists.hubs()
-        shingle = Shingler(words)
-        answers = Answers({n: shingle(t) for n, t in zip(known["s_node"].tolist(), known["raw"], strict=True)})
-        root = {c: c for c in component.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        links, asked = [], set()
-        for x, y in lists.pairs():
-            for a, b, p, q, h in zip(node[x].tolist(), node[y].tolist(), component[x].tolist(), component[y].tolist(), hubs[x].tolist(), strict=True):
-                p, q = find(p), find(q)
-                if p == q or (pair := (a, b) if a < b else (b, a)) in asked:
-                    continue
-                asked.add(pair)
-                shared = answers.overlap(a, b, h)
-                if 100 * shared >= percent * (len(answers.sets[a]) + len(answers.sets[b]) - shared):
-                    links.append(pair)
-                    root[p] = q
-        return pd.DataFrame(links, columns=["a", "b"])
+        return group_links(part, known, words, percent)
 
     return met.groupBy("bucket").cogroup(sets.groupBy("to")).applyInPandas(run, "a long, b long")
 
@@ -439,8 +507,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # pairs that are still apart
     placed = live.select("code", "node", "size", "pos").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    several = several.where("low <> high").select("code", F.col("low").alias("label"), F.ceil(F.col("n") / HOT_LIST).cast("int").alias("parts"))
+    several = placed.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    spread = F.when(F.col("elements") > CROSS_ELEMENTS, 2 * F.col("elements") / CROSS_ELEMENTS).otherwise(F.lit(0.0))  # two parts meet at a time
+    several = several.where("low <> high").select("code", F.col("low").alias("label"), F.ceil(F.greatest(F.col("n") / HOT_LIST, spread)).cast("int").alias("parts"))
     apart = materialize(placed.join(several, "code"), "nd-apart")
     more = cross_links(apart, texts, words, percent)
     all_links = links.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))

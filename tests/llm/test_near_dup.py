@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from loomgraph.llm import near_dup
 from loomgraph.llm.components import connected_components
@@ -115,3 +117,47 @@ def test_rows_of_one_id_with_several_texts(frame):
         assert kept.columns == docs.columns and got >= stay
         assert len(got - stay) == (1 if (5, near(a)) in rows else 0)
     assert near_dup.drop_near_copies(frame([])).count() == 0
+
+
+def test_differences_to_many_hubs_take_bounded_memory():
+    rnd = np.random.default_rng(2)
+    base = np.unique(rnd.integers(0, 2**63, 400).astype(np.uint64))
+    sets = {k: np.unique(np.concatenate([base[rnd.random(len(base)) > 0.3], rnd.integers(0, 2**63, 120).astype(np.uint64)])) for k in range(900)}
+    answers = near_dup.Answers(sets)
+    tracemalloc.start()
+    for hub in range(0, 900, 45):
+        for x in range(0, 900, 2):
+            answers.overlap(x, x + 1, hub)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    assert all(answers.overlap(x, y, 7) == len(np.intersect1d(sets[x], sets[y])) for x in range(0, 900, 90) for y in range(0, 900, 70))
+
+
+def test_lists_of_large_sets_part(frame, monkeypatch):
+    monkeypatch.setattr(near_dup, "CROSS_ELEMENTS", 300)
+    monkeypatch.setattr(near_dup, "HELD_ELEMENTS", 100)
+    monkeypatch.setattr(near_dup, "MARKED_NODES", 3)
+    rows = corpus(7, 3, 60, 7, length=90)
+    assert rows_of(near_dup.link_components(frame(rows), words=4, percent=85)) == brute(rows, 4, 85)
+
+
+def test_links_of_a_group_join_what_all_pairs_join():
+    rnd = random.Random(6)
+    rows = corpus(6, 2, 60, 8, length=70)
+    texts = {k: t for k, t in rows}
+    near = near_dup.Shingler(4)
+    sets = {k: near(t) for k, t in texts.items()}
+    part = [(c, c, 0, 0, k, len(s), p, k) for k, s in sets.items() for p, c in enumerate(np.sort(s)[: len(s) - (85 * len(s) + 99) // 100 + 1].astype(np.int64).tolist())]
+    rnd.shuffle(part)
+    part = pd.DataFrame(part, columns=["code", "label", "low", "high", "node", "size", "pos", "component"])
+    links = near_dup.group_links(part, pd.DataFrame({"s_node": list(texts), "raw": list(texts.values())}), 4, 85)
+
+    def groups(pairs):
+        of = {k: k for k in sets}
+        for a, b in pairs:
+            of = {k: of[a] if g == of[b] else g for k, g in of.items()}
+        return {frozenset(k for k in of if of[k] == g) for g in of.values()}
+
+    true = [(a, b) for a in sets for b in sets if a < b and 100 * len(s := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(s))]
+    assert set(map(tuple, links.to_numpy().tolist())) <= set(true) and groups(links.to_numpy().tolist()) == groups(true)
