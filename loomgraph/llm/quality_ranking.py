@@ -4,6 +4,11 @@ Preference pairs set a good document against a bad one; the logistic loss on the
 difference of their features gives a linear strength, whose quantile at the share
 of bad documents in training is the threshold. Scores are placed so that the
 threshold falls on 0.3.
+
+All labelled training documents are learnt from. Features are computed once, for
+training and for scores. Shards of documents, dealt by a hash of the id, each fit
+their pairs on features that all of them centre and scale alike; the model is the
+mean of their weights, and the threshold is an exact quantile of all strengths.
 """
 
 from __future__ import annotations
@@ -16,11 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold_column, whole_text
-from loomgraph.llm.toxicity import labelled_sample
+from loomgraph.llm.common import fold_column, materialize, whole_text
 
-#: Documents of each label that training reads at most: the stated bound of the sample.
-TRAIN_DOCS = 1500
+#: Documents that one shard learns from.
+SHARD_DOCS = 20_000
+#: Documents of the rarer label that a shard should have; if they don't reach, every shard has all of them.
+RARE_DOCS = 50
+#: Bins of the counts that narrow a quantile down, and values from which on it is looked up.
+BINS, FEW_VALUES = 4096, 20_000
+FEATURES = 16
 THRESHOLD = 0.3
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>!?~^=+@_\\/{}[]")
 _ENDS = re.compile(r"[.!?…]")
@@ -32,7 +41,7 @@ def features(text: str) -> list[float]:
     words = text.split()
     m = len(words)
     if not m:
-        return [0.0] * 16
+        return [0.0] * FEATURES
     letters = sum(map(len, words))
     symbols = n - len(text.translate(_SYMBOLS))
     bars = text.count("|") / m
@@ -59,6 +68,23 @@ def expand(rows: np.ndarray) -> np.ndarray:
     return np.hstack([rows, np.sqrt(np.clip(rows, 0, None))])
 
 
+def fit_pairs(x: np.ndarray, labels: np.ndarray, pairs: int = 60_000, steps: int = 400, ridge: float = 1e-4, seed: int = 11) -> np.ndarray:
+    """Weights from random pairs of a good row and a bad one; every row of ``x`` is in a pair."""
+    rng = np.random.default_rng(seed)
+    good, bad = (rng.permutation(np.flatnonzero(labels == y)) for y in (1, 0))
+    pairs = max(pairs, len(good), len(bad))
+    difference = x[np.resize(good, pairs)] - x[rng.permutation(np.resize(bad, pairs))]
+    weights = np.zeros(x.shape[1])
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for t in range(1, steps + 1):  # Adam on the whole batch of pairs
+        p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
+        gradient = -(p @ difference) / pairs + ridge * weights
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.999 * second + 0.001 * gradient**2
+        weights -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return weights
+
+
 class BradleyTerry:
     def __init__(self, center: np.ndarray, scale: np.ndarray, weights: np.ndarray, threshold: float, sharpness: float = 1.0):
         self.center, self.scale, self.weights, self.threshold, self.sharpness = center, scale, weights, threshold, sharpness
@@ -73,7 +99,6 @@ class BradleyTerry:
     @classmethod
     def fit(cls, rows: np.ndarray, labels: np.ndarray, share_bad: float, pairs: int = 60_000, steps: int = 400, ridge: float = 1e-4, seed: int = 11) -> BradleyTerry:
         """``share_bad``: of the population; the sample's classes may be balanced otherwise."""
-        rng = np.random.default_rng(seed)
         wide = expand(rows) if len(rows) else np.zeros((1, 32))
         center, scale = wide.mean(0), wide.std(0) + 1e-3
         good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
@@ -81,14 +106,7 @@ class BradleyTerry:
         if not len(good) or not len(bad):
             return cls(center, scale, weights, -1.0 if len(good) or not len(bad) else 1.0)
         x = (wide - center) / scale
-        difference = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
-        first, second = np.zeros_like(weights), np.zeros_like(weights)
-        for t in range(1, steps + 1):  # Adam on the whole batch of pairs
-            p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-            gradient = -(p @ difference) / pairs + ridge * weights
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient**2
-            weights -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        weights = fit_pairs(x, labels, pairs, steps, ridge, seed)
         strengths = x @ weights
         # quantile of the population's strengths: the sample's rows weighted to its shares
         w = np.where(labels == 1, (1 - share_bad) / len(good), share_bad / len(bad))
@@ -99,12 +117,105 @@ class BradleyTerry:
         return cls(center, scale, weights, float((strengths[order[at]] + strengths[order[low]]) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = TRAIN_DOCS, text: str = "text", doc_id: str = "doc_id") -> BradleyTerry:
-    """A model of the labels, of which ``labelled_sample`` says what repeats and contradictions count; with one label alone, all documents score on its side of the threshold."""
-    texts, y = labelled_sample(docs, labels, "quality", folds, per_label, text, doc_id)
-    marks = labels.where(F.col("quality").isNotNull() & (fold_column(F.col("doc_id").cast("long"), folds) != 0))
-    share = marks.agg(F.avg((F.col("quality") == 0).cast("double")).alias("bad")).first()["bad"] or 0.0
-    return BradleyTerry.fit(np.array([features(t) for t in texts]).reshape(len(texts), 16), np.array(y), share)
+def describe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, features) of every row's whole text, kept in the shared folder: 16 numbers a row."""
+
+    @F.pandas_udf("array<double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([features(t) for t in batch], dtype=object)
+
+    return materialize(docs.select(docs[doc_id].cast("long").alias("doc_id"), measured(whole_text(docs, text)).alias("features")), "quality-features")
+
+
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), np.float64).reshape(len(column), FEATURES)
+
+
+def labelled(described: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """(doc_id, y, features) of all labelled documents but fold 0.
+
+    Repeated labels count once; an id with both labels has none. Of an id's several texts the one of the least features is read.
+    """
+    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold_column(F.col("doc_id"), folds) != 0))
+    marks = marks.where("doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
+    return materialize(described.join(marks, "doc_id").groupBy("doc_id", "y").agg(F.min("features").alias("features")), "quality-labelled")
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the expanded features, from sums per partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(1 + 4 * FEATURES)
+        for batch in batches:
+            wide = expand(matrix(batch["features"]))
+            sums += np.concatenate([[len(wide)], wide.sum(0), (wide**2).sum(0)])
+        yield pd.DataFrame({"place": range(len(sums)), "value": sums})
+
+    found = rows.select("features").mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    sums = np.zeros(1 + 4 * FEATURES)
+    for r in found:
+        sums[r["place"]] = r["value"]
+    mean, square = np.split(sums[1:] / max(1, sums[0]), 2)
+    return mean, np.sqrt(np.maximum(0, square - mean**2)) + 1e-3
+
+
+def value_at(values: DataFrame, rank: int) -> float:
+    """The exact value of column ``v`` that ``rank`` others come before, by counts in ever finer bins."""
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    while low < high and n > FEW_VALUES:
+        place = F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * (BINS - 1))
+        for r in sorted(values.where(F.col("v").between(low, high)).groupBy(place.alias("place")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), key=lambda r: r["place"]):
+            if rank < r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            rank -= r["n"]
+    if low == high:
+        return low
+    return sorted(r["v"] for r in values.where(F.col("v").between(low, high)).collect())[rank]
+
+
+def train_described(described: DataFrame, labels: DataFrame, folds: int = 5) -> BradleyTerry:
+    """A model of the labels, from all documents that ``labelled`` gives; with one label alone, all documents score on its side of the threshold."""
+    rows = labelled(described, labels, folds)
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    center, scale = moments(rows)
+    if len(counts) < 2:
+        return BradleyTerry(center, scale, np.zeros(2 * FEATURES), 1.0 if 0 in counts else -1.0)
+    shards = -(-sum(counts.values()) // SHARD_DOCS)
+    rare = min(counts, key=counts.get)
+    dealt, everywhere = rows, None
+    if counts[rare] < RARE_DOCS * shards and shards > 1:  # at most RARE_DOCS a shard
+        found = [r["features"] for r in rows.where(F.col("y") == rare).orderBy("doc_id").select("features").collect()]
+        everywhere = rows.sparkSession.sparkContext.broadcast(np.array(found))
+        dealt = rows.where(F.col("y") != rare)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id")
+        own, y = matrix(part["features"]), part["y"].to_numpy()
+        if everywhere is not None:
+            own, y = np.vstack([own, everywhere.value]), np.append(y, np.full(len(everywhere.value), rare))
+        if len(set(y.tolist())) < 2:
+            return pd.DataFrame({"shard": [int(key[0])], "n": [0], "weights": [[0.0] * 2 * FEATURES]})
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(part)], "weights": [fit_pairs((expand(own) - center) / scale, y).tolist()]})
+
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    fitted = sorted(dealt.groupBy("shard").applyInPandas(run, "shard int, n long, weights array<double>").collect(), key=lambda r: r["shard"])
+    weights = np.average([r["weights"] for r in fitted], axis=0, weights=[r["n"] for r in fitted])
+    model = BradleyTerry(center, scale, weights, 0.0)
+
+    @F.pandas_udf("double")
+    def strength(column: pd.Series) -> pd.Series:
+        return pd.Series(model.strength(matrix(column)), dtype="float64")
+
+    strengths = materialize(rows.select(strength("features").alias("v")), "quality-strengths")
+    # as many documents are below the threshold as are bad
+    threshold = (value_at(strengths, counts[0] - 1) + value_at(strengths, counts[0])) / 2
+    return BradleyTerry(center, scale, weights, threshold)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, text: str = "text", doc_id: str = "doc_id") -> BradleyTerry:
+    return train_described(describe(docs, text, doc_id), labels, folds)
 
 
 def score_column(spark: SparkSession, model: BradleyTerry):
@@ -127,5 +238,18 @@ def score_documents(docs: DataFrame, model: BradleyTerry, folds: int = 5, text:
     empty table gives no rows; further columns are ignored.
     """
     ids = docs[doc_id].cast("long")
-    scored = docs.select(ids.alias("doc_id"), score_column(docs.sparkSession, model)(whole_text(docs, text)).alias("score"))
+    return verdicts(docs.select(ids.alias("doc_id"), score_column(docs.sparkSession, model)(whole_text(docs, text)).alias("score")), folds)
+
+
+def score_described(described: DataFrame, model: BradleyTerry, folds: int = 5) -> DataFrame:
+    """What ``score_documents`` gives, from the features that ``describe`` keeps."""
+
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        return pd.Series(model.score(matrix(column)), dtype="float64")
+
+    return verdicts(described.select("doc_id", score("features").alias("score")), folds)
+
+
+def verdicts(scored: DataFrame, folds: int) -> DataFrame:
     return scored.select("doc_id", (fold_column(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

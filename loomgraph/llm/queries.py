@@ -30,8 +30,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return quality_ranking.score_documents(docs, quality_ranking.train(docs, read_table(spark, sf_dir, "labels")))
+    described = quality_ranking.describe(read_table(spark, sf_dir, "documents"))
+    return quality_ranking.score_described(described, quality_ranking.train_described(described, read_table(spark, sf_dir, "labels")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

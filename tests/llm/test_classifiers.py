@@ -114,6 +114,33 @@ def test_quality_held_out(spark, frame):
     assert accuracy(scored, labels, 1) > 0.95
 
 
+def test_quality_learns_from_all_labels(spark, frame, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(k, " ".join(word(rnd) + rnd.choice(["", "", "###", "!", "|"]) for _ in range(rnd.randint(5, 40)))) for k in range(5000)]
+    labels = [(k, int(rnd.random() < 0.4 + 0.3 * ("###" not in t)), 0) for k, t in rows]
+    docs = frame(rows)
+    for shard, few in ((20_000, 20_000), (700, 50)):
+        monkeypatch.setattr(quality_ranking, "SHARD_DOCS", shard)
+        monkeypatch.setattr(quality_ranking, "FEW_VALUES", few)
+        scored = quality_ranking.score_documents(docs, quality_ranking.train(docs, labels_frame(spark, labels)))
+        found = {r["doc_id"]: r["predicted"] for r in scored.where("not held_out").collect()}
+        assert len(found) > 3900 and abs(list(found.values()).count(0) - sum(labels[k][1] == 0 for k in found)) <= 1
+
+
+def test_quality_of_a_rare_label_in_many_shards(spark, frame, monkeypatch):
+    rows, labels = corpus(400, seed=3)
+    first = {q: [k for k, own, _ in labels if own == q] for q in (0, 1)}
+    kept = {*first[0][:12], *first[1]}
+    monkeypatch.setattr(quality_ranking, "SHARD_DOCS", 30)
+    docs = frame(rows)
+    model = quality_ranking.train(docs, labels_frame(spark, [r for r in labels if r[0] in kept]))
+    score = {r["doc_id"]: r["score"] for r in quality_ranking.score_documents(docs, model).collect()}
+    described = quality_ranking.describe(docs)
+    assert {r["doc_id"]: r["score"] for r in quality_ranking.score_described(described, model).collect()} == pytest.approx(score)
+    unseen = [k for k in first[0] if k not in kept]
+    assert np.mean([score[k] for k in unseen]) < 0.5 * np.mean([score[k] for k in first[1]])
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality_ranking])
 def test_odd_rows_and_few_labels(spark, frame, odd, operator):
     for labels in ([], [(4, 1, 0)], [(4, 1, 0), (8, 0, 1), (999, 0, 1), (7, None, None)]):
