@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import byte_slices, fresh_name, materialize, ranges, whole_text
+from loomgraph.llm.common import fresh_name, materialize, ranges, whole_text
 from loomgraph.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -111,36 +113,35 @@ def prefix(codes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return codes[order[: n - (percent * n + 99) // 100 + 1]]
 
 
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The ids and texts of a batch by about SLICE_BYTES characters: no more of it than that becomes Python's strings at a time."""
+    raw = batch.column("raw")
+    for a, b in ranges(pc.utf8_length(raw).to_pylist(), SLICE_BYTES):
+        yield batch.column("doc_id").slice(a, b - a), raw.slice(a, b - a).to_pylist()
+
+
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """Rows (doc_id, n_shingles, node), and rows (block, counts) of the partitions' frequency sketches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for a, b in byte_slices(batch["raw"], SLICE_BYTES):
-                part = batch.iloc[a:b]
-                sets = [shingle(t) for t in part["raw"]]
+            for ids, texts in text_slices(batch):
+                sets = [shingle(t) for t in texts]
                 flat = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
                 where, n = np.unique(flat, return_counts=True)
                 sketch[where.astype(np.int64)] += n.astype(np.uint32)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
-                        "n_shingles": [len(s) for s in sets],
-                        "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"),
-                        "block": pd.array([None] * len(part), dtype="Int32"),
-                        "counts": None,
-                    }
-                )
+                none = [None] * len(sets)
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "block": none, "counts": none}, schema)
         if sketch.any():
             blocks = np.split(sketch, SKETCH_BLOCKS)
-            none = pd.array([None] * SKETCH_BLOCKS, dtype="Int64")
-            yield pd.DataFrame(
-                {"doc_id": none, "n_shingles": none, "node": none, "block": pd.array(range(SKETCH_BLOCKS), dtype="Int32"), "counts": [zlib.compress(b.tobytes(), 1) for b in blocks]}
-            )
+            none = [None] * SKETCH_BLOCKS
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "node": none, "block": list(range(SKETCH_BLOCKS)), "counts": [zlib.compress(b.tobytes(), 1) for b in blocks]}, schema)
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, node long, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, block int, counts binary")
 
 
 def set_names(words: int):
@@ -159,19 +160,19 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int, buck
     """Prefix postings packed by bucket of the element: (bucket, data); lists beyond ``hot_list`` are split by node."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, own = Shingler(words), set(), shared.value
         held, spread, count = [], [], 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             at = (np.concatenate(spread) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             rows, at = np.concatenate(held)[order], at[order]
             starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            return pd.DataFrame({"bucket": at[starts].astype(np.int32), "data": [p.tobytes() for p in np.split(rows, starts[1:])]})
+            return pa.RecordBatch.from_pydict({"bucket": at[starts].astype(np.int32), "data": [p.tobytes() for p in np.split(rows, starts[1:])]}, pa.schema([("bucket", pa.int32()), ("data", pa.binary())]))
 
         for batch in batches:
-            for text in batch["raw"]:
+            for text in (t for _, texts in text_slices(batch) for t in texts):
                 codes = shingle(text)
                 if not len(codes) or (node := node_of(codes)) in seen:
                     continue
@@ -191,7 +192,7 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int, buck
         if held:
             yield out()
 
-    return docs.mapInPandas(run, "bucket int, data binary")
+    return docs.mapInArrow(run, "bucket int, data binary")
 
 
 POSTING = np.dtype([("code", np.uint64), ("node", np.int64), ("size", np.uint32), ("pos", np.uint32)])

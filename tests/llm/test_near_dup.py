@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from loomgraph.llm import near_dup
 from loomgraph.llm.components import connected_components
@@ -161,3 +162,10 @@ def test_links_of_a_group_join_what_all_pairs_join():
 
     true = [(a, b) for a in sets for b in sets if a < b and 100 * len(s := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(s))]
     assert set(map(tuple, links.to_numpy().tolist())) <= set(true) and groups(links.to_numpy().tolist()) == groups(true)
+
+
+def test_texts_become_strings_by_slices(monkeypatch):
+    monkeypatch.setattr(near_dup, "SLICE_BYTES", 10)
+    texts = ["abc", "", "éééééééé", "x" * 50, "last"]
+    found = [(ids.to_pylist(), part) for ids, part in near_dup.text_slices(pa.RecordBatch.from_pydict({"doc_id": [1, 2, None, 4, 5], "raw": texts}))]
+    assert found == [([1, 2, None], texts[:3]), ([4], texts[3:4]), ([5], texts[4:])]
