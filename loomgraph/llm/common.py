@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,27 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Hand back to the system what the driver's JVM has freed outside its heap.
+
+    malloc keeps it otherwise: 204 MB after two small runs of the pipeline. A JVM that lacks the command (on Linux, one before 17.0.9) keeps it still.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    server, kind = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.java.lang.Class.forName
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = kind(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # the server's own class is not open to calls, its interface is
+        kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors lose nothing. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
