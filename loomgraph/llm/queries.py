@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, html_extraction, lm_scoring, near_dup, packing, quality_ranking, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from loomgraph.llm import (
+    collocations, exact_dedup, html_extraction, lm_scoring, near_dup, packing, quality_ranking, quality_rules, secret_scan, sentencepiece_codec, token_files, toxicity, vector_codes,
+)
 from loomgraph.llm.common import read_table
 
 
@@ -58,11 +60,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_packing, op3_toxicity, op4_quality_ranking, op5_quality_rules,
         op6_jaccard_join, op7_lm_scoring, op8_sentencepiece, op9_html_extraction, op10_exact_dedup,
+        op11_vector_codes, op12_token_files, op13_collocations,
     )
 }
 
@@ -91,7 +106,46 @@ g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (W
   string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM spans JOIN names USING (kind) GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
+def assigned_sql(k: int) -> str:
+    """CTEs of round k: b (each part's nearest entry of book k-1 and its distance) and book k."""
+    return f"""
+d{k} AS MATERIALIZED (SELECT id, part, entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS error FROM x JOIN c{k - 1} c USING (part, place) GROUP BY id, part, entry),
+b{k} AS MATERIALIZED (SELECT id, part, min_by(entry, (error, entry)) AS entry, min(error) AS error FROM d{k} GROUP BY id, part),
+s{k} AS (SELECT part, place, entry, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM b{k} JOIN x USING (id, part) GROUP BY part, place, entry),
+c{k} AS MATERIALIZED (SELECT part, place, entry, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM c{k - 1} LEFT JOIN s{k} USING (part, place, entry)),"""
+
+
+CODES_SQL = f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+u AS (SELECT id, unnest(embedding) AS y, unnest(generate_series(0, len(embedding) - 1)) AS i, len(embedding) // 4 AS w FROM e),
+x AS MATERIALIZED (SELECT id, i // w AS part, i % w AS place, floor(1024 * y::DOUBLE)::BIGINT AS v FROM u),
+c0 AS MATERIALIZED (SELECT part, place, id - 1 AS entry, v FROM x WHERE id <= 256),{"".join(map(assigned_sql, range(1, 6)))}
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM c4),
+f AS (SELECT id, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM b5 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN f USING (id), books"""
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+said AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM p WHERE len(ws) > 0),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM
+  (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM g, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m - 1 <= len(ws)) GROUP BY ALL HAVING count(*) >= 30),
+w AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+c AS (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM w),
+s AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, a, ws, m, unnest(generate_series(1, m)) AS i FROM w),
+longer AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(a) AS a FROM inside, (SELECT unnest([2, 3]) AS j) WHERE j < m AND i + j - 1 <= m GROUP BY ALL),
+left_over AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100::HUGEINT * longer.a < 80::HUGEINT * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM left_over JOIN said USING (lang)
+QUALIFY rank <= 2000"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": CODES_SQL,
+    "op13_collocations": PHRASES_SQL,
     "op1_secret_scan": SECRETS_SQL,
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
