@@ -53,11 +53,11 @@ def trim_driver(spark: SparkSession) -> None:
         kind("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors lose nothing. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     trim_driver(spark)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -45,8 +45,8 @@ _MAGIC = b"TIDS"
 #: Bytes of the code of each of a control byte's four ids.
 LENGTHS = (1 + (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3)).astype(np.int64)
 
-#: Bytes that no valid UTF-8 text has: between pieces, and for the end of a document. The latter's id stands for it until it becomes the end id.
-_CUT, _END, _END_ID = 0xFF, b"\xfe", np.uint32(0xFFFFFFFF)
+#: A byte that no valid UTF-8 text has, for the end of a document. Its id stands for it until it becomes the end id.
+_END, _END_ID = b"\xfe", np.uint32(0xFFFFFFFF)
 _VISIBLE = bytes(range(33, 127))
 _SPACE, _SOLID, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(4))
 _SPACE[[32, 10]] = True
@@ -115,9 +115,8 @@ class PieceTokenizer:
 
     def forget(self, pieces: list[bytes]) -> None:
         """Start the cache anew, with ``pieces`` in it."""
-        self.codes = Codes({_END: 0, b"": 1})
-        self.flat, self.sizes = np.array([_END_ID], "<u4"), np.array([1, 0])
-        self.starts, self.seen = np.array([0, 1]), np.zeros(2, np.int64)
+        self.codes = Codes({_END: 0})
+        self.flat, self.sizes, self.starts, self.seen = np.array([_END_ID], "<u4"), np.array([1]), np.array([0]), np.zeros(1, np.int64)
         for p in pieces:
             self.codes[p]
         self.learn(pieces)
@@ -151,39 +150,33 @@ class PieceTokenizer:
         self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
 
     @staticmethod
-    def cut(raw: bytes) -> list[bytes]:
+    def cuts(raw: bytes, whole: list[tuple[int, int]]) -> np.ndarray:
+        """Where pieces start, and the end of the last; there are no cuts inside the ranges ``whole``."""
         buf = np.frombuffer(raw, np.uint8)
         latin = np.zeros(len(buf), bool)
         latin[1:] = _FOLLOWS[buf[1:]] & (buf[:-1] == _LEAD)
         before = _SPACE[buf[1:]] & (_SOLID[buf[:-1]] | latin[:-1]) | _MARK[buf[1:]] & (_LETTER[buf[:-1]] | latin[:-1])
         before |= (buf[1:] == _END[0]) | (buf[:-1] == _END[0])
-        at = np.flatnonzero(before) + 1
-        out = np.full(len(buf) + len(at), _CUT, np.uint8)
-        own = np.ones(len(out), bool)
-        own[at + np.arange(len(at))] = False
-        out[own] = buf
-        return out.tobytes().split(bytes([_CUT]))
+        for start, stop in whole:
+            before[start : stop - 1] = False
+        return np.concatenate([[0], np.flatnonzero(before) + 1, [len(buf)]]).astype(np.int32)
 
     def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in UTF-8, one after the other, and where each text's end."""
-        if any(_END in t or bytes([_CUT]) in t for t in texts):  # no valid UTF-8
+        if any(_END in t for t in texts):  # no valid UTF-8
             texts = [t.decode("utf-8", "replace").encode() for t in texts]
-        pieces: list[bytes] = []
-        plain: list[bytes] = []
-        whole: dict[bytes, None] = {}
-        for t in [*texts, None]:
-            special = t is not None and any(s in t for s in self.special)  # it is found before words are
-            if plain and (special or t is None):
-                pieces += self.cut(_END.join(plain) + _END)
-                plain = []
-            if special:
-                pieces += [t, _END]
-                whole[t] = None
-            elif t is not None:
-                plain.append(t)
-        known = len(self.codes)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        if not texts:
+            return np.array([], "<u4"), np.array([], np.int64)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        special = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]  # a special token is found before words are
+        raw = _END.join(texts) + _END
+        offsets = self.cuts(raw, [(int(starts[k]), int(starts[k]) + len(texts[k])) for k in special])
+        found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        known, pieces = len(self.codes), found.dictionary.to_pylist()
+        distinct = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        whole = {texts[k] for k in special}
         self.learn(list(itertools.islice(self.codes, known, None)), whole)
+        codes = distinct[found.indices.to_numpy()]
         self.seen += np.bincount(codes, minlength=len(self.seen))
         sizes = self.sizes[codes]
         places = np.repeat(self.starts[codes] - np.cumsum(sizes) + sizes, sizes)
@@ -193,7 +186,7 @@ class PieceTokenizer:
         ids[stops] = self.end
         if len(self.codes) > CACHE_PIECES or len(self.flat) > 8 * CACHE_PIECES or sum(map(len, whole)) > SLICE_BYTES:
             again = self.seen > 1
-            self.forget([p for p, a in zip(self.codes, again.tolist(), strict=True) if a and p not in (b"", _END) and len(p) <= LONGEST_PIECE][-CACHE_PIECES // 2 :])
+            self.forget([p for p, a in zip(self.codes, again.tolist(), strict=True) if a and p != _END and len(p) <= LONGEST_PIECE][-CACHE_PIECES // 2 :])
         return ids, stops + 1
 
 
@@ -315,7 +308,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     and hold the end id alone; an empty table gives no blocks. Further columns are ignored.
     """
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id, text, doc_id), "tokens")
+    tokens = materialize(tokenize(docs, tokenizer_path, end_id, text, doc_id), "tokens", "zstd")
     ranked = frequency_ranks(tokens)
     spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{folder}/ranks")
     size = max((i for i, _ in ranked), default=0) + 1
