@@ -13,6 +13,7 @@ are found along them.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,34 @@ CHUNK_BYTES, BUCKET_WORDS, RANK_ROWS = 16_000_000, 1_500_000, 50_000
 #: Signs at which pieces end become line feeds, tabs become spaces.
 _SIGNS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
-_CHUNK = "chunk long, lang string, codes binary, words array<binary>, counts array<long>"
+_CHUNK = "chunk long, lang string, n long, codes binary, words binary, counts binary"
+_WORDS = "chunk long, lang string, bucket long, words binary, counts binary, places binary"
 _PAIRS = "chunk long, bucket long, codes binary, firsts binary, lasts binary, counts binary, places binary"
-_NAMED = "chunk long, places binary, names binary, name long, first long, last long, n long"
+_NAMED = "chunk long, places binary, names binary, name long, lang string, phrase binary, first long, last long, n long"
+
+
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers as bytes: differences where they rise, byte planes apart, compressed."""
+    own = np.diff(values, prepend=0) if rising else values
+    planes = np.ascontiguousarray(own, "<i8").view(np.uint8).reshape(-1, 8).T
+    return len(own).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    values = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(values) if rising else values
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words, which hold no spaces."""
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True).split(b" ")
 
 
 class Places(dict):
@@ -45,7 +71,7 @@ class Places(dict):
 
 def table(columns: list, names: str) -> pa.RecordBatch:
     """A batch of the columns, typed by a schema string."""
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [f.split(" ") for f in names.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
@@ -73,7 +99,7 @@ def chunk_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
             for name, texts in held.items():
                 words, counts, codes = split_words(texts)
                 if len(words):
-                    yield table([[number], [name], [codes.astype("<i4").tobytes()], [words], [counts]], _CHUNK)
+                    yield table([[number], [name], [int(counts.sum())], [packed(codes)], [packed_words(words)], [packed(counts)]], _CHUNK)
                     number += 1
 
         for batch in batches:
@@ -91,27 +117,76 @@ def chunk_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return source.mapInArrow(run, _CHUNK)
 
 
-def pair_up(chunk: int, codes: np.ndarray, names: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of adjacent names of a chunk: ``names`` has the name of each code, -1 if it isn't frequent."""
+def deal(bucket: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets in use, and the places of each, rising."""
+    order = np.argsort(bucket, kind="stable")
+    used, starts = np.unique(bucket[order], return_index=True)
+    return used, np.split(order, starts[1:])
+
+
+def word_buckets(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Each chunk's distinct words, dealt into buckets by their crc32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, counts = unpacked_words(raw), unpacked(n)
+                order = sorted(range(len(words)), key=words.__getitem__)  # neighbours alike
+                used, parts = deal(np.fromiter((zlib.crc32(words[k]) for k in order), np.int64, len(order)) % buckets)
+                places = [np.array(order)[p] for p in parts]
+                columns = [[chunk] * len(used), [lang] * len(used), used, [packed_words([words[k] for k in p.tolist()]) for p in places], [packed(counts[p]) for p in places], [packed(p) for p in places]]
+                yield table(columns, _WORDS)
+
+    return chunks.select("chunk", "lang", "words", "counts").mapInArrow(run, _WORDS)
+
+
+def name_words(words: DataFrame, least: int) -> DataFrame:
+    """Names of the words said ``least`` times or more in a language (name, lang, phrase, n), and packed answers to chunks."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        number = bucket.column("bucket")[0].as_py()
+        lists = [unpacked_words(raw) for raw in bucket.column("words").to_pylist()]
+        sizes = [len(x) for x in lists]
+        found = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        langs, of = np.unique(bucket.column("lang").to_pylist(), return_inverse=True)
+        keys, inverse = np.unique(np.repeat(of, sizes) + len(langs) * found.indices.to_numpy().astype(np.int64), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, inverse, np.concatenate([unpacked(x) for x in bucket.column("counts").to_pylist()]))
+        often = total >= least
+        named = np.where(often, (number << 32) + np.cumsum(often) - 1, -1)
+        none = [None] * int(often.sum())
+        phrases = found.dictionary.take(pa.array(keys[often] // len(langs))).to_pylist()
+        out = [table([none, none, none, named[often], langs[keys[often] % len(langs)].tolist(), phrases, none, none, total[often]], _NAMED)]
+        return pa.Table.from_batches([*out, *answers(bucket, named[inverse], sizes, False)])
+
+    return words.groupBy("bucket").applyInArrow(run, _NAMED)
+
+
+def answers(bucket: pa.Table, names: np.ndarray, sizes: list[int], rising: bool) -> Iterator[pa.RecordBatch]:
+    """To each chunk the places of its frequent words or pairs, and their names; ``names`` has those of all chunks in turn, -1 for the others."""
+    for chunk, at, own in zip(bucket.column("chunk").to_pylist(), bucket.column("places").to_pylist(), np.split(names, np.cumsum(sizes)[:-1]), strict=True):
+        if (own >= 0).any():
+            yield table([[chunk], [packed(unpacked(at, rising)[own >= 0], rising)], [packed(own[own >= 0])], *[[None]] * 6], _NAMED)
+
+
+def pair_up(chunk: int, codes: np.ndarray, names: np.ndarray, buckets: int, longer: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of adjacent names of a chunk, and with ``longer`` their order: ``names`` has the name of each code, -1 if it isn't frequent."""
     known, dense = np.unique(names[names >= 0], return_inverse=True)
     local = np.full(len(names) + 1, -1, np.int64)  # the last one is for code -1
     local[:-1][names >= 0] = dense
     at = local[codes]
     here = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0)) if len(at) else np.array([], np.int64)
     pairs, place, counts = np.unique(at[here] * len(known) + at[here + 1], return_inverse=True, return_counts=True)
-    out = np.full(max(0, len(codes) - 1), -1, "<i4")
-    out[here] = place
-    yield table([[chunk], [None], [out.tobytes()], [None], [None], [None], [None]], _PAIRS)
+    if longer:
+        out = np.full(max(0, len(codes) - 1), -1, np.int64)
+        out[here] = place
+        yield table([[chunk], [None], [packed(out)], [None], [None], [None], [None]], _PAIRS)
     if not len(pairs):
         return
     first, last = known[pairs // len(known)], known[pairs % len(known)]
-    bucket = bucket_of(first, last, buckets)
-    order = np.argsort(bucket, kind="stable")
-    used, starts = np.unique(bucket[order], return_index=True)
-    parts = [order[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)]
-    pack = lambda x, kind: [x[p].astype(kind).tobytes() for p in parts]
-    none = [None] * len(used)
-    yield table([[chunk] * len(used), used, none, pack(first, "<i8"), pack(last, "<i8"), pack(counts, "<i8"), pack(np.arange(len(pairs)), "<i4")], _PAIRS)
+    used, parts = deal(bucket_of(first, last, buckets))
+    columns = [[chunk] * len(used), used, [None] * len(used), [packed(first[p], True) for p in parts], [packed(last[p]) for p in parts], [packed(counts[p]) for p in parts], [packed(p, True) for p in parts]]
+    yield table(columns, _PAIRS)
 
 
 def bucket_of(first: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
@@ -123,30 +198,29 @@ def bucket_of(first: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
-def pair_chunks(codes: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
-    """Chunks' pairs: ``codes`` has a row per chunk, ``names`` packed places and names of its frequent ones."""
+def pair_chunks(codes: DataFrame, named: DataFrame, buckets: int, longer: bool) -> DataFrame:
+    """Chunks' pairs: ``codes`` has a row per chunk, ``named`` the answers to it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([table([[]] * 7, _PAIRS)])
-        own = np.frombuffer(left.column("codes")[0].as_py(), "<i4")
-        named = np.full(int(own.max(initial=-1)) + 1, -1, np.int64)
-        for at, name in zip(right.column("places").to_pylist(), right.column("names").to_pylist(), strict=True):
-            named[np.frombuffer(at, "<i4")] = np.frombuffer(name, "<i8")
-        return pa.Table.from_batches(list(pair_up(left.column("chunk")[0].as_py(), own, named, buckets)))
+        own = unpacked(left.column("codes")[0].as_py())
+        names = np.full(int(own.max(initial=-1)) + 1, -1, np.int64)
+        for at, name, rising in zip(*(right.column(c).to_pylist() for c in ("places", "names", "rising")), strict=True):
+            names[unpacked(at, rising)] = unpacked(name)
+        return pa.Table.from_batches([table([[]] * 7, _PAIRS), *pair_up(left.column("chunk")[0].as_py(), own, names, buckets, longer)])
 
-    return codes.groupBy("chunk").cogroup(names.groupBy("chunk")).applyInArrow(run, _PAIRS)
+    return codes.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(run, _PAIRS)
 
 
-def name_pairs(pairs: DataFrame, least: int, answer: bool) -> DataFrame:
-    """Names of the pairs said ``least`` times or more (name, first, last, n), and packed answers to chunks."""
+def name_pairs(pairs: DataFrame, least: int, longer: bool) -> DataFrame:
+    """Names of the pairs said ``least`` times or more (name, first, last, n), and with ``longer`` packed answers to chunks."""
 
     def run(bucket: pa.Table) -> pa.Table:
         number = bucket.column("bucket")[0].as_py()
-        packed = lambda c, kind: [np.frombuffer(x, kind) for x in bucket.column(c).to_pylist()]
-        firsts = packed("firsts", "<i8")
-        sizes = np.array([len(x) for x in firsts])
-        first, last, n = np.concatenate(firsts), np.concatenate(packed("lasts", "<i8")), np.concatenate(packed("counts", "<i8"))
+        column = lambda c, rising: [unpacked(x, rising) for x in bucket.column(c).to_pylist()]
+        firsts = column("firsts", True)
+        first, last, n = np.concatenate(firsts), np.concatenate(column("lasts", False)), np.concatenate(column("counts", False))
         order = np.lexsort((last, first))
         first, last = first[order], last[order]
         starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])])
@@ -154,29 +228,16 @@ def name_pairs(pairs: DataFrame, least: int, answer: bool) -> DataFrame:
         often = total >= least
         named = np.where(often, (number << 32) + np.cumsum(often) - 1, -1)
         none = [None] * int(often.sum())
-        out = [table([none, none, none, named[often], first[starts][often], last[starts][often], total[often]], _NAMED)]
-        if answer:
+        out = [table([none, none, none, named[often], none, none, first[starts][often], last[starts][often], total[often]], _NAMED)]
+        if longer:
             name = np.empty(len(order), np.int64)
             name[order] = np.repeat(named, np.diff(starts, append=len(order)))
-            for chunk, at, own in zip(bucket.column("chunk").to_pylist(), packed("places", "<i4"), np.split(name, np.cumsum(sizes)[:-1]), strict=True):
-                if (own >= 0).any():
-                    out.append(table([[chunk], [at[own >= 0].tobytes()], [own[own >= 0].astype("<i8").tobytes()], *[[None]] * 4], _NAMED))
+            out += answers(bucket, name, [len(x) for x in firsts], True)
         return pa.Table.from_batches(out)
 
     return pairs.where("bucket is not null").groupBy("bucket").applyInArrow(run, _NAMED)
 
 
-def packed_names(answers: DataFrame) -> DataFrame:
-    """Rows (chunk, place, name) as one packed row per chunk."""
-    schema = "chunk long, places binary, names binary"
-
-    def run(rows: pa.Table) -> pa.Table:
-        at, name = rows.column("place").to_numpy().astype("<i4"), rows.column("name").to_numpy().astype("<i8")
-        return pa.Table.from_batches([table([[rows.column("chunk")[0].as_py()], [at.tobytes()], [name.tobytes()]], schema)])
-
-    return answers.groupBy("chunk").applyInArrow(run, schema)
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
     """Each language's number of words n, and per length from 1 to ``words``: name, lang, phrase, a (how often it is said), heads and tails.
 
@@ -184,18 +245,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, te
     Names are unique within a length; those of longer phrases carry ``first`` and ``last``, the names of all but the last and all but the first word.
     """
     chunks = materialize(chunk_words(docs, text, lang), "phrases-chunks")
-    said = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
-        "chunk", "lang", "place", F.col("w.words").cast("string").alias("phrase"), F.col("w.counts").alias("n")
-    )
-    counted = said.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    none = F.array().cast("array<long>")
-    level = materialize(counted.select(F.monotonically_increasing_id().alias("name"), "lang", "phrase", "a", none.alias("heads"), none.alias("tails")), "phrases-1")
-    totals = materialize(chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")), "phrases-n")
+    totals = materialize(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-n")
     buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
-    names = packed_names(said.join(level.select("name", "lang", "phrase"), ["lang", "phrase"]).select("chunk", "place", "name"))
-    out, codes, done = [level], chunks.select("chunk", "codes"), [chunks]
+    named = materialize(name_words(word_buckets(chunks, buckets), least), "phrases-named-1")
+    none = F.array().cast("array<long>")
+    level = materialize(
+        named.where("name is not null").select("name", "lang", F.col("phrase").cast("string").alias("phrase"), F.col("n").alias("a"), none.alias("heads"), none.alias("tails")), "phrases-1"
+    )
+    replies = lambda named, rising: named.where("places is not null").select("chunk", "places", "names", F.lit(rising).alias("rising"))
+    names, out, codes, done = replies(named, False), [level], chunks.select("chunk", "codes"), [chunks, named]
     for k in range(2, words + 1):
-        pairs = materialize(pair_chunks(codes, names, buckets), f"phrases-pairs-{k}")
+        pairs = materialize(pair_chunks(codes, names, buckets, k < words), f"phrases-pairs-{k}")
         named = materialize(name_pairs(pairs, least, k < words), f"phrases-named-{k}")
         first, last = (level.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("lang", "phrase", "a", "heads", "tails"))) for side in ("first", "last"))
         longer = named.where("name is not null").select("name", "first", "last", F.col("n").alias("a")).join(first, "first").join(last, "last")
@@ -209,7 +269,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, te
         out.append(level)
         for old in done:
             discard(old)
-        codes, names = pairs.where("codes is not null").select("chunk", "codes"), named.where("places is not null").select("chunk", "places", "names")
+        codes, names = pairs.where("codes is not null").select("chunk", "codes"), replies(named, True)
         done = [pairs, named]
     for old in done:
         discard(old)
