@@ -37,14 +37,21 @@ HINTS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice",
     "banner", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "comment", "comments", "commentlist",
     "disqus", "reply", "replies", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "related", "recommended", "popup", "modal",
-    "overlay", "toolbar", "pagination", "pager", "widget", "alert", "search", "complementary", "contentinfo", "form",
+    "overlay", "toolbar", "pagination", "pager", "widget", "alert", "search", "complementary", "contentinfo", "form", "respond",
 }
 #: Parts of a class name that may stand beside a hint without changing what it names.
 BESIDE = {"site", "global", "top", "bottom", "left", "right", "main", "primary", "secondary", "bar", "box", "list", "links", "buttons", "wrapper", "container"}
+#: Parts that may stand beside a hint of STRONG: a comment's body or an advert's slot is no article, whereas an article's header or menu of contents is.
+AROUND = {
+    "area", "author", "avatar", "block", "body", "card", "content", "date", "entry", "feed", "group", "holder", "inner", "inline", "item", "meta", "module", "outer", "panel", "post",
+    "posts", "reader", "readers", "row", "section", "slot", "text", "thread", "unit", "user", "users", "visitor", "visitors", "zone",
+}
+#: Classes, but not ids, which repeat a heading's words, that name what readers wrote.
+TALK = {"discussion", "responses"}
 #: Names that say the same of a paragraph, an item or a heading itself; the others speak of boxes that hold several.
 STRONG = {
     "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "gdpr", "notice", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored",
-    "promo", "promotion", "comment", "comments", "reply", "replies", "share", "sharing", "subscribe", "newsletter", "related",
+    "promo", "promotion", "comment", "comments", "commentlist", "reply", "replies", "respond", "share", "sharing", "subscribe", "newsletter", "related",
 }
 TEXTUAL = {"p", "li", "td", "th", "dd", "dt", "blockquote", "pre", "figure", "figcaption", "caption", "address", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -58,17 +65,23 @@ STOP_WORDS = {
 _STOP = {w for words in STOP_WORDS.values() for w in words.split()}
 #: First pass: link density above which a block is boilerplate, characters under which it stays open, stop-word densities under which it is bad and from which on it is good.
 MAX_LINKS, SHORT, STOP_LOW, STOP_HIGH = 0.5, 80, 0.08, 0.2
+#: Elements that may hold a sentence which is a link, and the words of a sentence; elements of running text whose words need not be those of a language.
+SENTENCES, SENTENCE, CODE = {"p", "blockquote", "dd", "figcaption"}, 6, {"pre", "td", "th", "dd", "blockquote"}
 
 
 class Block:
-    """A run of text: boilerplate by its tags, inside an article, in an element with a hint, a heading; its link density."""
+    """A run of text: boilerplate by its tags, inside an article, in an element with a hint; the tag of its block element; its link density."""
 
-    __slots__ = ("boiler", "heading", "hint", "inside", "link_chars", "links", "parts", "text")
+    __slots__ = ("anchors", "boiler", "hint", "inside", "link_chars", "links", "parts", "tag", "text")
 
-    def __init__(self, boiler: bool, inside: bool, hint: bool, heading: bool):
+    def __init__(self, boiler: bool, inside: bool, hint: bool, tag: str):
         self.parts: list[str] = []
-        self.link_chars, self.boiler, self.inside, self.hint, self.heading = 0, boiler, inside, hint, heading
-        self.text, self.links = "", 0.0
+        self.link_chars, self.boiler, self.inside, self.hint, self.tag = 0, boiler, inside, hint, tag
+        self.text, self.links, self.anchors = "", 0.0, 0
+
+    @property
+    def heading(self) -> bool:
+        return self.tag in HEADINGS
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -82,10 +95,13 @@ def attributes_of(text: str) -> dict[str, str]:
 def hinted(tag: str, attributes: dict[str, str]) -> bool:
     """Whether a whole name in class, id or role says that the element is not the article's; a heading's id only repeats its words."""
     names = STRONG if tag in TEXTUAL else HINTS
+    if tag not in TEXTUAL and not TALK.isdisjoint(attributes.get("class", "").lower().split()):
+        return True
     for key in ("class", "role") if tag in HEADINGS else ("class", "id", "role"):
         for name in attributes.get(key, "").lower().split():
             parts = {x for x in re.split(r"[-_]+", name) if x}
-            if not parts.isdisjoint(names) and parts <= HINTS | BESIDE:
+            beside = BESIDE if parts.isdisjoint(STRONG) else BESIDE | AROUND
+            if not parts.isdisjoint(names) and parts <= HINTS | beside:
                 return True
     return False
 
@@ -107,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
     closable: list[str] = []  # the block elements of the stack
     opened: Counter[str] = Counter()
     boiler = inside = link = hint = False
-    block = Block(False, False, False, False)
+    block = Block(False, False, False, "")
     at, end = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -122,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal block
         if block.parts:
             out.append(block)
-        block = Block(boiler, inside, hint, bool(closable) and closable[-1] in HEADINGS)
+        block = Block(boiler, inside, hint, closable[-1] if closable else "")
 
     def close(tag: str) -> None:
         """Everything up to the last open ``tag``."""
@@ -182,6 +198,7 @@ def blocks_of(page: str) -> list[Block]:
                 closable.append(tag)
         if tag in BLOCK or boiler != block.boiler or hint != block.hint:
             cut()
+        block.anchors += tag == "a"
     cut()
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -193,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
 def first_pass(blocks: list[Block]) -> list[bool | None]:
     """Good, bad or open by link density, length and stop words, wherever a block stands.
 
-    If the long blocks together have hardly any stop words, the page's language
+    A paragraph of an article that is a sentence stays open though most of it is one link. If the long blocks together have hardly any stop words, the page's language
     is none of those in STOP_WORDS, and length alone decides.
     """
     words = [_WORD.findall(b.text.lower()) if not b.boiler and len(b.text) >= SHORT and b.links <= MAX_LINKS else [] for b in blocks]
@@ -203,7 +220,7 @@ def first_pass(blocks: list[Block]) -> list[bool | None]:
     for b, own, n in zip(blocks, words, stops, strict=True):
         density = n / max(1, len(own))
         if b.boiler or b.links > MAX_LINKS:
-            labels.append(False)
+            labels.append(None if not b.boiler and b.inside and b.tag in SENTENCES and b.anchors == 1 and len(_WORD.findall(b.text)) >= SENTENCE else False)
         elif len(b.text) < SHORT:
             labels.append(None)
         elif not told or density >= STOP_HIGH or density >= STOP_LOW and len(b.text) >= 2 * SHORT:
@@ -240,10 +257,17 @@ def classify(blocks: list[Block]) -> list[bool]:
                 near = [decided[right]]  # a heading goes with what follows it
             least = len(region) if blocks[k].inside else min((abs(i - j) for i in near), default=0)
             own = not near or any(labels[region[i]] for i in near if abs(i - j) <= least)  # in an article the farther neighbour counts too
+        elif not own and 0 < j < len(region) - 1 and blocks[k].tag in CODE and blocks[k].links <= MAX_LINKS:  # code or figures between good blocks
+            own = out[region[j - 1]] and _next_decided(labels, region, j)
         out[k] = own
     return out
 
 
+def _next_decided(labels: list[bool | None], region: list[int], j: int) -> bool:
+    """Whether the block of the region after ``j`` is good by itself."""
+    return labels[region[j + 1]] is True
+
+
 def extract(page: str | None) -> str:
     """Main text of a page, blocks joined by one line feed; empty if none."""
     if not page:

@@ -27,6 +27,34 @@ def test_names_in_values_drop_nothing():
     assert extract(page).split("\n") == ["Title", "Structure", "Search", f"{LONG} valley {LONG}", "Found."]
 
 
+def test_what_readers_write_and_adverts_go():
+    for element in (
+        'div class="comment-body"', 'section id="respond"', 'section class="user-comments"', 'section class="discussion"', 'div class="ad-slot"', 'div class="reader-comments__thread"', 'ol class="commentlist"', 'div id="ad_unit"',
+        'div class="post-comment"', 'p class="sponsored-content"', 'div class="comment-text"',
+    ):
+        tag = element.split()[0]
+        inner = f"<li>{LONG}</li>" if tag == "ol" else LONG
+        page = f"<body><article><h1>Title</h1><p>{LONG}</p><{element}>{inner}</{tag}></article></body>"
+        assert extract(page).split("\n") == ["Title", LONG], element
+        assert extract(f"<body><div><p>{LONG}</p><p>{LONG}</p></div><{element}>{inner}</{tag}></body>").split("\n") == [LONG, LONG], element
+
+
+def test_names_of_an_articles_own_parts_stay():
+    for element in ('section id="discussion"', 'div class="article-header"', 'div class="header-content"', 'div class="no-comments"', 'div class="commented-text"', 'section class="discussion-of-results"', 'div class="related-work"'):
+        tag = element.split()[0]
+        page = f"<body><article><h1>Title</h1><p>{LONG}</p><{element}><p>{LONG}</p></{tag}></article></body>"
+        assert extract(page).split("\n") == ["Title", LONG, LONG], element
+
+
+def test_linked_sentences_and_code_are_text():
+    link = '<a href="/r">The first report of the council on the state of the river</a>'
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><p>{link}</p><p>{LONG}</p><ul><li><a href='/x'>Other news of this day and of the next day here</a></li></ul></article></body>"
+    assert extract(page).split("\n") == ["Title", LONG, "The first report of the council on the state of the river", LONG]
+    code = "int main(int argc, char **argv) { return printf(\"%d\", argc); } // gcc -O2 -Wall -Wextra main.cpp --output=main.bin"
+    page = f"<body><div><h1>Title</h1><p>{LONG}</p><pre>{code}</pre><p>{LONG}</p></div><pre>{code}</pre></body>"
+    assert extract(page).split("\n") == ["Title", LONG, code, LONG]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain &lt;text&#33;"), (None, "u", "<p>un<b>closed"), (5, "u", "<script>x"), (6, "u", "<p>" + "word " * 20_000 + "</p>"), (6, "u", "<<>> <p <p>a</p>"), (7, "u", "<" * 500)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
@@ -101,3 +129,51 @@ def test_work_grows_with_the_page():
     for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<a<" * n + '"', lambda n: "<p><b>x" * n, lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>&amp;</q>" * n):
         seconds(make(1000))
         assert seconds(make(40_000)) < 40 * max(seconds(make(4_000)), 0.02)
+
+
+def plain_classify(blocks):
+    """The second pass as its rules are stated, each block by a walk over all others."""
+    from loomgraph.llm import html_extraction as H
+
+    labels = H.first_pass(blocks)
+    shown = [k for k, b in enumerate(blocks) if not b.boiler]
+    article = any(b.inside and not b.hint and x is not False for b, x in zip(blocks, labels, strict=True))
+    good = [k for k, x in enumerate(labels) if x]
+    if article or any(not blocks[k].hint for k in good) or not good:
+        shown = [k for k in shown if not blocks[k].hint]
+    if any(blocks[k].inside and labels[k] is not False for k in shown):
+        shown = [k for k in shown if blocks[k].inside]
+    kept = []
+    for j, k in enumerate(shown):
+        before, after = [i for i in range(j) if labels[shown[i]] is not None], [i for i in range(j + 1, len(shown)) if labels[shown[i]] is not None]
+        some_good = any(labels[shown[i]] for i in before + after + [j])
+        if labels[k]:
+            kept.append(k)
+        elif labels[k] is False:
+            if blocks[k].tag in H.CODE and blocks[k].links <= H.MAX_LINKS and 0 < j < len(shown) - 1 and shown[j - 1] in kept and labels[shown[j + 1]]:
+                kept.append(k)
+        elif not before and not after or not some_good and blocks[shown[0]].inside:
+            kept.append(k)
+        elif blocks[k].heading and after:
+            if labels[shown[after[0]]]:
+                kept.append(k)
+        else:
+            near = before[-1:] + after[:1]
+            least = min(abs(i - j) for i in near)
+            if any(labels[shown[i]] for i in near if blocks[k].inside or abs(i - j) == least):
+                kept.append(k)
+    return [k in kept for k in range(len(blocks))]
+
+
+def test_second_pass_equals_its_plain_form():
+    from loomgraph.llm import html_extraction as H
+
+    rnd = random.Random(8)
+    texts = [LONG, "Short.", "x1 y2 z3 " * 12, "Of the day and of the night and the sea, seen by Anna Bellini Carlo Donati Elena Ferri Gino"]
+    for _ in range(400):
+        blocks = []
+        for _ in range(rnd.randint(0, 9)):
+            b = H.Block(rnd.random() < 0.1, rnd.random() < 0.4, rnd.random() < 0.15, rnd.choice(["p", "pre", "h2", "li", "td", "div"]))
+            b.text, b.links, b.anchors = rnd.choice(texts), rnd.choice([0.0, 0.0, 0.0, 0.9]), rnd.randint(0, 2)
+            blocks.append(b)
+        assert H.classify(blocks) == plain_classify(blocks), [(b.text[:9], b.tag, b.inside, b.hint, b.links) for b in blocks]
