@@ -184,22 +184,18 @@ def train_described(described: DataFrame, labels: DataFrame, folds: int = 5) ->
         return BradleyTerry(center, scale, np.zeros(2 * FEATURES), 1.0 if 0 in counts else -1.0)
     shards = -(-sum(counts.values()) // SHARD_DOCS)
     rare = min(counts, key=counts.get)
-    dealt, everywhere = rows, None
-    if counts[rare] < RARE_DOCS * shards and shards > 1:  # at most RARE_DOCS a shard
-        found = [r["features"] for r in rows.where(F.col("y") == rare).orderBy("doc_id").select("features").collect()]
-        everywhere = rows.sparkSession.sparkContext.broadcast(np.array(found))
-        dealt = rows.where(F.col("y") != rare)
+    # a label of few rows goes to as many shards as give each about RARE_DOCS of it: one where there are enough
+    copies = min(shards, max(1, -(-RARE_DOCS * shards // counts[rare])))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id")
-        own, y = matrix(part["features"]), part["y"].to_numpy()
-        if everywhere is not None:
-            own, y = np.vstack([own, everywhere.value]), np.append(y, np.full(len(everywhere.value), rare))
+        y = part["y"].to_numpy()
         if len(set(y.tolist())) < 2:
             return pd.DataFrame({"shard": [int(key[0])], "n": [0], "weights": [[0.0] * 2 * FEATURES]})
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(part)], "weights": [fit_pairs((expand(own) - center) / scale, y).tolist()]})
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(part)], "weights": [fit_pairs((expand(matrix(part["features"])) - center) / scale, y).tolist()]})
 
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    first, last = F.xxhash64("doc_id"), F.when(F.col("y") == rare, F.lit(copies - 1)).otherwise(F.lit(0))
+    dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), last))).withColumn("shard", F.pmod(first + F.col("copy"), F.lit(shards))).drop("copy")
     fitted = sorted(dealt.groupBy("shard").applyInPandas(run, "shard int, n long, weights array<double>").collect(), key=lambda r: r["shard"])
     weights = np.average([r["weights"] for r in fitted], axis=0, weights=[r["n"] for r in fitted])
     model = BradleyTerry(center, scale, weights, 0.0)
