@@ -61,3 +61,31 @@ def prepend(first: DataFrame, second: DataFrame) -> DataFrame:
     best = both.groupBy("query", "doc").agg(F.min(F.struct("run", "rank")).alias("at"))
     order = Window.partitionBy("query").orderBy("at", "doc")
     return best.select("query", "doc", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, doc): the documents (doc, text) that hold an item's (query, text) whole text. Items without a word hold nothing.
+
+    Whole words of an item, all but its first and last, are whole words of each such
+    document: the one in the fewest documents finds the candidates. Items of one or
+    two words have none; their longest word is sought inside the documents'
+    distinct words, of which all stretches of such lengths are listed. No pair is formed but by an equal key.
+    """
+    texts = docs.where("text is not null").select("doc", "text")
+    words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    asked = items.where("text is not null").select("query", F.col("text").alias("item"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    holding = texts.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+
+    inner = asked.where(F.size("ws") > 2).select("query", F.explode(F.slice("ws", 2, F.size("ws") - 2)).alias("word")).distinct()
+    counts = holding.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    keys = inner.join(counts, "word").groupBy("query").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+
+    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("size"), w.alias("part"))))
+    short = asked.where(F.size("ws") < 3).select("query", longest.alias("key")).select("query", "key.part", "key.size")
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())  # lengths of words, whatever the number of items
+    if sizes:
+        stretches = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda k: F.substring("word", k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        parts = holding.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*map(stretches, sizes)))).alias("part"))
+        keys = keys.unionByName(parts.join(short.select("query", "part"), "part").select("query", "word"))
+    met = keys.join(holding, "word").select("query", "doc").distinct()
+    return met.join(asked.select("query", "item"), "query").join(texts, "doc").where(F.contains("text", "item")).select("query", "doc").distinct()

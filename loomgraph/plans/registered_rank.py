@@ -251,23 +251,16 @@ def set_union_all(spark, d):
     return runs(spark, d).select("run", "query", "doc", "rank")
 
 
-TRUTH = RUNS + """, truth AS (SELECT item_id AS query, doc_id AS doc FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+TRUTH = RUNS + """, truth AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE regexp_matches(benchmark.text, '[^\\s]')),
 rel AS (SELECT query, count(*) AS relevant FROM truth GROUP BY query),
 hit AS (SELECT run AS variant, query, count(*) AS hits, min(rank) AS first FROM runs JOIN truth USING (query, doc) WHERE rank <= 10 GROUP BY ALL),
 cases AS (SELECT v.variant, query, coalesce(hits, 0) AS hits, relevant, first FROM rel CROSS JOIN (VALUES ('bm25'), ('overlap')) v(variant) LEFT JOIN hit USING (variant, query))"""
 
 
 def truth(spark, d):
-    """Documents that hold a whole item; the item's rarest word finds the candidates."""
-    docs = X.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text")
-    item = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("head"))
-    inner = F.split("head", r"\s+")
-    words = item.select("query", "head", F.explode(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(1)))).alias("word"))  # whole words
-    holding = docs.select("doc", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
-    rare = holding.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    key = words.join(rare, "word").groupBy("query").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    met = key.join(holding, "word").join(item, "query").join(docs, "doc")
-    return met.where(F.contains("text", "head")).select("query", "doc")
+    """Documents that hold a whole item."""
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return B.containing(docs, X.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"))
 
 
 def cases(spark, d):
