@@ -100,12 +100,59 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = Non
     return keyed.join(answers, same, "left").select(*refs.columns, "target_id", F.coalesce("confidence", F.lit("fuzzy_name")).alias("confidence"))
 
 
-def dependents(before: DataFrame, after: DataFrame, refs: DataFrame) -> DataFrame:
-    """References to resolve anew after an edit: those whose name's definitions (file, name, qualified, kind) differ between the two symbol tables."""
-    columns = ["file_path", "name", "qualified", "kind", "module", "lang"]
-    a, b = before.select(*columns), after.select(*columns)
-    changed = a.exceptAll(b).unionByName(b.exceptAll(a)).select("name").distinct()
-    return refs.join(changed, "name", "left_semi")
+def contributions(symbols: DataFrame) -> DataFrame:
+    """(rung, k1, k2, k3, id): every key of a rung's counts that a symbol enters. The ladder reads nothing else of the symbols."""
+    targets = symbols.where("kind <> 'impl'")
+    none = F.lit(None).cast("string")
+    row = lambda rung, k1, k2, k3: (F.lit(rung).alias("rung"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), (none if k3 is None else F.col(k3)).alias("k3"), "id")
+    suffixed = targets.select("id", "lang", "name", "file_path", "qualified", F.explode(module_suffixes(F.col("module"))).alias("suffix"))
+    spelled = suffixed.select("id", "lang", F.concat_ws("::", "suffix", "qualified").alias("target")).unionByName(targets.select("id", "lang", F.col("qualified").alias("target"))).distinct()
+    return (
+        targets.select(*row("file", "file_path", "name", None))
+        .unionByName(targets.withColumn("tail", module_tail(F.col("module"))).select(*row("module", "tail", "lang", "name")))
+        .unionByName(spelled.select(*row("path", "target", "lang", None)))
+        .unionByName(suffixed.select(*row("import", "suffix", "lang", "name")))
+    )
+
+
+def changed_keys(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(rung, k1, k2, k3): keys whose count or id sum moves from ``before`` to ``after``, by signed contributions. Symbols of untouched files may be left out of both."""
+    signed = contributions(before).withColumn("sign", F.lit(-1)).unionByName(contributions(after).withColumn("sign", F.lit(1)))
+    # ids as decimals: sums of 64-bit ids of both signs must not wrap to zero by chance
+    moved = signed.groupBy("rung", "k1", "k2", "k3").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("id").cast("decimal(20,0)")).alias("ids"))
+    return moved.where("n <> 0 or ids <> 0").select("rung", "k1", "k2", "k3")
+
+
+def dependents(before: DataFrame, after: DataFrame, refs: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """References whose answer may differ after an edit of the symbols: those that ask a key whose counts moved.
+
+    An answer is a function of the reference's key and of its rungs' counts and id sums, so all others keep theirs.
+    References of files whose imports changed are not found here. Arguments as in ``resolve``.
+    """
+    from loomgraph.operators.cut import cut
+
+    keys = cut(changed_keys(before, after))
+    asked = with_defaults(refs).withColumn("tail", module_tail(F.col("module")))
+    rung = lambda name, *columns: keys.where(F.col("rung") == name).select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(columns, 1)))
+    found = asked.join(rung("file", "from_file", "name"), ["from_file", "name"], "left_semi").select("id")
+    found = found.unionByName(asked.join(rung("module", "tail", "lang", "name"), ["tail", "lang", "name"], "left_semi").select("id"))
+    found = found.unionByName(asked.where("target is not null and not is_use").join(rung("path", "target", "lang"), ["target", "lang"], "left_semi").select("id"))
+    if imports is not None:
+        offered = rung("import", "suffix", "lang", "name")
+        used = imports.select("from_file", "target_symbol", F.regexp_replace("target_path", r"\.|/", "::").alias("suffix")).join(offered, "suffix")
+        used = used.where(F.col("target_symbol").isNull() | (F.col("target_symbol") == F.col("name"))).select("from_file", "lang", "name").distinct()
+        found = found.unionByName(asked.join(used, ["from_file", "lang", "name"], "left_semi").select("id"))
+    return refs.join(found.distinct(), "id", "left_semi")
+
+
+def asked_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbols that can answer a reference: of its name, or whose qualified name ends like its target."""
+    tail = lambda c: F.element_at(F.split(c, "::"), -1)
+    asked = with_defaults(refs)
+    by_name = symbols.join(asked.select("name").distinct(), "name", "left_semi").select("id")
+    ends = asked.where("target is not null").select(tail(F.col("target")).alias("end")).distinct()
+    by_end = symbols.withColumn("end", tail(F.col("qualified"))).join(ends, "end", "left_semi").select("id")
+    return symbols.join(by_name.unionByName(by_end).distinct(), "id", "left_semi")
 
 
 RESOLVED_SQL = r""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
@@ -27,9 +27,10 @@ def tables_of(files: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("file_path", r"\.[^./]+$", ""), r"(?:^|/)src(?=/)", ""), r"/(?:lib|main|mod|__init__|index)$", "")
     of_file = files.select(F.col("path").alias("file_path"), "lang")
     placed = lambda df: df.join(of_file, "file_path").withColumn("module", module)
+    same = Window.partitionBy("file_path", "qualified", "kind").orderBy("span_start", "span_end")  # an id outlives edits that only move its symbol
     return {
         "files": files.select("path", "hash", "lang", "byte_len"),
-        "symbols": placed(pick("symbol")).select(F.xxhash64("file_path", "qualified", "kind", "span_start").alias("id"), "file_path", "module", "lang", "name", "qualified", "kind", "span_start", "span_end", "line"),
+        "symbols": placed(pick("symbol")).withColumn("nth", F.row_number().over(same)).select(F.xxhash64("file_path", "qualified", "kind", "nth").alias("id"), "file_path", "module", "lang", "name", "qualified", "kind", "span_start", "span_end", "line"),
         "refs": placed(pick("ref")).select(
             F.xxhash64("file_path", "name", "kind", "span_start", "span_end").alias("id"), F.col("file_path").alias("from_file"), "module", "lang", "name", "kind", "span_start", "span_end", "line",
             F.col("value").isNotNull().alias("receiver_unknown"), F.lit(None).cast("string").alias("target"),
@@ -49,31 +50,46 @@ class Graph:
         if policy not in ("manual", "on_read", "windowed"):
             raise ValueError(f"unknown policy {policy!r}")
         self.store, self.policy, self.window, self.root = store, policy, window_seconds, root
+        self.resolved = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> Graph:
         return cls(Store(spark, path), **options)
 
     def sync(self, root: str | None = None, full: bool = False, version: str | None = None) -> dict[str, int]:
-        """Bring the store to the tree at ``root``: unchanged files keep their facts, references resolve anew; one commit makes all current."""
+        """Bring the store to the tree at ``root``; one commit makes all current.
+
+        Unchanged files keep their facts. Of references, those of new and modified files and those that ask
+        a key whose definitions moved resolve anew (``resolved`` counts them), against the symbols that
+        can answer them; all others keep their answers. The result equals that of a full build.
+        """
         found = scan(self.store.spark, root or self.root).where("status = 'found'")
         first = self.store.manifest()["current"] is None
         known = found.select("path", "hash").limit(0) if first else self.store.read("files").select("path", "hash")
         diff = cut(classify(known, found, full))
         counts = {r["status"]: r["n"] for r in diff.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.resolved = 0
         if not first and not set(counts) - {"unchanged"}:
             return counts
         todo = found.join(diff.where("status in ('new', 'modified')"), "path", "left_semi")
-        fresh = tables_of(todo, extract(todo))
-        gone = diff.where("status = 'deleted'").select(F.col("path").alias("file_path"))
-        if not first:
-            name = {"files": "path", "refs": "from_file", "imports": "from_file"}
-            touched = todo.select("path").unionByName(gone.withColumnRenamed("file_path", "path")).distinct()
-            for t in TABLES:
-                old, column = self.store.read(t).drop("target_id", "confidence"), name.get(t, "file_path")
-                fresh[t] = old.join(touched, old[column] == touched.path, "left_anti").unionByName(fresh[t])
-        fresh["refs"] = R.resolve(fresh["refs"], fresh["symbols"], fresh["imports"].withColumn("target_path", S.normalize_module(F.col("target_path"))))
-        self.store.commit(fresh, version)
+        facts = cut(extract(todo))
+        fresh = tables_of(todo, facts)
+        normal = lambda imports: imports.withColumn("target_path", S.normalize_module(F.col("target_path")))
+        if first:
+            stale, kept, changed = fresh["refs"], None, fresh
+        else:
+            touched = todo.select("path").unionByName(diff.where("status = 'deleted'").select("path")).distinct()
+            column = {"files": "path", "refs": "from_file", "imports": "from_file"}
+            old = {t: self.store.read(t) for t in TABLES}
+            of = lambda t, how: old[t].join(touched, old[t][column.get(t, "file_path")] == touched.path, how)
+            changed = {t: of(t, "left_anti").unionByName(fresh[t]) for t in TABLES if t != "refs"}
+            others = of("refs", "left_anti")
+            again = cut(R.dependents(of("symbols", "left_semi"), fresh["symbols"], others.drop("target_id", "confidence"), normal(of("imports", "left_anti"))))
+            stale, kept = fresh["refs"].unionByName(again), others.join(again.select("id"), "id", "left_anti")
+        stale = cut(stale)
+        self.resolved = stale.count()
+        answered = R.resolve(stale, R.asked_symbols(stale, changed["symbols"]), normal(changed["imports"]))
+        self.store.commit(changed | {"refs": answered if kept is None else kept.select(*answered.columns).unionByName(answered)}, version)
         return counts
 
     def ensure_synced(self) -> None:

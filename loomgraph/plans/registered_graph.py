@@ -129,9 +129,10 @@ HEAD_GRAPH_SQL = "WITH " + X.REFS_SQL + "," + X.HEAD_SQL + ", " + X.SYMBOLS_SQL.
 
 @query(
     "incremental_dependents",
-    HEAD_GRAPH_SQL + ", b AS (SELECT file_path, name, qualified, kind, module, lang FROM symbols), a AS (SELECT file_path, name, qualified, kind, module, lang FROM h_symbols),"
-    " c AS (SELECT name FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION SELECT name FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b))"
-    " SELECT id, name FROM raw_refs WHERE name IN (SELECT name FROM c)",
+    HEAD_GRAPH_SQL + """, moved AS (SELECT *, -1 AS sign FROM symbols UNION ALL SELECT *, 1 FROM h_symbols),
+ by_file AS (SELECT file_path, name FROM moved GROUP BY ALL HAVING sum(sign) <> 0 OR sum(sign * id) <> 0),
+ by_module AS (SELECT split_part(module, '/', -1) AS tail, lang, name FROM moved GROUP BY ALL HAVING sum(sign) <> 0 OR sum(sign * id) <> 0)
+ SELECT id, name FROM raw_refs WHERE (from_file, name) IN (SELECT (file_path, name) FROM by_file) OR (split_part(module, '/', -1), lang, name) IN (SELECT (tail, lang, name) FROM by_module)""",
 )
 def incremental_dependents(spark, d):
     base = docs(spark, d)
@@ -317,8 +318,34 @@ walk AS (SELECT id AS origin, id AS node, 0::BIGINT AS distance FROM symbols WHE
 SELECT origin, node, min(distance) AS distance FROM walk WHERE node <> origin GROUP BY origin, node"""
 
 
-@query("q_impact", REACH_SQL.format(next="e.src", at="e.dst"))
+IMPACT_SQL = EDGES_SQL + f"""
+, e AS (SELECT i.inner_id AS src, r.target_id AS dst, min((r.from_file, r.span_start, r.id)) AS ord FROM refs r JOIN inner_of i ON i.ref_id = r.id
+  WHERE r.target_id IS NOT NULL AND i.inner_id IS NOT NULL AND i.inner_id <> r.target_id AND {RANKS_SQL} <= 3 GROUP BY ALL)
+, n0 AS (SELECT id AS origin, id AS node, 0::BIGINT AS distance, 0::BIGINT AS place FROM symbols WHERE kind = 'function'), s0 AS (SELECT * FROM n0)""" + "".join(
+    f"""
+, m{k} AS (SELECT origin, e.src AS node, min((place, e.ord, e.src)) AS way FROM n{k - 1} JOIN e ON e.dst = n{k - 1}.node GROUP BY ALL)
+, t{k} AS (SELECT origin, count(*) - 1 AS taken FROM s{k - 1} GROUP BY origin)
+, r{k} AS (SELECT m.origin, m.node, taken + row_number() OVER (PARTITION BY m.origin ORDER BY way) AS nth FROM m{k} m JOIN t{k} USING (origin) ANTI JOIN s{k - 1} USING (origin, node))
+, n{k} AS (SELECT origin, node, {k}::BIGINT AS distance, nth AS place FROM r{k} WHERE nth <= 200), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM n{k})"""
+    for k in (1, 2, 3)
+)
+
+
+@query("q_impact", IMPACT_SQL + " SELECT origin, node, distance, place - 1 AS place FROM s3 WHERE distance > 0")
 def q_impact(spark, d):
+    """At most 200 nodes of each function's inbound impact, in discovery order."""
+    refs, s = resolved(spark, d), symbols(spark, d)
+    inner = J.innermost(refs, s)
+    joined = refs.join(inner, refs.id == inner.ref_id).where("target_id is not null and inner_id is not null")
+    found, _ = T.impacts(
+        joined.select(F.col("inner_id").alias("src"), F.col("target_id").alias("dst"), confidence_rank(F.col("confidence")).alias("category"), F.lit(0).alias("edge_class"), F.struct("from_file", "span_start", "id").alias("ord"), "kind"),
+        origins(spark, d),
+    )
+    return found.where("not fallback").select("origin", "node", F.col("distance").cast("long").alias("distance"), "place")
+
+
+@query("impact_inbound", REACH_SQL.format(next="e.src", at="e.dst"))
+def impact_inbound(spark, d):
     return T.reach(edges(spark, d), origins(spark, d), depth=3, direction="in")
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 import subprocess
 
 import pytest
@@ -69,7 +70,62 @@ def test_graph_sync_and_queries(spark, tree, tmp_path):
     for table in ("symbols", "refs", "imports"):
         pick = lambda g: sorted(map(str, g.table(table).select(*sorted(g.table(table).columns)).collect()))  # noqa: B023, E731
         assert pick(graph) == pick(fresh)
-    assert graph.sync(str(tree)) == {"unchanged": 5}
+    assert graph.sync(str(tree)) == {"unchanged": 5} and graph.resolved == 0
+
+
+def names_to_source(rng, names):
+    """A module of functions, each of which calls some names; one in three begins with an import."""
+    lines = [f"from {rng.choice(['m0', 'm1', 'pkg.m2'])} import {rng.choice(names)}"] if rng.random() < 0.3 else []
+    for name in rng.sample(names, rng.randint(1, 4)):
+        lines += ["", f"def {name}():", *(f"    {n}()" for n in rng.sample(names, rng.randint(0, 4))), "    pass"]
+    return "\n".join(lines) + "\n"
+
+
+def test_sync_after_random_edits_equals_a_full_build(spark, tmp_path):
+    rng = random.Random(4)
+    names = [f"f{k}" for k in range(9)]
+    files = ["m0.py", "m1.py", "pkg/m2.py", "pkg/m3.py", "pkg/src/m4.py", "other/m0.py"]
+    tree = tmp_path / "tree"
+    for f in files:
+        (tree / f).parent.mkdir(parents=True, exist_ok=True)
+        (tree / f).write_text(names_to_source(rng, names))
+    graph = Graph.open(spark, str(tmp_path / "store"))
+    graph.sync(str(tree))
+    total = graph.table("refs").count()
+    assert graph.resolved == total
+    fewer = False
+    for step in range(2):
+        for f in rng.sample(files, 2):
+            if rng.random() < 0.25 and (tree / f).exists():
+                (tree / f).unlink()
+            elif rng.random() < 0.4 and (tree / f).exists():  # moves every span, changes no definition
+                (tree / f).write_text("# moved\n" + (tree / f).read_text())
+            else:
+                (tree / f).write_text(names_to_source(rng, names))
+        graph.sync(str(tree))
+        fewer = fewer or graph.resolved < graph.table("refs").count()
+        fresh = Graph.open(spark, str(tmp_path / f"fresh{step}"))
+        fresh.sync(str(tree))
+        for table in ("symbols", "refs", "imports"):
+            columns = sorted(fresh.table(table).columns)
+            assert sorted(map(str, graph.table(table).select(*columns).collect())) == sorted(map(str, fresh.table(table).select(*columns).collect())), (step, table)
+    assert fewer
+
+
+def test_sync_resolves_only_what_an_edit_can_change(spark, tmp_path):
+    tree = tmp_path / "tree"
+    (tree / "x").mkdir(parents=True)
+    (tree / "y").mkdir()
+    (tree / "x/m.py").write_text("def far():\n    near()\n\ndef user():\n    helper()\n    far()\n")
+    (tree / "y/m.py").write_text("def helper():\n    pass\n")
+    graph = Graph.open(spark, str(tmp_path / "store"))
+    graph.sync(str(tree))
+    (tree / "y/m.py").write_text("# a comment\n\ndef helper():\n    pass\n")  # the same definition further down
+    graph.sync(str(tree))
+    assert graph.resolved == 0
+    (tree / "y/m.py").write_text("def helper2():\n    pass\n")
+    graph.sync(str(tree))
+    assert graph.resolved == 1  # the call of helper; those of near and far keep their answers
 
 
 def test_store_commits_once_and_cleans(spark, tmp_path):
@@ -82,6 +138,45 @@ def test_store_commits_once_and_cleans(spark, tmp_path):
     assert store.clean(keep=1) == ["v0", "v1"] and store.read("t").count() == 3 and not store.stale(60)
 
 
+def test_a_commit_that_stops_anywhere_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.commit({"t": spark.range(2)}, "v0")
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_publish", "_rename"):  # all tables written; the manifest written too, but not in its place
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                store.commit({"t": spark.range(7)}, "v1")
+        again = Store(spark, str(tmp_path / "s"))
+        assert again.manifest()["current"] == "v0" and again.read("t").count() == 2
+    assert store.commit({"t": spark.range(5)}, "v1") == "v1" and store.read("t").count() == 5
+
+
+def test_no_writer_loses_a_version(spark, tmp_path, monkeypatch):
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    first = Store._latest
+    calls = []
+
+    def late(self):  # another writer publishes after this one has read the manifest
+        found = first(self)
+        if self is store and not calls:
+            calls.append(1)
+        elif self is store and len(calls) == 1:
+            calls.append(2)
+            other.commit({"t": spark.range(1)}, "theirs")
+        return found
+
+    monkeypatch.setattr(Store, "_latest", late)
+    store.commit({"t": spark.range(2)}, "ours")
+    assert [v["id"] for v in store.manifest()["versions"]] == ["theirs", "ours"] and store.read("t", "theirs").count() == 1
+    for k in range(20):
+        store.commit({"t": spark.range(1)}, f"v{k}") if k < 3 else store._publish(lambda now: True)
+    assert len(store._numbers()) <= 9 and store.manifest()["current"] == "v2"
+
+
 def test_render_forms(spark):
     df = spark.createDataFrame([(1, "a\tb"), (2, None)], "n long, s string")
     out = []
