@@ -540,20 +540,27 @@ b0 AS (SELECT selector, path, name, kind, line, split_part(line, '. ', 1) AS sig
 ca AS (SELECT selector, count(*) AS n FROM a0 GROUP BY ALL), cb AS (SELECT selector, count(*) AS n FROM b0 GROUP BY ALL),
 ren AS (SELECT concat_ws('/', source, lang, doc_id) AS old_path, 'moved_' || concat_ws('/', source, lang, doc_id) AS new_path FROM documents WHERE doc_id % 13 = 0 AND doc_id % 11 <> 0),
 la0 AS (SELECT * FROM a0 WHERE selector NOT IN (SELECT selector FROM cb)), lb0 AS (SELECT * FROM b0 WHERE selector NOT IN (SELECT selector FROM ca)),
-moved AS (SELECT o, n FROM (SELECT new_path, name, kind, min(selector) AS o FROM la0 JOIN ren ON path = old_path GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT path, name, kind, min(selector) AS n FROM lb0 GROUP BY ALL HAVING count(*) = 1) y ON y.path = new_path AND x.name = y.name AND x.kind = y.kind),
-la1 AS (SELECT * FROM la0 WHERE selector NOT IN (SELECT o FROM moved)), lb1 AS (SELECT * FROM lb0 WHERE selector NOT IN (SELECT n FROM moved)),
-refile AS (SELECT o, n FROM (SELECT new_path, kind, min(selector) AS o FROM la1 JOIN ren ON path = old_path GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT path, kind, min(selector) AS n FROM lb1 GROUP BY ALL HAVING count(*) = 1) y ON y.path = new_path AND x.kind = y.kind),
-la2 AS (SELECT * FROM la1 WHERE selector NOT IN (SELECT o FROM refile)), lb2 AS (SELECT * FROM lb1 WHERE selector NOT IN (SELECT n FROM refile)),
-renamed AS (SELECT o, n FROM (SELECT path, kind, body, min(selector) AS o FROM la2 GROUP BY ALL HAVING count(*) = 1) JOIN (SELECT path, kind, body, min(selector) AS n FROM lb2 GROUP BY ALL HAVING count(*) = 1) USING (path, kind, body)),
-la3 AS (SELECT * FROM la2 WHERE selector NOT IN (SELECT o FROM renamed)), lb3 AS (SELECT * FROM lb2 WHERE selector NOT IN (SELECT n FROM renamed)),
+""" + "".join(
+    f"""x{k} AS (SELECT {keys}, count(*) AS n, min(selector) AS o FROM {seen} GROUP BY ALL), y{k} AS (SELECT {theirs}, count(*) AS m, min(selector) AS n2 FROM lb{k} GROUP BY ALL),
+z{k} AS (SELECT * FROM x{k} JOIN y{k} USING ({keys})), w{k} AS (SELECT o, min(n2) AS n FROM z{k} WHERE n = 1 AND m = 1 GROUP BY o),
+u{k} AS (SELECT selector AS o, NULL AS n, {group} AS g FROM {seen} WHERE ({keys}) IN (SELECT ({keys}) FROM z{k} WHERE n > 1 OR m > 1) AND selector NOT IN (SELECT o FROM w{k})
+  UNION ALL SELECT NULL, selector, {group} FROM (SELECT selector, {theirs} FROM lb{k}) WHERE ({keys}) IN (SELECT ({keys}) FROM z{k} WHERE n > 1 OR m > 1) AND selector NOT IN (SELECT n FROM w{k})),
+la{k + 1} AS (SELECT * FROM la{k} WHERE selector NOT IN (SELECT o FROM w{k} UNION ALL SELECT o FROM u{k} WHERE o IS NOT NULL)), lb{k + 1} AS (SELECT * FROM lb{k} WHERE selector NOT IN (SELECT n FROM w{k} UNION ALL SELECT n FROM u{k} WHERE n IS NOT NULL)),
+"""
+    for k, (keys, theirs, seen, group) in enumerate([
+        ("new_path, name, kind", "path AS new_path, name, kind", "(SELECT * FROM la0 JOIN ren ON path = old_path)", "concat_ws('|', 'moved', new_path, name, kind)"),
+        ("new_path, kind", "path AS new_path, kind", "(SELECT * FROM la1 JOIN ren ON path = old_path)", "concat_ws('|', 'renamed', new_path, kind)"),
+        ("path, kind, body", "path, kind, body", "la2", "concat_ws('|', 'body', path, kind, '', md5(body))"),
+    ])
+) + r"""
 crossing AS (SELECT DISTINCT name, kind FROM la3 JOIN lb3 USING (name, kind)),
 ladder AS (
-  SELECT CASE WHEN a0.signature <> b0.signature THEN 'signature_changed' ELSE 'modified' END AS status, selector AS old_selector, selector AS new_selector FROM a0 JOIN b0 USING (selector) JOIN ca USING (selector) JOIN cb USING (selector) WHERE ca.n = 1 AND cb.n = 1 AND a0.line <> b0.line
-  UNION SELECT 'uncertain', selector, selector FROM ca JOIN cb USING (selector) WHERE ca.n > 1 OR cb.n > 1
-  UNION SELECT 'moved', o, n FROM moved UNION SELECT 'renamed', o, n FROM refile UNION SELECT 'renamed', o, n FROM renamed
-  UNION SELECT CASE WHEN (name, kind) IN (SELECT (name, kind) FROM crossing) THEN 'uncertain' ELSE 'removed' END, selector, NULL FROM la3
-  UNION SELECT CASE WHEN (name, kind) IN (SELECT (name, kind) FROM crossing) THEN 'uncertain' ELSE 'added' END, NULL, selector FROM lb3)
-SELECT status, old_selector, new_selector FROM ladder"""
+  SELECT CASE WHEN a0.signature <> b0.signature THEN 'signature_changed' ELSE 'modified' END AS status, selector AS old_selector, selector AS new_selector, NULL AS group_key FROM a0 JOIN b0 USING (selector) JOIN ca USING (selector) JOIN cb USING (selector) WHERE ca.n = 1 AND cb.n = 1 AND a0.line <> b0.line
+  UNION SELECT 'uncertain', selector, selector, 'same|' || selector FROM ca JOIN cb USING (selector) WHERE ca.n > 1 OR cb.n > 1
+  UNION SELECT 'moved', o, n, NULL FROM w0 UNION SELECT 'renamed', o, n, NULL FROM w1 UNION SELECT 'renamed', o, n, NULL FROM w2 UNION SELECT 'uncertain', * FROM u0 UNION SELECT 'uncertain', * FROM u1 UNION SELECT 'uncertain', * FROM u2
+  UNION SELECT CASE WHEN c.name IS NULL THEN 'removed' ELSE 'uncertain' END, selector, NULL, 'cross|' || c.name || '|' || c.kind FROM la3 l LEFT JOIN crossing c ON c.name = l.name AND c.kind = l.kind
+  UNION SELECT CASE WHEN c.name IS NULL THEN 'added' ELSE 'uncertain' END, NULL, selector, 'cross|' || c.name || '|' || c.kind FROM lb3 l LEFT JOIN crossing c ON c.name = l.name AND c.kind = l.kind)
+SELECT status, old_selector, new_selector, group_key FROM ladder"""
 
 
 @query("chg_ladder", LADDER_SQL)
@@ -566,17 +573,35 @@ def chg_ladder(spark, d):
     return changed_symbols(snapshot_symbols(base), snapshot_symbols(X.head_documents(base)), moved)
 
 
-@query("chg_files", "WITH " + X.HEAD_SQL.strip() + """, a AS (SELECT concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS t FROM documents), b AS (SELECT concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS t FROM head_documents),
-j AS (SELECT a.path AS o, b.path AS n, a.t AS ot, b.t AS nt FROM a FULL JOIN b ON a.path = b.path),
-g AS (SELECT ot, min(o) AS o FROM j WHERE n IS NULL GROUP BY ot HAVING count(*) = 1), c AS (SELECT nt, min(n) AS n FROM j WHERE o IS NULL GROUP BY nt HAVING count(*) = 1),
-r AS (SELECT g.o, c.n FROM g JOIN c ON g.ot = c.nt)
-SELECT 'modified' AS status, o AS old_path, n AS new_path FROM j WHERE o IS NOT NULL AND n IS NOT NULL AND ot <> nt UNION ALL SELECT 'renamed', o, n FROM r
-UNION ALL SELECT 'deleted', o, NULL FROM j WHERE n IS NULL AND o NOT IN (SELECT o FROM r) UNION ALL SELECT 'added', NULL, n FROM j WHERE o IS NULL AND n NOT IN (SELECT n FROM r)""")
+_EQUAL = """, g{k} AS (SELECT o, ot, {name_o} AS name, row_number() OVER (PARTITION BY ot, {name_o} ORDER BY o) AS nth FROM gone{k}), k{k} AS (SELECT n, nt, {name_n} AS name, row_number() OVER (PARTITION BY nt, {name_n} ORDER BY n) AS nth FROM come{k}),
+e{k} AS (SELECT o, n FROM g{k} JOIN k{k} ON ot = nt AND g{k}.name = k{k}.name AND g{k}.nth = k{k}.nth),
+gone{m} AS (SELECT * FROM gone{k} WHERE o NOT IN (SELECT o FROM e{k})), come{m} AS (SELECT * FROM come{k} WHERE n NOT IN (SELECT n FROM e{k}))"""
+_ROUND = """, y{k} AS (SELECT p.* FROM p{k} p JOIN (SELECT s, min((-score, s, t)) AS best FROM p{k} GROUP BY s) x ON x.s = p.s AND x.best = (-p.score, p.s, p.t) JOIN (SELECT t, min((-score, s, t)) AS best FROM p{k} GROUP BY t) z ON z.t = p.t AND z.best = (-p.score, p.s, p.t)),
+p{m} AS MATERIALIZED (SELECT * FROM p{k} WHERE s NOT IN (SELECT s FROM y{k}) AND t NOT IN (SELECT t FROM y{k}))"""
+_ELEMENTS = """, {name} AS MATERIALIZED (SELECT id, line, ends, weight, row_number() OVER (PARTITION BY id, line, ends ORDER BY i) AS nth, sum(weight) OVER (PARTITION BY id) AS total
+  FROM (SELECT id, i, ls[i] AS line, i < len(ls) AS ends, strlen(ls[i]) + (i < len(ls))::INT AS weight FROM (SELECT id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT {of}))) WHERE weight > 0)"""
+FILES_SQL = (
+    "WITH " + X.HEAD_SQL.strip() + """, a AS (SELECT concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS t FROM documents), b AS (SELECT concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS t FROM head_documents),
+j AS MATERIALIZED (SELECT a.path AS o, b.path AS n, a.t AS ot, b.t AS nt FROM a FULL JOIN b ON a.path = b.path), gone0 AS (SELECT o, ot FROM j WHERE n IS NULL), come0 AS (SELECT n, nt FROM j WHERE o IS NULL)"""
+    + _EQUAL.format(k=0, m=1, name_o="split_part(o, '/', -1)", name_n="split_part(n, '/', -1)") + _EQUAL.format(k=1, m=2, name_o="''", name_n="''")
+    + _ELEMENTS.format(name="sl", of="o AS id, string_split(ot, chr(10)) AS ls FROM j WHERE o IS NOT NULL AND (n IS NULL OR ot <> nt)") + _ELEMENTS.format(name="tl", of="n AS id, string_split(nt, chr(10)) AS ls FROM come2")
+    + """, pairs AS MATERIALIZED (SELECT sl.id AS s, tl.id AS t, floor(100 * sum(sl.weight) / greatest(any_value(sl.total), any_value(tl.total)))::BIGINT AS score FROM sl JOIN tl USING (line, ends, nth)
+  GROUP BY ALL HAVING 100 * sum(sl.weight) >= 50 * greatest(any_value(sl.total), any_value(tl.total))),
+p0 AS MATERIALIZED (SELECT * FROM pairs WHERE s IN (SELECT o FROM gone2))""" + "".join(_ROUND.format(k=k, m=k + 1) for k in range(8))
+    + ", renamed AS (" + " UNION ALL ".join(f"SELECT s, t, score FROM y{k}" for k in range(8)) + """),
+copied AS (SELECT t, min((-score, s)) AS best FROM pairs WHERE t NOT IN (SELECT t FROM renamed) GROUP BY t)
+SELECT 'modified' AS status, o AS old_path, n AS new_path, NULL::BIGINT AS similarity FROM j WHERE o IS NOT NULL AND n IS NOT NULL AND ot <> nt
+UNION ALL SELECT 'renamed', o, n, 100 FROM (FROM e0 UNION ALL FROM e1) UNION ALL SELECT 'renamed', s, t, score FROM renamed UNION ALL SELECT 'copied', best[2], t, -best[1] FROM copied
+UNION ALL SELECT 'deleted', o, NULL, NULL FROM gone2 WHERE o NOT IN (SELECT s FROM renamed) UNION ALL SELECT 'added', NULL, n, NULL FROM come2 WHERE n NOT IN (SELECT t FROM renamed UNION ALL SELECT t FROM copied)"""
+)
+
+
+@query("chg_files", FILES_SQL)
 def chg_files(spark, d):
     from loomgraph.plans.changes import file_changes
 
     base = docs(spark, d)
-    side = lambda df: df.select(X.doc_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    side = lambda df: df.select(X.doc_path(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "text")
     return file_changes(side(base), side(X.head_documents(base)))
 
 

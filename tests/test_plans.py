@@ -19,10 +19,83 @@ def test_pairing_ladder(spark):
     assert got == {("modified", "mod", "mod"), ("signature_changed", "sig", "sig"), ("moved", "move", "move"), ("renamed", "was", "now"), ("removed", "gone", None), ("added", None, "fresh"), ("uncertain", "cross", None), ("uncertain", None, "cross"), ("uncertain", "dup", "dup")}
 
 
+def test_ambiguous_groups_of_renamed_files_are_listed_once(spark):
+    rows = lambda path, names: [(f"{path}#{n}{k}:function", path, n.split("@")[0], "function", "", "s", f"b{n}{k}", f"h{n}{k}") for k, n in enumerate(names)]
+    base = spark.createDataFrame(rows("old", ["twin", "twin", "one", "left", "left2"]) + rows("solo", ["was"]), SNAP)
+    head = spark.createDataFrame(rows("new", ["twin", "twin", "one", "r1", "r2"]) + rows("solo2", ["a", "b", "c"]), SNAP)
+    renames = spark.createDataFrame([("old", "new"), ("solo", "solo2")], "old_path string, new_path string")
+    got = {tuple(r) for r in changes.changed_symbols(base, head, renames).collect()}
+    assert {r for r in got if r[0] != "uncertain"} == {("moved", "old#one2:function", "new#one2:function", None)}
+    groups = {}
+    for status, old, new, group in got:
+        if status == "uncertain":
+            groups.setdefault(group, (set(), set()))[0 if old else 1].add(old or new)
+    assert {g: (len(a), len(b)) for g, (a, b) in groups.items()} == {"moved|new|twin|function": (2, 2), "renamed|new|function": (2, 2), "renamed|solo2|function": (1, 3)}
+
+
 def test_file_changes(spark):
     files = lambda rows: spark.createDataFrame(rows, "path string, hash string")
     got = {tuple(r) for r in changes.file_changes(files([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "4")]), files([("a", "1"), ("b", "x"), ("c2", "3"), ("d2", "4")])).collect()}
-    assert got == {("modified", "b", "b"), ("renamed", "c", "c2"), ("deleted", "d", None), ("deleted", "e", None), ("added", None, "d2")}
+    assert got == {("modified", "b", "b", None), ("renamed", "c", "c2", 100), ("renamed", "d", "d2", 100), ("deleted", "e", None, None)}
+
+
+def test_edited_renames_and_copies_equal_brute_force(spark):
+    import hashlib
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = ["}", "", "return x", *(f"line number {k} of the file" for k in range(40))]
+    make = lambda: "\n".join(rng.choice(words) for _ in range(rng.randint(0, 14)))
+    base = {f"d{k % 3}/f{k}": make() for k in range(25)} | {"null": None}
+    head = {}
+    for path, text in base.items():
+        lines = (text or "").split("\n")
+        edited = "\n".join(rng.choice(words) if rng.random() < 0.25 else x for x in lines) + rng.choice(["", "\n"])
+        fate = rng.random()
+        if fate < 0.3:
+            head[path] = text
+        elif fate < 0.5:
+            head[path] = edited
+        elif fate < 0.85:
+            head[f"moved/{path}"] = edited if fate > 0.6 else text
+        if fate > 0.4 and fate < 0.55:
+            head[f"copy/{path}x"] = edited
+    head["fresh"] = "nothing like it\n" * 9
+
+    def bag(text):
+        lines = text.split("\n")
+        return Counter({k: n for k, n in Counter((x, i < len(lines) - 1) for i, x in enumerate(lines)).items() if k[0] or k[1]})
+
+    def score(a, b):
+        weigh = lambda bag: sum(n * (len(x.encode()) + e) for (x, e), n in bag.items())
+        larger = max(weigh(bag(a)), weigh(bag(b)))
+        common = weigh(bag(a) & bag(b))
+        return 100 * common // larger if larger and 100 * common >= 50 * larger else None
+
+    text = lambda side, path: side[path] or ""
+    want = [("modified", p, p, None) for p in base if p in head and text(base, p) != text(head, p)]
+    gone, come = sorted(p for p in base if p not in head), sorted(p for p in head if p not in base)
+    for key in (lambda p: p.split("/")[-1], lambda p: ""):
+        for p in list(gone):
+            if q := next((q for q in come if text(head, q) == text(base, p) and key(p) == key(q)), None):
+                want.append(("renamed", p, q, 100))
+                gone.remove(p), come.remove(q)
+    sources = [p for p in base if p not in head or text(base, p) != text(head, p)]
+    scores = {(p, q): s for p in sources for q in come if (s := score(text(base, p), text(head, q))) is not None}
+    for p, q in sorted((pq for pq in scores if pq[0] in gone), key=lambda pq: (-scores[pq], *pq)):
+        if p in gone and q in come:
+            want.append(("renamed", p, q, scores[p, q]))
+            gone.remove(p), come.remove(q)
+    for q in list(come):
+        if best := sorted((-s, p) for (p, t), s in scores.items() if t == q):
+            want.append(("copied", best[0][1], q, -best[0][0]))
+            come.remove(q)
+    want += [("deleted", p, None, None) for p in gone] + [("added", None, q, None) for q in come]
+    frame = lambda side: spark.createDataFrame([(p, hashlib.sha256((t or "").encode()).hexdigest(), t) for p, t in side.items()], "path string, hash string, text string")
+    got = [tuple(r) for r in changes.file_changes(frame(base), frame(head)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {"copied", "renamed", "added", "deleted", "modified"} == {r[0] for r in want} and any(r[0] == "renamed" and r[3] < 100 for r in want)
 
 
 def test_lineage_follows_later_renames_only(spark):
