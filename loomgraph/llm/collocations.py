@@ -27,13 +27,15 @@ from loomgraph.llm.common import discard, materialize, ranges, whole_text
 
 LEAST, WORDS, TOP = 30, 4, 2000
 #: Text of a chunk; words that a bucket is made for; candidates that are ranked in one task before the last ranking.
-CHUNK_BYTES, BUCKET_WORDS, RANK_ROWS = 16_000_000, 1_500_000, 50_000
+CHUNK_BYTES, BUCKET_WORDS, RANK_ROWS = 32_000_000, 1_500_000, 5_000
+#: Text that is split at a time.
+SLICE_BYTES = 2_000_000
 #: Signs at which pieces end become line feeds, tabs become spaces.
 _SIGNS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 _CHUNK = "chunk long, lang string, n long, codes binary, words binary, counts binary"
 _WORDS = "chunk long, lang string, bucket long, words binary, counts binary, places binary"
-_PAIRS = "chunk long, bucket long, codes binary, firsts binary, lasts binary, counts binary, places binary"
+_PAIRS = "chunk long, bucket long, codes binary, firsts binary, lasts binary, counts binary, base long"
 _NAMED = "chunk long, places binary, names binary, name long, lang string, phrase binary, first long, last long, n long"
 
 
@@ -76,14 +78,28 @@ def table(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words, their counts, and the place in them of each word of the texts in turn, -1 where a piece ends."""
-    places = Places({b"\n": 0, b"": 1})
-    tokens = b"\n".join(texts).lower().translate(_SIGNS).replace(b"\n", b" \n ").split(b" ")
-    codes = np.fromiter(map(places.__getitem__, tokens), np.int32, len(tokens)) - 2
-    codes = codes[codes != -1]
-    codes[codes < 0] = -1
-    return list(places)[2:], np.bincount(codes[codes >= 0], minlength=len(places) - 2), codes
+class Words:
+    """The distinct words of texts, their counts, and the texts as places in them, -1 where a piece ends."""
+
+    def __init__(self):
+        self.places = Places({b"\n": 0, b"": 1})
+        self.codes: list[np.ndarray] = []
+
+    def add(self, texts: list[bytes]) -> None:
+        tokens = b"\n".join([*texts, b""]).lower().translate(_SIGNS).replace(b"\n", b" \n ").split(b" ")
+        codes = np.fromiter(map(self.places.__getitem__, tokens), np.int32, len(tokens)) - 2
+        codes = codes[codes != -1]
+        codes[codes < 0] = -1
+        self.codes.append(codes)
+
+    def done(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words, counts and places; frequent words first, so that places are small numbers."""
+        codes, words = np.concatenate(self.codes), list(self.places)[2:]
+        counts = np.bincount(codes[codes >= 0], minlength=len(words))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.full(len(words) + 1, -1)
+        rank[order] = np.arange(len(words))
+        return [words[k] for k in order.tolist()], counts[order], rank[codes]
 
 
 def chunk_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -91,22 +107,25 @@ def chunk_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, Words] = {}
         size = 0
 
         def chunks() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            for name, texts in held.items():
-                words, counts, codes = split_words(texts)
+            for name, own in held.items():
+                words, counts, codes = own.done()
                 if len(words):
                     yield table([[number], [name], [int(counts.sum())], [packed(codes)], [packed_words(words)], [packed(counts)]], _CHUNK)
                     number += 1
 
         for batch in batches:
             lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for a, b in ranges(lengths, CHUNK_BYTES // 4):
+            for a, b in ranges(lengths, SLICE_BYTES):
+                texts: dict[str, list[bytes]] = {}
                 for name, raw in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    held.setdefault(name, []).append(raw)
+                    texts.setdefault(name, []).append(raw)
+                for name, own in texts.items():
+                    held.setdefault(name, Words()).add(own)
                 size += int(lengths[a:b].sum())
                 if size >= CHUNK_BYTES:
                     yield from chunks()
@@ -121,7 +140,7 @@ def deal(bucket: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The buckets in use, and the places of each, rising."""
     order = np.argsort(bucket, kind="stable")
     used, starts = np.unique(bucket[order], return_index=True)
-    return used, np.split(order, starts[1:])
+    return used, np.split(order, starts[1:]) if len(used) else []
 
 
 def word_buckets(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -157,16 +176,17 @@ def name_words(words: DataFrame, least: int) -> DataFrame:
         none = [None] * int(often.sum())
         phrases = found.dictionary.take(pa.array(keys[often] // len(langs))).to_pylist()
         out = [table([none, none, none, named[often], langs[keys[often] % len(langs)].tolist(), phrases, none, none, total[often]], _NAMED)]
-        return pa.Table.from_batches([*out, *answers(bucket, named[inverse], sizes, False)])
+        return pa.Table.from_batches([*out, *answers(bucket, [unpacked(x) for x in bucket.column("places").to_pylist()], named[inverse], sizes)])
 
     return words.groupBy("bucket").applyInArrow(run, _NAMED)
 
 
-def answers(bucket: pa.Table, names: np.ndarray, sizes: list[int], rising: bool) -> Iterator[pa.RecordBatch]:
+def answers(bucket: pa.Table, places: list[np.ndarray], names: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """To each chunk the places of its frequent words or pairs, and their names; ``names`` has those of all chunks in turn, -1 for the others."""
-    for chunk, at, own in zip(bucket.column("chunk").to_pylist(), bucket.column("places").to_pylist(), np.split(names, np.cumsum(sizes)[:-1]), strict=True):
-        if (own >= 0).any():
-            yield table([[chunk], [packed(unpacked(at, rising)[own >= 0], rising)], [packed(own[own >= 0])], *[[None]] * 6], _NAMED)
+    for chunk, place, own in zip(bucket.column("chunk").to_pylist(), places, np.split(names, np.cumsum(sizes)[:-1]), strict=True):
+        often = np.flatnonzero(own >= 0)
+        if len(often):
+            yield table([[chunk], [packed(place[often], True)], [packed(own[often])], *[[None]] * 6], _NAMED)
 
 
 def pair_up(chunk: int, codes: np.ndarray, names: np.ndarray, buckets: int, longer: bool) -> Iterator[pa.RecordBatch]:
@@ -177,15 +197,16 @@ def pair_up(chunk: int, codes: np.ndarray, names: np.ndarray, buckets: int, long
     at = local[codes]
     here = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0)) if len(at) else np.array([], np.int64)
     pairs, place, counts = np.unique(at[here] * len(known) + at[here + 1], return_inverse=True, return_counts=True)
-    if longer:
+    first, last = (known[pairs // len(known)], known[pairs % len(known)]) if len(pairs) else (pairs, pairs)
+    used, parts = deal(bucket_of(first, last, buckets))
+    if longer:  # pairs are numbered bucket by bucket, so an answer needs no places
+        number = np.empty(len(pairs), np.int64)
+        number[np.concatenate([*parts, np.array([], np.int64)])] = np.arange(len(pairs))
         out = np.full(max(0, len(codes) - 1), -1, np.int64)
-        out[here] = place
+        out[here] = number[place]
         yield table([[chunk], [None], [packed(out)], [None], [None], [None], [None]], _PAIRS)
-    if not len(pairs):
-        return
-    first, last = known[pairs // len(known)], known[pairs % len(known)]
-    used, parts = deal(bucket_of(first, last, buckets))
-    columns = [[chunk] * len(used), used, [None] * len(used), [packed(first[p], True) for p in parts], [packed(last[p]) for p in parts], [packed(counts[p]) for p in parts], [packed(p, True) for p in parts]]
+    bases = np.cumsum([0, *map(len, parts)])[:-1]
+    columns = [[chunk] * len(used), used, [None] * len(used), [packed(first[p], True) for p in parts], [packed(last[p]) for p in parts], [packed(counts[p]) for p in parts], bases[: len(used)]]
     yield table(columns, _PAIRS)
 
 
@@ -206,8 +227,8 @@ def pair_chunks(codes: DataFrame, named: DataFrame, buckets: int, longer: bool)
             return pa.Table.from_batches([table([[]] * 7, _PAIRS)])
         own = unpacked(left.column("codes")[0].as_py())
         names = np.full(int(own.max(initial=-1)) + 1, -1, np.int64)
-        for at, name, rising in zip(*(right.column(c).to_pylist() for c in ("places", "names", "rising")), strict=True):
-            names[unpacked(at, rising)] = unpacked(name)
+        for at, name in zip(right.column("places").to_pylist(), right.column("names").to_pylist(), strict=True):
+            names[unpacked(at, True)] = unpacked(name)
         return pa.Table.from_batches([table([[]] * 7, _PAIRS), *pair_up(left.column("chunk")[0].as_py(), own, names, buckets, longer)])
 
     return codes.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(run, _PAIRS)
@@ -232,7 +253,8 @@ def name_pairs(pairs: DataFrame, least: int, longer: bool) -> DataFrame:
         if longer:
             name = np.empty(len(order), np.int64)
             name[order] = np.repeat(named, np.diff(starts, append=len(order)))
-            out += answers(bucket, name, [len(x) for x in firsts], True)
+            bases = bucket.column("base").to_pylist()
+            out += answers(bucket, [np.arange(base, base + len(x)) for base, x in zip(bases, firsts, strict=True)], name, [len(x) for x in firsts])
         return pa.Table.from_batches(out)
 
     return pairs.where("bucket is not null").groupBy("bucket").applyInArrow(run, _NAMED)
@@ -252,10 +274,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, te
     level = materialize(
         named.where("name is not null").select("name", "lang", F.col("phrase").cast("string").alias("phrase"), F.col("n").alias("a"), none.alias("heads"), none.alias("tails")), "phrases-1"
     )
-    replies = lambda named, rising: named.where("places is not null").select("chunk", "places", "names", F.lit(rising).alias("rising"))
-    names, out, codes, done = replies(named, False), [level], chunks.select("chunk", "codes"), [chunks, named]
+    replies = lambda named: named.where("places is not null").select("chunk", "places", "names")
+    names, out, codes, done = replies(named), [level], chunks.select("chunk", "codes"), [chunks, named]
     for k in range(2, words + 1):
         pairs = materialize(pair_chunks(codes, names, buckets, k < words), f"phrases-pairs-{k}")
+        for old in done:
+            discard(old)
         named = materialize(name_pairs(pairs, least, k < words), f"phrases-named-{k}")
         first, last = (level.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("lang", "phrase", "a", "heads", "tails"))) for side in ("first", "last"))
         longer = named.where("name is not null").select("name", "first", "last", F.col("n").alias("a")).join(first, "first").join(last, "last")
@@ -267,9 +291,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, te
             ), f"phrases-{k}",
         )
         out.append(level)
-        for old in done:
-            discard(old)
-        codes, names = pairs.where("codes is not null").select("chunk", "codes"), replies(named, True)
+        codes, names = pairs.where("codes is not null").select("chunk", "codes"), replies(named)
         done = [pairs, named]
     for old in done:
         discard(old)
