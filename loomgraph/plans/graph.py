@@ -148,18 +148,33 @@ class Graph:
             raise LookupError(selector)
         return T.impact(self.edges().where(F.col("category") <= CONFIDENCE[floor]), target["id"], depth, cap)
 
-    def search(self, text: str, limit: int = 20, kind: str | None = None, lang: str | None = None) -> DataFrame:
-        """Symbols whose name has all terms of ``text``, best first."""
+    def search(self, text: str, limit: int = 20, kind: str | None = None, lang: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Symbols, strings and configuration keys that hold all words and quoted phrases of ``text``, best first, at most ``limit``; and one row: total (null if there are more) and truncated.
+
+        ``kind`` is symbol, string or config and leaves the others out; ``lang`` is the file's.
+        """
         if not text.strip() or limit < 1:
             raise ValueError("a query and a limit of one at least are needed")
-        s = self.table("symbols")
-        s = s.where(F.col("kind") == kind) if kind else s
-        s = s.where(F.col("lang") == lang) if lang else s
-        spark = s.sparkSession
-        asked = spark.createDataFrame([(0, text)], "query int, text string")
-        body = F.concat_ws(" ", F.regexp_replace("qualified", "([a-z0-9])([A-Z])|_", "$1 $2"))
-        hits = B.top_k(B.bm25(s.select(F.col("id").alias("doc"), body.alias("text")), asked, all_terms=True), limit)
-        return hits.join(s, hits.doc == s.id).select("rank", "score", "file_path", "qualified", "kind", "line").orderBy("rank")
+        if kind not in (None, "symbol", "string", "config"):
+            raise ValueError(f"unknown kind {kind!r}")
+        symbols, strings, configs = self.table("symbols"), self.table("strings"), self.table("configs")
+        key = lambda *columns: F.xxhash64(*columns)
+        arms = {
+            "symbol": symbols.select(F.col("id").alias("doc"), F.array("name", "qualified").alias("fields"), F.col("name").alias("label"), "qualified", F.col("file_path").alias("path"), "line"),
+            "string": strings.select(key("file_path", "line", "value").alias("doc"), F.array("value").alias("fields"), F.col("value").alias("label"), F.lit(None).cast("string").alias("qualified"), F.col("file_path").alias("path"), "line"),
+            "config": configs.select(key("file_path", "line", "key").alias("doc"), F.array("key").alias("fields"), F.col("key").alias("label"), F.lit(None).cast("string").alias("qualified"), F.col("file_path").alias("path"), "line"),
+        }
+        rows = None
+        for name, arm in arms.items():
+            if kind in (None, name):
+                arm = arm.withColumn("kind", F.lit(name))
+                rows = arm if rows is None else rows.unionByName(arm)
+        rows = rows.dropDuplicates(["kind", "doc"])
+        asked = rows.sparkSession.createDataFrame([(0, text)], "query int, text string")
+        found = rows.join(self.table("files").where(F.col("lang") == lang).select("path"), "path", "left_semi") if lang else rows
+        hits, state = B.phrase_search(rows, asked, limit, found.select("kind", "doc") if lang else None)
+        out = hits.join(rows, ["kind", "doc"]).select("rank", "score", "kind", "label", "qualified", "path", "line").orderBy("rank")
+        return out, state.select("total", "truncated")
 
     def overview(self, scope: str = "") -> DataFrame:
         return self.table("symbols").where(F.col("file_path").startswith(scope)).groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "kind")

@@ -197,8 +197,51 @@ def eval_bm25(spark, d):
     return B.top_k(scored(spark, d), 10).select("query", "doc", F.round("score", 5).alias("score"), "rank")
 
 
-@query("q_search", BM25 + ", r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM sc JOIN nt USING (query) WHERE met = n_terms) SELECT query, doc, round(score, 5) AS score, rank FROM r WHERE rank <= 20")
+SEARCH_SQL = "WITH " + X.SYMBOLS_SQL + r""",
+rows AS (SELECT 'symbol' AS kind, id AS doc, [name, qualified] AS fields FROM symbols UNION ALL SELECT 'string', doc_id * 1000000 + line_no, [line] FROM lines
+  UNION ALL SELECT 'config', event_id, [event_type || '.' || coalesce(json_keys(props)[1], '')] FROM events),
+tok AS (SELECT kind, doc, field, ws, unnest(generate_series(1, len(ws))) AS pos FROM (SELECT kind, doc, field, list_filter(regexp_split_to_array(lower(coalesce(fields[field], '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+  FROM (SELECT *, unnest(generate_series(1, len(fields))) AS field FROM rows))),
+place AS (SELECT kind, doc, field, pos, ws[pos] AS word FROM tok),
+len_all AS (SELECT kind, doc, sum(len(list_filter(regexp_split_to_array(lower(coalesce(f, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')))::BIGINT AS length FROM (SELECT kind, doc, unnest(fields) AS f FROM rows) GROUP BY ALL),
+st AS (SELECT kind, count(*) AS n_rows, avg(length) AS mean FROM len_all GROUP BY kind),
+q AS (SELECT item_id AS query, regexp_extract_all(text, '[^\s]+') AS w FROM benchmark UNION ALL SELECT 1000000 + event_id, ['error', 'error.' ] FROM events WHERE event_id < 3),
+ask AS (SELECT query, unnest(CASE WHEN query < 1000000 THEN [w[1] || ' ' || w[2], w[3]] ELSE w END) AS part, generate_subscripts(CASE WHEN query < 1000000 THEN [w[1] || ' ' || w[2], w[3]] ELSE w END, 1) AS phrase FROM q),
+asked AS (SELECT * FROM (SELECT query, phrase, list_filter(regexp_split_to_array(lower(part), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM ask) WHERE len(ws) > 0),
+wanted AS (SELECT query, phrase, len(ws) AS m, ws[k] AS word, k FROM (SELECT *, unnest(generate_series(1, len(ws))) AS k FROM asked)),
+starts AS (SELECT query, phrase, kind, doc, field, pos - k AS start FROM place JOIN wanted USING (word) GROUP BY query, phrase, m, kind, doc, field, pos - k HAVING count(*) = m),
+fr AS (SELECT query, phrase, kind, doc, count(*) AS f FROM starts GROUP BY ALL), df AS (SELECT query, phrase, kind, count(*) AS df FROM fr GROUP BY ALL),
+sc AS (SELECT query, kind, doc, sum(greatest(ln((n_rows - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score, count(*) AS met
+  FROM fr JOIN df USING (query, phrase, kind) JOIN st USING (kind) JOIN len_all USING (kind, doc) GROUP BY ALL),
+hits AS (SELECT query, kind, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, kind, doc) AS rank FROM sc JOIN (SELECT query, count(*) AS phrases FROM asked GROUP BY query) USING (query) WHERE met = phrases)"""
+
+
+def searched(spark, d):
+    """Symbols, lines as strings and keys of events, asked for each item's first two words as a phrase and its third, and for words that many rows have."""
+    docs, events = X.table(spark, d, "documents"), X.table(spark, d, "events")
+    s, lines = X.symbols(docs), X.lines(docs)
+    key = F.concat("event_type", F.lit("."), F.coalesce(F.get(F.json_object_keys("props"), F.lit(0)), F.lit("")))
+    rows = s.select(F.lit("symbol").alias("kind"), F.col("id").alias("doc"), F.array("name", "qualified").alias("fields"))
+    rows = rows.unionByName(lines.select(F.lit("string").alias("kind"), (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("doc"), F.array("line").alias("fields")))
+    rows = rows.unionByName(events.select(F.lit("config").alias("kind"), F.col("event_id").alias("doc"), F.array(key).alias("fields")))
+    w = F.split(F.trim("text"), r"\s+")
+    asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.concat_ws(" ", F.concat(F.lit('"'), F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1)), F.lit('"')), F.get(w, F.lit(2))).alias("text"))
+    common = events.where("event_id < 3").select((F.col("event_id") + 1_000_000).alias("query"), F.lit("error error.").alias("text"))
+    return B.phrase_search(rows, asked.unionByName(common))
+
+
+@query("q_search", SEARCH_SQL + " SELECT query, rank, kind, doc, round(score, 5) AS score FROM hits WHERE rank <= 20")
 def q_search(spark, d):
+    return searched(spark, d)[0].select("query", "rank", "kind", "doc", F.round("score", 5).alias("score"))
+
+
+@query("search_totals", SEARCH_SQL + " SELECT query, CASE WHEN coalesce(n, 0) <= 20 THEN coalesce(n, 0) END AS total, coalesce(n, 0) > 20 AS truncated FROM q LEFT JOIN (SELECT query, count(*) AS n FROM hits GROUP BY query) USING (query)")
+def search_totals(spark, d):
+    return searched(spark, d)[1]
+
+
+@query("search_all_terms", BM25 + ", r AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM sc JOIN nt USING (query) WHERE met = n_terms) SELECT query, doc, round(score, 5) AS score, rank FROM r WHERE rank <= 20")
+def search_all_terms(spark, d):
     return B.top_k(scored(spark, d, all_terms=True), 20).select("query", "doc", F.round("score", 5).alias("score"), "rank")
 
 

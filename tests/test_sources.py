@@ -57,7 +57,12 @@ def test_graph_sync_and_queries(spark, tree, tmp_path):
     assert {r["callee"] for r in graph.callees("symbol:src/a.py#main:function").collect()} == {"Base", "run", "main2"}
     nodes, truncated = graph.impact("symbol:src/b.py#helper:function")
     assert nodes.count() >= 1 and not truncated
-    assert graph.search("main2").first()["qualified"] == "main2"
+    hits, state = graph.search("main2")
+    assert hits.first()["qualified"] == "main2" and tuple(state.first()) == (1, False)
+    assert {(r["kind"], r["label"]) for r in graph.search('"notable string"')[0].collect()} == {("string", "a notable string")} and graph.search('"string notable"')[0].count() == 0
+    assert [r["label"] for r in graph.search("serde version")[0].collect()] == ["dependencies.serde.version"] and graph.search("serde", kind="symbol")[0].count() == 0
+    hits, state = graph.search("helper", lang="rust")
+    assert hits.count() == 0 and tuple(graph.search("package", limit=1)[1].first()) == (None, True)
     with pytest.raises(ValueError):
         graph.search(" ")
     assert graph.deps("src").count() == 2 and graph.implementors("object").count() == 1 and graph.table("failures").count() == 1
