@@ -78,10 +78,8 @@ def dependencies(imports: DataFrame, scope: str = "") -> DataFrame:
 
 
 def enclosed_calls(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """Calls within each symbol's span, nested symbols' too: (symbol_id, ref_id, name, span_start)."""
-    calls = refs.where("kind = 'call'").select(F.col("id").alias("ref_id"), "from_file", F.col("name").alias("callee"), F.col("span_start").alias("r_start"), F.col("span_end").alias("r_end"))
-    met = symbols.join(calls, (symbols.file_path == calls.from_file) & (symbols.span_start <= calls.r_start) & (symbols.span_end >= calls.r_end))
-    return met.select(F.col("id").alias("symbol_id"), "ref_id", "callee", F.col("r_start").alias("span_start"))
+    """Calls within each symbol's span, nested symbols' too: (symbol_id, ref_id, name, span_start). They meet by file and block, see ``around``."""
+    return around(refs.where("kind = 'call'"), symbols).select(F.col("s_id").alias("symbol_id"), F.col("id").alias("ref_id"), F.col("name").alias("callee"), "span_start")
 
 
 def inbound_targets(refs: DataFrame, symbols: DataFrame, fuzzy: bool = False) -> DataFrame:

@@ -5,32 +5,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.cut import cut
+
+#: Paths after which a reference counts as ambiguous: aliases may spell ever longer ones.
 PATHS = 64
 #: Where a member of a type is defined, best first.
 TIERS = {"inherent": 1, "trait_impl": 2, "trait_decl": 3}
 
 
-def reexport_closure(reexports: DataFrame, definitions: DataFrame, depth: int = PATHS) -> DataFrame:
-    """(module, name, symbol_id, answer) of public re-exports (module, source_module, name or null for all): hit if one symbol is reached, ambiguous if several.
+def reexport_closure(reexports: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(module, name, symbol_id, answer) of every name that a module exposes and doesn't define: hit if one symbol is reached, ambiguous if several.
 
-    definitions: module, name, symbol_id. Rounds go on until no new (module, name, symbol) is reached, at most ``depth``.
+    reexports: module, source_module, name (in the source; null: all), and alias (what it is called here; null or no such column: its own name).
+    definitions: module, name, symbol_id. A module's explicit re-export of a name goes before what it takes over as a
+    whole. Rounds go on until nothing new is reached; exposed names are among those of the tables, so that happens, cycles or not.
     """
-    from loomgraph.operators.cut import cut
-
     reached = cut(definitions.select("module", "name", "symbol_id").distinct())
-    steps = reexports.select(F.col("module").alias("to"), F.col("source_module").alias("source"), F.col("name").alias("only"))
+    alias = F.coalesce(F.col("alias"), F.col("name")) if "alias" in reexports.columns else F.col("name")
+    steps = cut(reexports.select(F.col("module").alias("to"), F.col("source_module").alias("source"), F.col("name").alias("only"), alias.alias("called")))
+    explicit, whole = steps.where("only is not null"), steps.where("only is null").select("to", "source")
+    taken = explicit.select(F.col("to").alias("t_to"), F.col("called").alias("t_name")).distinct()
     fresh = reached
-    for _ in range(depth):
-        met = fresh.join(steps, (F.col("module") == F.col("source")) & (F.col("only").isNull() | (F.col("only") == F.col("name"))))
-        fresh = cut(met.select(F.col("to").alias("module"), "name", "symbol_id").distinct().join(reached, ["module", "name", "symbol_id"], "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        reached = reached.unionByName(fresh)
+    while not fresh.isEmpty():
+        named = fresh.join(explicit, (F.col("module") == F.col("source")) & (F.col("only") == F.col("name"))).select(F.col("to").alias("module"), F.col("called").alias("name"), "symbol_id")
+        all_of = fresh.join(whole, F.col("module") == F.col("source")).join(taken, (F.col("to") == F.col("t_to")) & (F.col("name") == F.col("t_name")), "left_anti")
+        met = named.unionByName(all_of.select(F.col("to").alias("module"), "name", "symbol_id")).distinct()
+        fresh = cut(met.join(reached, ["module", "name", "symbol_id"], "left_anti"))
+        reached = cut(reached.unionByName(fresh))
     direct = definitions.select("module", "name").distinct()
     answers = reached.join(direct, ["module", "name"], "left_anti").groupBy("module", "name").agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
     return answers.select("module", "name", F.when(F.col("n") == 1, F.col("symbol_id")).alias("symbol_id"), F.when(F.col("n") == 1, "hit").otherwise("ambiguous").alias("answer"))
 
 
+def follow_reexports(paths: DataFrame, reexports: DataFrame, definitions: DataFrame, limit: int = PATHS) -> DataFrame:
+    """(path, symbol_id, answer) of spelled paths (path, ``::`` between segments) that lead through re-exports to one symbol (hit) or may lead to several (ambiguous); others have no row.
+
+    reexports: module, target (a path), alias (a name; null: all of the target), source (the name at
+    the target; null: the alias; empty: the target itself). definitions: path, symbol_id; a path that several
+    symbols have leads nowhere. Each round rewrites every new path by each of its prefixes that is a module with
+    re-exports: prefixes meet modules by equality. Where a module names the next segment, what it takes over as a whole is left out. A path is
+    visited once per start, so cycles end; a start that visits more than ``limit`` paths is ambiguous.
+    """
+    ends = definitions.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").select(F.col("path").alias("e_path"), "symbol_id")
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "::")
+    source = F.coalesce(F.col("source"), F.col("alias"))
+    steps = cut(reexports.select(F.col("module").alias("m"), F.col("alias").alias("called"), F.when(F.col("alias").isNull(), F.col("target")).otherwise(joined(F.col("target"), source)).alias("leads")))
+    explicit, whole = steps.where("called is not null"), steps.where("called is null and m <> ''").select("m", "leads")
+    named = explicit.select(F.col("m").alias("x_m"), F.col("called").alias("x_called")).distinct()
+    visited = cut(paths.where(F.col("path").contains("::")).select(F.col("path").alias("start"), "path").distinct())
+    fresh, over = visited, visited.select("start").limit(0)
+    while not fresh.isEmpty():
+        parts = F.split("path", "::")
+        cuts = fresh.select("start", parts.alias("ps"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("k"))
+        rest = lambda k: F.array_join(F.slice("ps", k + 1, F.greatest(F.size("ps") - k, F.lit(0))), "::")
+        at = cut(cuts.select("start", F.array_join(F.slice("ps", 1, F.col("k")), "::").alias("module"), F.get("ps", F.col("k")).alias("next"), rest(F.col("k")).alias("from_next"), rest(F.col("k") + 1).alias("after")))
+        by_name = at.join(explicit, (F.col("module") == F.col("m")) & (F.col("next") == F.col("called"))).select("start", joined(F.col("leads"), F.col("after")).alias("path"))
+        as_whole = at.join(named, (F.col("module") == F.col("x_m")) & (F.col("next") == F.col("x_called")), "left_anti").join(whole, F.col("module") == F.col("m"))
+        met = by_name.unionByName(as_whole.select("start", joined(F.col("leads"), F.col("from_next")).alias("path"))).distinct()
+        fresh = met.join(visited, ["start", "path"], "left_anti")
+        visited = cut(visited.unionByName(fresh))
+        over = cut(visited.groupBy("start").count().where(F.col("count") > limit).select("start"))
+        fresh = cut(fresh.join(over, "start", "left_anti"))
+    found = visited.where("path <> start").join(ends, F.col("path") == F.col("e_path")).groupBy("start").agg(F.countDistinct("symbol_id").alias("n"), F.min("symbol_id").alias("symbol_id"))
+    hit = (F.col("n") == 1) & F.col("more").isNull()
+    out = found.join(over.withColumn("more", F.lit(True)), "start", "full_outer")
+    return out.select(F.col("start").alias("path"), F.when(hit, F.col("symbol_id")).alias("symbol_id"), F.when(hit, "hit").otherwise("ambiguous").alias("answer"))
+
+
 def trait_defaults(refs: DataFrame, impls: DataFrame, declarations: DataFrame) -> DataFrame:
     """(ref_id, target_id) of references to ``Type::member`` that a trait's default body answers: the one declaration of the member among the traits that the type implements.
 

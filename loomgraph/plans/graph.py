@@ -84,11 +84,11 @@ class Graph:
             of = lambda t, how: old[t].join(touched, old[t][column.get(t, "file_path")] == touched.path, how)
             changed = {t: of(t, "left_anti").unionByName(fresh[t]) for t in TABLES if t != "refs"}
             others = of("refs", "left_anti")
-            again = cut(R.dependents(of("symbols", "left_semi"), fresh["symbols"], others.drop("target_id", "confidence"), normal(of("imports", "left_anti"))))
-            stale, kept = fresh["refs"].unionByName(again), others.join(again.select("id"), "id", "left_anti")
-        stale = cut(stale)
+            again = cut(R.dependents(of("symbols", "left_semi"), fresh["symbols"], others.drop("target_id", "confidence", "target"), normal(of("imports", "left_anti"))))
+            stale, kept = fresh["refs"].drop("target").unionByName(again), others.join(again.select("id"), "id", "left_anti")
+        stale = cut(stale.drop("target"))  # the extractors spell none
         self.resolved = stale.count()
-        answered = R.resolve(stale, R.asked_symbols(stale, changed["symbols"]), normal(changed["imports"]))
+        answered = R.resolve(stale, R.asked_symbols(stale, changed["symbols"]), normal(changed["imports"])).withColumn("target", F.lit(None).cast("string"))
         self.store.commit(changed | {"refs": answered if kept is None else kept.select(*answered.columns).unionByName(answered)}, version)
         return counts
 

@@ -9,6 +9,8 @@ from loomgraph.functions import scalars as S
 from loomgraph.operators.cut import cut
 
 SEEDS, FACTOR = 256, 0.25
+#: Destinations that hand their score on to what they are related with.
+STRUCTURE_SEEDS = 20
 #: Weight of what paths and structure say beside history.
 BASELINE = 0.08
 WINDOW, LABEL_FILES, MIN_SUPPORT, KAPPA, STOP_SHARE = 4000, 20, 2, 1.0, 0.3
@@ -119,15 +121,21 @@ def equivalent_boundaries(deliveries: DataFrame) -> DataFrame:
 
 
 def lexical_baseline(files: DataFrame, queries: DataFrame, weight: float = BASELINE) -> DataFrame:
-    """(query, file, score): the share of a query's tokens that a file's path has, times ``weight``."""
+    """(query, file, score): the share of a query's tokens that a file's path has, times ``weight``, less for generated and minor files."""
     parts = files.select("file", F.explode(S.tokens(F.col("file"))).alias("token"))
     asked = queries.select("query", S.tokens(F.col("text")).alias("ts")).select("query", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    return asked.join(parts, "token").groupBy("query", "file").agg((F.count(F.lit(1)) / F.max("n") * weight).alias("score"))
+    share = asked.join(parts, "token").groupBy("query", "file").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    return share.select("query", "file", (F.col("share") * weight * S.artifact_discount(F.col("file"))).alias("score"))
 
 
-def structure_scores(neighbors: DataFrame, weight: float = BASELINE) -> DataFrame:
-    """(neighbor, score): ``weight`` over the seeds' places."""
-    return neighbors.groupBy("neighbor").agg(F.sum(weight / F.col("place")).alias("score"))
+def structure_scores(neighbors: DataFrame, seeds: DataFrame, weight: float = BASELINE, limit: int = STRUCTURE_SEEDS) -> DataFrame:
+    """(query, neighbor, score): each seed's score times ``weight`` to each of its neighbours (seed, neighbor).
+
+    seeds: query, seed, score. A query's first ``limit`` seeds of a positive score, in the order of their names, hand on.
+    """
+    place = F.row_number().over(Window.partitionBy("query").orderBy("seed"))
+    chosen = seeds.where("score > 0").withColumn("place", place).where(F.col("place") <= limit).select("query", "seed", "score")
+    return chosen.join(neighbors.select("seed", "neighbor"), "seed").groupBy("query", "neighbor").agg(F.sum(F.col("score") * weight).alias("score"))
 
 
 def label_reasons(deliveries: DataFrame, max_files: int = LABEL_FILES) -> DataFrame:

@@ -8,6 +8,7 @@ from loomgraph.functions import scalars as S
 from loomgraph.operators import graph_joins as J
 from loomgraph.operators import history as H
 from loomgraph.operators import reexports as P
+from loomgraph.operators import resolve as RS
 from loomgraph.operators import search as B
 from loomgraph.operators import traverse as T
 from loomgraph.plans import changes as C
@@ -184,15 +185,23 @@ def rec_eligible(spark, d):
     return R.eligible(K.dv(spark, d), "1998-01-01").groupBy("delivery_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("rec_lexical_baseline", K.TASK + f", q AS (SELECT item_id AS query, {K.TOKENS.format('text')} AS ts FROM benchmark), f AS (SELECT file, {K.TOKENS.format('file')} AS ts FROM (SELECT DISTINCT file FROM deliveries)), m AS (SELECT query, file, count(*) AS c FROM (SELECT query, unnest(ts) AS t FROM q) JOIN (SELECT file, unnest(ts) AS t FROM f) USING (t) GROUP BY ALL) SELECT query, file, round(c / len(ts) * 0.08::DOUBLE, 6) AS score FROM m JOIN q USING (query)")
+@query("rec_lexical_baseline", K.TASK + f", q AS (SELECT item_id AS query, {K.TOKENS.format('text')} AS ts FROM benchmark), f AS (SELECT file, {K.TOKENS.format('file')} AS ts FROM (SELECT DISTINCT file FROM deliveries UNION SELECT file || '/readme.md' FROM deliveries)), m AS (SELECT query, file, count(*) AS c FROM (SELECT query, unnest(ts) AS t FROM q) JOIN (SELECT file, unnest(ts) AS t FROM f) USING (t) GROUP BY ALL) SELECT query, file, round(c / len(ts) * 0.08::DOUBLE * CASE WHEN file LIKE '%/readme.md' THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM m JOIN q USING (query)")
 def rec_lexical_baseline(spark, d):
-    found = R.lexical_baseline(K.dv(spark, d).select("file").distinct(), K.items(spark, d))
+    files = K.dv(spark, d).select("file").distinct()
+    found = R.lexical_baseline(files.unionByName(files.select(F.concat("file", F.lit("/readme.md")).alias("file"))), K.items(spark, d))
     return found.select("query", "file", F.round("score", 6).alias("score"))
 
 
-@query("rec_structure", G.REL_SQL + ", e AS (SELECT src AS seed, dst AS neighbor FROM rel UNION SELECT dst, src FROM rel), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY neighbor) AS place FROM e WHERE seed LIKE 'nation::%') SELECT neighbor, round(sum(0.08::DOUBLE / place), 6) AS score FROM r WHERE place <= 6 GROUP BY neighbor")
+@query("rec_structure", G.REL_SQL + """, e AS (SELECT src AS seed, dst AS neighbor FROM rel UNION SELECT dst, src FROM rel), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY neighbor) AS place FROM e WHERE seed LIKE 'nation::%'),
+s AS (SELECT o_orderpriority AS query, 'nation::' || n_name AS seed, round(sum(o_totalprice) / 1e6, 2) AS score FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+k AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY seed) <= 20)
+SELECT query, neighbor, round(sum(score * 0.08::DOUBLE), 4) AS score FROM k JOIN r USING (seed) WHERE place <= 6 GROUP BY ALL""")
 def rec_structure(spark, d):
-    return R.structure_scores(G.join_structure_neighbors(spark, d)).select("neighbor", F.round("score", 6).alias("score"))
+    """Nations score by the orders of a priority and hand on to what they are related with."""
+    o, c, n = (X.table(spark, d, t) for t in ("orders", "customer", "nation"))
+    sold = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    seeds = sold.groupBy(F.col("o_orderpriority").alias("query"), F.concat(F.lit("nation::"), "n_name").alias("seed")).agg(F.round(F.sum("o_totalprice") / 1e6, 2).alias("score"))
+    return R.structure_scores(G.join_structure_neighbors(spark, d), seeds).select("query", "neighbor", F.round("score", 4).alias("score"))
 
 
 @query("rec_freshness", "SELECT o_orderpriority AS scope, CASE WHEN max(o_orderdate) >= (SELECT max(o_orderdate) FROM orders) THEN 'current' ELSE 'stale' END AS freshness FROM orders GROUP BY 1")
@@ -282,25 +291,60 @@ def read_source_window(spark, d):
     return W.read_window(spans).select("doc_id", F.length("window").cast("long").alias("chars"), "truncated")
 
 
-@query("join_reexport_closure", "SELECT 'region::' || r_name AS module, c_name AS name, c_custkey AS symbol_id, 'hit' AS answer FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+REEXPORTS_SQL = """WITH own AS (SELECT 'nation::' || n_name AS nation, 'region::' || r_name AS region, c_name AS name, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+named AS (SELECT nation, CASE WHEN id % 7 = 0 THEN 'vip' || id % 5 ELSE name END AS called, id FROM own WHERE id % 7 = 0 OR id % 11 = 0),
+reached AS (SELECT region AS module, name, id FROM own UNION SELECT 'world', called, id FROM named UNION SELECT 'world', name, id FROM own WHERE name NOT IN (SELECT called FROM named) UNION SELECT 'mirror', * EXCLUDE (module) FROM
+  (SELECT 'world' AS module, called, id FROM named UNION SELECT 'world', name, id FROM own WHERE name NOT IN (SELECT called FROM named)))
+SELECT module, name, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS symbol_id, CASE WHEN count(DISTINCT id) = 1 THEN 'hit' ELSE 'ambiguous' END AS answer FROM reached GROUP BY ALL"""
+
+
+@query("join_reexport_closure", REEXPORTS_SQL)
 def join_reexport_closure(spark, d):
-    """Regions re-export what their nations define."""
+    """Regions re-export their nations, the world the regions and, explicitly and some under another name, customers; a mirror and the world re-export each other."""
     n, r, c = (X.table(spark, d, t) for t in ("nation", "region", "customer"))
-    steps = n.join(r, n.n_regionkey == r.r_regionkey).select(F.concat(F.lit("region::"), "r_name").alias("module"), F.concat(F.lit("nation::"), "n_name").alias("source_module"), F.lit(None).cast("string").alias("name"))
-    defined = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(F.lit("nation::"), "n_name").alias("module"), F.col("c_name").alias("name"), F.col("c_custkey").alias("symbol_id"))
+    nation, region, nothing = F.concat(F.lit("nation::"), "n_name"), F.concat(F.lit("region::"), "r_name"), F.lit(None).cast("string")
+    placed = n.join(r, n.n_regionkey == r.r_regionkey)
+    step = lambda df, module, source, name=nothing, alias=nothing: df.select(module.alias("module"), source.alias("source_module"), name.alias("name"), alias.alias("alias")).distinct()
+    world, mirror = F.lit("world"), F.lit("mirror")
+    defined = c.join(n, c.c_nationkey == n.n_nationkey).select(nation.alias("module"), F.col("c_name").alias("name"), F.col("c_custkey").alias("symbol_id"))
+    chosen = defined.where("symbol_id % 7 = 0 or symbol_id % 11 = 0")
+    alias = F.when(F.col("symbol_id") % 7 == 0, F.concat(F.lit("vip"), (F.col("symbol_id") % 5).cast("string")))
+    one = spark.range(1)
+    steps = step(placed, region, nation).unionByName(step(r, world, region)).unionByName(step(one, mirror, world)).unionByName(step(one, world, mirror))
+    steps = steps.unionByName(chosen.select(world.alias("module"), F.col("module").alias("source_module"), "name", alias.alias("alias")))
     return P.reexport_closure(steps, defined)
 
 
-@query("res_reexport", "SELECT 'region::' || r_name AS module, count(*) AS hits FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("res_reexport", "SELECT module, count(*) AS hits FROM (" + REEXPORTS_SQL + ") WHERE answer = 'hit' GROUP BY 1")
 def res_reexport(spark, d):
     return join_reexport_closure(spark, d).where("answer = 'hit'").groupBy("module").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("res_type_member", """WITH m AS (SELECT p_partkey AS id, p_brand AS file, p_type AS type, p_name AS name, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS place FROM part),
+@query("res_type_member", """WITH s AS (SELECT p_partkey AS id, p_brand AS file, 'm' || p_size % 5 AS module, 'T' || lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS type, lower(regexp_replace(p_name, '[^A-Za-z]', '_', 'g')) AS member, p_size % 3 + 1 AS tier FROM part),
+j AS (SELECT a.id AS ref, a.file, a.module, b.id, b.tier, b.file AS b_file, b.module AS b_module FROM s a JOIN s b USING (type, member)),
+n AS (SELECT ref, min(id) = max(id) AS sole, min(id) AS one, count(*) FILTER (WHERE file = b_file) AS here, count(*) FILTER (WHERE module = b_module) AS near, min(b_file) = max(b_file) AS one_file,
+  min((tier, id)) FILTER (WHERE file = b_file) AS h0, min((tier, -id)) FILTER (WHERE file = b_file) AS h1, min((tier, id)) FILTER (WHERE module = b_module) AS n0, min((tier, -id)) FILTER (WHERE module = b_module) AS n1, min((tier, id)) AS a0, min((tier, -id)) AS a1 FROM j GROUP BY ref),
+k AS (SELECT ref, CASE WHEN sole THEN 'exact' WHEN here > 0 THEN CASE WHEN h0[2] = -h1[2] THEN 'exact' END WHEN near > 0 THEN CASE WHEN n0[2] = -n1[2] THEN 'same_module' END WHEN a0[2] = -a1[2] AND one_file THEN 'exact' END AS confidence,
+  CASE WHEN sole THEN one WHEN here > 0 THEN h0[2] WHEN near > 0 THEN n0[2] ELSE a0[2] END AS target FROM n)
+SELECT ref AS id, coalesce(confidence, 'fuzzy_name') AS confidence, CASE WHEN confidence IS NOT NULL THEN target END AS target_id FROM k""")
+def res_type_member(spark, d):
+    """Parts as members of types, inherent, of a trait's impl or declared, each called on a receiver of its type, through the whole ladder."""
+    p = X.table(spark, d, "part")
+    kind, member = F.concat(F.lit("T"), F.lower(F.regexp_replace("p_type", "[^A-Za-z]", ""))), F.lower(F.regexp_replace("p_name", "[^A-Za-z]", "_"))
+    bracketed = F.concat(F.lit("<"), kind, F.lit(">::"), member)
+    qualified = F.when(F.col("p_size") % 3 == 0, bracketed).when(F.col("p_size") % 3 == 1, F.concat(F.lit("<"), kind, F.lit(" as Tr>::"), member)).otherwise(F.concat(kind, F.lit("::"), member))
+    module = F.concat(F.lit("m"), (F.col("p_size") % 5).cast("string"))
+    common = (F.col("p_partkey").alias("id"), module.alias("module"), F.lit("rust").alias("lang"), member.alias("name"))
+    symbols = p.select(*common, F.col("p_brand").alias("file_path"), qualified.alias("qualified"), F.lit("method").alias("kind"))
+    refs = p.select(*common, F.col("p_brand").alias("from_file"), bracketed.alias("target"), F.lit("call").alias("kind"), F.lit(True).alias("receiver_unknown"))
+    return RS.resolve(refs, symbols).select("id", "confidence", "target_id")
+
+
+@query("res_member_tiers", """WITH m AS (SELECT p_partkey AS id, p_brand AS file, p_type AS type, p_name AS name, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS place FROM part),
 j AS (SELECT a.id AS ref_id, a.file, b.id, b.file AS m_file, b.place FROM m a JOIN m b USING (type, name) QUALIFY rank() OVER (PARTITION BY a.id ORDER BY b.place) = 1),
 n AS (SELECT ref_id, count(*) AS n, min(id) AS one, count(*) FILTER (WHERE m_file = file) AS nf, min(id) FILTER (WHERE m_file = file) AS own FROM j GROUP BY ref_id)
 SELECT ref_id, CASE WHEN nf = 1 THEN own WHEN n = 1 THEN one END AS target_id, CASE WHEN nf = 1 THEN 'exact' WHEN n = 1 THEN 'import_resolved' ELSE 'fuzzy_name' END AS confidence FROM n""")
-def res_type_member(spark, d):
+def res_member_tiers(spark, d):
     p = X.table(spark, d, "part")
     tier = F.when(F.col("p_size") % 3 == 0, "inherent").when(F.col("p_size") % 3 == 1, "trait_impl").otherwise("trait_decl")
     members = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), F.col("p_type").alias("type"), F.col("p_name").alias("name"), tier.alias("tier"))

@@ -39,6 +39,55 @@ def test_reexports_follow_chains_and_cycles(spark):
     assert got == {("mid", "f", 1, "hit"), ("top", "f", 1, "hit"), ("two", "f", None, "ambiguous"), ("two", "g", 2, "hit")}
 
 
+def test_reexport_closure_goes_to_the_end(spark):
+    """A name that two definitions reach, one of them over sixty-six modules, is ambiguous; aliases and explicit names go before whole modules."""
+    steps = [(f"m{k}", f"m{k + 1}", None, None) for k in range(66)] + [("m0", "near", "f", None), ("n0", "near", None, None), ("n0", "m1", None, None), ("al", "near", "f", "g"), ("al", "m60", None, None)]
+    defined = [("m66", "f", 1), ("near", "f", 2), ("m66", "g", 3), ("m66", "h", 4)]
+    got = {(r["module"], r["name"]): (r["answer"], r["symbol_id"]) for r in P.reexport_closure(spark.createDataFrame(steps, "module string, source_module string, name string, alias string"), spark.createDataFrame(defined, "module string, name string, symbol_id long")).collect()}
+    assert got["m0", "f"] == ("hit", 2) and got["m0", "g"] == ("hit", 3) and got["n0", "f"] == ("ambiguous", None) and got["m1", "f"] == ("hit", 1)
+    assert got["al", "g"] == ("hit", 2) and got["al", "f"] == ("hit", 1) and got["al", "h"] == ("hit", 4)
+
+
+def plain_reexports(start, rows, ends, limit):
+    pending, visited, found = [start], set(), set()
+    while pending:
+        path = pending.pop()
+        if path in visited:
+            continue
+        visited.add(path)
+        if len(visited) > limit:
+            return ("ambiguous", None)
+        if path != start and len(ends.get(path, ())) == 1:
+            found |= ends[path]
+        segments = path.split("::")
+        for k in range(len(segments)):
+            module, following, after = "::".join(segments[:k]), segments[k], segments[k + 1 :]
+            own = [r for r in rows if r[0] == module]
+            explicit = any(r[2] == following for r in own)
+            for _, target, alias, source in own:
+                if alias == following:
+                    pending.append("::".join(x for x in [target, alias if source is None else source, *after] if x))
+                elif alias is None and not explicit and module:
+                    pending.append("::".join(x for x in [target, *segments[k:]] if x))
+    return None if not found else ("hit", found.pop()) if len(found) == 1 else ("ambiguous", None)
+
+
+def test_paths_follow_aliases_diamonds_and_cycles(spark):
+    import random
+
+    rows = [("a", "b", None, None), ("b", "c", "x", "y"), ("d", "b", "inner", ""), ("loop", "pool", None, None), ("pool", "loop", None, None), ("grow", "grow::grow", None, None), ("dia", "l", None, None), ("dia", "r", None, None), ("l", "end", None, None), ("r", "end", None, None), ("two", "l2", None, None), ("two", "r2", None, None), ("", "c", "top", "y")]
+    rng = random.Random(4)
+    rows += [("::".join(rng.choices("pqs", k=rng.randint(1, 2))), "::".join(rng.choices("pqs", k=rng.randint(1, 2))), rng.choice([None, None, "p", "f"]), rng.choice([None, "q", ""])) for _ in range(9)]
+    ends = {"c::y": {1}, "b::z": {2}, "end::f": {3}, "l2::f": {4}, "r2::f": {5}, "pool::k": {6}, "same::f": {7, 8}, "p::f": {10}, "q::s::f": {11}, "s": {12}}
+    starts = ["a::x", "a::z", "d::inner::z", "loop::k", "loop::none", "grow::f", "dia::f", "two::f", "plain", "top::x", "b::x"] + ["::".join(rng.choices("pqsf", k=rng.randint(2, 4))) for _ in range(25)]
+    paths = spark.createDataFrame([(s,) for s in starts], "path string")
+    found = P.follow_reexports(paths, spark.createDataFrame(rows, "module string, target string, alias string, source string"), spark.createDataFrame([(p, i) for p, ids in ends.items() for i in ids], "path string, symbol_id long"), limit=12)
+    got = {r["path"]: (r["answer"], r["symbol_id"]) for r in found.collect()}
+    want = {s: w for s in starts if "::" in s and (w := plain_reexports(s, rows, ends, 12)) is not None}
+    assert got == want
+    assert got["a::x"] == got["b::x"] == ("hit", 1) and got["d::inner::z"] == ("hit", 2) and got["dia::f"] == ("hit", 3) and got["two::f"] == ("ambiguous", None) and got["loop::k"] == ("hit", 6) and got["grow::f"] == ("ambiguous", None)
+
+
 def test_members_by_tier_then_file(spark):
     members = spark.createDataFrame([(1, "a", "T", "m", "inherent"), (2, "b", "T", "m", "trait_impl"), (3, "a", "U", "m", "trait_impl"), (4, "b", "U", "m", "trait_impl")], "id long, file string, type string, name string, tier string")
     refs = spark.createDataFrame([(1, "z", "T", "m"), (2, "b", "U", "m"), (3, "z", "U", "m"), (4, "z", "V", "m")], "ref_id long, file string, type string, name string")
