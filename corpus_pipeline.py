@@ -13,19 +13,26 @@ from loomgraph.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on their labels, finds toxic go."""
+    """Documents that the classifier, trained on their labels, finds toxic go.
+
+    Null and empty texts and rows without an id are scored like others and stay, rows that repeat an id are judged each by
+    its own text, further columns stay as they are; without labels of both kinds, or without documents, nothing goes.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays; rows that repeat an id too, and rows without one, are no exception."""
+    """One row of each group of equal texts stays; rows that repeat an id too, and rows without one, are no exception.
+
+    Null texts equal empty ones and those of white space alone; further columns stay as they are; no rows give none.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share five-word shingles at a Jaccard similarity of 0.8 or more, linked in chains, the least id stays.
 
-    Texts without words and rows without an id stay; where an id repeats, each of its sets is a document.
+    Texts without words, null ones too, and rows without an id stay; where an id repeats, each of its sets is a document. No rows give none.
     """
     return near_dup.drop_near_copies(docs)
 
@@ -37,7 +44,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens.
+
+    Null and empty texts are one piece of one id, rows that repeat an id are packed each, null ids are kept; no rows give none.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

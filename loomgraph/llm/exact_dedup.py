@@ -182,7 +182,7 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """The rows of ``docs``, unchanged, that stay: one of each group of equal texts, by the rule of ``exact_dedup``.
 
     Of rows that share the id and the normalised text, null ids too, the one of the
-    most code points, then of the least text, stays.
+    most code points, then of the least text, stays. No rows give none; further columns, of whatever names, stay as they are.
     """
     found = materialize(exact_dedup(docs, text, doc_id).select("doc_id", "text_sha256", "kept"), "exact-found")
     own = docs[doc_id].cast("long")

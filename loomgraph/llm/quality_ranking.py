@@ -176,7 +176,7 @@ def value_at(values: DataFrame, rank: int) -> float:
 
 
 def train_described(described: DataFrame, labels: DataFrame, folds: int = 5) -> BradleyTerry:
-    """A model of the labels, from all documents that ``labelled`` gives; with one label alone, all documents score on its side of the threshold."""
+    """A model of the labels, from all documents that ``labelled`` gives; with one label alone, all documents score on its side of the threshold, and so they do, as good ones, without any."""
     rows = labelled(described, labels, folds)
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     center, scale = moments(rows)

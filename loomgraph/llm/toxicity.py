@@ -208,7 +208,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_label: int = TRAIN_DOCS, text: str = "text", doc_id: str = "doc_id") -> Scorer:
-    """A scorer of the labels; where no label says toxic, or none says clean, nothing is found toxic."""
+    """A scorer of the labels; where no label says toxic, or none says clean, or either table is empty, nothing is found toxic."""
     texts, y = labelled_sample(docs, labels, "toxic", folds, per_label, text, doc_id)
     if len(set(y)) < 2:
         return Scorer(np.zeros(BUCKETS, np.float32), -8.0)
@@ -255,5 +255,5 @@ def score_documents(docs: DataFrame, scorer: Scorer, folds: int = 5, text: str =
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose score is under ``threshold``."""
+    """The rows of ``docs``, unchanged, whose score is under ``threshold``: null texts as empty ones, every row by its own text whatever its id."""
     return docs.where(score_column(docs.sparkSession, scorer)(whole_text(docs, text)) < threshold)

@@ -70,3 +70,25 @@ def test_each_stage_against_brute_force(spark, folder):
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_odd_documents_from_end_to_end(spark, odd, tmp_path):
+    """Nulls, empties, ties, repeated rows and ids, no id, a long text, columns named like those that operators use inside."""
+    documents = odd.unionByName(odd.where("doc_id = 4").selectExpr("'another text of the same id' as text", "doc_id", "lang", "source", "n_chars", "fp", "block", "chunk", "rank"))
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (None, 0, 1), (7, None, None), (7, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        docs = spark.createDataFrame(kept.collect(), kept.schema)
+    # the longest of the empty texts and of the three equal ones, the other text of an id, and what has no like
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect())) == [(False, k) for k in (3, 4, 5, 7, 8, 9)] + [(True, 0)]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_no_documents(spark, odd, tmp_path):
+    odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
