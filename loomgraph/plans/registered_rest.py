@@ -48,10 +48,10 @@ def join_import_module(spark, d):
 
 @query("res_self_super", G.SYM_SQL + """, f AS (SELECT *, split_part(module, '/', -1) AS tail FROM symbols WHERE kind = 'function'),
 m AS (SELECT tail, name, count(*) AS n, sum(id) AS s FROM f GROUP BY ALL), o AS (SELECT file_path, name, count(*) AS n, sum(id) AS s FROM f GROUP BY ALL)
-SELECT f.id, CASE WHEN m.n - o.n = 1 THEN 'same_module' ELSE 'fuzzy_name' END AS confidence, (CASE WHEN m.n - o.n = 1 THEN m.s - o.s END)::BIGINT AS target_id
+SELECT f.id, CASE WHEN o.n = 1 THEN 'exact' WHEN m.n - o.n = 1 THEN 'same_module' ELSE 'fuzzy_name' END AS confidence, (CASE WHEN o.n = 1 THEN o.s WHEN m.n - o.n = 1 THEN m.s - o.s END)::BIGINT AS target_id
 FROM f JOIN m USING (tail, name) JOIN o USING (file_path, name)""")
 def res_self_super(spark, d):
-    """Every line function, asked for by a path relative to its own file."""
+    """Every line function, asked for by a path relative to its own file: a free item of that name that is one there is exact, else one of the module."""
     functions = G.symbols(spark, d).where("kind = 'function'").withColumn("lang", F.lit("rust"))
     spelled = F.concat(F.when(F.col("id") % 2 == 0, "self::").otherwise("super::"), F.col("name"))
     refs = functions.select("id", F.col("file_path").alias("from_file"), "module", "lang", "name", F.lit("call").alias("kind"), spelled.alias("target"))
