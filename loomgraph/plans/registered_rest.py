@@ -28,9 +28,17 @@ from loomgraph.sources.worktree import scan
 from loomgraph.streaming import watch
 
 
+def fresh_folder(spark, name: str) -> str:
+    """The path of a new folder in the shared one, on whatever file system that is."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_folder(spark, name: str) -> Path:
-    """A fresh folder that the queries over small trees write; on a cluster it lies in the shared folder."""
-    at = Path(shared_folder(spark).removeprefix("file:")) / f"{name}-{uuid.uuid4().hex}"
+    """A fresh folder for trees of small files that the driver itself writes and Git reads; the shared folder must be a mounted one."""
+    at = fresh_folder(spark, name)
+    if not at.startswith(("/", "file:")):
+        raise ValueError(f"{at} is no folder of a mounted file system, as trees of files need")
+    at = Path("/" + at.removeprefix("file:").lstrip("/"))
     at.mkdir(parents=True)
     return at
 
@@ -173,7 +181,7 @@ def eval_live_git(spark, d):
 @query("target_symbol_cache", "WITH " + X.SYMBOLS_SQL + " SELECT id, name, qualified, kind FROM symbols")
 def target_symbol_cache(spark, d):
     """The symbols of one tree, built once and then found under its key."""
-    cache = TableCache(spark, str(local_folder(spark, "symbols")))
+    cache = TableCache(spark, fresh_folder(spark, "symbols"))
     build = lambda: G.symbols(spark, d).select("id", "name", "qualified", "kind")
     cache.get(build, "tree-1")
     found = cache.lookup("tree-1")
@@ -185,7 +193,7 @@ def target_symbol_cache(spark, d):
 def snapshot_cache(spark, d):
     """Five snapshots in a cache of three; the first was used last but two."""
     ticks = iter(range(100))
-    cache = TableCache(spark, str(local_folder(spark, "snapshots")), keep=3, clock=lambda: float(next(ticks)))
+    cache = TableCache(spark, fresh_folder(spark, "snapshots"), keep=3, clock=lambda: float(next(ticks)))
     region = X.table(spark, d, "region")
     for k in range(5):
         if k == 3:
@@ -198,7 +206,7 @@ def snapshot_cache(spark, d):
 @query("event_source", "SELECT event_id, user_id, event_type FROM events WHERE event_type NOT IN ('view', 'read')")
 def event_source(spark, d):
     """The events' file as a stream, filtered and written batch by batch."""
-    at = local_folder(spark, "events")
+    at = fresh_folder(spark, "events")
     events = watch.event_source(spark, d, X.table(spark, d, "events").schema, "events.parquet")
     out = watch.relevant(events).select("event_id", "user_id", "event_type")
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
