@@ -39,3 +39,39 @@ def test_members_of_one_name_form_no_pairs(spark):
     found = type_members(members.selectExpr("id as ref_id", "file", "type", "name"), members)
     assert most_rows(found) <= 3 * 2000
     assert found.count() == 2000 and {r["confidence"] for r in found.select("confidence").distinct().collect()} == {"fuzzy_name"}
+
+
+def test_bm25_shuffles_documents_once_and_no_term(spark):
+    from loomgraph.operators.search import bm25
+
+    docs = spark.range(300).selectExpr("id as doc", "concat('w', id, ' a b c d e f g h i j k l m n o p q r s t') as text")
+    queries = spark.range(40).selectExpr("id as query", "concat('w', id, ' a b c d e f g h i j k l m n o p q r s t') as text")
+    found = bm25(docs, queries)
+    assert shuffled_rows(found) <= 300 + 320 + 80  # documents, distinct terms of the queries, a few of statistics; a row per document and term would be 6,300
+    assert found.count() == 300 * 40 and found.where("query = doc and met = 21").count() == 40 and found.where("met = 20").count() == 299 * 40
+    few = bm25(docs.limit(30).unionByName(docs.limit(1)), queries).where("query = 0")  # a document in two rows counts as one
+    assert few.count() == 30 and few.where("doc = 0").first()["met"] == 21
+
+
+def test_search_beyond_what_is_handed_to_tasks(spark, monkeypatch):
+    from loomgraph.operators import search as B
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, None), (4, "")], "doc long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, "")], "query long, text string")
+    rows = lambda: (sorted(tuple(r) for r in B.bm25(docs, queries).collect()), sorted(tuple(r) for r in B.containing(docs, queries).collect()))
+    near = rows()
+    monkeypatch.setattr(B, "HANDED_WORDS", 1)
+    monkeypatch.setattr(B, "HANDED_ITEMS", 1)
+    far = rows()
+    assert far[1] == near[1] == [(1, 1), (2, 1), (2, 2)]
+    assert [r[:2] + r[3:] for r in far[0]] == [r[:2] + r[3:] for r in near[0]] and all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(*(x[0] for x in (near, far)), strict=True))
+
+
+def test_containing_shuffles_no_words_or_texts(spark):
+    from loomgraph.operators.search import containing
+
+    docs = spark.range(300).selectExpr("id as doc", "concat('x', id, ' a b c d e f g h i j k l m n o p q r s t end') as text")
+    items = spark.range(10).selectExpr("id as query", "concat('x', id, ' a b c') as text")
+    found = containing(docs, items)
+    assert shuffled_rows(found) <= 10
+    assert sorted(tuple(r) for r in found.collect()) == [(k, k) for k in range(10)]
