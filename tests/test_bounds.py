@@ -75,3 +75,53 @@ def test_containing_shuffles_no_words_or_texts(spark):
     found = containing(docs, items)
     assert shuffled_rows(found) <= 10
     assert sorted(tuple(r) for r in found.collect()) == [(k, k) for k in range(10)]
+
+
+def history_case(spark):
+    deliveries = spark.range(400).selectExpr("id as delivery_id", "id % 3 = 0 as verified", "if(id % 7 = 0, null, id) as distance", "explode(transform(sequence(0, 9), k -> concat('d/f', (id * 3 + k) % 30))) as file")
+    words = " ".join(f"w{k}" for k in range(2))
+    tasks = spark.range(400).selectExpr("id as delivery_id", f"concat('own', id % 200, ' {words}') as text")
+    return deliveries, tasks, spark.range(25).selectExpr("id as query", f"concat('own', id, ' {words}') as text")
+
+
+def test_history_forms_no_row_per_query_task_and_file(spark):
+    from loomgraph.plans.recommend import history_scores
+
+    found = history_scores(*history_case(spark))
+    assert most_rows(found) <= 20_000  # a row per query, task and file would be 25 * 200 * 20 = 100,000
+    assert found.count() == 25 * 30
+
+
+def test_blocks_of_any_size_make_the_same_products(spark, monkeypatch):
+    import collections
+
+    import numpy as np
+
+    from loomgraph.operators import products as P
+
+    rng = np.random.default_rng(4)
+    left = sorted({(int(t), int(q)) for t, q in zip(rng.integers(0, 40, 300), rng.integers(0, 12, 300), strict=True)})
+    right = sorted({(int(t), int(f)) for t, f in zip(rng.integers(0, 40, 400), rng.integers(0, 30, 400), strict=True)})
+    lt, lq = (np.array(c) for c in zip(*left, strict=True))
+    rt, rf = (np.array(c) for c in zip(*right, strict=True))
+    s, w, n = rng.random(len(lt)) + 0.1, rng.random(len(rt)), rng.integers(1, 5, len(rt)).astype(float)
+    w[::5] = np.nan
+    m = w / 2
+    want = collections.defaultdict(lambda: [0.0, 0, -1.0])
+    for a in range(len(lt)):
+        for b in np.flatnonzero(rt == lt[a]):
+            x = want[lq[a], rf[b]]
+            x[1] += n[b]
+            if not np.isnan(w[b]):
+                x[0], x[2] = x[0] + s[a] * w[b], max(x[2], s[a] * m[b])
+    for cells, strip in ((1, 1), (7, 3), (60, 128), (10**6, 5)):
+        monkeypatch.setattr(P, "STRIP", strip)
+        got = collections.defaultdict(lambda: [0.0, 0, -1.0])
+        for a, b in P.blocks(lt, lq, rt, rf, cells):
+            assert len(set(lq[a])) * len(set(rf[b])) <= max(cells, len(set(lq[a])))
+            for q, f, score, count, most in zip(*P.product(lt[a], lq[a], s[a], rt[b], rf[b], w[b], n[b], m[b]), strict=True):
+                x = got[q, f]
+                x[1] += count
+                if not np.isnan(score):
+                    x[0], x[2] = x[0] + score, max(x[2], most)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
