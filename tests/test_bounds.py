@@ -125,3 +125,22 @@ def test_blocks_of_any_size_make_the_same_products(spark, monkeypatch):
                 if not np.isnan(score):
                     x[0], x[2] = x[0] + score, max(x[2], most)
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_phrases_meet_rows_where_they_are(spark, monkeypatch):
+    from loomgraph.operators import search as B
+
+    rows = spark.range(300).selectExpr("'s' as kind", "id as doc", "array(concat('the name', id, ' the the'), concat('x', id, ' the')) as fields")
+    queries = spark.range(20).selectExpr("id as query", "concat('\"the name', id, ' the\" x', id) as text").unionByName(spark.createDataFrame([(50, "the the."), (51, '"the x7"'), (52, "?")], "query long, text string"))
+
+    def found():
+        hits, state = B.phrase_search(rows, queries)
+        return sorted(tuple(r) for r in hits.collect()), sorted(tuple(r) for r in state.collect())
+
+    dealt, real = [], B.dealt
+    monkeypatch.setattr(B, "dealt", lambda df, *keys: dealt.append(df.count()) or real(df, *keys))
+    near = found()
+    assert sum(dealt) <= 2 * 300 + 2 * 4 * 300 + 3 * 20  # sizes of fields, "the" twice at its four places, the rare phrases
+    monkeypatch.setattr(B, "HANDED_WORDS", 1)
+    assert found() == near
+    assert [r[0] for r in near[0] if r[0] < 50] == list(range(20)) and (50, None, True) in near[1] and (51, 0, False) in near[1] and (52, 0, False) in near[1]
