@@ -144,3 +144,13 @@ def test_phrases_meet_rows_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(B, "HANDED_WORDS", 1)
     assert found() == near
     assert [r[0] for r in near[0] if r[0] < 50] == list(range(20)) and (50, None, True) in near[1] and (51, 0, False) in near[1] and (52, 0, False) in near[1]
+
+
+def test_impacts_without_fallback_are_the_others(spark):
+    from loomgraph.operators.traverse import impacts
+
+    edges = spark.createDataFrame([(1, 2, 1, 0, "a", "call"), (3, 1, 3, 0, "b", "call"), (4, 5, 4, 0, "c", "call")], "src long, dst long, category int, edge_class int, ord string, kind string")
+    origins = spark.createDataFrame([(2,), (5,)], "origin long")
+    whole, bare = impacts(edges, origins)[0], impacts(edges, origins, fallback=False)[0]
+    assert whole.where("fallback").count() == 1
+    assert sorted(bare.collect()) == sorted(whole.where("not fallback").collect()) and bare.count() == 2
