@@ -154,3 +154,21 @@ def test_impacts_without_fallback_are_the_others(spark):
     whole, bare = impacts(edges, origins)[0], impacts(edges, origins, fallback=False)[0]
     assert whole.where("fallback").count() == 1
     assert sorted(bare.collect()) == sorted(whole.where("not fallback").collect()) and bare.count() == 2
+
+
+def test_candidate_tests_read_paths_once(spark):
+    from loomgraph.plans.evidence import candidate_tests
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    paths = spark.createDataFrame([(1, 2), (1, 3), (4, 3)], "origin long, node long").mapInPandas(counted, "origin long, node long")
+    symbols = spark.createDataFrame([(1, "load", "function", "a/x.py"), (2, "test_load", "function", "t/y.py"), (3, "other", "function", "a/z.py"), (4, "save", "function", "a/w.py")], "id long, name string, kind string, file_path string")
+    imports = spark.createDataFrame([("t/y.py", "w")], "from_file string, target_path string")
+    found = candidate_tests(paths, symbols, imports).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 2, "call_path"), (1, 2, "naming_heuristic"), (4, 2, "import_relationship")]
+    assert read.value == 3
