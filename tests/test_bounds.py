@@ -172,3 +172,12 @@ def test_candidate_tests_read_paths_once(spark):
     found = candidate_tests(paths, symbols, imports).collect()
     assert sorted(tuple(r) for r in found) == [(1, 2, "call_path"), (1, 2, "naming_heuristic"), (4, 2, "import_relationship")]
     assert read.value == 3
+
+
+def test_lines_are_told_apart_without_a_join(spark):
+    from loomgraph.plans.changes import line_elements
+
+    files = spark.createDataFrame([(1, "a\na\n"), (2, "é\n\nb"), (3, ""), (4, "\n")], "id long, text string")
+    lines = line_elements(files)
+    assert not [name for name, _ in plan_nodes(lines) if "Join" in name]
+    assert {r["id"]: r["total"] for r in lines.collect()} == {1: 4, 2: 5, 4: 1} and all(r["w"] == r["total"] for r in lines.groupBy("id", "total").agg({"weight": "sum"}).toDF("id", "total", "w").collect())
