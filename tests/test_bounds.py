@@ -181,3 +181,54 @@ def test_lines_are_told_apart_without_a_join(spark):
     lines = line_elements(files)
     assert not [name for name, _ in plan_nodes(lines) if "Join" in name]
     assert {r["id"]: r["total"] for r in lines.collect()} == {1: 4, 2: 5, 4: 1} and all(r["w"] == r["total"] for r in lines.groupBy("id", "total").agg({"weight": "sum"}).toDF("id", "total", "w").collect())
+
+
+def ranking_case(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda most: " ".join(rng.choice(["alpha", "Beta", "g-7", "delta", "étéx", "Key", "x" * 9, "eta"]) for _ in range(rng.randint(0, most)))
+    docs = [(k, text(12)) for k in range(-20, 220)] + [(k, "alpha beta") for k in range(300, 360)] + [(400, None), (401, "")]
+    rng.shuffle(docs)
+    queries = [(k, text(4)) for k in range(12)] + [(3, "beta key"), (None, "alpha"), (20, ""), (21, None), (22, "missing")]
+    return spark.createDataFrame(docs, "doc long, text string").repartition(5), spark.createDataFrame(queries, "query long, text string")
+
+
+def test_rankings_equal_bm25_in_blocks_of_any_size(spark, monkeypatch):
+    from loomgraph.operators import rankings as N
+    from loomgraph.operators.search import bm25, top_k
+
+    docs, queries = ranking_case(spark)
+    docs = docs.cache()
+    key = lambda r: tuple((x is None, x) for x in r)
+    rows = lambda df: sorted(((*r[:2], round(r[2], 9), *r[3:]) for r in df.collect()), key=key)
+    for whole in (False, True):
+        scored = bm25(docs, queries, all_terms=whole)
+        want = rows(top_k(scored, 7).select("query", "doc", "score", "met", "rank")), rows(top_k(scored.selectExpr("query", "doc", "score as s", "met", "double(met) as score"), 7).select("query", "doc", "s", "met", "rank"))
+        for sizes in ((1_000_000, 1_000_000, 500, 200_000), (1, 1, 1, 1), (40, 30, 7, 90)):
+            for name, value in zip(("CELLS", "GAINS", "DOCS", "HELD"), sizes, strict=True):
+                monkeypatch.setattr(N, name, value)
+            found = N.ranked(docs, queries, 7, by=("score", "met"), all_terms=whole).select("query", "doc", "score", "met", "rank", "by").collect()
+            assert tuple(sorted(((*r[:2], round(r[2], 9), *r[3:5]) for r in found if r["by"] == by), key=key) for by in ("score", "met")) == want
+    monkeypatch.setattr(N, "PLACES", 1)
+    assert rows(N.ranked(docs, queries, 7, all_terms=True).select("query", "doc", "score", "met", "rank")) == want[0]
+
+
+def test_rankings_of_repeated_and_missing_ids(spark):
+    from loomgraph.operators.rankings import ranked
+
+    docs = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a c"), (2, "c")], "doc long, text string")
+    found = ranked(docs, spark.createDataFrame([(1, "b c"), (2, "z")], "query long, text string"), 5, by=("met",)).collect()
+    assert {(r["doc"], r["met"]) for r in found} == {(1, 2), (None, 1), (2, 1)} and len(found) == 3
+    none = spark.createDataFrame([(1, " - ")], "query long, text string")
+    assert ranked(docs.where("doc = 2"), none, 5).count() == 0 and ranked(docs.where("doc = 9"), docs.selectExpr("doc as query", "text"), 5).count() == 0
+
+
+def test_rankings_hand_on_the_best_rows_alone(spark):
+    from loomgraph.operators.rankings import ranked
+
+    docs = spark.range(3000).selectExpr("id as doc", "concat('w', id, ' a b c d e f g') as text").repartition(3)
+    queries = spark.range(20).selectExpr("id as query", "concat('w', id, ' a b c') as text")
+    found = ranked(docs, queries, 5, by=("score", "met"))
+    assert most_rows(found) <= 3000 and found.count() == 20 * 5 * 2  # a row per query and document would be 60,000
+    assert found.where("by = 'score' and rank = 1 and query = doc and met = 4").count() == 20
