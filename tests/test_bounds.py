@@ -232,3 +232,18 @@ def test_rankings_hand_on_the_best_rows_alone(spark):
     found = ranked(docs, queries, 5, by=("score", "met"))
     assert most_rows(found) <= 3000 and found.count() == 20 * 5 * 2  # a row per query and document would be 60,000
     assert found.where("by = 'score' and rank = 1 and query = doc and met = 4").count() == 20
+
+
+def without_scores_of_all_documents(spark, monkeypatch, name):
+    from loomgraph.operators import search
+    from loomgraph.registry import QUERIES
+
+    def scored(*_, **__):
+        raise AssertionError("a row per query and document")
+
+    monkeypatch.setattr(search, "bm25", scored)
+    return QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_eval_paired_forms_no_row_per_query_and_document(spark, monkeypatch):
+    assert without_scores_of_all_documents(spark, monkeypatch, "eval_paired").count() == 1
