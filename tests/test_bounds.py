@@ -247,3 +247,7 @@ def without_scores_of_all_documents(spark, monkeypatch, name):
 
 def test_eval_paired_forms_no_row_per_query_and_document(spark, monkeypatch):
     assert without_scores_of_all_documents(spark, monkeypatch, "eval_paired").count() == 1
+
+
+def test_eval_split_forms_no_row_per_query_and_document(spark, monkeypatch):
+    assert {r["variant"] for r in without_scores_of_all_documents(spark, monkeypatch, "eval_split").collect()} == {"bm25", "overlap"}
