@@ -256,3 +256,7 @@ def test_eval_split_forms_no_row_per_query_and_document(spark, monkeypatch):
 def test_set_union_all_forms_no_row_per_query_and_document(spark, monkeypatch):
     found = without_scores_of_all_documents(spark, monkeypatch, "set_union_all")
     assert found.where("rank <= 50").count() == found.count() > 0 and {r["run"] for r in found.select("run").distinct().collect()} == {"bm25", "overlap"}
+
+
+def test_eval_prepend_forms_no_row_per_query_and_document(spark, monkeypatch):
+    assert 0 < without_scores_of_all_documents(spark, monkeypatch, "eval_prepend").groupBy("query").count().agg({"count": "max"}).first()[0] <= 50
