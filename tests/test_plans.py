@@ -137,3 +137,22 @@ def test_intervals_and_gates(spark):
     cases = spark.createDataFrame([("l", q, 1, 2, 1) for q in range(4)] + [("r", q, 0, 2, None) for q in range(4)], "variant string, query long, hits long, relevant long, first long")
     row = evaluate.paired(cases, "l", "r").first()
     assert (row["n"], row["mean_difference"], row["verdict"]) == (4, 0.5, "above")
+
+
+def test_readout_has_every_metric_of_micro_and_macro(spark):
+    """Answers, stale ones and cases without truth count beside hits; the sums are pooled, mean_recall is over cases with truth."""
+    runs = [("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 1, 12, 3), ("a", 2, 99, 1), ("a", 3, 98, 2), ("b", 1, 12, 1)]
+    truth = [(1, 10), (1, 11), (1, 13), (1, 12), (2, 10)]
+    runs, truth = spark.createDataFrame(runs, "variant string, query long, doc long, rank long"), spark.createDataFrame(truth, "query long, doc long")
+    asked, live = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query long"), spark.createDataFrame([(d,) for d in (10, 11, 12, 13, 98)], "doc long")
+    latency = spark.createDataFrame([("a", 1, 1000), ("a", 1, 500), ("a", 2, 2500)], "variant string, query long, micros long")
+    rows = {r["variant"]: r.asDict() for r in evaluate.readout(evaluate.outcomes(runs, truth, 2, asked, live, latency), 2).collect()}
+    assert rows["a"] == {
+        "variant": "a", "cases": 4, "hits": 2, "relevant": 5, "returned": 4, "recall": 0.4, "precision": 0.25, "cases_with_truth": 2, "mean_recall": 0.25,
+        "cases_answered": 3, "coverage": 0.75, "found": 0.25, "stale_rate": 0.25, "mean_latency_ms": 2.0, "max_latency_ms": 2.5,
+    }
+    assert (rows["b"]["coverage"], rows["b"]["found"], rows["b"]["stale_rate"], rows["b"]["mean_latency_ms"]) == (0.25, 0.25, 0.0, None)
+    plain = {r["variant"]: r for r in evaluate.readout(evaluate.outcomes(runs, truth, 2), 2).collect()}
+    assert (plain["a"]["cases"], plain["a"]["coverage"], plain["a"]["stale_rate"]) == (2, 1.0, None)
+    none = evaluate.readout(evaluate.outcomes(runs, truth.where("query < 0"), 2, asked), 2).where("variant = 'a'").first()
+    assert (none["cases"], none["recall"], none["mean_recall"], none["coverage"]) == (4, None, None, 0.75)
