@@ -156,3 +156,34 @@ def test_readout_has_every_metric_of_micro_and_macro(spark):
     assert (plain["a"]["cases"], plain["a"]["coverage"], plain["a"]["stale_rate"]) == (2, 1.0, None)
     none = evaluate.readout(evaluate.outcomes(runs, truth.where("query < 0"), 2, asked), 2).where("variant = 'a'").first()
     assert (none["cases"], none["recall"], none["mean_recall"], none["coverage"]) == (4, None, None, 0.75)
+
+
+def gate_cases(spark, hits):
+    """Ten cases of each variant, with ten relevant; ``hits``: per variant, of each case."""
+    rows = [(v, q, h, 10, 1 if h else None, 10 if h else 0, 0, None) for v, hs in hits.items() for q, h in enumerate(hs)]
+    return spark.createDataFrame(rows, "variant string, query long, hits long, relevant long, first long, returned long, stale long, micros long")
+
+
+def test_gates_are_all_read(spark):
+    """G1 asks both rivals and names an alternative, G2 keeps the winner and names combinations, G4 keeps a setting if no level is worse."""
+    roles = evaluate.Roles("w", ("f", "c"), ("s", "t"), ("p", "r"), ("c", "p", "r"))
+    low, mid, high, top = ([x, x + 1] * 5 for x in (1, 3, 5, 7))
+    state = lambda rows: [(r["gate"], r["state"]) for r in rows]
+    good = evaluate.gates(gate_cases(spark, {"w": mid, "f": low, "c": low, "s": low, "t": low, "p": high, "r": mid}), roles)
+    assert state(good) == [("G1", "pass"), ("G2", "pass")] and (good[0]["coverage"], good[0]["alternative"], good[1]["keep"], good[1]["combinations"]) == (1.0, None, "w", ["p"])
+    bad = evaluate.gates(gate_cases(spark, {"w": mid, "f": low, "c": mid, "s": high, "t": top, "p": mid, "r": mid}), roles)
+    assert state(bad) == [("G1", "fail"), ("G2", "fail")] and (bad[0]["alternative"], bad[1]["keep"], bad[1]["combinations"]) == ("c", "t", [])
+    even = evaluate.gates(gate_cases(spark, {"w": mid, "f": low, "c": low, "s": mid, "t": low}), roles)
+    assert state(even) == [("G1", "pass"), ("G2", "fail")] and even[1]["keep"] is None
+    missing = gate_cases(spark, {"w": mid, "f": low, "s": low})
+    assert state(evaluate.gates(missing, roles)) == [("G1", "unevaluable"), ("G2", "unevaluable")]
+    assert state(evaluate.gates(missing, roles, k=5)) == [("G1", "unevaluable"), ("G2", "unevaluable")] and state(evaluate.gates(missing, roles, unavailable="none"))[0] == ("G1", "unevaluable")
+    thin = evaluate.gates(gate_cases(spark, {"w": [0] * 6 + [9] * 4, "f": [0] * 10, "c": [0] * 10}), roles)
+    assert (thin[0]["state"], thin[0]["coverage"]) == ("fail", 0.4)
+    settings = (
+        evaluate.Setting("weight", "presence", "share", ("2", "1")), evaluate.Setting("added", "1", "2", ("3", "1")), evaluate.Setting("still", "1"),
+        evaluate.Setting("none", "1", "2", unavailable="no grid"), evaluate.Setting("far", "1", "2", ("9", "1")),
+    )
+    files, symbols = gate_cases(spark, {"1": mid, "2": high, "3": high}), gate_cases(spark, {"1": mid, "2": mid, "3": low})
+    four = evaluate.gates(missing, roles, settings=settings, cell_files=files, cell_symbols=symbols)[2:]
+    assert [(r["option"], r["state"], r["kept"]) for r in four] == [("weight", "pass", "share"), ("added", "fail", "1"), ("still", "fail", "1"), ("none", "unevaluable", "1"), ("far", "unevaluable", "1")]
