@@ -4,6 +4,7 @@ import json
 import subprocess
 import threading
 import time
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,30 @@ def test_history_scores_against_brute_force(spark):
     assert set(got) == set(want)
     for key, parts in want.items():
         assert got[key]["score"] == pytest.approx(sum(parts)) and got[key]["deliveries"] == len(parts) and got[key]["strongest"] == pytest.approx(max(parts))
+
+
+def test_accumulated_has_all_that_supports_a_destination(spark):
+    """A delivery of several tasks counts once, with the most similar; equal rows are one task; sets, reasons and the first fallback come with the sums."""
+    from loomgraph.plans.recommend import accumulated
+
+    files = [(1, True, 0, "a", None), (1, True, 0, "b", "moved"), (2, False, 50, "a", "late"), (3, True, 100, "a", "later"), (4, True, 0, "c", None)]
+    told = [(1, "fix parser"), (1, "fix lexer now"), (2, "parser"), (2, "parser"), (3, "fix parser"), (4, "docs")]
+    d = spark.createDataFrame(files, "delivery_id long, verified boolean, distance long, file string, fallback string")
+    tasks, queries = spark.createDataFrame(told, "delivery_id long, text string"), spark.createDataFrame([(7, "fix parser"), (8, "lexer")], "query long, text string")
+    ubiquity = {"a": 1 / (1 + 2 * 3 / 4), "b": 1 / (1 + 2 * 1 / 4)}
+    first = 2**-0.5 * 2**-0.5  # of two files and two tasks
+    parts = {(7, "a"): {1: first, 2: 0.5 * 0.5 * 0.55, 3: 0.25}, (7, "b"): {1: first}, (8, "a"): {1: first}, (8, "b"): {1: first}}
+    want = {key: {k: v * ubiquity[key[1]] for k, v in by.items()} for key, by in parts.items()}
+    texts = {sha256(t.encode()).hexdigest(): t for _, t in told}
+    whole, sums = ({(r["query"], r["file"]): r for r in df.collect()} for df in (accumulated(d, tasks, queries), history_scores(d, tasks, queries)))
+    assert set(whole) == set(sums) == set(want)
+    for key, by in want.items():
+        got = whole[key]
+        assert got["score"] == pytest.approx(sum(by.values())) == sums[key]["score"] and got["strongest"] == pytest.approx(max(by.values())) == sums[key]["strongest"]
+        assert got["deliveries"] == sorted(by) and sums[key]["deliveries"] == len(by)
+        assert [r["delivery_id"] for r in got["reasons"]] == sorted(by, key=by.get, reverse=True) and sum(r["contribution"] for r in got["reasons"]) == pytest.approx(got["score"])
+        assert got["reasons"][0]["kind"] == "historical_change"
+    assert {texts[t] for t in whole[7, "a"]["tasks"]} == {"fix parser", "fix lexer now", "parser"} and [texts[t] for t in whole[8, "a"]["tasks"]] == ["fix lexer now"]
+    assert [(whole[k]["file_fallback"], whole[k]["fallback"]) for k in ((7, "a"), (7, "b"), (8, "a"))] == [(True, "late"), (True, "moved"), (False, None)]
+    some = accumulated(d, tasks, queries, only=spark.createDataFrame([(7, "a"), (8, "c")], "query long, file string")).collect()
+    assert some == [whole[7, "a"]]
